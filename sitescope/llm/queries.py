@@ -1,8 +1,8 @@
 """All registered queries of this subpackage."""
 
-from sitescope.llm import bpe, quality, secrets, url_filters, warc
+from sitescope.llm import bpe, packing, quality, secrets, simhash, url_filters, warc
 
-MODULES = (secrets, quality, bpe, url_filters, warc)
+MODULES = (secrets, packing, quality, bpe, simhash, url_filters, warc)
 
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
