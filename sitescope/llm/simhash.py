@@ -1,14 +1,14 @@
 """Operator 6: SimHash fingerprints and all pairs of them within a Hamming radius.
 
-A text's terms are its runs of TERM words (shorter texts: the whole run), weighted by 1 + log(count); each term's hash
-votes on BITS signed bits. Equal texts have equal fingerprints. Empty and null texts have the fingerprint of no votes
-(all zero bits).
+A text's terms are its runs of a number of words (shorter texts: the whole run), weighted by 1 + log(count); each
+term's hash votes on signed bits. PARTS names the runs and their bits: single words vote on the head, which near copies
+share almost whole; runs of three words vote on the rest, which unrelated texts do not share. Equal texts have equal
+fingerprints. Empty and null texts have the fingerprint of no votes (all zero bits).
 
-Search: the bits are cut into BLOCKS blocks. Two fingerprints that differ in at most RADIUS bits agree in at least
+Search: the head's bits are cut into BLOCKS blocks. Two heads that differ in at most RADIUS bits agree in at least
 BLOCKS - RADIUS whole blocks, so each choice of that many blocks is a table (the bits permuted so that these lead), and
-fingerprints meet where a table's leading bits are equal. A crowded meeting place is divided again by the bits that
-are left, by the same rule, so that no place compares more than it must. Only distinct fingerprints meet, and a place
-returns a spanning forest, never all pairs.
+heads meet where a table's leading bits are equal. Only distinct heads meet, and a place with more than a few returns a
+spanning forest, never all pairs. A crowded place is divided again by the bits that are left, by the same rule.
 
 Order of documents for the edited texts: descending doc_id, ties by text, null ids last; after the last comes the
 first. A table of one document is followed by itself.
@@ -26,19 +26,26 @@ from pyspark.sql import functions as F
 
 from sitescope.llm import common
 
-BITS = 128
+#: (words in a term, bits it votes on); the first part is the head.
+PARTS = ((1, 64), (3, 128))
+BITS = sum(bits for _, bits in PARTS)
+HEAD = PARTS[0][1]
 RADIUS = 3
 BLOCKS = 6
-TERM = 3
+#: Places with more heads than this return a spanning forest in place of pairs.
+FEW = 16
 #: A meeting place with more fingerprints than this is divided again.
 CROWDED = 2_000
 
 
-def fingerprints(texts: list[bytes], term: int = TERM) -> np.ndarray:
-    """(len(texts), BITS // 8) bytes; texts are taken a few at a time, long ones in slices of terms."""
-    out = np.zeros((len(texts), BITS // 8), np.uint8)
+def fingerprints(texts: list[bytes]) -> np.ndarray:
+    """(len(texts), BITS // 8) bytes."""
     hashes, owner = common.word_hashes(texts)
-    n_words = np.bincount(owner, minlength=len(texts))
+    return np.concatenate([_votes(hashes, owner, len(texts), term, bits) for term, bits in PARTS], axis=1)
+
+
+def _votes(hashes: np.ndarray, owner: np.ndarray, n: int, term: int, bits: int) -> np.ndarray:
+    n_words = np.bincount(owner, minlength=n)
     at, value = common.grams(hashes, owner, term)
     of = owner[at]
     short = np.flatnonzero((n_words > 0) & (n_words < term))
@@ -46,22 +53,22 @@ def fingerprints(texts: list[bytes], term: int = TERM) -> np.ndarray:
         spans, first = common.Spans(hashes), np.cumsum(n_words) - n_words
         value = np.concatenate([value, spans.of(first[short], first[short] + n_words[short])])
         of = np.concatenate([of, short])
-    order = np.lexsort((value, of))
-    value, of = value[order], of[order]
-    if not len(value):
-        return out
-    new = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (of[1:] != of[:-1])])
-    weight = (1 + np.log(np.diff(np.r_[new, len(value)]))).astype(np.float32)
-    value, of = value[new], of[new]
-    votes = np.zeros((len(texts), BITS), np.float32)
-    step = 1 << 17
-    for lo in range(0, len(value), step):
-        part, who = value[lo : lo + step], of[lo : lo + step]
-        words = np.stack([common.mix(part + np.uint64(k + 1) * np.uint64(0xA24BAED4963EE407)) for k in range(BITS // 64)], axis=1)
-        bits = np.unpackbits(words.view(np.uint8), axis=1).astype(np.float32)
-        bits = (2 * bits - 1) * weight[lo : lo + step, None]
-        start = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
-        votes[who[start]] += np.add.reduceat(bits, start, axis=0)
+    votes = np.zeros((n, bits), np.float32)
+    if len(value):
+        order = np.lexsort((value, of))
+        value, of = value[order], of[order]
+        new = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (of[1:] != of[:-1])])
+        weight = (1 + np.log(np.diff(np.r_[new, len(value)]))).astype(np.float32)
+        value, of = value[new], of[new]
+        step = 1 << 17
+        salts = np.arange(1, bits // 64 + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
+        for lo in range(0, len(value), step):
+            part, who = value[lo : lo + step], of[lo : lo + step]
+            words = np.stack([common.mix(part + salt) for salt in salts], axis=1)
+            each = np.unpackbits(words.view(np.uint8), axis=1).astype(np.float32)
+            each = (2 * each - 1) * weight[lo : lo + step, None]
+            start = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
+            votes[who[start]] += np.add.reduceat(each, start, axis=0)
     return np.packbits(votes > 0, axis=1)
 
 
@@ -151,69 +158,75 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     return dealt.mapInPandas(run, COMPARED)
 
 
-def forest(words: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges that connect all rows within ``radius`` bits, row by row; memory is linear in the rows."""
-    n, edges = len(words), []
-    label = np.arange(n)
-    for k in range(1, n):
-        near = np.flatnonzero(np.bitwise_count(words[:k] ^ words[k]).sum(axis=1) <= radius)
+def forest(heads: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Edges that connect all heads within ``radius`` bits, head by head; memory is linear in the heads."""
+    edges, label = [], np.arange(len(heads))
+    for k in range(1, len(heads)):
+        near = np.flatnonzero(np.bitwise_count(heads[:k] ^ heads[k]) <= radius)
         for root in np.unique(label[near]):
             edges.append((int(root), k))
             label[label == root] = k
     return edges
 
 
-def close_fingerprints(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, crowded: int = CROWDED) -> DataFrame:
-    """(a, b): links that connect every two distinct fingerprints (hex) within the radius, through others if need be."""
-    lengths = [len(x) for x in np.array_split(np.arange(BITS), blocks)]
-    starts = np.cumsum([0, *lengths])
-    choices = list(combinations(range(blocks), blocks - radius))
+def tables(head, radius: int = RADIUS, blocks: int = BLOCKS):
+    """Column: array of (which table, the leading bits there) for a head given as a long."""
+    lengths = [len(x) for x in np.array_split(np.arange(HEAD), blocks)]
+    starts = [sum(lengths[:k]) for k in range(blocks)]
+    out = []
+    for k, chosen in enumerate(combinations(range(blocks), blocks - radius)):
+        mask = sum(((1 << lengths[c]) - 1) << starts[c] for c in chosen)
+        out.append(F.struct(F.lit(k).alias("which"), head.bitwiseAND(F.lit(mask - (1 << 64) if mask >= 1 << 63 else mask).cast("long")).alias("lead")))
+    return F.array(*out)
 
-    def tables(batches):
-        for batch in batches:
-            if not len(batch):
-                continue
-            bits = np.unpackbits(np.array([np.frombuffer(bytes.fromhex(x), np.uint8) for x in batch["fingerprint"]]), axis=1)
-            for k, chosen in enumerate(choices):
-                lead = np.concatenate([bits[:, starts[c] : starts[c + 1]] for c in chosen], axis=1)
-                lead = np.packbits(np.pad(lead, ((0, 0), (0, -lead.shape[1] % 64))), axis=1).view(">u8")
-                key = common.mix(lead.astype(np.uint64)[:, 0] + np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15))
-                for j in range(1, lead.shape[1]):
-                    key = common.mix(key ^ lead[:, j].astype(np.uint64))
-                yield pd.DataFrame({"place": key.view(np.int64), "which": np.int32(k), "fingerprint": batch["fingerprint"]})
-
-    def divided(batches):
-        for batch in batches:
-            for k, group in batch.groupby("which"):
-                rest = [c for c in range(blocks) if c not in choices[k]]
-                spots = np.concatenate([np.arange(starts[c], starts[c + 1]) for c in rest])
-                bits = np.unpackbits(np.array([np.frombuffer(bytes.fromhex(x), np.uint8) for x in group["fingerprint"]]), axis=1)
-                for j, piece in enumerate(np.array_split(spots, radius + 1)):
-                    more = bits[:, piece].astype(np.uint64) @ (np.uint64(1) << np.arange(len(piece), dtype=np.uint64))
-                    key = common.mix(common.mix(group["place"].to_numpy().view(np.uint64) + np.uint64(j + 1)) ^ more)
-                    yield pd.DataFrame({"place": key.view(np.int64), "which": np.int32(k), "fingerprint": group["fingerprint"]})
 
-    def links(place: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(place["fingerprint"].unique())
-        words = np.array([np.frombuffer(bytes.fromhex(x), np.uint64) for x in names])
-        return pd.DataFrame([(names[i], names[j]) for i, j in forest(words, radius)], columns=["a", "b"])
+def divided(crowded: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """Crowded places cut by the bits that their table leaves out: of radius + 1 pieces one at least must be equal."""
+    lengths = [len(x) for x in np.array_split(np.arange(HEAD), blocks)]
+    starts = [sum(lengths[:k]) for k in range(blocks)]
+    masks = []
+    for chosen in combinations(range(blocks), blocks - radius):
+        spots = np.concatenate([np.arange(starts[c], starts[c] + lengths[c]) for c in range(blocks) if c not in chosen])
+        pieces = [sum(1 << int(x) for x in piece) for piece in np.array_split(spots, radius + 1)]
+        masks.append(F.array(*(F.lit(m - (1 << 64) if m >= 1 << 63 else m).cast("long") for m in pieces)))
+    own = F.get(F.array(*masks), F.col("which"))
+    return crowded.select("which", "lead", F.posexplode(own).alias("piece", "mask"), "head").select(
+        "which", "lead", "piece", F.col("head").bitwiseAND(F.col("mask")).alias("rest"), "head"
+    )
 
-    filed = prints.select("fingerprint").distinct().mapInPandas(tables, "place long, which int, fingerprint string")
-    count = filed.groupBy("place").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = common.cut(filed.join(count, "place"))
-    again = met.where(F.col("n") > crowded).select("place", "which", "fingerprint").mapInPandas(divided, "place long, which int, fingerprint string")
-    meetings = met.where(F.col("n") <= crowded).select("place", "which", "fingerprint").union(again)
-    return meetings.groupBy("place").applyInPandas(links, "a string, b string").distinct()
 
+def close_heads(heads: DataFrame, radius: int = RADIUS, few: int = FEW, crowded: int = CROWDED) -> DataFrame:
+    """(a, b): links that connect every two distinct heads (longs) within the radius, through others if need be."""
 
-def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    compared = common.cut(compare_edited(common.read(spark, sf_dir, "documents")))
-    ids = compared.groupBy("fingerprint").agg(F.min("doc_id").alias("id"))
-    linked = close_fingerprints(ids)
-    pairs = linked.join(ids.select(F.col("fingerprint").alias("a"), F.col("id").alias("x")), "a").join(ids.select(F.col("fingerprint").alias("b"), F.col("id").alias("y")), "b")
+    def links(place: pd.DataFrame) -> pd.DataFrame:
+        own = np.sort(place["head"].unique())
+        return pd.DataFrame([(own[i], own[j]) for i, j in forest(own.view(np.uint64), radius)], columns=["a", "b"])
+
+    filed = heads.select("head").distinct().select("head", F.explode(tables(F.col("head"), radius)).alias("t")).select("t.which", "t.lead", "head")
+    count = filed.groupBy("which", "lead").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = common.cut(filed.join(count, ["which", "lead"]))
+    small = met.where(F.col("n") <= few)
+    pairs = small.select("which", "lead", F.col("head").alias("a")).join(small.select("which", "lead", F.col("head").alias("b")), ["which", "lead"])
+    pairs = pairs.where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b")
+    middle = met.where((F.col("n") > few) & (F.col("n") <= crowded)).groupBy("which", "lead").applyInPandas(links, "a long, b long")
+    again = divided(met.where(F.col("n") > crowded), radius).groupBy("which", "lead", "piece", "rest").applyInPandas(links, "a long, b long")
+    return pairs.union(middle).union(again).distinct()
+
+
+def near_classes(compared: DataFrame) -> DataFrame:
+    """(head, near_class): the least doc_id reachable through heads within the radius."""
+    ids = compared.groupBy("head").agg(F.min("doc_id").alias("id"))
+    pairs = close_heads(ids).join(ids.select(F.col("head").alias("a"), F.col("id").alias("x")), "a").join(ids.select(F.col("head").alias("b"), F.col("id").alias("y")), "b")
     classes = common.components(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    near = ids.join(classes, F.col("id") == F.col("node"), "left").select("fingerprint", F.coalesce("component", "id").alias("near_class"))
-    return compared.join(near, "fingerprint", "left").select(*compared.columns, "near_class")
+    return ids.join(classes, F.col("id") == F.col("node"), "left").select("head", F.coalesce("component", "id").alias("near_class"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    compared = compare_edited(common.read(spark, sf_dir, "documents"))
+    names = compared.columns
+    high, low = (F.conv(F.substring("fingerprint", at, 8), 16, 10).cast("long") for at in (1, 9))
+    compared = common.cut(compared.withColumn("head", F.shiftleft(high, 32).bitwiseOR(low)))
+    return compared.join(near_classes(compared), "head", "left").select(*names, "near_class")
 
 
 QUERIES = {"op6_simhash": op6_simhash}
