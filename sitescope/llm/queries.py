@@ -1,8 +1,8 @@
 """All registered queries of this subpackage."""
 
-from sitescope.llm import bpe, packing, quality, secrets, simhash, substrings, url_filters, warc
+from sitescope.llm import bpe, jaccard, packing, quality, secrets, simhash, substrings, url_filters, warc
 
-MODULES = (secrets, packing, substrings, quality, bpe, simhash, url_filters, warc)
+MODULES = (secrets, packing, substrings, quality, bpe, simhash, url_filters, jaccard, warc)
 
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
