@@ -97,9 +97,8 @@ def bucket_of(nodes: np.ndarray, buckets: int) -> np.ndarray:
     return (common.mix(nodes) % np.uint64(buckets)).astype(np.int64)
 
 
-def _ids(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    known = column.notna().to_numpy()
-    return column.fillna(0).astype("int64").to_numpy(), known
+def _ids(docs: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    return docs["doc_id"].to_numpy(np.int64), ~docs["__unnamed"].to_numpy(bool)
 
 
 NODES = "bucket int, chunk int, node binary, label binary, least binary"
@@ -143,12 +142,15 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, k: int = K, keep: tuple[
     n = common.parts(docs)
     chunks = max(n, -(-total // common.CHUNK_BYTES))
     buckets = int(max(2 * n, -(-total // (30 * BUCKET_NODES))))  # about 30 bytes a path
-    dealt = docs.select(*keep).withColumn("__chunk", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(chunks)).cast("int")).repartition(n, "__chunk")
+    # the id travels as a plain long, and whether it is null apart from it
+    id_kind = docs.schema["doc_id"].dataType
+    dealt = docs.select(*keep).withColumn("__unnamed", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
+    dealt = dealt.withColumn("__chunk", F.pmod(F.xxhash64("doc_id", "__unnamed"), F.lit(chunks)).cast("int")).repartition(n, "__chunk")
 
     def paths(docs: pd.DataFrame) -> Paths:
-        return Paths(common.as_bytes(docs["text"]), *_ids(docs["doc_id"]), window, k)
+        return Paths(common.as_bytes(docs["text"]), *_ids(docs), window, k)
 
-    def send(key, docs: pd.DataFrame) -> pd.DataFrame:
+    def send(key: tuple, docs: pd.DataFrame) -> pd.DataFrame:
         own = paths(docs)
         of = bucket_of(own.nodes, buckets)
         order = np.argsort(of, kind="stable")
@@ -157,7 +159,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, k: int = K, keep: tuple[
             rows.append((int(of[part[0]]), key[0], own.nodes[part].tobytes(), own.labels[part].tobytes(), own.least[part].tobytes()))
         return pd.DataFrame(rows, columns=["bucket", "chunk", "node", "label", "least"])
 
-    def expand(key, docs: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+    def expand(key: tuple, docs: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         if not len(docs) or not len(replies):
             return pd.DataFrame({"window": [], "doc": [], "chunk": []}).astype({"window": "int64", "doc": "int64", "chunk": "int32"})
         own = paths(docs)
@@ -167,9 +169,9 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, k: int = K, keep: tuple[
         doc = np.repeat(own.doc[chosen], own.last[chosen] - own.first[chosen] + 1)
         return pd.DataFrame({"window": value.view(np.int64), "doc": doc, "chunk": np.int32(key[0])})
 
-    def finish(key, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    def finish(key: tuple, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         texts = common.as_bytes(docs["text"])
-        own = Paths(texts, *_ids(docs["doc_id"]), window, k)
+        own = Paths(texts, *_ids(docs), window, k)
         cover = np.zeros(len(own.hashes) + 1, np.int64)
         if len(answers):
             is_reply = answers["bucket"] >= 0
@@ -191,7 +193,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, k: int = K, keep: tuple[
         n_words = np.bincount(own.owner, minlength=len(docs))
         n_removed = np.bincount(own.owner[covered], minlength=len(docs))
         first = np.cumsum(n_words) - n_words
-        out = docs[[c for c in keep if c != "text"]].copy()
+        out = docs[[*(c for c in keep if c != "text"), "__unnamed"]].copy()
         out["n_words"], out["n_removed"] = n_words, n_removed
         kept = []
         for i, text in enumerate(texts):
@@ -216,9 +218,10 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, k: int = K, keep: tuple[
     answers = replies.select("chunk", "bucket", "at", "least", "branch", F.lit(0).cast("long").alias("window"), F.lit(0).cast("long").alias("doc")).unionByName(
         repeated.select("chunk", F.lit(-1).alias("bucket"), none.alias("at"), none.alias("least"), none.alias("branch"), "window", "doc")
     )
-    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep if c != "text"]
-    schema = ", ".join([*kinds, "n_words long", "n_removed long", "text string" if text_as == "text" else "kept_sha256 string"])
-    return dealt.groupBy("__chunk").cogroup(answers.groupBy("chunk")).applyInPandas(finish, schema)
+    kinds = [f"`{c}` {dealt.schema[c].dataType.simpleString()}" for c in keep if c != "text"]
+    schema = ", ".join([*kinds, "__unnamed boolean", "n_words long", "n_removed long", "text string" if text_as == "text" else "kept_sha256 string"])
+    out = dealt.groupBy("__chunk").cogroup(answers.groupBy("chunk")).applyInPandas(finish, schema)
+    return out.withColumn("doc_id", F.when(~F.col("__unnamed"), F.col("doc_id")).cast(id_kind)).drop("__unnamed")
 
 
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
