@@ -1,6 +1,10 @@
 """Registered queries and their SQL, by name."""
 
+from sitescope.plans import urls
+
 FLAGSHIP = "a04_site_summary"
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+MODULES = (urls,)
+
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
