@@ -34,7 +34,7 @@ SELECT page_id, url, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS sit
   CAST(CASE WHEN page_id % 10 = 3 THEN 0 WHEN page_id % 12 = 0 THEN 2 ELSE 1 END AS INT) AS h1_count,
   CAST(page_id % 4 AS INT) AS h2_count, CAST(page_id % 3 AS INT) AS h3_count, CAST(page_id % 6 AS INT) AS paragraphs,
   CAST((page_id * 37) % 1100 AS INT) AS word_count, CAST((page_id * 7) % 6 AS INT) AS internal_links,
-  CAST(page_id % 8 AS INT) AS images, CAST((page_id % 8) * (page_id % 3) / 3 AS INT) AS missing_alt,
+  CAST(page_id % 8 AS INT) AS images, CAST(least(page_id % 8, page_id % 3) AS INT) AS missing_alt,
   page_id % 6 = 0 AS has_faq, page_id % 4 <> 0 AS has_cta
 FROM {pages}
 """

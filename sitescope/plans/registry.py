@@ -1,10 +1,10 @@
 """Registered queries and their SQL, by name."""
 
-from sitescope.plans import html, urls
+from sitescope.plans import audit, html, urls
 
 FLAGSHIP = "a04_site_summary"
 
-MODULES = (urls, html)
+MODULES = (urls, html, audit)
 
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
