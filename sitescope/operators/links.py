@@ -7,12 +7,11 @@ before the shuffle, and lists are ranked and cut before they are gathered.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitescope.functions import urls as U
+from sitescope.sources.tables import settled
 
 
 def outgoing(parsed: DataFrame, patterns: DataFrame | None = None, url: str = "url") -> DataFrame:
@@ -58,21 +57,16 @@ def degrees(edge: DataFrame, pages: DataFrame) -> DataFrame:
 
 def depths(edge: DataFrame, pages: DataFrame, homes: DataFrame, most: int = 64) -> DataFrame:
     """(site, key, depth): clicks from the home page, for pages that can be reached. One join a level, all sites at once."""
-    spark = edge.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-"))
-    inner = edge.join(pages.select("site", F.col("key").alias("dst_key")), ["site", "dst_key"], "left_semi").select("site", "src_key", "dst_key").checkpoint()
-    seen = homes.join(pages.select("site", "key"), ["site", "key"], "left_semi").select("site", "key", F.lit(0).alias("depth")).checkpoint()
+    inner = settled(edge.join(pages.select("site", F.col("key").alias("dst_key")), ["site", "dst_key"], "left_semi").select("site", "src_key", "dst_key"))
+    seen = settled(homes.join(pages.select("site", "key"), ["site", "key"], "left_semi").select("site", "key", F.lit(0).alias("depth")))
     frontier = seen
     for level in range(1, most + 1):
         step = frontier.select("site", F.col("key").alias("src_key")).join(inner, ["site", "src_key"]).select("site", F.col("dst_key").alias("key")).distinct()
-        frontier = step.join(seen, ["site", "key"], "left_anti").withColumn("depth", F.lit(level)).checkpoint()
+        frontier = settled(step.join(seen, ["site", "key"], "left_anti").withColumn("depth", F.lit(level)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
-        if level % 8 == 0:
-            seen = seen.checkpoint()
-    return seen.checkpoint()
+    return seen
 
 
 def page_metrics(pages: DataFrame, links: DataFrame, homes: DataFrame) -> DataFrame:
