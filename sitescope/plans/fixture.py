@@ -89,7 +89,7 @@ PROJECTS = "SELECT c_custkey AS project_id, concat('Project ', CAST(c_custkey AS
 
 #: Audits: one row an order.
 AUDITS = """
-SELECT o_orderkey AS id, o_custkey AS project_id, CAST(o_totalprice AS BIGINT) % 101 AS score, o_orderdate AS created_at, o_orderkey % 50 AS pages_total, o_orderkey % 7 AS critical,
+SELECT o_orderkey AS id, o_custkey AS project_id, CAST(floor(o_totalprice) AS BIGINT) % 101 AS score, o_orderdate AS created_at, o_orderkey % 50 AS pages_total, o_orderkey % 7 AS critical,
   o_orderkey % 11 AS warnings FROM {orders}
 """
 

@@ -1,10 +1,10 @@
 """Registered queries and their SQL, by name."""
 
-from sitescope.plans import audit, html, linking, metadesc, urls
+from sitescope.plans import audit, html, indexing, linking, metadesc, urls, workspace
 
 FLAGSHIP = "a04_site_summary"
 
-MODULES = (urls, html, audit, linking, metadesc)
+MODULES = (urls, html, audit, linking, indexing, metadesc, workspace)
 
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
