@@ -129,17 +129,25 @@ def char_counts(docs: DataFrame) -> DataFrame:
 
 
 def text_model(docs: DataFrame) -> np.ndarray:
-    """log10 P(next | character), 128 x 128, smoothed; a table of fixed size."""
+    """Counts of (character, next) over the corpus, 128 x 128; a table of fixed size."""
     counts = np.zeros(128 * 128)
     for code, n in char_counts(docs).collect():  # at most 128 * 128 rows
         counts[code] = n
-    counts = counts.reshape(128, 128) + 0.5
-    return np.log10(counts / counts.sum(axis=1, keepdims=True))
+    return counts.reshape(128, 128)
+
+
+def text_likelihood(word: np.ndarray, counts: np.ndarray, rows: np.ndarray, single: np.ndarray, weight: float = 50.0) -> float:
+    """log10 probability of a word's steps as ordinary text. Each step's own occurrence is left out of the counts, and
+    scarce counts lean on the single characters' shares."""
+    a, b = word[:-1], word[1:]
+    return float(np.log10((np.maximum(counts[a, b] - 1, 0) + weight * single[b]) / (np.maximum(rows[a] - 1, 0) + weight)).sum())
 
 
 def scan(docs: DataFrame, model: np.ndarray) -> DataFrame:
     """One row per document: base spans, words tested by length class, and the words that may be random."""
     model = model.astype(np.float32)
+    rows_of = model.sum(axis=1)
+    single = (model.sum(axis=0) + 0.5) / (model.sum() + 64)
 
     def run(batches):
         for batch in batches:
@@ -158,7 +166,7 @@ def scan(docs: DataFrame, model: np.ndarray) -> DataFrame:
                         if enc is None or len(enc[1]) < 4:
                             continue
                         a = np.frombuffer(word, np.uint8)
-                        gain = -len(enc[1]) * math.log10(enc[2]) - float(model[a[:-1], a[1:]].sum())
+                        gain = -len(enc[1]) * math.log10(enc[2]) - text_likelihood(a, model, rows_of, single)
                         step = int(min(STEPS, 4 * gain))
                         if step < 4 or battery(enc[1], enc[2]) < BATTERY_ALPHA:
                             continue
