@@ -229,4 +229,19 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_substrings": op3_substrings}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op3_substrings": r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d) x
+), firsts AS (
+  SELECT g, min(doc_id) AS first_id FROM win GROUP BY g
+), gone AS (
+  SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(i, i + 13)) AS p FROM win JOIN firsts USING (g) WHERE first_id < doc_id) y GROUP BY doc_id
+), kept AS (
+  SELECT d.doc_id, w, coalesce(gone, []) AS gone, map_from_entries(list_transform(coalesce(gone, []), lambda p: {'k': p, 'v': true})) AS is_gone FROM d LEFT JOIN gone ON gone.doc_id = d.doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed,
+  sha256(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: is_gone[i] IS NULL), lambda i: w[i]), ' ')) AS kept_sha256 FROM kept"""
+}
