@@ -3,8 +3,8 @@
 Shingles are put in one global order, rare ones first (by a fixed-size table of counts over the whole corpus), and a
 set's prefix is so many of its first shingles that two linked sets must share one. Documents with equal sets collapse
 to one set; sets with equal prefixes and sizes to one group. Groups that share a prefix shingle are compared by sizes,
-by the shingles' places, and by how their shingles spread over the hash range, each an exact upper bound on what they
-can share. Only pairs that pass are expanded to the groups' members and verified on whole sets.
+by the shingles' places, and by how their shingles spread over the hash range (the most of any member), each an exact
+upper bound on what any two members can share. Only pairs that pass are expanded to the groups' members and verified on whole sets.
 
 In a place where many groups meet, the first round tries each with one centre only: the group with the fewest rarer
 shingles before this one, such as the text that others were copied from with changes. That connects copies of one text.
@@ -149,9 +149,11 @@ class Join:
         self.rows = common.cut(prefix_sets(docs, shingle_ranks(docs, k), k, num, den))
         full = self.rows.where("n > 0")
         self.sets = common.cut(full.groupBy("set_id").agg(F.first("n").alias("n"), F.first("group_id").alias("group_id"), F.min("doc_id").alias("doc_id")))
-        self.groups = full.groupBy("group_id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("spread").alias("spread"))
-        self.spreads = common.cut(self.groups.select("group_id", "spread"))
-        placed = self.groups.select("group_id", "n", F.posexplode("prefix").alias("pos", "shingle"))
+        groups = full.groupBy("group_id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+        # members share their prefix only: in each range of hashes a group has as many shingles as its fullest member
+        most = full.groupBy("group_id").agg(*(F.max(F.get("spread", F.lit(k))).alias(f"s{k}") for k in range(SPREAD)))
+        self.spreads = common.cut(most.select("group_id", F.array(*(f"s{k}" for k in range(SPREAD))).alias("spread")))
+        placed = groups.select("group_id", "n", F.posexplode("prefix").alias("pos", "shingle"))
         met = placed.groupBy("shingle").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
         self.places = common.cut(placed.join(met, "shingle"))
 

@@ -353,3 +353,17 @@ def test_jaccard_cluster_of_edited_copies(spark):
                 parent[max(find(a), find(b))] = min(find(a), find(b))
     got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(docs).collect()}
     assert got == {x: find(x) for x in range(60)}
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2), (1, 0, 2)])
+def test_jaccard_group_of_unlike_members(spark, order):
+    """Sets of equal prefix and size that share nothing else: each member's links are found, whichever comes first."""
+    one, two = ["rare", *(f"a{k}" for k in range(5))], ["rare", *(f"b{k}" for k in range(5))]
+    often = [*one[1:], *two[1:], "extra"]
+    three = [one, two, [*two, "extra"]]
+    texts = [" ".join(three[k]) for k in order] + [" ".join(often + [f"f{k}x{j}" for j in range(60)]) for k in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    groups = {r["doc_id"]: r["group_id"] for r in jaccard.prefix_sets(docs, jaccard.shingle_ranks(docs, 1), 1, 85, 100).collect()}
+    assert groups[0] == groups[1]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(docs, 1).collect()}
+    assert got == {k: k for k in range(len(texts))} | {2: order.index(1)}
