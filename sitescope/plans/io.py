@@ -37,7 +37,7 @@ def s03_sitemap_index(s, d):
     p = X.table(s, d, "pages").select("page_id")
     name = lambda c: F.concat(F.lit("s"), c.cast("string"))
     files = p.where("page_id > 0").select(name((F.col("page_id") / 8).cast("long")).alias("sitemap_url"), name(F.col("page_id")).alias("child"))
-    return S.expand_index(files, p.where("page_id = 0").select(F.lit("s0").alias("sitemap_url")), 3)
+    return S.expand_index(files, p.where("page_id = 0").select(F.lit("s0").alias("sitemap_url")))
 
 
 def s04_robots_sitemaps(s, d):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,17 +44,20 @@ def sitemap_entries(rows: DataFrame) -> DataFrame:
     return first.select("url", "e.*")
 
 
-def expand_index(files: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:
-    """Leaf sitemaps reachable from the roots through index files, each once. ``files``: sitemap_url, child (null: a leaf)."""
+def expand_index(files: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
+    """Leaf sitemaps reachable from the roots through index files, each once. ``files``: sitemap_url, child (null: a leaf).
+    All levels are read, unless a caller stops at a ``depth``."""
     from sitescope.sources.tables import settled
 
     seen = frontier = settled(roots.select("sitemap_url").distinct())
-    for _ in range(depth):
+    for level in count(1) if depth is None else range(1, depth + 1):
         step = frontier.join(files.where("child is not null"), "sitemap_url").select(F.col("child").alias("sitemap_url")).distinct()
         frontier = settled(step.join(seen, "sitemap_url", "left_anti"))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if level % 16 == 0:
+            seen = settled(seen)
     indexes = files.where("child is not null").select("sitemap_url").distinct()
     return seen.join(indexes, "sitemap_url", "left_anti")
 

@@ -11,6 +11,7 @@ from sitescope.operators import metadesc as M
 from sitescope.operators import siteaudit as A
 from sitescope.operators import texts as T
 from sitescope.operators import workspace as WS
+from sitescope.sources import io as S
 
 
 def one(spark, column, **values):
@@ -105,3 +106,12 @@ def test_routing_is_deterministic(spark):
     role, intent = WS.route("t")
     rows = spark.createDataFrame([("check the sitemap index",), ("hello",), (None,)], "t string").select(role.alias("r"), intent.alias("i")).collect()
     assert [tuple(r) for r in rows] == [("seo", "audit"), ("coordinator", "chat"), ("coordinator", "chat")]
+
+
+def test_sitemap_index_of_many_levels(spark):
+    n = 700
+    files = spark.createDataFrame([(f"s{k // 8}", f"s{k}") for k in range(1, n)] + [("s699", "s0x"), ("s0x", "s0")], "sitemap_url string, child string")
+    roots = spark.createDataFrame([("s0",)], "sitemap_url string")
+    inner = {f"s{k // 8}" for k in range(1, n)} | {"s699", "s0x"}
+    found = [r["sitemap_url"] for r in S.expand_index(files, roots).collect()]
+    assert sorted(found) == sorted({f"s{k}" for k in range(n)} - inner)
