@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -194,13 +195,37 @@ def style_result(docs: DataFrame, findings: DataFrame) -> DataFrame:
     return out.select("doc_id", F.greatest(F.lit(0), 100 - F.col("cost")).cast("long").alias("score"), *COST, first.alias("rewrite_first"))
 
 
+def runs_of(docs: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(doc_id, n): every run of characters of these lengths in the lower-cased texts, so that containment is an equi-join."""
+    sizes = sorted(r["k"] for r in lengths.collect())  # at most as many rows as the longest name has characters
+    doc_id = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            ids, runs = [], []
+            for i, text in zip(batch["doc_id"], batch["low"]):
+                for k in sizes:
+                    for lo in range(0, len(text) - k + 1, 100_000):
+                        own = {text[at : at + k] for at in range(lo, min(lo + 100_000, len(text) - k + 1))}
+                        ids += [i] * len(own)
+                        runs += own
+                        if len(ids) > 100_000:
+                            yield pd.DataFrame({"doc_id": ids, "n": runs}, dtype=object)
+                            ids, runs = [], []
+            if ids:
+                yield pd.DataFrame({"doc_id": ids, "n": runs}, dtype=object)
+
+    return docs.select("doc_id", F.lower("text").alias("low")).where("low is not null and doc_id is not null").mapInPandas(run, f"doc_id {doc_id}, n string")
+
+
 def task_facts(docs: DataFrame, projects: DataFrame) -> DataFrame:
-    """Priority, addresses, deadline and project of a task's text. Project names are a small table, matched by containment."""
+    """Priority, addresses, deadline and project of a task's text: the longest project name that the text contains."""
     t = F.col("text")
     urls = F.array_distinct(F.regexp_extract_all(t, F.lit(r"(?i)(https?://[^\s\])}>;,]+)"), F.lit(1)))
     priority = F.upper(F.regexp_extract(t, r"(?iU)\b(P[0-3])\b", 1))
     due = F.trim(F.regexp_extract(t, r"(?iU)(?:срок(?:и)?\s*[:—-]?\s*|до\s+|until )([0-9]{1,2}[./][0-9]{1,2}(?:[./][0-9]{2,4})?)", 1))
-    names = docs.select("doc_id", F.lower("text").alias("low")).join(F.broadcast(projects.select(F.lower("name").alias("n"), "name")), F.expr("contains(low, n)"))
+    known = projects.select(F.lower("name").alias("n"), "name").where("n <> ''").distinct()
+    names = runs_of(docs, known.select(F.length("n").alias("k")).distinct()).join(known, "n")
     project = names.groupBy("doc_id").agg(F.max_by("name", F.struct(F.length("name"), "name")).alias("project"))
     rows = docs.select("doc_id", F.when(priority != "", priority).alias("priority"), F.when(due != "", due).alias("deadline"), F.array_join(urls, "|").alias("urls"))
     return rows.join(project, "doc_id", "left")

@@ -115,3 +115,11 @@ def test_sitemap_index_of_many_levels(spark):
     inner = {f"s{k // 8}" for k in range(1, n)} | {"s699", "s0x"}
     found = [r["sitemap_url"] for r in S.expand_index(files, roots).collect()]
     assert sorted(found) == sorted({f"s{k}" for k in range(n)} - inner)
+
+
+def test_task_project_is_the_longest_name_contained(spark):
+    docs = spark.createDataFrame([(1, "fix Project 12, now"), (2, "subproject 1"), (3, "none"), (4, None), (5, "ПРОЕКТ и project 1\nproject 123")], "doc_id long, text string")
+    projects = spark.createDataFrame([("Project 1",), ("Project 12",), ("Project 123",), ("Проект",), ("",), (None,)], "name string")
+    facts = T.task_facts(docs, projects)
+    assert {r["doc_id"]: r["project"] for r in facts.collect()} == {1: "Project 12", 2: "Project 1", 3: None, 4: None, 5: "Project 123"}
+    assert "NestedLoop" not in facts._jdf.queryExecution().toString()
