@@ -7,6 +7,8 @@ before the shuffle, and lists are ranked and cut before they are gathered.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,17 +57,20 @@ def degrees(edge: DataFrame, pages: DataFrame) -> DataFrame:
     return known.join(inn, ["site", "key"], "left").join(out, ["site", "key"], "left").na.fill(0, ["incoming", "outgoing"])
 
 
-def depths(edge: DataFrame, pages: DataFrame, homes: DataFrame, most: int = 64) -> DataFrame:
-    """(site, key, depth): clicks from the home page, for pages that can be reached. One join a level, all sites at once."""
+def depths(edge: DataFrame, pages: DataFrame, homes: DataFrame) -> DataFrame:
+    """(site, key, depth): clicks from the home page, for pages that can be reached. One join a level, all sites at once,
+    until a level finds no new page."""
     inner = settled(edge.join(pages.select("site", F.col("key").alias("dst_key")), ["site", "dst_key"], "left_semi").select("site", "src_key", "dst_key"))
     seen = settled(homes.join(pages.select("site", "key"), ["site", "key"], "left_semi").select("site", "key", F.lit(0).alias("depth")))
     frontier = seen
-    for level in range(1, most + 1):
+    for level in count(1):
         step = frontier.select("site", F.col("key").alias("src_key")).join(inner, ["site", "src_key"]).select("site", F.col("dst_key").alias("key")).distinct()
         frontier = settled(step.join(seen, ["site", "key"], "left_anti").withColumn("depth", F.lit(level)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if level % 16 == 0:
+            seen = settled(seen)
     return seen
 
 
@@ -110,6 +115,12 @@ def topic_tokens(*texts: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: ~w.isin(*STOP) & ~w.rlike("^[0-9]+$")))
 
 
+def page_topics(pages: DataFrame) -> DataFrame:
+    """Pages with the tokens of title, h1 and slug, and of the parsed keywords where the table has them; and with the path."""
+    keywords = [F.array_join("keywords", " ")] if "keywords" in pages.columns else []
+    return pages.withColumn("tokens", topic_tokens(F.col("title"), F.col("h1"), U.slug_words("url"), *keywords)).withColumn("path", U.path("url"))
+
+
 def suggest_donors(targets: DataFrame, pages: DataFrame, edge: DataFrame, n: int = 3) -> DataFrame:
     """The best pages to link from, for each target: (site, target, donor, score, overlap, rank).
 

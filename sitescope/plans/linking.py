@@ -69,8 +69,7 @@ def l09_self_links(spark, sf_dir):
 
 
 def _topics(spark, sf_dir):
-    pages = X.derive(spark, sf_dir, X.RANKED, "pages")
-    return pages.withColumn("tokens", F.slice(L.topic_tokens(F.col("title"), F.col("h1"), U.slug_words("url")), 1, 60)).withColumn("path", U.path("url"))
+    return L.page_topics(X.derive(spark, sf_dir, X.RANKED, "pages"))
 
 
 def l10_topic_tokens(spark, sf_dir):

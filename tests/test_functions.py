@@ -108,6 +108,22 @@ def test_routing_is_deterministic(spark):
     assert [tuple(r) for r in rows] == [("seo", "audit"), ("coordinator", "chat"), ("coordinator", "chat")]
 
 
+def test_depth_of_a_long_chain(spark):
+    n = 70
+    pages = spark.createDataFrame([("s", str(k)) for k in range(n)], "site string, key string").coalesce(1)
+    links = spark.createDataFrame([("s", str(k), str(k + 1), "x", "content", 1) for k in range(n - 1)], "site string, src_key string, dst_key string, anchor string, link_type string, pos int").coalesce(1)
+    homes = spark.createDataFrame([("s", "0")], "site string, key string").coalesce(1)
+    found = {r["key"]: r["depth"] for r in L.depths(L.edges(links), pages, homes).collect()}
+    assert found == {str(k): k for k in range(n)}
+
+
+def test_topics_of_long_titles_and_keywords(spark):
+    title = " ".join(f"word{k}x" for k in range(80))
+    pages = spark.createDataFrame([("https://e.com/a/red-shoes", title, "", ["насос", "вода"])], "url string, title string, h1 string, keywords array<string>")
+    assert set(L.page_topics(pages).first()["tokens"]) == {*title.split(), "red", "shoes", "насос", "вода"}
+    assert len(L.page_topics(pages.drop("keywords")).first()["tokens"]) == 82
+
+
 def test_sitemap_index_of_many_levels(spark):
     n = 700
     files = spark.createDataFrame([(f"s{k // 8}", f"s{k}") for k in range(1, n)] + [("s699", "s0x"), ("s0x", "s0")], "sitemap_url string, child string")
