@@ -27,9 +27,11 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "random")
 
-#: Words tested by the battery: runs of these characters, at least MIN_LENGTH long.
+#: Words tested by the battery: runs of these characters, at least MIN_LENGTH long; cut by tries() if no encoding holds one.
 MIN_LENGTH = 16
 WORD = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
+PIECE = re.compile(rb"[^=]+=*")
+ONE_ENCODING = (re.compile(rb"[A-Za-z0-9+/]{16,}=*"), re.compile(rb"[A-Za-z0-9_-]{16,}=*"))
 LENGTH_CLASSES = (16, 20, 24, 32, 48, 64)
 ALPHABETS = (
     ("hex", "0123456789abcdef"),
@@ -76,6 +78,23 @@ def encoding(word: bytes) -> tuple[str, np.ndarray, int] | None:
     return None
 
 
+def tries(word: bytes) -> list[tuple[int, int, tuple[str, np.ndarray, int]]]:
+    """(start, end, encoding) of what is tested: the word, or, if no encoding holds it, its parts between inner "=", and of
+    parts that mix the two base64 alphabets the longest runs of each."""
+    if enc := encoding(word):
+        return [(0, len(word), enc)]
+    out = []
+    for m in PIECE.finditer(word):
+        if m.end() - m.start() < MIN_LENGTH:
+            continue
+        if enc := encoding(m.group()):
+            out.append((m.start(), m.end(), enc))
+            continue
+        runs = sorted({r.span() for one in ONE_ENCODING for r in one.finditer(m.group())})
+        out += [(m.start() + s, m.start() + e, encoding(m.group()[s:e])) for s, e in runs]
+    return out
+
+
 def _upper_chi(x: float, k: int) -> float:
     z = ((x / k) ** (1 / 3) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k))
     return 0.5 * math.erfc(z / math.sqrt(2))
@@ -158,19 +177,17 @@ def scan(docs: DataFrame, model: np.ndarray) -> DataFrame:
                 words = []
                 if b"h" * MIN_LENGTH in text.translate(_LONG_RUN):
                     for m in WORD.finditer(text):
-                        word = m.group()
-                        n = len(word)
-                        kind = length_class(n)
-                        tested[kind] += 1
-                        enc = encoding(word)
-                        if enc is None or len(enc[1]) < 4:
-                            continue
-                        a = np.frombuffer(word, np.uint8)
-                        gain = -len(enc[1]) * math.log10(enc[2]) - text_likelihood(a, model, rows_of, single)
-                        step = int(min(STEPS, 4 * gain))
-                        if step < 4 or battery(enc[1], enc[2]) < BATTERY_ALPHA:
-                            continue
-                        words.append((m.start(), m.end(), kind, step, enc[0]))
+                        for start, end, enc in tries(m.group()):
+                            kind = length_class(end - start)
+                            tested[kind] += 1
+                            if len(enc[1]) < 4:
+                                continue
+                            a = np.frombuffer(m.group()[start:end], np.uint8)
+                            gain = -len(enc[1]) * math.log10(enc[2]) - text_likelihood(a, model, rows_of, single)
+                            step = int(min(STEPS, 4 * gain))
+                            if step < 4 or battery(enc[1], enc[2]) < BATTERY_ALPHA:
+                                continue
+                            words.append((m.start() + start, m.start() + end, kind, step, enc[0]))
                 if base or words:
                     marks = sorted({x for s in base for x in s[:2]} | {x for s in words for x in s[:2]})
                     if not text.isascii():

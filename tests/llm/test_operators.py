@@ -367,3 +367,19 @@ def test_jaccard_group_of_unlike_members(spark, order):
     assert groups[0] == groups[1]
     got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(docs, 1).collect()}
     assert got == {k: k for k in range(len(texts))} | {2: order.index(1)}
+
+
+def test_secrets_glued_to_names_and_paths(spark):
+    rnd = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    token = lambda: "".join(rnd.choice(letters) for _ in range(40))
+    plain = " ".join("".join(rnd.choice(["th", "er", "on", "an", "re"]) for _ in range(rnd.randint(1, 12))) for _ in range(4000))
+    tokens = [token() for _ in range(5)]
+    glued = ["auth={}", "AWS_KEY_ID={}", "see ?sig={}== end", "/v1_x/{}+Qz", "a=/b_c/{}&x=1"]
+    texts = [plain] + [g.format(t) for g, t in zip(glued, tokens)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact(frame).collect()}
+    assert masked[0] == plain
+    assert masked[1] == "auth=<SECRET>" and masked[2] == "AWS_KEY_ID=<SECRET>" and masked[3] == "see ?sig=<SECRET> end"
+    assert all(t not in masked[k] for k, t in enumerate(tokens, 1))
+    assert secrets.tries(b"one=two=three_four-five") == []
