@@ -369,6 +369,15 @@ def test_jaccard_group_of_unlike_members(spark, order):
     assert got == {k: k for k in range(len(texts))} | {2: order.index(1)}
 
 
+def test_suffix_tree_keeps_scarce_pairs(spark):
+    """Two-word contexts seen some tens of times that differ from their parent predict."""
+    texts = ["a b c" if k // 4 % 2 else "x b d" for k in range(80)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = suffix_tree.score_documents(frame, F.col("doc_id") % 4 == 0).where("held_out").collect()
+    first = math.log10(31 / (4 * 60 + 6 + 1))  # the first word has no context
+    assert len(got) == 20 and all(r["score"] - first > -0.2 for r in got)
+
+
 def test_secrets_glued_to_names_and_paths(spark):
     rnd = random.Random(5)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
