@@ -1,11 +1,16 @@
-"""The corpus pipeline: documents pass five stages, each written as Parquet and read again by the next."""
+"""The corpus pipeline: documents pass five stages, each written as Parquet and read again by the next.
+
+Every stage works on whole texts and takes any further columns along, whatever their names. Null and empty texts have no
+words, so the first stage rejects them; rows with null ids are judged like others, but lose no passages and name no
+group. Of rows that repeat, or of one id with several texts, each row has its own fate, and the second stage keeps one of
+each group. Ties follow the operators' order. From an empty table every stage makes an empty one.
+"""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sitescope.llm import common, jaccard, packing, quality, secrets, substrings
 
@@ -22,10 +27,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document holds go; texts that lose none stay as they are."""
-    out = substrings.drop_repeats(docs, keep=tuple(docs.columns), text_as="text")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return substrings.without_repeats(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole documents table."""
+    """All stages over the whole documents table. A stage's files are deleted when the next has read them."""
     folder = f"{common.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = common.read(spark, sf_dir, "documents")
+    docs, before = common.read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            common.remove(spark, f"{folder}/{before}")
+        docs, before = spark.read.parquet(f"{folder}/{name}"), name
     return STAGES[-1][1](spark, docs, sf_dir)

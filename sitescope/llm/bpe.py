@@ -2,14 +2,18 @@
 
 Of all segmentations of a prefix only one is what BPE yields, and it is the one whose neighbouring tokens are all
 compatible: two tokens are compatible if BPE, run on their joined symbols, gives back the two. So for every prefix there
-is one last token, and it is stored: among the vocabulary's tokens that end there (found by a suffix automaton over the
-vocabulary) it is the one that is compatible with the last token of the prefix before it. Back-pointers then give the
-ids. No merge loop runs over texts.
+is one last token, and it is stored: among the vocabulary's tokens that end there (found by an Aho-Corasick automaton of
+the vocabulary, which at each place lists the tokens that are suffixes of what was read) it is the one that is compatible
+with the last token of the prefix before it. Back-pointers then give the ids. No merge loop runs over texts.
 
 Two tokens are incompatible if some symbol on the right edge of the first and some on the left edge of the second, both
 made before either is used up by an inner merge, would have merged with each other.
 
-Null texts count as empty; they have no tokens. Repeated rows get equal results.
+Letters, numbers and white space are told apart by Python's tables; a text with characters that these do not know is
+normalized and split by the vocabulary's own normalizer and splitter, so that newer characters are treated as there.
+
+Null texts count as empty; they have no tokens. Repeated rows get equal results, null ids stay null, an empty table gives
+no rows. Texts are taken in slices of bounded bytes; a word needs about 10 bytes a byte, however long it is.
 """
 
 from __future__ import annotations
@@ -17,10 +21,11 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
@@ -78,6 +83,7 @@ class WordBpe:
             if i < 512 or i in self.made:
                 self.automaton.add_word(plain, (len(plain), i))
         self.automaton.make_automaton()
+        self.path, self._library = path, None
         self._fits: dict[int, bool] = {}
         self._left: dict[int, list] = {}
         self._right: dict[int, list] = {}
@@ -117,28 +123,25 @@ class WordBpe:
     def encode_symbols(self, word: str) -> list[int]:
         """Ids of one pre-token in the byte alphabet (non-empty)."""
         n = len(word)
-        last = [-1] * (n + 2)
-        size = [0] * (n + 2)
+        last = array("i", [-1]) * (n + 2)
+        size = array("H", [0]) * (n + 2)
         last[0] = -2
         known, fits = self._fits, self.fits
-        found: list[list] = [[] for _ in range(n + 2)]
-        for end, hit in self.automaton.iter(word + _LAST):
-            found[end + 1].append(hit)
-        for end in range(1, n + 2):
-            if end == n:
-                continue  # the last symbol bears the end mark: no token ends before the mark
-            for length, token in found[end]:
-                before = last[end - length]
-                if before == -1:
+        for end, (length, token) in self.automaton.iter(word + _LAST):
+            end += 1
+            # the last symbol bears the end mark: no token ends before the mark
+            if end == n or last[end] != -1:
+                continue
+            before = last[end - length]
+            if before == -1:
+                continue
+            if before != -2:
+                ok = known.get(before << 20 | token)
+                if ok is None:
+                    ok = fits(before, token)
+                if not ok:
                     continue
-                if before != -2:
-                    ok = known.get(before << 20 | token)
-                    if ok is None:
-                        ok = fits(before, token)
-                    if not ok:
-                        continue
-                last[end], size[end] = token, length
-                break
+            last[end], size[end] = token, length
         out, at = [], n + 1
         if last[at] == -1:
             raise ValueError(f"no segmentation of {word!r}")
@@ -154,6 +157,14 @@ class WordBpe:
                 text = text.replace("Σ", "σ")
         return text.lower()
 
+    def library_symbols(self, text: str) -> list[str]:
+        """Pre-tokens in the byte alphabet, by the vocabulary's own normalizer and splitter."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        return [symbols for symbols, _ in self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(text))]
+
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         words = self._words
@@ -162,6 +173,10 @@ class WordBpe:
             if piece in self.special:
                 out.append(self.special[piece])
                 continue
+            if not piece.isascii() and any(unicodedata.category(c) == "Cn" for c in set(piece)):
+                for symbols in self.library_symbols(piece):
+                    out += self.encode_symbols(symbols)
+                continue
             for word in self.piece.findall(self.normalize(piece)):
                 ids = words.get(word)
                 if ids is None:
@@ -199,33 +214,31 @@ def vocabulary(name: str) -> str:
 
 def encode_documents(docs: DataFrame, name: str = "word_bpe_49k.json") -> DataFrame:
     """(doc_id, ids, decoded): the ids of each text and the text that they decode to."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         bpe = load(vocabulary(name))
-        for batch in batches:
-            ids = [bpe.encode(t) if isinstance(t, str) else [] for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": ids, "decoded": [bpe.decode(x) for x in ids]})
+        for batch, texts in common.slices(batches):
+            ids = [bpe.encode(t.decode("utf-8", "surrogatepass")) for t in texts]
+            yield common.with_columns(batch, ("doc_id",), ids=pa.array(ids, pa.list_(pa.int32())), decoded=pa.array([bpe.decode(x) for x in ids], pa.string()))
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, ids array<int>, decoded string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, name: str = "word_bpe_49k.json") -> DataFrame:
     """As encode_documents(), with hashes in place of ids and texts: these never leave the worker."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         bpe = load(vocabulary(name))
-        for batch in batches:
-            rows = []
-            for t in batch["text"]:
-                ids = bpe.encode(t) if isinstance(t, str) else []
-                rows.append((len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(bpe.decode(ids).encode("utf-8", "surrogatepass")).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out
-
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        for batch, texts in common.slices(batches):
+            n, of_ids, of_text = [], [], []
+            for t in texts:
+                ids = bpe.encode(t.decode("utf-8", "surrogatepass"))
+                n.append(len(ids))
+                of_ids.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+                of_text.append(hashlib.sha256(bpe.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
+            yield common.with_columns(batch, ("doc_id",), n_tokens=pa.array(n, pa.int64()), ids_sha256=pa.array(of_ids, pa.string()), decoded_sha256=pa.array(of_text, pa.string()))
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that separate words: \x20 and \x09-\x0D. ``bytes.split()`` uses the same set.
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-#: Python batches hold so many rows at most, so that long texts stay within a worker's memory.
+#: Workers take texts in slices of so many rows and bytes at most (one text at least), whatever the size of Arrow's batches.
 BATCH_ROWS = 400
+BATCH_BYTES = 4_000_000
 
 #: Bytes of text that a chunk of documents holds on average.
 CHUNK_BYTES = 4_000_000
@@ -23,19 +27,22 @@ ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _M = np.uint64(0x9E3779B97F4A7C15)
 _M_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SLOTS = 64
-_TABLE = np.random.default_rng(20240229).integers(0, 1 << 64, size=_SLOTS * 256, dtype=np.uint64)
+#: Two independent tables: one gives the words' hashes, the other those that verify them.
+_TABLES = np.random.default_rng(20240229).integers(0, 1 << 64, size=(2, _SLOTS * 256), dtype=np.uint64)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set to a temporary one only where none is configured."""
+    """The folder that driver and executors share. Where none is configured, local sessions get a temporary one and
+    others an error, as executors do not see the driver's own folders."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if not (sc.master or "").startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="spark-shared-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(where)
@@ -48,6 +55,51 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate files."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def field(name: str) -> Column:
+    """A column by its exact name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def wrapped(docs: DataFrame, *more: Column) -> DataFrame:
+    """(row, more...): all columns of ``docs`` in one struct, so that no name of theirs can clash with an operator's own."""
+    return docs.select(F.struct(*(field(c) for c in docs.columns)).alias("row"), *more)
+
+
+def unwrapped(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns of ``row``, in their order, with some of them changed."""
+    return df.select(*(changed.get(c, F.col("row").getField(c)).alias(c) for c in columns))
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Arrow batches with a ``text`` column, cut by rows and bytes, each with its texts in UTF-8 (null: empty)."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at, before = 0, 0
+        while at < batch.num_rows:
+            end = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, side="right"))))
+            part = batch.slice(at, end - at)
+            yield part, utf8(part.column("text"))
+            at, before = end, int(ends[end - 1])
+
+
+def utf8(column: pa.Array) -> list[bytes]:
+    kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
+    return [t or b"" for t in column.cast(kind).to_pylist()]
+
+
+def with_columns(batch: pa.RecordBatch, keep: tuple[str, ...], **more) -> pa.RecordBatch:
+    """The batch's ``keep`` columns, untouched, and new ones. Ids pass as they are: no null turns a long into a float."""
+    new = [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for x in more.values()]
+    return pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + new, [*keep, *more])
+
+
 def parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -61,7 +113,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _hash_words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hash_words(buf: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start, hash) of each word of a buffer of bytes."""
     word = ~_SPACE[buf]
     edge = np.flatnonzero(np.diff(word.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
@@ -73,15 +125,15 @@ def _hash_words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     first = np.concatenate(([0], np.cumsum(length)[:-1]))
     pos = np.arange(len(at)) - np.repeat(first, length)
     slot = pos % _SLOTS
-    value = _TABLE[slot * 256 + buf[at]]
+    value = table[slot * 256 + buf[at]]
     if length.max() > _SLOTS:
         far = pos // _SLOTS
         value *= (np.uint64(2) * far.astype(np.uint64) * np.uint64(0x5851F42D4C957F2D) + np.uint64(1))
     return start, mix(np.add.reduceat(value, first) + length.astype(np.uint64))
 
 
-def word_hashes(texts: list[bytes], slice_bytes: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of every word of every text, and the index of its text.
+def word_hashes(texts: list[bytes], slice_bytes: int = 2_000_000, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of every word of every text, and the index of its text; ``which``: one of two independent hashes.
 
     Works on slices that end at white space, so memory stays bounded for very long texts.
     """
@@ -101,7 +153,7 @@ def word_hashes(texts: list[bytes], slice_bytes: int = 2_000_000) -> tuple[np.nd
             end = end + int(gap[0]) if len(gap) else len(whole)
         else:
             end = len(whole)
-        s, h = _hash_words(np.frombuffer(whole, np.uint8, end - at, at))
+        s, h = _hash_words(np.frombuffer(whole, np.uint8, end - at, at), _TABLES[which])
         starts.append(s + at)
         hashes.append(h)
         at = end
@@ -145,15 +197,21 @@ def as_bytes(texts) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
 
 
-def chunked(docs: DataFrame, target: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
-    """(doc_id, text, chunk) dealt by chunk, and the number of chunks.
+def join_spread(left: DataFrame, right: DataFrame, on: str, share: int = 1000, salts: int = 64) -> DataFrame:
+    """Left join to a table that holds each key once; keys of more than 1/share of the rows are dealt over ``salts`` tasks.
 
-    A chunk holds the documents of one hash value: about ``target`` bytes, whatever the input's size.
+    At most ``share`` keys can be so frequent, so their list is bounded.
     """
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(parts(docs), -(-total // target))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(n)).cast("int").alias("chunk"))
-    return keyed.repartition(parts(docs), "chunk"), n
+    counts = left.where(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("n"))
+    total = left.count()
+    frequent = [r[0] for r in counts.where(F.col("n") * share > total).select(on).collect()] if total > share else []
+    if not frequent:
+        return left.join(right, on, "left")
+    hot = F.coalesce(F.col(on).isin(frequent), F.lit(False))
+    spread = F.when(hot, F.pmod(F.xxhash64(*(field(c) for c in left.columns)), F.lit(salts))).otherwise(F.lit(0)).cast("int")
+    copies = F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    both = left.withColumn("__salt", spread).join(right.withColumn("__salt", F.explode(copies)), [on, "__salt"], "left")
+    return both.drop("__salt")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:

@@ -12,14 +12,18 @@ A second round tries every pair of the place that is still unconnected. So no li
 and the pairs within a component are never all made.
 
 Documents without words (null, empty, white space) have no set and link with nothing. Fewer words than a shingle make
-one shingle. Repeated rows are equal sets. A document with a null id belongs to its component but does not name it;
-alone it has a null component. Set identities and shingles are 64-bit hashes.
+one shingle. Repeated rows are equal sets, and so are rows of one id with other texts each a set of their own. A document
+with a null id belongs to its component but does not name it; alone it has a null component. An empty table gives no rows.
+Texts are taken in slices of bounded bytes; a very long text needs memory for its own set. Set identities and shingles
+are 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,74 +63,82 @@ def distinct_sets(value: np.ndarray, of: np.ndarray, rank: np.ndarray | None = N
     return value[new], of[new]
 
 
-def shingle_ranks(docs: DataFrame, k: int, bits: int = ORDER_BITS) -> np.ndarray:
-    """Rank of each of 2**bits classes of shingles: half the logarithm of how many (document, shingle) pairs it has."""
+def shingle_ranks(docs: DataFrame, k: int, bits: int = ORDER_BITS, fan: int = 256) -> np.ndarray:
+    """Rank of each of 2**bits classes of shingles: half the logarithm of how many (document, shingle) pairs it has.
+
+    Tasks send their counts in blocks; of each block up to ``fan`` groups of tasks are added up first, then the groups, so
+    no group holds the blocks of all tasks.
+    """
     width = 1 << 12
 
     def count(batches):
         total = np.zeros(1 << bits, np.int64)
-        for batch in batches:
-            value, _ = distinct_sets(*shingles(common.as_bytes(batch["text"]), k))
+        for _, texts in common.slices(batches):
+            value, _ = distinct_sets(*shingles(texts, k))
             total += np.bincount((value >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
         blocks = total.reshape(-1, width)
         there = np.flatnonzero(blocks.any(axis=1))
+        group = TaskContext.get().partitionId() % fan
         for lo in range(0, len(there), 64):
-            yield pd.DataFrame({"block": there[lo : lo + 64].astype("int32"), "counts": [blocks[b].astype("<u4").tobytes() for b in there[lo : lo + 64]]})
+            own = there[lo : lo + 64]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own.astype(np.int32)), pa.array(np.full(len(own), group, np.int32)), pa.array([blocks[b].astype("<i8").tobytes() for b in own], pa.binary())],
+                ["block", "part", "counts"],
+            )
 
     def add(block: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(width, np.int64)
         for x in block["counts"]:
-            total += np.frombuffer(x, "<u4")
-        return pd.DataFrame({"block": [block["block"].iloc[0]], "ranks": [np.floor(2 * np.log2(np.maximum(total, 1))).astype(np.uint8).tobytes()]})
+            total += np.frombuffer(x, "<i8")
+        return pd.DataFrame({"block": [block["block"].iloc[0]], "counts": [total.tobytes()]})
 
+    sent = docs.select("text").mapInArrow(count, "block int, part int, counts binary")
+    added = sent.groupBy("block", "part").applyInPandas(add, "block int, counts binary").groupBy("block").applyInPandas(add, "block int, counts binary")
     ranks = np.zeros(1 << bits, np.uint8)
-    for block, found in docs.select("text").mapInPandas(count, "block int, counts binary").groupBy("block").applyInPandas(add, "block int, ranks binary").collect():
-        ranks[block * width : (block + 1) * width] = np.frombuffer(found, np.uint8)  # 2**bits bytes in all
+    for block, found in added.collect():  # 2**bits numbers in all
+        ranks[block * width : (block + 1) * width] = np.floor(2 * np.log2(np.maximum(np.frombuffer(found, "<i8"), 1))).astype(np.uint8)
     return ranks
 
 
-SETS = "doc_id long, n int, set_id long, group_id long, prefix array<long>, spread array<int>"
+def set_ids(value: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Identity of each non-empty set, given its shingles one set after the other."""
+    has = np.flatnonzero(n)
+    first = (np.cumsum(n) - n)[has]
+    scrambled = common.mix(value + np.uint64(0x9E3779B97F4A7C15))
+    return common.mix(np.add.reduceat(scrambled, first) ^ n[has].astype(np.uint64)).view(np.int64) if len(has) else np.zeros(0, np.int64)
 
 
 def prefix_sets(docs: DataFrame, ranks: np.ndarray, k: int, num: int, den: int) -> DataFrame:
-    """One row per document: its set's size, identity, group and prefix, and the shingles' spread over the hash range."""
+    """One row per document: doc_id, a hash of its text, its set's size, identity, group and prefix, and the shingles'
+    spread over the hash range."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # 2**ORDER_BITS bytes
     bits = len(ranks).bit_length() - 1
 
     def run(batches):
-        for batch in batches:
-            m = len(batch)
-            value, of = shingles(common.as_bytes(batch["text"]), k)
+        for batch, texts in common.slices(batches):
+            m = len(texts)
+            value, of = shingles(texts, k)
             value, of = distinct_sets(value, of, shared.value[(value >> np.uint64(64 - bits)).astype(np.int64)])
             n = np.bincount(of, minlength=m)
-            first = np.cumsum(n) - n
-            spread = np.bincount(of * SPREAD + (value >> np.uint64(58)).astype(np.int64), minlength=m * SPREAD).reshape(m, SPREAD).astype(np.int32)
+            first, has = np.cumsum(n) - n, np.flatnonzero(n)
+            spread = np.bincount(of * SPREAD + (value >> np.uint64(58)).astype(np.int64), minlength=m * SPREAD).astype(np.int32)
             scrambled = common.mix(value + np.uint64(0x9E3779B97F4A7C15))
-            has = np.flatnonzero(n)
-            set_id, group_id = np.zeros(m, np.uint64), np.zeros(m, np.uint64)
-            prefixes: list = [np.zeros(0, np.int64)] * m
-            if len(has):
-                set_id[has] = common.mix(np.add.reduceat(scrambled, first[has]) ^ n[has].astype(np.uint64))
-                for i in has:
-                    size = int(n[i])
-                    length = size - -(-num * size // den) + 1
-                    own = slice(first[i], first[i] + length)
-                    prefixes[i] = value[own].view(np.int64)
-                    group_id[i] = common.mix(scrambled[own].sum(keepdims=True) + np.uint64(size))[0]
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"].to_numpy(), "n": n.astype(np.int32), "set_id": set_id.view(np.int64), "group_id": group_id.view(np.int64),
-                "prefix": prefixes, "spread": list(spread),
-            })
-
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), "text", F.col("doc_id").isNull().alias("unnamed"))
-
-    def kept(batches):
-        for batch in batches:
-            for out in run(iter([batch])):
-                yield out.assign(unnamed=batch["unnamed"].to_numpy())
-
-    out = ids.mapInPandas(kept, SETS + ", unnamed boolean")
-    return out.withColumn("doc_id", F.when(~F.col("unnamed"), F.col("doc_id"))).drop("unnamed")
+            set_id, group_id = np.zeros(m, np.int64), np.zeros(m, np.uint64)
+            set_id[has] = set_ids(value, n)
+            length = np.where(n > 0, n - -(-num * n // den) + 1, 0)
+            for i in has:
+                group_id[i] = common.mix(scrambled[first[i] : first[i] + length[i]].sum(keepdims=True) + np.uint64(n[i]))[0]
+            ends = np.cumsum(length)
+            inside = np.arange(ends[-1] if m else 0) - np.repeat(ends - length, length) + np.repeat(first, length)
+            made = {
+                "n": n.astype(np.int32), "set_id": set_id, "group_id": group_id.view(np.int64),
+                "prefix": pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(value[inside].view(np.int64))),
+                "spread": pa.ListArray.from_arrays(pa.array(np.arange(0, (m + 1) * SPREAD, SPREAD, dtype=np.int32)), pa.array(spread)),
+            }
+            yield common.with_columns(batch, ("doc_id", "key"), **made)
+
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
+    return ids.mapInArrow(run, "doc_id long, key long, n int, set_id long, group_id long, prefix array<long>, spread array<int>")
 
 
 def _may_link(na: Column, nb: Column, pa: Column, pb: Column, num: int, den: int) -> Column:
@@ -182,18 +194,14 @@ class Join:
         k = self.k
 
         def full(batches):
-            for batch in batches:
-                m = len(batch)
-                value, of = distinct_sets(*shingles(common.as_bytes(batch["text"]), k))
-                n = np.bincount(of, minlength=m)
-                first, has = np.cumsum(n) - n, np.flatnonzero(n)
-                if not len(has):
-                    continue
-                scrambled = common.mix(value + np.uint64(0x9E3779B97F4A7C15))
-                ids = common.mix(np.add.reduceat(scrambled, first[has]) ^ n[has].astype(np.uint64)).view(np.int64)
-                yield pd.DataFrame({"set_id": ids, "items": [value[first[i] : first[i] + n[i]].view(np.int64) for i in has]})
-
-        items = texts.select("text").mapInPandas(full, "set_id long, items array<long>").join(wanted, "set_id", "left_semi")
+            for _, texts in common.slices(batches):
+                value, of = distinct_sets(*shingles(texts, k))
+                n = np.bincount(of, minlength=len(texts))
+                n = n[n > 0]
+                items = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(value.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(set_ids(value, n)), items], ["set_id", "items"])
+
+        items = texts.select("text").mapInArrow(full, "set_id long, items array<long>").join(wanted, "set_id", "left_semi")
         items = common.cut(items.dropDuplicates(["set_id"]))
         side = lambda c: items.select(F.col("set_id").alias(c), F.col("items").alias(f"i{c}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -239,23 +247,43 @@ class Join:
         return common.cut(outer.union(inner).join(of("a"), "a").join(of("b"), "b").where("la <> lb").select("a", "b"))
 
 
-def similar_documents(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row per document."""
+def classified(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(doc_id, key, n, label, component_id), one row per document; ``label`` tells components apart, also unnamed ones."""
     join = Join(docs, k, num, den)
     label = common.components(join.links())
     named = join.sets.join(label, F.col("set_id") == F.col("node"), "left").select("set_id", "doc_id", F.coalesce("component", "set_id").alias("label"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of = named.select("set_id", "label").join(least, "label").select("set_id", "component_id")
-    out = join.rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "set_id").join(of, "set_id", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    of = named.select("set_id", "label").join(least, "label").select("set_id", "label", "component_id")
+    rows = join.rows.select("doc_id", "key", "n", F.when(F.col("n") > 0, F.col("set_id")).alias("set_id"))
+    return common.join_spread(rows, of, "set_id").select("doc_id", "key", "n", "label", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def similar_documents(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row per document."""
+    return classified(docs, k, num, den).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The documents that name their component, with all their columns; unnamed ones and those without words stay."""
-    found = similar_documents(docs, k, num, den)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
-    return kept.select(*docs.columns)
+    """One row of each component, with all its columns: the least by doc_id (null last), then by a hash of the text.
+
+    Rows are told apart by id and text, so of rows with one id each text has its own fate; of rows that repeat both, one
+    stays. Rows without words all stay.
+    """
+    rows = common.cut(classified(docs, k, num, den).where("n > 0").select("doc_id", "key", "label"))
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")
+    first = rows.groupBy("label").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1").select("label", "first")
+    judged = common.join_spread(rows, first, "label").where("first is not null")
+    own = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.key") == F.col("key"))
+    gone = judged.where(~own).select("doc_id", "key").distinct()
+    kept = common.wrapped(docs, common.field("doc_id").cast("long").alias("id"), F.xxhash64(common.field("text")).alias("key"))
+    kept = kept.join(gone.select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")), F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_key")), "left_anti")
+    # rows that repeat the first one's id and text: seldom any, so only these are looked at again
+    repeated = common.cut(judged.where(own).groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select(F.col("doc_id").alias("again_id"), F.col("key").alias("again_key")))
+    if repeated.isEmpty():
+        return common.unwrapped(kept, docs.columns)
+    same = F.col("id").eqNullSafe(F.col("again_id")) & (F.col("key") == F.col("again_key"))
+    alone, several = kept.join(repeated, same, "left_anti"), kept.join(repeated, same, "left_semi")
+    return common.unwrapped(alone.unionByName(several.dropDuplicates(["id", "key"])), docs.columns)
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,15 @@
 """Operator 2: packing documents into sequences by shortest-pack-first over the length histogram.
 
 Each document's ids, with an end id, are cut into full sequences and one rest. The rests' lengths form a histogram of at
-most SEQUENCE entries. Lengths are placed longest first: the open pattern with the least room that fits takes the length,
-as many times as both counts allow, and the pattern's count is split or moved accordingly; so whole groups of equal
-patterns move at once and the work depends on the number of lengths, not of documents. Patterns are joined back to
-documents by rank: the documents of one length, in a fixed order, fill that length's slots one after the other.
-
-Null and empty texts hold the end id alone. Repeated rows are packed like any other. Ids need not be unique: a rank
-belongs to a row.
+most SEQUENCE entries. Lengths are placed longest first, each into the shortest open pack, which is the one with the most
+room left; only if not even that one has room does a new pack open. Equal packs are one pattern with a count, and a
+pattern's count is split or moved as lengths are placed; so whole groups of equal packs move at once and the work depends
+on the number of lengths, not of documents. Patterns are joined back to documents by rank: the documents of one length,
+in the order of their partition and place in it, fill that length's slots one after the other.
+
+Null and empty texts hold the end id alone. Repeated rows are packed like any other, and so are rows with null ids. Ids
+need not be unique: a rank belongs to a row. Long texts are cut into as many pieces as they need. An empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +47,7 @@ def _encoders(name: str):
     return _LOADED[name]
 
 
-def encode(text: str | None, name: str = "byte_bpe_50k") -> list[int]:
+def encode(text: str, name: str = "byte_bpe_50k") -> list[int]:
     fast, full = _encoders(name)
     if not text:
         return [END_ID]
@@ -52,30 +56,39 @@ def encode(text: str | None, name: str = "byte_bpe_50k") -> list[int]:
     return fast.encode_ordinary(text) + [END_ID]
 
 
-PIECE = "start long, length long, ids_crc32 long, doc_tokens long"
+PIECE = {"start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64()}
 
 
-def cut_pieces(docs: DataFrame, size: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens): each document cut at multiples of ``size``; ids if asked for."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def cut_pieces(docs: DataFrame, size: int = SEQUENCE) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens, block, place): each document cut at multiples of ``size``.
+
+    ``place`` numbers the pieces of one length within a block, which is a task's partition.
+    """
 
     def run(batches):
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = np.array(encode(text if isinstance(text, str) else None), "<u4")
+        block, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
+        for batch, texts in common.slices(batches):
+            owner, rows = [], []
+            for k, text in enumerate(texts):
+                ids = np.array(encode(text.decode("utf-8", "surrogatepass")), "<u4")
                 for at in range(0, len(ids), size):
                     own = ids[at : at + size]
-                    rows.append((doc_id, at, len(own), zlib.crc32(own.tobytes()), len(ids)) + ((own.astype(np.int32),) if with_ids else ()))
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids)
+                    owner.append(k)
+                    rows.append((at, len(own), zlib.crc32(own.tobytes()), len(ids), block, seen[len(own)]))
+                    seen[len(own)] += 1
+            names = {**PIECE, "block": pa.int32(), "place": pa.int64()}
+            columns = [pa.array(x, kind) for x, kind in zip(zip(*rows), names.values())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner, pa.int32())), *columns], ["doc_id", *names])
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, {PIECE}" + ", ids array<int>" * with_ids)
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {', '.join(c + ' long' for c in PIECE)}, block int, place long")
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int = SEQUENCE) -> list[tuple[tuple[int, ...], int]]:
     """[(lengths of the pattern, count)] that hold every length as often as the histogram says.
 
-    Open patterns are kept by their room; a length goes to the pattern with the least room that still fits it.
+    Open patterns are kept by their room; a length goes to a pattern with the most room, one copy to each of its packs
+    (the packs of that pattern are then no longer the shortest). New packs open where no pack has room; each takes copies
+    of the length while it has the most room itself.
     """
     by_room: dict[int, dict[tuple[int, ...], int]] = {}
     rooms: list[int] = []  # sorted
@@ -93,8 +106,7 @@ def shortest_pack_first(histogram: dict[int, int], size: int = SEQUENCE) -> list
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
         while left:
-            at = bisect.bisect_left(rooms, length)
-            if at == len(rooms):
+            if not rooms or rooms[-1] < length:
                 each = max(1, size // length)
                 whole, rest = divmod(left, each)
                 if whole:
@@ -102,17 +114,16 @@ def shortest_pack_first(histogram: dict[int, int], size: int = SEQUENCE) -> list
                 if rest:
                     add((length,) * rest, size - rest * length, 1)
                 break
-            room = rooms[at]
+            room = rooms[-1]
             pattern, count = by_room[room].popitem()
             if not by_room[room]:
                 del by_room[room]
-                rooms.pop(at)
-            each = min(room // length, left)
-            used = min(count, left // each)
+                rooms.pop()
+            used = min(count, left)
             if count > used:
                 add(pattern, room, count - used)
-            add(pattern + (length,) * each, room - each * length, used)
-            left -= used * each
+            add((*pattern, length), room - length, used)
+            left -= used
     return list(full.items()) + [x for group in by_room.values() for x in group.items()]
 
 
@@ -138,35 +149,32 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "first_rank", "each", "first_sequence", "offset"]).sort_values(["length", "first_rank"])
 
 
-def ranked(pieces: DataFrame, by: str, name: str) -> DataFrame:
-    """A 0-based rank of each row among those of equal ``by``, with no window over a whole group.
+def ranked(pieces: DataFrame) -> DataFrame:
+    """The pieces with ``rank``, 0-based among those of one length.
 
-    Rows are numbered within blocks of one partition each; a block's first rank is the sum of the blocks before it,
-    computed on counts (values of ``by`` x partitions rows).
+    A block's first rank is the sum of the blocks before it, computed on counts (lengths x blocks rows), so no window runs
+    over the pieces of one length.
     """
-    n = common.parts(pieces)
-    blocked = pieces.withColumn("__block", F.pmod(F.xxhash64(*(c for c in pieces.columns)), F.lit(n)).cast("int"))
-    blocked = common.cut(blocked)
-    counts = blocked.groupBy(by, "__block").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select(by, "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
-    own = Window.partitionBy("__block", by).orderBy(*(F.col(c) for c in pieces.columns if c != by))
-    return blocked.withColumn("__row", F.row_number().over(own) - 1).join(first, [by, "__block"]).withColumn(name, F.col("__first") + F.col("__row")).drop("__first", "__row", "__block")
+    counts = pieces.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("length", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    return pieces.join(first, ["length", "block"]).withColumn("rank", F.col("first") + F.col("place")).drop("first", "place", "block")
 
 
 def pack(docs: DataFrame, size: int = SEQUENCE) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset)."""
-    pieces = ranked(cut_pieces(docs, size), "length", "rank")
+    # written once, so that blocks and places are fixed whatever is computed again later
+    pieces = common.cut(cut_pieces(docs, size))
     histogram = {int(r[0]): int(r[1]) for r in pieces.groupBy("length").count().collect()}  # at most ``size`` rows
     table = slots(shortest_pack_first(histogram, size))
     runs = {int(k): tuple(x[c].to_numpy() for c in ("first_rank", "each", "first_sequence", "offset")) for k, x in table.groupby("length")}
     shared = docs.sparkSession.sparkContext.broadcast(runs)  # grows with the lengths' number, not with the documents'
-    names = [c for c in pieces.columns if c != "rank"]
+    names = ("doc_id", *PIECE)
 
     def place(batches):
         for batch in batches:
-            length, rank = batch["length"].to_numpy(), batch["rank"].to_numpy()
-            sequence, offset = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+            length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
+            sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
             for one in np.unique(length):
                 first, each, first_sequence, at = shared.value[int(one)]
                 rows = np.flatnonzero(length == one)
@@ -174,10 +182,11 @@ def pack(docs: DataFrame, size: int = SEQUENCE) -> DataFrame:
                 copy, slot = np.divmod(rank[rows] - first[k], each[k])
                 sequence[rows] = first_sequence[k] + copy
                 offset[rows] = at[k] + slot * one
-            yield batch[names].assign(sequence_id=sequence, offset=offset)
+            yield common.with_columns(batch, names, sequence_id=sequence, offset=offset)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return pieces.mapInPandas(place, f"doc_id {kind}, {PIECE}, sequence_id long, offset long")
+    placed = ranked(pieces).select(*names, "rank")
+    return placed.mapInArrow(place, f"doc_id {kind}, {', '.join(c + ' long' for c in PIECE)}, sequence_id long, offset long")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

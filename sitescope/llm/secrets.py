@@ -1,12 +1,15 @@
 """Operator 1: secrets in texts, by fixed patterns and a battery of randomness tests.
 
-Long words are tried against two hypotheses. The battery (chi-squared uniformity over the inferred encoding's
-alphabet, runs about its middle, lag-one serial correlation) must not reject randomness; and ordinary text, a character
-chain learned from the whole corpus, must be rejected. The likelihood ratio bounds the latter's p-value
-(P(ratio >= t) <= 1/t under text), so that length counts by itself; a false-discovery threshold is then set for each
-class of lengths over all words tested in the corpus.
-
-Null or empty texts give no spans. Rows are judged one by one, so repeated rows give repeated results.
+Long words are tried against two hypotheses, each with its own false-discovery control over all words of a length class.
+The first is that the word's letters are random: the battery (chi-squared uniformity over the inferred encoding's
+alphabet, runs about its middle, lag-one serial correlation) gives a p-value, and a step-up rule over the corpus'
+p-values says which words are not random (RANDOM_LOST bounds the share of random ones among these). The second is that
+the word is ordinary text: a character chain learned from the whole corpus gives a likelihood ratio, which bounds that
+p-value (P(ratio >= t) <= 1/t under text), so length counts by itself; again a step-up rule sets the threshold
+(FALSE_DISCOVERY). Words that the first rule leaves and the second rejects are reported.
+
+Null or empty texts give no spans, an empty table no rows. Rows are judged one by one, so repeated rows give repeated
+results and null ids are like any other. Texts are taken in slices of bounded bytes; memory follows the longest text.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,9 +45,11 @@ ALPHABETS = (
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
-#: The battery rejects randomness below this p-value (after correction for its three tests).
-BATTERY_ALPHA = 0.002
+#: Step-up rates: random words among those that the battery rejects, and ordinary ones among those reported.
+RANDOM_LOST = 0.002
 FALSE_DISCOVERY = 1e-4
+#: The battery's p-values are kept in quarter decades up to this many.
+BATTERY_STEPS = 64
 #: Evidence is kept in steps of 1/4 decade up to this many steps.
 STEPS = 400
 _INDEX = {}
@@ -135,16 +141,15 @@ def char_counts(docs: DataFrame) -> DataFrame:
 
     def count(batches):
         total = np.zeros(128 * 128, np.int64)
-        for batch in batches:
-            for texts in np.array_split(np.array(common.as_bytes(batch["text"]), dtype=object), max(1, len(batch) // 64)):
-                buf = np.frombuffer(b"\n".join(texts), np.uint8)
-                a, b = buf[:-1], buf[1:]
-                ok = (a > 32) & (a < 127) & (b > 32) & (b < 127)
-                total += np.bincount(a[ok].astype(np.int32) * 128 + b[ok], minlength=128 * 128)
+        for _, texts in common.slices(batches):
+            buf = np.frombuffer(b"\n".join(texts), np.uint8)
+            a, b = buf[:-1], buf[1:]
+            ok = (a > 32) & (a < 127) & (b > 32) & (b < 127)
+            total += np.bincount(a[ok].astype(np.int32) * 128 + b[ok], minlength=128 * 128)
         at = np.flatnonzero(total)
-        yield pd.DataFrame({"code": at.astype("int32"), "n": total[at]})
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["code", "n"])
 
-    return docs.select("text").mapInPandas(count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def text_model(docs: DataFrame) -> np.ndarray:
@@ -162,81 +167,106 @@ def text_likelihood(word: np.ndarray, counts: np.ndarray, rows: np.ndarray, sing
     return float(np.log10((np.maximum(counts[a, b] - 1, 0) + weight * single[b]) / (np.maximum(rows[a] - 1, 0) + weight)).sum())
 
 
+class Examiner:
+    """What a worker needs to examine one text: the text model as probabilities' parts."""
+
+    def __init__(self, model: np.ndarray):
+        self.model = model.astype(np.float32)
+        self.rows = self.model.sum(axis=1)
+        self.single = (self.model.sum(axis=0) + 0.5) / (self.model.sum() + 64)
+
+    def examine(self, text: bytes) -> tuple[list, list, list]:
+        """(base spans, words that may be random, tested): spans are (start, end, ...) in bytes.
+
+        ``words`` hold (start, end, length class, evidence against text, evidence against randomness) in steps; ``tested``
+        has length class * BATTERY_STEPS + evidence against randomness for every word.
+        """
+        base, words, tested = base_spans(text), [], []
+        if b"h" * MIN_LENGTH in text.translate(_LONG_RUN):
+            for m in WORD.finditer(text):
+                for start, end, enc in tries(m.group()):
+                    kind, n = length_class(end - start), len(enc[1])
+                    p = battery(enc[1], enc[2]) if n >= 4 else 0.0
+                    unlike = BATTERY_STEPS - 1 if p <= 0 else min(BATTERY_STEPS - 1, int(-4 * math.log10(p)))
+                    tested.append(kind * BATTERY_STEPS + unlike)
+                    if n < 4:
+                        continue
+                    a = np.frombuffer(m.group()[start:end], np.uint8)
+                    gain = -n * math.log10(enc[2]) - text_likelihood(a, self.model, self.rows, self.single)
+                    step = int(min(STEPS, 4 * gain))
+                    if step >= 4:
+                        words.append((m.start() + start, m.start() + end, kind, step, unlike))
+        if base:
+            words = [w for w in words if not any(s < w[1] and w[0] < e for s, e, _ in base)]
+        return base, words, tested
+
+
+def code_points(text: bytes, marks: list[int]) -> dict[int, int]:
+    """Byte offsets (sorted) to code points."""
+    if text.isascii():
+        return {x: x for x in marks}
+    points, last, count = {}, 0, 0
+    for x in marks:
+        count += len(text[last:x].decode("utf-8", "surrogatepass"))
+        points[x], last = count, x
+    return points
+
+
 def scan(docs: DataFrame, model: np.ndarray) -> DataFrame:
-    """One row per document: base spans, words tested by length class, and the words that may be random."""
-    model = model.astype(np.float32)
-    rows_of = model.sum(axis=1)
-    single = (model.sum(axis=0) + 0.5) / (model.sum() + 64)
+    """One row per document: base spans, words that may be random (code points), and the battery's step of each word."""
+    spans = pa.list_(pa.list_(pa.int32()))
 
     def run(batches):
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], common.as_bytes(batch["text"])):
-                base = base_spans(text)
-                tested = [0] * len(LENGTH_CLASSES)
-                words = []
-                if b"h" * MIN_LENGTH in text.translate(_LONG_RUN):
-                    for m in WORD.finditer(text):
-                        for start, end, enc in tries(m.group()):
-                            kind = length_class(end - start)
-                            tested[kind] += 1
-                            if len(enc[1]) < 4:
-                                continue
-                            a = np.frombuffer(m.group()[start:end], np.uint8)
-                            gain = -len(enc[1]) * math.log10(enc[2]) - text_likelihood(a, model, rows_of, single)
-                            step = int(min(STEPS, 4 * gain))
-                            if step < 4 or battery(enc[1], enc[2]) < BATTERY_ALPHA:
-                                continue
-                            words.append((m.start() + start, m.start() + end, kind, step, enc[0]))
-                if base or words:
-                    marks = sorted({x for s in base for x in s[:2]} | {x for s in words for x in s[:2]})
-                    if not text.isascii():
-                        points, last, count = {}, 0, 0
-                        for x in marks:
-                            count += len(text[last:x].decode("utf-8", "surrogatepass"))
-                            points[x], last = count, x
-                    else:
-                        points = {x: x for x in marks}
-                    base_out = [[points[s], points[e], k] for s, e, k in base]
-                    covered = [(s, e) for s, e, _ in base]
-                    words_out = [[points[s], points[e], k, step] for s, e, k, step, _ in words if not overlaps(covered, s, e)]
-                else:
-                    base_out, words_out = [], []
-                rows.append((doc_id, base_out, tested, words_out))
-            yield pd.DataFrame(rows, columns=["doc_id", "base", "tested", "words"])
+        examiner = Examiner(model)
+        for batch, texts in common.slices(batches):
+            base_out, words_out, tested_out = [], [], []
+            for text in texts:
+                base, words, tested = examiner.examine(text)
+                points = code_points(text, sorted({x for s in base + words for x in s[:2]})) if base or words else {}
+                base_out.append([[points[s], points[e], k] for s, e, k in base])
+                words_out.append([[points[s], points[e], *more] for s, e, *more in words])
+                tested_out.append(tested)
+            yield common.with_columns(batch, ("doc_id",), base=pa.array(base_out, spans), tested=pa.array(tested_out, pa.list_(pa.int32())), words=pa.array(words_out, spans))
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, base array<array<int>>, tested array<int>, words array<array<int>>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, base array<array<int>>, tested array<int>, words array<array<int>>")
 
 
-def overlaps(spans: list[tuple[int, int]], start: int, end: int) -> bool:
-    return any(s < end and start < e for s, e in spans)
+def _step_up(above: np.ndarray, tested: float, rate: float) -> int:
+    """The least step (a quarter decade of p-value each) whose discoveries keep to the rate; one past the end if none."""
+    p = 10.0 ** (-np.arange(len(above)) / 4)
+    ok = np.flatnonzero((above > 0) & (p * tested <= rate * above))
+    return int(ok[0]) if len(ok) else len(above)
 
 
-def thresholds(scanned: DataFrame, rate: float = FALSE_DISCOVERY) -> list[int]:
-    """Least evidence (in quarter decades) for each class of lengths, by the step-up rule over the corpus."""
-    tested = scanned.agg(*(F.sum(F.get("tested", F.lit(k))).alias(f"t{k}") for k in range(len(LENGTH_CLASSES)))).first()
-    seen = scanned.select(F.explode("words").alias("w")).groupBy(F.col("w")[2].alias("kind"), F.col("w")[3].alias("step")).count().collect()
+def thresholds(scanned: DataFrame, rate: float = FALSE_DISCOVERY, lost: float = RANDOM_LOST) -> list[tuple[int, int]]:
+    """For each class of lengths (least evidence against text, least evidence against randomness that rejects it)."""
+    tested = np.zeros((len(LENGTH_CLASSES), BATTERY_STEPS))
+    for code, n in scanned.select(F.explode("tested").alias("code")).groupBy("code").count().collect():  # classes x steps rows at most
+        tested[divmod(code, BATTERY_STEPS)] = n
+    words = scanned.select(F.explode("words").alias("w")).groupBy(*(F.col("w")[k].alias(c) for k, c in ((2, "kind"), (3, "step"), (4, "unlike")))).count()
+    seen = words.collect()  # at most length classes x steps x steps rows
     out = []
     for kind in range(len(LENGTH_CLASSES)):
+        m = tested[kind].sum()
+        reject = _step_up(np.cumsum(tested[kind][::-1])[::-1], m, lost)
         steps = np.zeros(STEPS + 1)
-        for k, step, n in seen:  # at most length classes x steps rows
-            if k == kind:
+        for k, step, unlike, n in seen:
+            if k == kind and unlike < reject:
                 steps[step] += n
-        above = np.cumsum(steps[::-1])[::-1]
-        p = 10.0 ** (-np.arange(STEPS + 1) / 4)
-        ok = np.flatnonzero((above > 0) & (p * (tested[kind] or 0) <= rate * above))
-        out.append(int(ok[0]) if len(ok) else STEPS + 1)
+        out.append((_step_up(np.cumsum(steps[::-1])[::-1], m, rate), reject))
     return out
 
 
 def find_secrets(docs: DataFrame, rate: float = FALSE_DISCOVERY) -> DataFrame:
     """(doc_id, spans): spans are structs kind, start, end in code points, ordered by start, then kind."""
     scanned = common.cut(scan(docs, text_model(docs)))
-    least = F.array(*(F.lit(x) for x in thresholds(scanned, rate)))
+    cuts = thresholds(scanned, rate)
+    least, reject = (F.array(*(F.lit(c[k]) for c in cuts)) for k in (0, 1))
     kinds = F.array(*(F.lit(x) for x in KINDS))
     base = F.transform("base", lambda s: F.struct(s[0].alias("start"), s[2].alias("k"), s[1].alias("end")))
-    more = F.transform(F.filter("words", lambda w: w[3] >= F.get(least, w[2])), lambda w: F.struct(w[0].alias("start"), F.lit(3).alias("k"), w[1].alias("end")))
+    random = F.filter("words", lambda w: (w[3] >= F.get(least, w[2])) & (w[4] < F.get(reject, w[2])))
+    more = F.transform(random, lambda w: F.struct(w[0].alias("start"), F.lit(3).alias("k"), w[1].alias("end")))
     spans = F.transform(F.array_sort(F.concat(base, more)), lambda s: F.struct(F.get(kinds, s["k"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     return scanned.select("doc_id", spans.alias("spans"))
 
@@ -255,36 +285,45 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, mark: str = "<SECRET>") -> DataFrame:
+def redact(docs: DataFrame, mark: str = "<SECRET>", rate: float = FALSE_DISCOVERY) -> DataFrame:
     """The documents with every span that find_secrets() reports replaced by ``mark``; n_chars follows where it exists.
 
-    Spans are found and cut in one join on doc_id and a hash of the text, so repeated ids keep their own text.
+    Texts are examined twice, first for the thresholds, then to mask them where they stand: no text is shuffled or joined,
+    so repeated and null ids and columns of any name keep their rows.
     """
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    spans = find_secrets(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"))
-    spans = spans.where(F.size("spans") > 0).select(F.col("doc_id").alias("__key"), "spans").dropDuplicates(["__key"])
+    model = text_model(docs)
+    cuts = thresholds(common.cut(scan(docs.select("doc_id", "text"), model)), rate)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 128 x 128 counts
+    fill = mark.encode()
 
     @F.pandas_udf("string")
-    def masked(text: pd.Series, spans: pd.Series) -> pd.Series:
-        def one(t, found):
-            if found is None or t is None:
-                return t
+    def masked(text: pd.Series) -> pd.Series:
+        examiner = Examiner(shared.value)
+
+        def one(t):
+            if t is None:
+                return None
+            raw = t.encode("utf-8", "surrogatepass")
+            base, words, _ = examiner.examine(raw)
+            found = [(s, e) for s, e, _ in base] + [(s, e) for s, e, kind, step, unlike in words if step >= cuts[kind][0] and unlike < cuts[kind][1]]
+            if not found:
+                return None
             out, at = [], 0
-            for s in sorted(found, key=lambda s: (s["start"], -s["end"])):
-                if s["end"] <= at:
+            for s, e in sorted(found, key=lambda x: (x[0], -x[1])):
+                if e <= at:
                     continue
-                if s["start"] >= at:
-                    out += [t[at : s["start"]], mark]
-                at = max(at, s["end"])
-            return "".join(out) + t[at:]
+                if s >= at:
+                    out += [raw[at:s], fill]
+                at = max(at, e)
+            return (b"".join(out) + raw[at:]).decode("utf-8", "surrogatepass")
 
-        return pd.Series([one(t, f) for t, f in zip(text, spans)], dtype=object)
+        return pd.Series([one(t) for t in text], dtype=object)
 
-    packed = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    joined = keyed.join(spans, "__key", "left").withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(masked("text", packed)))
+    found = common.wrapped(docs, masked(common.field("text")).alias("masked"))
+    changed = {"text": F.coalesce("masked", F.col("row")["text"])}
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return joined.select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("masked").isNull(), F.col("row")["n_chars"]).otherwise(F.length("masked").cast(docs.schema["n_chars"].dataType))
+    return common.unwrapped(found, docs.columns, **changed)
 
 
 QUERIES = {"op1_secrets": op1_secrets}

@@ -9,14 +9,19 @@ are what travels, about one for five windows:
 2. A bucket of nodes tells the chunks, for labels seen elsewhere, the least document of all that holds the label, and
    whether the node branches (several labels, several documents). Where it does not branch, the path is settled whole:
    all its windows start in a smaller document exactly if its label does.
-3. Only the first holders of labels at branching nodes expand their paths into windows, which are grouped by hash:
+3. Only the first holders of labels at branching nodes expand their paths into windows, which are joined by hash:
    whoever also holds such a window has either a settled path or expands it, too.
 4. The chunks put the answers to their source coordinates, mark the words covered and drop them.
 
-The chunks' texts are shuffled once; the steps reuse that exchange. Hashes have 64 bits.
+Labels and windows are verified by a second digest, computed at the source coordinates from the words' bytes by another,
+independent hash: only spans that agree in both (128 bits) count as equal.
+
+The chunks' texts are shuffled once; the steps reuse that exchange. Documents are dealt to chunks by id and text, so many
+rows of one id (or none) spread.
 
 Null and empty texts have no words; texts shorter than a window lose none. Documents with a null id neither lose words
-nor count as earlier ones. Rows with equal ids are separate texts of which none is earlier.
+nor count as earlier ones. Rows with equal ids are separate texts of which none is earlier; repeated rows lose the same
+words. An empty table gives no rows. Very long texts are whole within one chunk, at about 100 bytes a word.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,10 +49,11 @@ class Paths:
         self.window = window
         self.hashes, self.owner = common.word_hashes(texts)
         self.sums = common.Spans(self.hashes)
+        self.digests = common.Spans(common.word_hashes(texts, which=1)[0])
         n = len(self.hashes) - window + 1
         empty = np.zeros(0, np.int64)
         self.first = self.last = self.doc = empty
-        self.node = self.label = np.zeros(0, np.uint64)
+        self.node = self.label = self.check = np.zeros(0, np.uint64)
         if n > 0:
             start = np.arange(len(self.hashes) - k + 1)
             runs = self.sums.of(start, start + k)
@@ -63,12 +70,13 @@ class Paths:
                 self.first, self.last = whole[begin], whole[np.r_[begin[1:] - 1, len(whole) - 1]]
                 self.node = best[self.first]
                 self.label = self.sums.of(self.first, self.last + window)
+                self.check = self.digests.of(self.first, self.last + window)
                 self.doc = ids[self.owner[self.first]]
-        order = np.lexsort((self.doc, self.label, self.node))
-        node, label = self.node[order], self.label[order]
-        head = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (label[1:] != label[:-1])]) if len(order) else empty
-        #: Distinct (node, label) with the least document; ``entry`` leads from paths to them.
-        self.nodes, self.labels, self.least = node[head], label[head], self.doc[order][head]
+        order = np.lexsort((self.doc, self.check, self.label, self.node))
+        node, label, check = self.node[order], self.label[order], self.check[order]
+        head = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (label[1:] != label[:-1]) | (check[1:] != check[:-1])]) if len(order) else empty
+        #: Distinct (node, label, digest) with the least document; ``entry`` leads from paths to them.
+        self.nodes, self.labels, self.checks, self.least = node[head], label[head], check[head], self.doc[order][head]
         self.entry = np.zeros(len(order), np.int64)
         self.entry[order] = np.cumsum(np.r_[0, np.diff(np.searchsorted(head, np.arange(len(order)), side="right"))]) if len(order) else empty
 
@@ -85,37 +93,33 @@ class Paths:
         gone = self.doc > least[self.entry]
         return gone, ~gone & branch[self.entry]
 
-    def windows(self, paths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, hash) of every window of the paths."""
+    def windows(self, paths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first word, hash, digest, document) of every window of the paths."""
         first, last = self.first[paths], self.last[paths]
         n = last - first + 1
         start = np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
-        return start, self.sums.of(start, start + self.window)
+        return start, self.sums.of(start, start + self.window), self.digests.of(start, start + self.window), np.repeat(self.doc[paths], n)
 
 
 def bucket_of(nodes: np.ndarray, buckets: int) -> np.ndarray:
     return (common.mix(nodes) % np.uint64(buckets)).astype(np.int64)
 
 
-def _ids(docs: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    return docs["doc_id"].to_numpy(np.int64), ~docs["__unnamed"].to_numpy(bool)
-
-
-NODES = "bucket int, chunk int, node binary, label binary, least binary"
+NODES = "bucket int, chunk int, node binary, label binary, check binary, least binary"
 REPLIES = "chunk int, bucket int, at binary, least binary, branch binary"
 
 
 def settle_nodes(bucket: pd.DataFrame) -> pd.DataFrame:
     """A bucket's answers to its chunks, for the entries whose fate is not that of a label seen once."""
     sizes = np.array([len(x) // 8 for x in bucket["node"]])
-    node, label = (np.frombuffer(b"".join(bucket[c]), np.uint64) for c in ("node", "label"))
+    node, label, check = (np.frombuffer(b"".join(bucket[c]), np.uint64) for c in ("node", "label", "check"))
     doc = np.frombuffer(b"".join(bucket["least"]), np.int64)
     row = np.repeat(np.arange(len(bucket)), sizes)
     at = np.arange(len(node)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    order = np.lexsort((doc, label, node))
-    node, label, doc, row, at = node[order], label[order], doc[order], row[order], at[order]
+    order = np.lexsort((doc, check, label, node))
+    node, label, check, doc, row, at = node[order], label[order], check[order], doc[order], row[order], at[order]
     new_node = np.r_[True, node[1:] != node[:-1]]
-    new_label = new_node | np.r_[True, label[1:] != label[:-1]]
+    new_label = new_node | np.r_[True, (label[1:] != label[:-1]) | (check[1:] != check[:-1])]
     head, group = np.flatnonzero(new_label), np.cumsum(new_label) - 1
     least = doc[head][group]
     start, which = np.flatnonzero(new_node), np.cumsum(new_node) - 1
@@ -130,102 +134,113 @@ def settle_nodes(bucket: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["chunk", "bucket", "at", "least", "branch"])
 
 
-def drop_repeats(docs: DataFrame, window: int = WINDOW, k: int = K, keep: tuple[str, ...] = ("doc_id", "text"), text_as: str = "digest") -> DataFrame:
-    """``keep`` columns (less the text), n_words, n_removed, and the kept words.
-
-    ``text_as``: "digest" gives kept_sha256; "text" gives the text column, words joined by one space where any was
-    removed and unchanged elsewhere.
-    """
-    if "doc_id" not in keep or "text" not in keep:
-        raise ValueError("keep must name doc_id and text")
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def drop_repeats(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
+    """(row, doc_id, n_words, n_removed, kept, kept_sha256): ``row`` is the document as it came, ``kept`` the words left,
+    joined by one space, where any was removed (else null), and the digest that of the kept words in either case."""
+    total = docs.agg(F.sum(F.octet_length(common.field("text")))).first()[0] or 0
     n = common.parts(docs)
     chunks = max(n, -(-total // common.CHUNK_BYTES))
     buckets = int(max(2 * n, -(-total // (30 * BUCKET_NODES))))  # about 30 bytes a path
-    # the id travels as a plain long, and whether it is null apart from it
-    id_kind = docs.schema["doc_id"].dataType
-    dealt = docs.select(*keep).withColumn("__unnamed", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
-    dealt = dealt.withColumn("__chunk", F.pmod(F.xxhash64("doc_id", "__unnamed"), F.lit(chunks)).cast("int")).repartition(n, "__chunk")
-
-    def paths(docs: pd.DataFrame) -> Paths:
-        return Paths(common.as_bytes(docs["text"]), *_ids(docs), window, k)
-
-    def send(key: tuple, docs: pd.DataFrame) -> pd.DataFrame:
+    # the id travels as a plain long, and whether it is null apart from it; the other columns travel as they are
+    ident, text = common.field("doc_id").cast("long"), common.field("text")
+    rest = [common.field(c).alias(c) for c in docs.columns if c != "text"]
+    dealt = docs.select(F.struct(*rest).alias("row"), F.coalesce(ident, F.lit(0)).alias("id"), ident.isNull().alias("unnamed"), text.alias("text"))
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("id", "unnamed", "text"), F.lit(chunks)).cast("int")).repartition(n, "chunk")
+
+    def paths(docs: pa.Table) -> Paths:
+        ids, unnamed = (docs.column(c).to_numpy() for c in ("id", "unnamed"))
+        return Paths(common.utf8(docs.column("text")), ids, ~unnamed.astype(bool), window, k)
+
+    def table(schema: str, columns: list) -> pa.Table:
+        kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+        named = [c.split() for c in schema.split(", ")]
+        return pa.table([pa.array(x, kinds[kind]) for x, (_, kind) in zip(columns, named)], [c for c, _ in named])
+
+    def send(key: tuple, docs: pa.Table) -> pa.Table:
         own = paths(docs)
         of = bucket_of(own.nodes, buckets)
         order = np.argsort(of, kind="stable")
         rows = []
         for part in np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(order) else []:
-            rows.append((int(of[part[0]]), key[0], own.nodes[part].tobytes(), own.labels[part].tobytes(), own.least[part].tobytes()))
-        return pd.DataFrame(rows, columns=["bucket", "chunk", "node", "label", "least"])
+            rows.append((int(of[part[0]]), key[0].as_py(), *(x[part].tobytes() for x in (own.nodes, own.labels, own.checks, own.least))))
+        return table(NODES, list(zip(*rows)) or [[]] * 6)
 
-    def expand(key: tuple, docs: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        if not len(docs) or not len(replies):
-            return pd.DataFrame({"window": [], "doc": [], "chunk": []}).astype({"window": "int64", "doc": "int64", "chunk": "int32"})
+    WINDOWS = "window long, digest long, doc long, chunk int"
+
+    def expand(key: tuple, docs: pa.Table, replies: pa.Table) -> pa.Table:
+        if not docs.num_rows or not replies.num_rows:
+            return table(WINDOWS, [[]] * 4)
+        own = paths(docs)
+        _, look = own.answered(replies.to_pandas(), buckets)
+        _, value, digest, doc = own.windows(np.flatnonzero(look))
+        return table(WINDOWS, [value.view(np.int64), digest.view(np.int64), doc, np.full(len(doc), key[0].as_py(), np.int32)])
+
+    def finish(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
+        texts = common.utf8(docs.column("text"))
         own = paths(docs)
-        _, look = own.answered(replies, buckets)
-        chosen = np.flatnonzero(look)
-        _, value = own.windows(chosen)
-        doc = np.repeat(own.doc[chosen], own.last[chosen] - own.first[chosen] + 1)
-        return pd.DataFrame({"window": value.view(np.int64), "doc": doc, "chunk": np.int32(key[0])})
-
-    def finish(key: tuple, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        texts = common.as_bytes(docs["text"])
-        own = Paths(texts, *_ids(docs), window, k)
         cover = np.zeros(len(own.hashes) + 1, np.int64)
-        if len(answers):
+        if answers.num_rows:
+            answers = answers.to_pandas()
             is_reply = answers["bucket"] >= 0
-            replies = answers[is_reply]
-            gone, look = own.answered(replies, buckets)
+            gone, look = own.answered(answers[is_reply], buckets)
             np.add.at(cover, own.first[gone], 1)
             np.add.at(cover, own.last[gone] + window, -1)
             repeated = answers[~is_reply]
             chosen = np.flatnonzero(look)
             if len(repeated) and len(chosen):
-                start, value = own.windows(chosen)
-                doc = np.repeat(own.doc[chosen], own.last[chosen] - own.first[chosen] + 1)
-                pair = common.mix(value ^ common.mix(doc.view(np.uint64)))
-                there = common.mix(repeated["window"].to_numpy().view(np.uint64) ^ common.mix(repeated["doc"].to_numpy().view(np.uint64)))
-                hit = start[np.isin(pair, there)]
+                start, value, digest, doc = own.windows(chosen)
+                pair = lambda v, g, d: common.mix(v ^ common.mix(d.view(np.uint64))) + g
+                there = pair(*(repeated[c].to_numpy().view(np.uint64) for c in ("window", "digest", "doc")))
+                hit = start[np.isin(pair(value, digest, doc), there)]
                 np.add.at(cover, hit, 1)
                 np.add.at(cover, hit + window, -1)
         covered = np.cumsum(cover[:-1]) > 0
-        n_words = np.bincount(own.owner, minlength=len(docs))
-        n_removed = np.bincount(own.owner[covered], minlength=len(docs))
+        n_words = np.bincount(own.owner, minlength=len(texts))
+        n_removed = np.bincount(own.owner[covered], minlength=len(texts))
         first = np.cumsum(n_words) - n_words
-        out = docs[[*(c for c in keep if c != "text"), "__unnamed"]].copy()
-        out["n_words"], out["n_removed"] = n_words, n_removed
-        kept = []
+        kept, digests = [], []
         for i, text in enumerate(texts):
-            if text_as == "text" and not n_removed[i]:
-                kept.append(docs["text"].iloc[i])
-                continue
             words = text.split()
             if n_removed[i]:
                 words = [w for w, c in zip(words, covered[first[i] : first[i] + n_words[i]].tolist()) if not c]
             joined = b" ".join(words)
-            kept.append(joined.decode("utf-8", "surrogatepass") if text_as == "text" else hashlib.sha256(joined).hexdigest())
-        out["text" if text_as == "text" else "kept_sha256"] = pd.Series(kept, index=out.index, dtype=object)
+            kept.append(joined.decode("utf-8", "surrogatepass") if n_removed[i] else None)
+            digests.append(hashlib.sha256(joined).hexdigest())
+        out = docs.select(["row", "unnamed", "text"])
+        for name, x in (("n_words", pa.array(n_words)), ("n_removed", pa.array(n_removed)), ("kept", pa.array(kept, pa.string())), ("kept_sha256", pa.array(digests, pa.string()))):
+            out = out.append_column(name, x)
         return out
 
-    nodes = dealt.groupBy("__chunk").applyInPandas(send, NODES)
+    nodes = dealt.groupBy("chunk").applyInArrow(send, NODES)
     replies = nodes.groupBy("bucket").applyInPandas(settle_nodes, REPLIES)
-    expanded = dealt.groupBy("__chunk").cogroup(replies.groupBy("chunk")).applyInPandas(expand, "window long, doc long, chunk int")
-    firsts = expanded.groupBy("window").agg(F.min("doc").alias("first"), F.max("doc").alias("other")).where("first < other").select("window", "first")
-    repeated = expanded.join(firsts, "window").where("doc > first").select("chunk", "window", "doc").distinct()
+    expanded = dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(expand, WINDOWS)
+    same = ["window", "digest"]
+    firsts = expanded.groupBy(*same).agg(F.min("doc").alias("first"), F.max("doc").alias("other")).where("first < other").select(*same, "first")
+    repeated = expanded.join(firsts, same).where("doc > first").select("chunk", *same, "doc").distinct()
     # no nulls among the longs: pandas would turn them into floats
-    none = F.lit(b"")
-    answers = replies.select("chunk", "bucket", "at", "least", "branch", F.lit(0).cast("long").alias("window"), F.lit(0).cast("long").alias("doc")).unionByName(
-        repeated.select("chunk", F.lit(-1).alias("bucket"), none.alias("at"), none.alias("least"), none.alias("branch"), "window", "doc")
+    none, zero = F.lit(b""), F.lit(0).cast("long")
+    answers = replies.select("chunk", "bucket", "at", "least", "branch", zero.alias("window"), zero.alias("digest"), zero.alias("doc")).unionByName(
+        repeated.select("chunk", F.lit(-1).alias("bucket"), none.alias("at"), none.alias("least"), none.alias("branch"), *same, "doc")
     )
-    kinds = [f"`{c}` {dealt.schema[c].dataType.simpleString()}" for c in keep if c != "text"]
-    schema = ", ".join([*kinds, "__unnamed boolean", "n_words long", "n_removed long", "text string" if text_as == "text" else "kept_sha256 string"])
-    out = dealt.groupBy("__chunk").cogroup(answers.groupBy("chunk")).applyInPandas(finish, schema)
-    return out.withColumn("doc_id", F.when(~F.col("__unnamed"), F.col("doc_id")).cast(id_kind)).drop("__unnamed")
+    schema = f"row {dealt.schema['row'].dataType.simpleString()}, unnamed boolean, text string, n_words long, n_removed long, kept string, kept_sha256 string"
+    out = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema)
+    whole = [(F.col("text") if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns]
+    return out.select(F.struct(*whole).alias("row"), F.col("row").getField("doc_id").alias("doc_id"), "n_words", "n_removed", "kept", "kept_sha256")
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
+    """The documents with their repeated passages dropped; texts that lose none stay as they are. n_chars follows where it
+    exists."""
+    out = drop_repeats(docs, window, k)
+    changed = {"text": F.coalesce("kept", F.col("row")["text"])}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("kept").isNull(), F.col("row")["n_chars"]).otherwise(F.length("kept").cast(docs.schema["n_chars"].dataType))
+    return common.unwrapped(out, docs.columns, **changed)
 
 
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_repeats(common.read(spark, sf_dir, "documents"))
+    docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
+    return drop_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 QUERIES = {"op3_substrings": op3_substrings}

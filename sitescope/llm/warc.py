@@ -8,7 +8,8 @@ a record's start only if the member there decodes to a WARC header, and reads ea
 to its end, even beyond the range. So each record belongs to one range, wherever the cuts fall.
 
 A null html is an empty payload. Pages with a null id are written and read as such; among equal payloads they never
-serve as the response unless all ids are null. Repeated ids and payloads give a response and revisits.
+serve as the response unless all ids are null. Rows that repeat the response's id and payload are responses, too. An empty
+table gives no archives and no rows. Very long payloads are compressed and read as streams of one record at a time.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import hashlib
 import uuid
 import zlib
 
-import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ MIN_REVISIT = 100
 SPLIT_BYTES = 4_000_000
 READ_BYTES = 1 << 16
 MAGIC = b"\x1f\x8b\x08"
+MARKED = ("page_id", "url", "payload", "payload_bytes", "payload_digest", "refers_to")
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -37,13 +39,14 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
 def mark_revisits(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """(page_id, url, payload, payload_bytes, payload_digest, refers_to): refers_to is null for responses.
 
-    Only digests and ids are grouped, with partial aggregation; the join back splits skewed digests.
+    Only digests and ids are grouped, with partial aggregation. Of the payloads only those of responses are written, and
+    the join back deals a frequent digest over several tasks.
     """
     base = pages.select(F.col(key).cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     base = base.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
     large = base.where(F.col("payload_bytes") >= MIN_REVISIT)
     firsts = large.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("payload_digest", "first_id")
-    joined = base.join(firsts, "payload_digest", "left")
+    joined = common.join_spread(base, firsts, "payload_digest")
     return joined.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(F.col("page_id") != F.col("first_id"), F.col("first_id")).alias("refers_to"))
 
 
@@ -74,27 +77,23 @@ def write_archives(marked: DataFrame, folder: str, level: int = 6) -> DataFrame:
     def write(batches):
         path, sink, at, records = None, None, 0, 0
         for batch in batches:
-            for row in batch.itertuples(index=False):
+            for page_id, url, payload, size, digest, refers_to in zip(*(batch.column(c).to_pylist() for c in MARKED)):
                 if sink is None:
                     fs, root = open_fs(folder)
                     path = f"{root}/{uuid.uuid4().hex}.warc.gz"
                     sink = fs.open_output_stream(path, compression=None)
-                page_id = None if pd.isna(row.page_id) else int(row.page_id)
-                refers_to = None if pd.isna(row.refers_to) else int(row.refers_to)
                 packer = zlib.compressobj(level, zlib.DEFLATED, 31)
-                member = packer.compress(record(page_id, row.url, bytes(row.payload), int(row.payload_bytes), row.payload_digest, refers_to)) + packer.flush()
+                member = packer.compress(record(page_id, url, payload, size, digest, refers_to)) + packer.flush()
                 sink.write(member)
                 at += len(member)
                 records += 1
         if sink is not None:
             sink.close()
-            yield pd.DataFrame({"path": [path], "records": [records], "bytes": [at]})
+            yield pa.RecordBatch.from_pydict({"path": [path], "records": [records], "bytes": [at]})
 
-    spark = marked.sparkSession
     fs, root = open_fs(folder)
     fs.create_dir(root, recursive=True)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(common.BATCH_ROWS))
-    return marked.mapInPandas(write, "path string, records long, bytes long")
+    return marked.select(*MARKED).mapInArrow(write, "path string, records long, bytes long")
 
 
 def _member(fs_file, size: int, at: int, probe: bytes = b"") -> tuple[bytes, int] | None:
@@ -173,7 +172,13 @@ def parse(raw: bytes) -> dict:
     }
 
 
-RECORD = "path string, offset long, page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
+RECORD = {
+    "path": pa.string(), "offset": pa.int64(), "page_id": pa.int64(), "url": pa.string(), "payload": pa.binary(), "payload_bytes": pa.int64(),
+    "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(),
+}
+_SQL = {pa.string(): "string", pa.int64(): "long", pa.binary(): "binary"}
+#: Records are handed on when so many, or payloads of so many bytes, are read.
+HELD, HELD_BYTES = 500, 8_000_000
 
 
 def read_archives(files: DataFrame, scheme: str, split_bytes: int = SPLIT_BYTES, columns: tuple[str, ...] = ()) -> DataFrame:
@@ -181,27 +186,25 @@ def read_archives(files: DataFrame, scheme: str, split_bytes: int = SPLIT_BYTES,
     splits = files.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.col("bytes") - 1), F.lit(split_bytes).cast("long"))).alias("start"))
     splits = splits.select("path", "start", (F.col("start") + split_bytes).alias("end"))
     splits = splits.repartition(common.parts(files), "path", "start")
-    names = list(columns) or [c.strip().split()[0] for c in RECORD.split(",")]
+    kinds = {c: RECORD[c] for c in columns or RECORD}
+
+    def batch_of(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in kinds.items()], list(kinds))
 
     def read(batches):
         for batch in batches:
-            for split in batch.itertuples(index=False):
-                rows = []
-                for offset, raw in read_range(f"{scheme}{split.path}", int(split.start), int(split.end)):
-                    row = {"path": split.path, "offset": offset} | parse(raw)
-                    rows.append(tuple(row[c] for c in names))
-                    if len(rows) >= 500:
-                        yield frame(rows)
-                        rows = []
+            for split in batch.to_pylist():
+                rows, held = [], 0
+                for offset, raw in read_range(f"{scheme}{split['path']}", split["start"], split["end"]):
+                    rows.append({c: x for c, x in ({"path": split["path"], "offset": offset} | parse(raw)).items() if c in kinds})
+                    held += len(raw)
+                    if len(rows) >= HELD or held >= HELD_BYTES:
+                        yield batch_of(rows)
+                        rows, held = [], 0
                 if rows:
-                    yield frame(rows)
-
-    def frame(rows):
-        out = pd.DataFrame(rows, columns=names)
-        return out.astype({c: "Int64" for c in ("offset", "page_id", "payload_bytes", "refers_to") if c in names})
+                    yield batch_of(rows)
 
-    kinds = dict(c.strip().split() for c in RECORD.split(","))
-    return splits.mapInPandas(read, ", ".join(f"{c} {kinds[c]}" for c in names))
+    return splits.mapInArrow(read, ", ".join(f"{c} {_SQL[k]}" for c, k in kinds.items()))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

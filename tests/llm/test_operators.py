@@ -145,8 +145,8 @@ def test_substrings(docs, nothing):
         assert (r["n_words"], r["n_removed"]) == (len(w), len(gone))
     assert removed_any > 500
     assert substrings.drop_repeats(nothing).count() == 0
-    full = substrings.drop_repeats(docs, keep=tuple(docs.columns), text_as="text")
-    assert full.count() == len(source) and set(docs.columns) <= set(full.columns)
+    full = substrings.without_repeats(docs)
+    assert full.count() == len(source) and docs.columns == full.columns
 
 
 def test_quality(spark, docs, nothing, rows):
