@@ -214,30 +214,82 @@ def test_simhash(spark, docs, nothing):
     assert simhash.compare_edited(nothing).count() == 0
 
 
-@pytest.mark.parametrize("crowded", [2000, 3])
-def test_close_heads(spark, crowded):
+@pytest.mark.parametrize("crowded", [1000, 3])
+def test_close_prints(spark, crowded, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
     rnd = random.Random(4)
-    heads = [rnd.getrandbits(64) for _ in range(60)]
-    for _ in range(120):
-        x = rnd.choice(heads)
-        for _ in range(rnd.randint(1, 5)):
-            x ^= 1 << rnd.randrange(64)
-        heads.append(x)
-    signed = sorted({h - (1 << 64) if h >= 1 << 63 else h for h in heads})
-    frame = spark.createDataFrame([(h,) for h in signed], "head long")
-    label = dict(map(tuple, common.components(simhash.close_heads(frame, few=4, crowded=crowded)).collect()))
-    parent = {h: h for h in signed}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a in signed:
-        for b in signed:
-            if a < b and bin((a ^ b) & (1 << 64) - 1).count("1") <= simhash.RADIUS:
-                parent[max(find(a), find(b))] = min(find(a), find(b))
-    assert {h: label.get(h, h) for h in signed} == {h: find(h) for h in signed}
+    prints = [[rnd.getrandbits(64) for _ in range(3)] for _ in range(40)]
+    for _ in range(200):
+        x = list(rnd.choice(prints))
+        for _ in range(rnd.randint(1, 9)):
+            x[0] ^= 1 << rnd.randrange(64)
+        for _ in range(rnd.choice([0, 10, 32, 36])):
+            x[rnd.randint(1, 2)] ^= 1 << rnd.randrange(64)
+        prints.append(x)
+    own = np.unique(np.array(prints, np.uint64), axis=0)
+    frame = spark.createDataFrame([tuple(map(int, x)) for x in own.view(np.int64)], "head long, tail1 long, tail2 long")
+    node = {tuple(r[:3]): r[3] for r in frame.select("*", F.xxhash64("head", "tail1", "tail2")).collect()}
+    label = dict(map(tuple, common.components(simhash.close_prints(frame)).collect()))
+    want = list(range(len(own)))
+    for a in range(len(own)):
+        for b in np.flatnonzero(simhash.near(own[:a], own[a])):
+            old, new = want[a], want[b]
+            want = [new if x == old else x for x in want]
+    names = [node[tuple(map(int, x))] for x in own.view(np.int64)]
+    same = collections.defaultdict(set)
+    for k, n in enumerate(names):
+        same[label.get(n, n)].add(want[k])
+    assert all(len(x) == 1 for x in same.values()) and len(same) == len(set(want)) < len(own) - 50
+
+
+def slow_fingerprint(text):
+    """By whole numbers, term by term."""
+    words = text.split()
+    hashes = {w: int(h) for w, h in zip(words, common.word_hashes([text])[0])}
+    bits = []
+    for term, n in simhash.PARTS:
+        runs = [tuple(words[k : k + term]) for k in range(len(words) - term + 1)] or ([tuple(words)] if words else [])
+        m = 0x9E3779B97F4A7C15
+        votes = np.zeros(n, int)
+        for run, c in collections.Counter(runs).items():
+            value = 0
+            for w in run:
+                value = value * m + hashes[w] & (1 << 64) - 1
+            if len(run) < term:
+                start = words.index(run[0])
+                value = int(common.Spans(common.word_hashes([text])[0]).of(np.array([start]), np.array([start + len(run)]))[0])
+            else:
+                value = int(common.mix(np.array([value], np.uint64))[0])
+            value >>= 16
+            salted = [value + (k + 1) * 0xA24BAED4963EE407 & (1 << 64) - 1 for k in range(n // 64)]
+            own = np.unpackbits(common.mix(np.array(salted, np.uint64)).view(np.uint8))
+            votes += round(1 + math.log(c)) * (2 * own.astype(int) - 1)
+        bits += (votes > 0).astype(int).tolist()
+    return np.packbits(bits).tobytes().hex()
+
+
+def test_fingerprints(rows):
+    texts = [(t or "").encode() for _, t in rows[:40]] + [b"w " * 700 + b"v"]
+    together = simhash.fingerprints(texts)
+    for raw, own in zip(texts, together):
+        assert own.tobytes().hex() == simhash.fingerprints([raw])[0].tobytes().hex() == slow_fingerprint(raw)
+
+
+def test_simhash_recall(spark):
+    """Of pairs with a five-word similarity of 0.8 or more nine in ten at least are near."""
+    rnd = random.Random(9)
+    found = total = 0
+    for _ in range(300):
+        w = [f"w{int(rnd.paretovariate(0.4)) % 50_000}" for _ in range(rnd.randint(60, 400))]
+        x = list(w)
+        for _ in range(rnd.randint(1, max(1, len(w) // 45))):
+            x[rnd.randrange(len(x))] = f"e{rnd.randrange(10**6)}"
+        sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in (w, x)]
+        if len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1]):
+            a, b = simhash.fingerprints([" ".join(t).encode() for t in (w, x)]).view(">u8").astype(np.uint64)
+            total += 1
+            found += bool(simhash.near(a, b))
+    assert total > 100 and found >= 0.9 * total
 
 
 def test_url_filters(spark):
