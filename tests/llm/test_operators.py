@@ -338,6 +338,50 @@ def test_suffix_tree(docs, nothing):
     assert suffix_tree.score_documents(nothing, held).count() == 0
 
 
+@pytest.mark.parametrize("hot", [None, 60])
+def test_suffix_tree_scores(docs, hot):
+    """Scores of every document against a model that is gathered in one place."""
+    held = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 7 == 2
+    source = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    out = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in source]
+    texts = [tuple((t or "").encode().translate(LOW).split()) + (None,) for _, t in source]
+    count = collections.Counter(w[a:b] for w, h in zip(texts, out) if not h for a in range(len(w)) for b in range(a + 1, min(len(w), a + 4) + 1))
+    n, v = (sum(c for g, c in count.items() if len(g) == 1), sum(len(g) == 1 for g in count))
+    followers = collections.defaultdict(dict)
+    for g, c in count.items():
+        if len(g) > 1 and c > 1:
+            followers[g[:-1]][g[-1]] = c
+
+    def predict(context, word):
+        while context and context not in kept:
+            context = context[1:]
+        if not context:
+            return (count[word,] + 1) / (n + v + 1)
+        total, stored, parent = count[context], sum(followers[context].values()), predict(context[1:], word)
+        c = followers[context].get(word, 0)
+        if hot and total >= hot:
+            return (c + total / 32 * parent) / (total + total / 32)
+        return (c + (total - stored + 2) * parent) / (total + 2)
+
+    kept = set()
+    for length in (1, 2, 3):
+        fresh = set()
+        for context in [g for g, c in count.items() if len(g) == length and c > 1 and None not in g]:
+            total, own = count[context], followers[context]
+            ones = total - sum(own.values())
+            gain = ones * math.log((ones + 2) / (total + 2))
+            for word, c in own.items():
+                parent = math.exp(round(-4 * math.log(predict(context[1:], word))) / -4)
+                gain += c * math.log((c + (ones + 2) * parent) / (total + 2) / parent)
+            if (hot and total >= hot) or (own and gain > 3 * len(own)):
+                fresh.add(context)
+        kept |= fresh
+    assert {len(c) for c in kept} == {1, 2, 3}
+    want = collections.Counter((i, round(sum(math.log10(predict(w[max(0, k - 3) : k], w[k])) for k in range(len(w))), 5)) for (i, _), w in zip(source, texts))
+    got = collections.Counter((r["doc_id"], round(r["score"], 5)) for r in suffix_tree.score_documents(docs, held, hot=hot or suffix_tree.HOT).collect())
+    assert got == want
+
+
 def test_suffix_tree_learns_an_order(spark):
     rnd = random.Random(6)
     texts = [" ".join(f"a{k % 5}" for k in range(rnd.randrange(5), 60)) for _ in range(60)]
