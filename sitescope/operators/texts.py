@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitescope.functions.words import WORD, normal
+from sitescope.functions.words import WORD, normal, normal_word
 
 # The editorial rules' default word lists.
 CONNECTORS = ("также", "при этом", "кроме того", "поэтому", "таким образом")
@@ -23,6 +26,34 @@ EMOJI = "[\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}]"
 PARTICIPLE = r"(?iU)\b[А-Яа-яЁё-]{4,}(?:(?:ющ|ащ|ящ|вш)(?:ий|ая|ее|ие|его|ему|им|ими|их)|(?:ем|им)(?:ый|ая|ое|ые|ого|ому|ым|ыми|ых))\b"
 GERUND = r"(?iU)\b[А-Яа-яЁё-]{4,}(?:вши|вшись|ившись|ывшись|учи|ючи)\b"
 COST = {"high": 11, "medium": 7, "low": 3}
+#: Task texts: roles, categories (the first that fits), and checks, by the words that stand for them.
+ROLES = (
+    ("Разработчик", ("разработчик", "front-end", "back-end", "frontend", "backend")),
+    ("Контент-менеджер", ("контент-менеджер", "контент менеджер")),
+    ("SEO-специалист", ("seo-специалист", "seo специалист", "сео-специалист")),
+    ("Дизайнер", ("дизайнер",)),
+)
+CATEGORIES = (
+    ("Перелинковка", ("перелинков", "внутренн", "ссыл", "анкор", "донор")),
+    ("Техническое SEO", ("robots", "x-robots", "sitemap", "canonical", "breadcrumb", "хлебн", "schema.org", "индексац", "gsc", "краулинг")),
+    ("Контент", ("текст", "тизер", "анонс", "контент", "стать", "описан", "главн", "хаб")),
+    ("Изображения", ("изображ", "фото", "картин", "alt", "webp", "avif", "баннер")),
+    ("Разработка", ("верст", "dom", "меню", "мега-меню", "код", "frontend", "backend", "cms", "301", "404")),
+)
+CHECKS = (
+    ("desktop", ("",)), ("mobile", ("",)), ("links", ("ссыл", "перелинков", "донор", "анкор")), ("content", ("текст", "контент", "тизер", "анонс", "стать", "описан")),
+    ("breadcrumbs", ("breadcrumb", "хлебн", "breadcrumblist")), ("robots", ("robots",)), ("x-robots", ("x-robots",)), ("sitemap", ("sitemap",)),
+    ("canonical", ("canonical", "каноникал")), ("redirects", ("301", "редирект")),
+)
+ACTIONS = (
+    "добав созда подготов размест замен исправ провер настро убер удал сдел перенес обнов доработ встав загруз опублик простав переимен сверст реализ напис "
+    "сгенер перелинк оптимиз скоррект вывести подключ убед"
+).split()
+COMMON_ROLE, COMMON_CATEGORY = "Общее", "Общее"
+RELATIVE_URL = r"(?<![\w:/.-])(/[a-zA-Z0-9а-яА-ЯёЁ_%+~.-]+(?:/[a-zA-Z0-9а-яА-ЯёЁ_%+~.-]+)*/?)(?=[\s\]),.;:!?]|$)"
+DEADLINE = (
+    r"(?iU)(?:срок(?:и)?\s*[:—-]?\s*([^\n.;]+)|до\s+(\d{1,2}[./]\d{1,2}(?:[./]\d{2,4})?)|(?:сегодня|завтра|послезавтра)|(?:недел(?:я|и|ю|ь)\s*\d+(?:\s*[–—-]\s*\d+)?))"
+)
 
 
 def words(text) -> Column:
@@ -166,13 +197,19 @@ def dashes(docs: DataFrame, dash: str = "—") -> DataFrame:
 
 
 def repeated_gram(docs: DataFrame, protected: tuple[str, ...] = (), stop: tuple[str, ...] = GRAM_STOP) -> DataFrame:
-    """The most repeated three words of each document."""
-    w = docs.select("doc_id", F.transform(words("text"), lambda x: normal(x)).alias("w")).where(F.size("w") >= 3)
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda k: F.slice("w", k, 3))
-    rows = w.select("doc_id", F.explode(grams).alias("g")).where(F.size(F.filter("g", lambda x: x.isin(*stop))) < 2).select("doc_id", F.array_join("g", " ").alias("gram"))
-    often = rows.groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= 2) & ~F.col("gram").isin(*protected or ("",)))
-    best = often.groupBy("doc_id").agg(F.min(F.struct((-F.col("n")).alias("neg"), "gram")).alias("b"))
-    return best.select("doc_id", F.col("b.gram").alias("gram"), (-F.col("b.neg")).alias("n"))
+    """The most repeated three words of each document; of equally many the first by text. All within the row: no shuffle."""
+    stopped, kept_out = frozenset(stop), frozenset(protected)
+
+    def most(text: str | None) -> tuple[str | None, int]:
+        w = [normal_word(x) for x in re.findall(WORD, text or "")]
+        weak = [x in stopped for x in w]
+        seen = Counter(g for g, k in zip(zip(w, w[1:], w[2:]), range(len(w))) if weak[k] + weak[k + 1] + weak[k + 2] < 2)
+        often = ((-n, " ".join(g)) for g, n in seen.items() if n >= 2)
+        best = min((x for x in often if x[1] not in kept_out), default=(0, None))
+        return best[1], -best[0]
+
+    found = F.pandas_udf(lambda t: pd.DataFrame([most(x) for x in t], columns=["gram", "n"]), "struct<gram:string,n:long>")
+    return docs.select("doc_id", found("text").alias("g")).where("g.gram is not null").select("doc_id", "g.gram", "g.n")
 
 
 def paragraph_regularity(docs: DataFrame, raw: bool = True) -> DataFrame:
@@ -218,26 +255,102 @@ def runs_of(docs: DataFrame, lengths: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.lower("text").alias("low")).where("low is not null and doc_id is not null").mapInPandas(run, f"doc_id {doc_id}, n string")
 
 
+def _holds(low: Column, words) -> Column:
+    """Whether a lower-cased text holds one of the words."""
+    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
+
+
+def _first_of(low: Column, table, otherwise: str | None) -> Column:
+    return F.coalesce(*(F.when(_holds(low, words), name) for name, words in table), F.lit(otherwise))
+
+
+def tidy_line(text) -> Column:
+    return F.btrim(F.regexp_replace(F.col(text) if isinstance(text, str) else text, r"(?U)\s+", " "), F.lit(" \t•*-—;,.\n"))
+
+
+def task_category(text) -> Column:
+    return _first_of(F.lower(text), CATEGORIES, COMMON_CATEGORY)
+
+
 def task_facts(docs: DataFrame, projects: DataFrame) -> DataFrame:
-    """Priority, addresses, deadline and project of a task's text: the longest project name that the text contains."""
+    """Priority, deadline, addresses, category and project of a task's text, and what it leaves open.
+
+    The project is the longest name that the text contains, else what follows a word like "project:".
+    """
     t = F.col("text")
     urls = F.array_distinct(F.regexp_extract_all(t, F.lit(r"(?i)(https?://[^\s\])}>;,]+)"), F.lit(1)))
+    relative = F.array_distinct(F.regexp_extract_all(t, F.lit(RELATIVE_URL), F.lit(1)))
     priority = F.upper(F.regexp_extract(t, r"(?iU)\b(P[0-3])\b", 1))
-    due = F.trim(F.regexp_extract(t, r"(?iU)(?:срок(?:и)?\s*[:—-]?\s*|до\s+|until )([0-9]{1,2}[./][0-9]{1,2}(?:[./][0-9]{2,4})?)", 1))
+    said = [tidy_line(F.regexp_extract(t, DEADLINE, k)) for k in (1, 2, 0)]
+    due = F.coalesce(*(F.when(x != "", x) for x in said))
+    named = F.substring(tidy_line(F.regexp_extract(t, r"(?iU)(?:проект|сайт|клиент)\s*[:—-]\s*([^\n.;]+)", 1)), 1, 80)
     known = projects.select(F.lower("name").alias("n"), "name").where("n <> ''").distinct()
     names = runs_of(docs, known.select(F.length("n").alias("k")).distinct()).join(known, "n")
-    project = names.groupBy("doc_id").agg(F.max_by("name", F.struct(F.length("name"), "name")).alias("project"))
-    rows = docs.select("doc_id", F.when(priority != "", priority).alias("priority"), F.when(due != "", due).alias("deadline"), F.array_join(urls, "|").alias("urls"))
-    return rows.join(project, "doc_id", "left")
+    project = names.groupBy("doc_id").agg(F.max_by("name", F.struct(F.length("name"), "name")).alias("found"))
+    rows = docs.select("doc_id", F.when(priority != "", priority).alias("priority"), due.alias("deadline"), urls.alias("u"), relative.alias("r"), task_category(t).alias("category"), F.when(named != "", named).alias("named"))
+    open_points = F.array(
+        F.when(F.col("priority").isNull(), "priority"), F.when(F.col("deadline").isNull(), "deadline"),
+        F.when((F.size("u") == 0) & (F.size("r") > 0), "domain"), F.when((F.size("u") == 0) & (F.size("r") == 0), "urls"),
+    )
+    return rows.join(project, "doc_id", "left").select(
+        "doc_id", "priority", "deadline", F.array_join("u", "|").alias("urls"), F.array_join("r", "|").alias("relative_urls"), "category",
+        F.coalesce("found", "named").alias("project"), F.array_join(F.array_compact(open_points), ",").alias("ambiguities"),
+    )
 
 
 def task_lines(docs: DataFrame) -> DataFrame:
-    """Lines of a task's text: numbered ones open a task, the others belong to the one before: (doc_id, pos, task, role)."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\r?\n")).alias("pos", "line")).where(F.trim("line") != "")
-    opens = F.col("line").rlike(r"^\s*\d+[.)]\s*\S").cast("int")
-    kind = F.when(opens == 1, "task").when(F.lower("line").startswith("проблема:"), "problem").when(F.lower("line").startswith("решение:"), "solution").when(F.trim("line").endswith(":"), "heading").otherwise("note")
-    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return lines.select("doc_id", F.col("pos").cast("long").alias("pos"), F.sum(opens).over(w).alias("task"), kind.alias("kind"), F.trim(F.regexp_replace("line", r"^\s*\d+[.)]\s*", "")).alias("line"))
+    """The lines of a task's text with what they are: (doc_id, pos, section, role, task, kind, category, line).
+
+    Headings of goals, results and roles set the section and the role of the lines below; a numbered line, or one with a
+    colon at its end among tasks, opens a task, to which problem, solution, subtasks and notes belong until the next heading.
+    Sections and roles are carried forward by windows over each document's lines.
+    """
+    c, last = F.col, lambda x, w: F.last(x, ignorenulls=True).over(w)
+    raw = docs.select("doc_id", F.posexplode(F.split("text", "\r?\n")).alias("pos", "raw")).withColumn("raw", F.trim("raw"))
+    numbered = c("raw").rlike(r"^\d+[.)]\s*.+$")
+    lines = raw.select("doc_id", c("pos").cast("long").alias("pos"), numbered.alias("numbered"), tidy_line(F.when(numbered, F.regexp_replace("raw", r"^\d+[.)]\s*", "")).otherwise(c("raw"))).alias("line"))
+    low = F.lower("line")
+    lines = lines.where("line <> ''").withColumn("led", _first_of(low, ROLES, None))
+    heading = (
+        F.when(low.startswith("цели тз") | low.startswith("цель тз"), "goals").when(low.startswith("ожидаемый результат"), "expected")
+        .when(c("led").isNotNull() & (low.startswith("задач") | F.contains(low, F.lit("для "))), "tasks")
+    )
+    upto = Window.partitionBy("doc_id").orderBy("pos")
+    lines = lines.withColumn("heading", heading).withColumn("section", F.coalesce(last(heading, upto), F.lit("context")))
+    lines = lines.withColumn("role", F.coalesce(last(F.when(c("heading") == "tasks", c("led")), upto), F.lit(COMMON_ROLE)))
+    lines = lines.withColumn("part", F.count("heading").over(upto)).withColumn("reference", c("heading").isNull() & low.rlike(r"[.](xlsx|xls|pdf|docx)$"))
+    free = c("heading").isNull() & ~c("reference") & c("section").isin("context", "tasks")
+    within = Window.partitionBy("doc_id", "part").orderBy("pos")
+    before = within.rowsBetween(Window.unboundedPreceding, -1)
+    among_tasks = (c("section") == "tasks") | F.coalesce(F.max(free & c("numbered")).over(before), F.lit(False))
+    labelled = low.startswith("проблема:") | low.startswith("решение:") | low.startswith("пример:")
+    opens = free & (c("numbered") | (among_tasks & c("line").endswith(":") & ~labelled))
+    lines = lines.withColumn("opens", opens.cast("int")).withColumn("inside", F.max("opens").over(within) == 1)
+    action = F.exists(F.array(*map(F.lit, ACTIONS)), lambda a: F.startswith(F.split_part(low, F.lit(" "), F.lit(1)), a))
+    kind = (
+        F.when(c("heading").isNotNull(), "heading").when(c("reference"), "reference").when(c("section") == "goals", "goal").when(c("section") == "expected", "result")
+        .when(c("opens") == 1, "task").when(~c("inside"), "note").when(low.startswith("проблема:"), "problem").when(low.startswith("решение:"), "solution")
+        .when(low.startswith("пример:"), "note").when(action, "subtask").otherwise("note")
+    )
+    number = F.sum("opens").over(upto)
+    lines = lines.withColumn("kind", kind).withColumn("task", F.when(c("inside") & c("kind").isin("task", "problem", "solution", "subtask", "note"), number))
+    after = F.trim(F.regexp_replace("line", "^[^:]*:", ""))
+    shown = F.when(c("kind").isin("problem", "solution") | ((c("kind") == "heading") & (c("heading") == "expected")), after).when(c("kind") == "task", F.rtrim("line", F.lit(":"))).otherwise(c("line"))
+    return lines.select("doc_id", "pos", "section", "role", "task", "kind", F.when(c("kind") == "task", task_category("line")).alias("category"), shown.alias("line"))
+
+
+def task_groups(lines: DataFrame) -> DataFrame:
+    """(doc_id, role, tasks, subtasks, first): the tasks of each role, in order of the role's first task."""
+    own = lines.where("task is not null")
+    per = own.groupBy("doc_id", "role").agg(F.count_if(F.col("kind") == "task").alias("tasks"), F.count_if(F.col("kind") == "subtask").alias("subtasks"), F.min("task").alias("first"))
+    return per.where("tasks > 0")
+
+
+def checklist(docs: DataFrame) -> DataFrame:
+    """(doc_id, pos, item): what to check when the task is done, by the words of its text."""
+    low = F.lower("text")
+    items = F.array_compact(F.array(*(F.when(_holds(low, words), name) for name, words in CHECKS)))
+    return docs.select("doc_id", F.posexplode(items).alias("pos", "item")).withColumn("pos", F.col("pos").cast("long"))
 
 
 def resolve_urls(tasks: DataFrame, projects: DataFrame) -> DataFrame:

@@ -85,6 +85,34 @@ SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS site, CA
 FROM {pages}
 """
 
+#: Briefs: figures, keywords and lists follow the item's id and text.
+BRIEFS = """
+SELECT item_id AS brief_id, concat('**URL:** [https://e.example/p', CAST(item_id % 9 AS VARCHAR(20)), ']\nРекомендуемое количество слов:** ', CAST(300 + item_id % 5 * 100 AS VARCHAR(20)), ' слов',
+  CASE WHEN item_id % 3 <> 0 THEN concat(' (', CAST(2000 + item_id % 4 * 500 AS VARCHAR(20)), ' символов)') ELSE '' END, ' - найдено: 10 слов\nДобавьте в текст ключевые слова\n- key ', regexp_extract(text, '[A-Za-z]+', 0), ': 1-3 (найдено: 2)\n',
+  CASE WHEN item_id % 2 = 0 THEN '* middle one: 1 - 1\n' ELSE 'no range here\n' END, '- second key: 0 - ', CAST(2 + item_id % 6 AS VARCHAR(20)), '\nДобавьте в текст LSI\n',
+  CASE WHEN item_id % 4 = 0 THEN '- alpha\n- beta\n' ELSE concat('• gamma ', CAST(item_id % 10 AS VARCHAR(20)), '\n') END, 'Структура статьи\nГлавное ключевое слово:** main ', CAST(item_id % 11 AS VARCHAR(20)), '\nДополнительные ключевые слова:\n',
+  CASE WHEN item_id % 5 = 0 THEN '- x\n- y' ELSE concat('- z', CAST(item_id % 3 AS VARCHAR(20))) END) AS text
+FROM {benchmark}
+"""
+
+#: Task texts: which lines a text has, and what they say, follows its document's id.
+TASK_TEXTS = """
+SELECT doc_id, concat(
+  CASE WHEN doc_id % 4 = 1 THEN '' ELSE concat('ТЗ № ', CAST(doc_id AS VARCHAR(20)), '\n') END,
+  CASE WHEN doc_id % 3 = 0 THEN concat('Цели ТЗ:\ngrow by ', CAST(doc_id % 7 AS VARCHAR(20)), '\n') ELSE 'about the site\n' END,
+  CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'Задачи для разработчика\n' WHEN 2 THEN 'Список для SEO-специалиста\n' WHEN 3 THEN 'Задача: дизайнер\n' ELSE 'разработчик\n' END,
+  '1. Добавить ссылки на /catalog/p', CAST(doc_id % 9 AS VARCHAR(20)), ' • \n  проблема: slow ', CAST(doc_id % 5 AS VARCHAR(20)), '\n',
+  CASE WHEN doc_id % 2 = 0 THEN 'решение: cache it\nисправить canonical\nпример: as before\n' ELSE 'plain words\n\n' END,
+  CASE WHEN doc_id % 6 = 0 THEN 'План.PDF\n' ELSE '' END,
+  '2) ', CASE doc_id % 4 WHEN 0 THEN 'P1 ' WHEN 1 THEN 'p3, ' ELSE '' END, 'fix menu for Project ', CAST(doc_id % 40 + 1 AS VARCHAR(20)),
+  CASE doc_id % 4 WHEN 0 THEN ', срок: 20.04.2024' WHEN 1 THEN ' до 3.05' WHEN 2 THEN ' завтра' ELSE '' END, '\n',
+  CASE WHEN doc_id % 7 < 3 THEN concat('see https://e.example/', CAST(doc_id % 3 AS VARCHAR(20)), ', https://e.example/b\n') ELSE '' END,
+  'Настройка sitemap:\nпроверить alt\n',
+  CASE WHEN doc_id % 3 = 1 THEN 'Ожидаемый результат: fast pages\nmore visits\n3. not a task\n' ELSE '' END,
+  CASE WHEN doc_id % 8 = 5 THEN 'Задачи для контент-менеджера\nНовые тексты:\nнаписать анонс\n' ELSE '' END) AS text
+FROM {documents}
+"""
+
 PROJECTS = "SELECT c_custkey AS project_id, concat('Project ', CAST(c_custkey AS VARCHAR(20))) AS name, concat('site', CAST(c_custkey AS VARCHAR(20)), '.example.com') AS domain FROM {customer}"
 
 #: Audits: one row an order.

@@ -84,10 +84,8 @@ def t11_snippets(s, d):
 
 
 def t12_briefs(s, d):
-    text = F.concat(F.lit("**URL:** [https://e.example/p]\nРекомендуемое количество слов:** 500 слов (3000 символов) - найдено: 10 слов\nДобавьте в текст ключевые слова\n- "), F.substring("text", 1, 8), F.lit(": 1-3 (найдено: 2)\n- second key: 0 - 2\nДобавьте в текст LSI\n- alpha\n- beta\nСтруктура статьи\nГлавное ключевое слово:** main one\nДополнительные ключевые слова:\n- x\n- y"))
-    rows = X.table(s, d, "benchmark").select(F.col("item_id").alias("brief_id"), text.alias("text"))
-    b = T.parse_briefs(rows)
-    return b.select("brief_id", "url", "words", "chars", F.size("keywords").alias("n_keys"), F.element_at("keywords", -1)["phrase"].alias("last_key"), F.element_at("keywords", -1)["max"].alias("last_max"), F.array_join("lsi", ",").alias("lsi"), "main_keyword", F.array_join("additional", ",").alias("additional"))
+    b = T.parse_briefs(X.derive(s, d, X.BRIEFS, "benchmark"))
+    return b.select("brief_id", "url", "words", "chars", F.size("keywords").alias("n_keys"), F.get("keywords", F.lit(0))["phrase"].alias("first_key"), F.element_at("keywords", -1)["phrase"].alias("last_key"), F.element_at("keywords", -1)["max"].alias("last_max"), F.array_join("lsi", ",").alias("lsi"), "main_keyword", F.array_join("additional", ",").alias("additional"))
 
 
 def t13_sentences(s, d):
@@ -149,24 +147,33 @@ def t25_protected(s, d):
 
 
 def _tasks(s, d):
-    text = F.concat(F.lit("1. P"), (F.col("doc_id") % 4).cast("string"), F.lit(" fix https://e.example/a, https://e.example/b\nsubject line\nпроблема: slow\n2) until 20.04.2024 for "), F.concat(F.lit("Project "), (F.col("doc_id") % 30 + 1).cast("string")), F.lit("\nnotes:"))
-    return docs(s, d).select("doc_id", text.alias("text"))
+    return X.derive(s, d, X.TASK_TEXTS, "documents")
 
 
 def t26_task_facts(s, d):
-    return T.task_facts(_tasks(s, d), X.derive(s, d, X.PROJECTS, "customer"))
+    facts = T.task_facts(_tasks(s, d), X.derive(s, d, X.PROJECTS, "customer"))
+    ordered = lambda c: F.array_join(F.array_sort(F.split(c, r"\|")), "|")
+    return facts.withColumn("urls", ordered("urls")).withColumn("relative_urls", ordered("relative_urls"))
 
 
 def t27_task_lines(s, d):
     return T.task_lines(_tasks(s, d))
 
 
+def t27_task_groups(s, d):
+    return T.task_groups(T.task_lines(_tasks(s, d)))
+
+
+def t27_checklist(s, d):
+    return T.checklist(_tasks(s, d))
+
+
 def t28_resolved_urls(s, d):
     t = docs(s, d).select("doc_id", (F.col("doc_id") % 2000).alias("project_id"), F.array(F.lit("https://e.example/")).alias("absolute"), F.array(F.lit("/a"), F.lit("/b"), F.lit("/a")).alias("relative"))
     return T.resolve_urls(t, X.derive(s, d, X.PROJECTS, "customer"))
 
 
-_ALL = (t01_blank_lines, t02_normal_words, t03_stems, t04_tokens, t05_phrase_matches, t06_independent_matches, t07_keyword_status, t08_spacing, t09_coverage, t10_readiness, t10_volume, t11_snippets, t12_briefs, t13_sentences, t14_markers, t15_openers, t16_similar_neighbours, t17_rhythm, t18_connectors, t19_tone, t20_verb_forms, t21_dashes, t22_repeated_grams, t23_paragraphs, t24_style_result, t25_protected, t26_task_facts, t27_task_lines, t28_resolved_urls)
+_ALL = (t01_blank_lines, t02_normal_words, t03_stems, t04_tokens, t05_phrase_matches, t06_independent_matches, t07_keyword_status, t08_spacing, t09_coverage, t10_readiness, t10_volume, t11_snippets, t12_briefs, t13_sentences, t14_markers, t15_openers, t16_similar_neighbours, t17_rhythm, t18_connectors, t19_tone, t20_verb_forms, t21_dashes, t22_repeated_grams, t23_paragraphs, t24_style_result, t25_protected, t26_task_facts, t27_task_lines, t27_task_groups, t27_checklist, t28_resolved_urls)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _DOC = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
@@ -180,12 +187,30 @@ _B = lambda m: f"(?:^|[^\\p{{L}}\\p{{N}}_]){m}(?:$|[^\\p{{L}}\\p{{N}}_])"  # noq
 _SEV = "CASE WHEN n >= 3 AND severity = 'low' THEN 'medium' WHEN n >= 3 AND severity = 'medium' THEN 'high' ELSE severity END"
 _MARK = " UNION ALL ".join(f"SELECT doc_id, '{t}:{m}' AS title, '{t}' AS t, '{sv}' AS severity, len(list_filter(range(1, len(w) - {len(m.split()) - 2}), lambda i: array_to_string(w[i:i + {len(m.split()) - 1}], ' ') = '{m}')) AS n FROM wl" for m, t, sv in MARKERS)
 _OPEN = f"""op AS (SELECT doc_id, array_to_string(list_transform(regexp_extract_all(sentence, '{_W}')[1:2], lambda x: {_NORMED('x')}), ' ') AS opener, {_NORMED(f"regexp_extract_all(sentence, '{_W}')[1]")} AS first FROM sent)"""
+_TASK = X.sql(X.TASK_TEXTS)
+_HOLDS = lambda words, x: "(" + " OR ".join(f"contains({x}, '{w}')" for w in words) + ")"
+_WORDS_CASE = lambda table, x, other: "CASE " + " ".join(f"WHEN {_HOLDS(w, x)} THEN '{n}'" for n, w in table) + (f" ELSE '{other}'" if other else "") + " END"
+_LINES = f"""WITH l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS pos FROM ({_TASK}) t),
+  l1 AS (SELECT doc_id, pos, regexp_matches(trim(raw), '^\\d+[.)]\\s*.+$') AS numbered, trim(regexp_replace(regexp_replace(trim(raw), '^\\d+[.)]\\s*', ''), '\\s+', ' ', 'g'), ' •*-—;,.') AS line FROM l0),
+  l2 AS (SELECT *, lower(line) AS low, {_WORDS_CASE(T.ROLES, 'lower(line)', None)} AS led FROM l1 WHERE line <> ''),
+  l3 AS (SELECT *, CASE WHEN starts_with(low, 'цели тз') OR starts_with(low, 'цель тз') THEN 'goals' WHEN starts_with(low, 'ожидаемый результат') THEN 'expected' WHEN led IS NOT NULL AND (starts_with(low, 'задач') OR contains(low, 'для ')) THEN 'tasks' END AS heading FROM l2),
+  l4 AS (SELECT *, coalesce(last_value(heading IGNORE NULLS) OVER w, 'context') AS section, coalesce(last_value(CASE WHEN heading = 'tasks' THEN led END IGNORE NULLS) OVER w, '{T.COMMON_ROLE}') AS role, count(heading) OVER w AS part,
+    heading IS NULL AND regexp_matches(low, '[.](xlsx|xls|pdf|docx)$') AS reference FROM l3 WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+  l5 AS (SELECT *, CAST(free AND (numbered OR ((section = 'tasks' OR coalesce(bool_or(free AND numbered) OVER b, false)) AND ends_with(line, ':') AND NOT regexp_matches(low, '^(проблема|решение|пример):'))) AS INT) AS opens
+    FROM (SELECT *, heading IS NULL AND NOT reference AND section IN ('context', 'tasks') AS free FROM l4) x WINDOW b AS (PARTITION BY doc_id, part ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  l6 AS (SELECT *, CASE WHEN inside AND kind IN ('task', 'problem', 'solution', 'subtask', 'note') THEN CAST(number AS BIGINT) END AS task, {_WORDS_CASE(T.CATEGORIES, 'low', T.COMMON_CATEGORY)} AS category,
+    CASE WHEN kind IN ('problem', 'solution') OR heading = 'expected' THEN trim(regexp_replace(line, '^[^:]*:', '')) WHEN kind = 'task' THEN rtrim(line, ':') ELSE line END AS shown FROM (
+    SELECT *, CASE WHEN heading IS NOT NULL THEN 'heading' WHEN reference THEN 'reference' WHEN section = 'goals' THEN 'goal' WHEN section = 'expected' THEN 'result' WHEN opens = 1 THEN 'task' WHEN NOT inside THEN 'note'
+      WHEN starts_with(low, 'проблема:') THEN 'problem' WHEN starts_with(low, 'решение:') THEN 'solution' WHEN starts_with(low, 'пример:') THEN 'note' WHEN {' OR '.join(f"starts_with(low, '{a}')" for a in T.ACTIONS)} THEN 'subtask' ELSE 'note' END AS kind
+    FROM (SELECT *, max(opens) OVER (PARTITION BY doc_id, part ORDER BY pos) = 1 AS inside, sum(opens) OVER (PARTITION BY doc_id ORDER BY pos) AS number FROM l5) y) z) """
 ORACLE_SQL = {
     "t01_blank_lines": f"SELECT doc_id, sha256(array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), chr(10))) AS sha FROM ({_DOC}) d",
     "t02_normal_words": f"SELECT {_NORMED('w')} AS norm, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '\\s+')) AS w FROM ({_DOC}) d) x GROUP BY 1",
     "t10_volume": f"SELECT doc_id, n AS n_words, c AS n_chars, 300 - n AS word_delta, 2000 - c AS char_delta, n < 255 AS too_short FROM (SELECT doc_id, len(regexp_extract_all(text, '{_W}')) AS n, length({_CLEAN('text')}) AS c FROM ({_DOC}) d) x",
     "t11_snippets": f"SELECT doc_id, '…' || {_CLEAN('substr(text, 71, greatest(0, least(length(text), 150) - 70))')} || CASE WHEN least(length(text), 150) < length(text) THEN '…' ELSE '' END AS snippet FROM ({_DOC}) d",
-    "t12_briefs": "SELECT item_id AS brief_id, 'https://e.example/p' AS url, 500 AS words, 3000 AS chars, 2 AS n_keys, 'second key' AS last_key, 2 AS last_max, 'alpha,beta' AS lsi, 'main one' AS main_keyword, 'x,y' AS additional FROM benchmark",
+    "t12_briefs": """SELECT item_id AS brief_id, 'https://e.example/p' || item_id % 9 AS url, 300 + item_id % 5 * 100 AS words, CASE WHEN item_id % 3 <> 0 THEN 2000 + item_id % 4 * 500 END AS chars, 2 + CAST(item_id % 2 = 0 AS INT) AS n_keys,
+      'key ' || regexp_extract(text, '[A-Za-z]+') AS first_key, 'second key' AS last_key, 2 + item_id % 6 AS last_max, CASE WHEN item_id % 4 = 0 THEN 'alpha,beta' ELSE 'gamma ' || item_id % 10 END AS lsi, 'main ' || item_id % 11 AS main_keyword,
+      CASE WHEN item_id % 5 = 0 THEN 'x,y' ELSE 'z' || item_id % 3 END AS additional FROM benchmark""",
     "t13_sentences": f"WITH {_SENT} SELECT doc_id, count(*) AS n, CAST(sum(n_words) AS BIGINT) AS words, max(n_words) AS longest FROM sent GROUP BY 1",
     "t15_openers": f"WITH {_SENT}, {_OPEN} SELECT doc_id, 'repetition' AS kind, 'medium' AS severity, 'opener:' || opener AS title, count(*) AS n FROM op GROUP BY doc_id, opener, first HAVING count(*) >= 3 OR (count(*) >= 2 AND first IN ('the', 'la'))",
     "t17_rhythm": f"WITH {_SENT}, p AS (SELECT doc_id, count(*) AS n, stddev_pop(n_words) AS sd, count(*) FILTER (WHERE n_words >= 30) AS l FROM sent GROUP BY 1) SELECT doc_id, 'rhythm' AS kind, 'medium' AS severity, 'even_rhythm' AS title, CAST(1 AS BIGINT) AS n FROM p WHERE n >= 5 AND sd < 4 UNION ALL SELECT doc_id, 'readability', 'medium', 'long_sentences', l FROM p WHERE l > 0",
@@ -195,7 +220,14 @@ ORACLE_SQL = {
       c AS (SELECT doc_id, array_to_string(g, ' ') AS gram, count(*) AS n FROM g WHERE len(list_filter(g, lambda x: x IN ({", ".join(f"'{x}'" for x in STOP)}))) < 2 GROUP BY 1, 2 HAVING count(*) >= 2)
       SELECT doc_id, gram, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, gram) AS r FROM c WHERE gram <> 'of the and') z WHERE r = 1""",
     "t23_paragraphs": f"""SELECT doc_id, 'rhythm' AS kind, 'low' AS severity, 'even_paragraphs' AS title, CAST(1 AS BIGINT) AS n FROM (SELECT doc_id, list_transform(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), lambda x: len(regexp_extract_all(x, '{_W}'))) AS k FROM ({_DOC}) d) q WHERE len(k) >= 4 AND list_max(k) - list_min(k) <= 12""",
-    "t26_task_facts": "SELECT doc_id, 'P' || (doc_id % 4) AS priority, '20.04.2024' AS deadline, 'https://e.example/a|https://e.example/b' AS urls, 'Project ' || (doc_id % 30 + 1) AS project FROM documents",
-    "t27_task_lines": "SELECT doc_id, CAST(pos AS BIGINT) AS pos, CAST(task AS BIGINT) AS task, kind, CASE pos WHEN 0 THEN 'P' || (doc_id % 4) || ' fix https://e.example/a, https://e.example/b' WHEN 3 THEN 'until 20.04.2024 for Project ' || (doc_id % 30 + 1) ELSE line END AS line FROM documents CROSS JOIN (VALUES (0, 1, 'task', ''), (1, 1, 'note', 'subject line'), (2, 1, 'problem', 'проблема: slow'), (3, 2, 'task', ''), (4, 2, 'heading', 'notes:')) v(pos, task, kind, line)",
+    "t26_task_facts": f"""WITH t AS ({_TASK}), p AS ({X.sql(X.PROJECTS)}), n AS (SELECT doc_id, max_by(name, (length(name), name)) AS found FROM t JOIN p ON contains(lower(text), lower(name)) GROUP BY 1),
+      f AS (SELECT t.doc_id, text, found, nullif(upper(regexp_extract(text, '(?:^|[^\\p{{L}}\\p{{N}}_])([Pp][0-3])(?:$|[^\\p{{L}}\\p{{N}}_])', 1)), '') AS priority, list_distinct(regexp_extract_all(text, 'https?://[^\\s\\])}}>;,]+')) AS u,
+        list_distinct(regexp_extract_all(text, '(?:^|[^\\p{{L}}\\p{{N}}_:/.-])(/[a-zA-Z0-9_%+~.-]+(?:/[a-zA-Z0-9_%+~.-]+)*/?)', 1)) AS r FROM t LEFT JOIN n ON n.doc_id = t.doc_id),
+      g AS (SELECT *, coalesce(nullif(regexp_extract(text, '(?i)сроки?\\s*[:—-]?\\s*([^\n.;]+)', 1), ''), nullif(regexp_extract(text, '(?i)до\\s+(\\d{{1,2}}[./]\\d{{1,2}}(?:[./]\\d{{2,4}})?)', 1), ''), nullif(regexp_extract(text, '(?i)сегодня|завтра|послезавтра'), '')) AS deadline FROM f)
+      SELECT doc_id, priority, deadline, array_to_string(list_sort(u), '|') AS urls, array_to_string(list_sort(r), '|') AS relative_urls, {_WORDS_CASE(T.CATEGORIES, 'lower(text)', T.COMMON_CATEGORY)} AS category, found AS project,
+        array_to_string(list_filter([CASE WHEN priority IS NULL THEN 'priority' END, CASE WHEN deadline IS NULL THEN 'deadline' END, CASE WHEN len(u) = 0 AND len(r) > 0 THEN 'domain' END, CASE WHEN len(u) = 0 AND len(r) = 0 THEN 'urls' END], lambda x: x IS NOT NULL), ',') AS ambiguities FROM g""",
+    "t27_task_lines": _LINES + "SELECT doc_id, pos, section, role, task, kind, CASE WHEN kind = 'task' THEN category END AS category, shown AS line FROM l6",
+    "t27_task_groups": _LINES + "SELECT doc_id, role, count(*) FILTER (WHERE kind = 'task') AS tasks, count(*) FILTER (WHERE kind = 'subtask') AS subtasks, min(task) AS first FROM l6 WHERE task IS NOT NULL GROUP BY 1, 2 HAVING count(*) FILTER (WHERE kind = 'task') > 0",
+    "t27_checklist": f"SELECT doc_id, unnest(range(len(i))) AS pos, unnest(i) AS item FROM (SELECT doc_id, list_filter([{', '.join(f'CASE WHEN {_HOLDS(w, chr(108) + chr(111) + chr(119))} THEN {chr(39)}{n}{chr(39)} END' for n, w in T.CHECKS)}], lambda x: x IS NOT NULL) AS i FROM (SELECT doc_id, lower(text) AS low FROM ({_TASK}) t) q) z",
     "t28_resolved_urls": f"SELECT doc_id, 'https://e.example/' || CASE WHEN domain IS NOT NULL THEN '|https://' || domain || '/a|https://' || domain || '/b' ELSE '' END AS urls FROM documents d LEFT JOIN ({X.sql(X.PROJECTS)}) p ON p.project_id = d.doc_id % 2000",
 }
