@@ -6,11 +6,13 @@ Each has the same definition as SQL, so that both sides of a comparison start fr
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from sitescope.sources.tables import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(found) if name in ("documents", "pages") else found
 
 
 def derive(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:

@@ -81,7 +81,7 @@ def z01_latest_state(s, d):
     source = _folder(s, "events")
     X.derive(s, d, X.EVENTS, "events").select(*state.COLUMNS).write.parquet(source)
     schema = s.read.parquet(source).schema
-    state.start(s.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(source), out, mark, "3650 days").awaitTermination()
+    state.start(s.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(source), out, mark).awaitTermination()
     return state.current(s, out).select("project_id", "state_key", "id", "value")
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitescope.operators.workspace import upsert_latest
+from sitescope.sources.tables import removed, settled
 
 COLUMNS = ("project_id", "state_key", "id", "title", "value", "created_at")
 
@@ -15,24 +16,48 @@ def latest_of(events: DataFrame) -> DataFrame:
     return upsert_latest(rows, rows.limit(0)).select(*COLUMNS)
 
 
-def start(events: DataFrame, folder: str, checkpoint: str, delay: str = "2 hours", trigger: dict | None = None):
-    """Run the query: replayed events are dropped within the watermark, each batch is merged into a new version of the
-    state table. A batch that runs again writes the same version again, so nothing counts twice."""
+#: The state lies in so many parts by key; a batch rewrites only the parts that it touches.
+PARTS = 64
+
+
+def _part() -> Column:
+    return F.pmod(F.xxhash64("project_id", "state_key"), F.lit(PARTS)).cast("int")
+
+
+def start(events: DataFrame, folder: str, checkpoint: str, trigger: dict | None = None, keep: int = 2):
+    """Run the query: each batch is merged into the parts of the state that it touches.
+
+    A replayed event changes nothing, as a key's latest event is the latest however often it comes; so the stream keeps no
+    state of its own, and no late event is dropped.
+    A part's versions are folders part=P/version=B of the batch that wrote them. A batch that runs again reads the versions
+    before its own and writes the same ones again, so nothing counts twice. Of each part the last ``keep`` versions stay.
+    """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = latest_of(batch)
-        if batch_id > 0:
-            old = spark.read.parquet(f"{folder}/version={batch_id - 1}").select(*COLUMNS)
-            fresh = upsert_latest(old, fresh).select(*COLUMNS)
-        fresh.write.mode("overwrite").parquet(f"{folder}/version={batch_id}")
+        fresh = settled(latest_of(batch).withColumn("part", _part()))
+        touched = [r[0] for r in fresh.select("part").distinct().collect()]  # at most PARTS rows
+        versions = {p: [v for v in _versions(spark, folder, p) if v < batch_id] for p in touched}
+        old = [f"{folder}/part={p}/version={v[-1]}" for p, v in versions.items() if v]
+        if old:
+            fresh = upsert_latest(spark.read.parquet(*old).select(*COLUMNS), fresh.select(*COLUMNS)).select(*COLUMNS).withColumn("part", _part())
+        fresh = fresh.withColumn("version", F.lit(batch_id))
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "version").parquet(folder)
+        for p, v in versions.items():
+            for gone in v[: -(keep - 1) or None]:
+                removed(spark, f"{folder}/part={p}/version={gone}")
+
+    return events.withColumn("created_at", F.col("created_at").cast("timestamp")).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
 
-    once = events.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["id"])
-    return once.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+def _versions(spark: SparkSession, folder: str, part: int) -> list[int]:
+    """Versions of a part, oldest first."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/part={part}")
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(int(x.getPath().getName().split("=")[1]) for x in files.listStatus(where)) if files.exists(where) else []
 
 
 def current(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest version of the state table."""
-    rows = spark.read.parquet(folder)
-    last = rows.agg(F.max("version")).first()[0]
-    return rows.where(F.col("version") == last).drop("version")
+    """The newest version of each part of the state."""
+    found = {p: _versions(spark, folder, p) for p in range(PARTS)}
+    return spark.read.parquet(*(f"{folder}/part={p}/version={v[-1]}" for p, v in found.items() if v)).select(*COLUMNS)
