@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitescope.sources.tables import spread
+
 #: Bytes that separate words: \x20 and \x09-\x0D. ``bytes.split()`` uses the same set.
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -32,7 +34,7 @@ _TABLES = np.random.default_rng(20240229).integers(0, 1 << 64, size=(2, _SLOTS *
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def shared_dir(spark: SparkSession) -> str:
