@@ -108,6 +108,10 @@ def donors(links: DataFrame, depth: DataFrame, most: int = 80) -> DataFrame:
 STOP = ("и", "в", "во", "на", "для", "с", "со", "по", "из", "к", "ко", "от", "до", "за", "под", "над", "при", "или", "как", "что", "это", "а", "но", "не", "the", "of", "and", "for", "to", "in", "on", "услуги", "услуга", "страница", "главная", "компания", "сайт")
 
 
+#: The reasons for a suggestion.
+COMMON_TOPICS, SAME_BRANCH = "общие темы: ", "близкая ветка структуры сайта"
+
+
 def topic_tokens(*texts: Column) -> Column:
     """Distinct words of three letters or more, without stop words and numbers."""
     low = F.replace(F.lower(F.concat_ws(" ", *texts)), F.lit("ё"), F.lit("е"))
@@ -121,29 +125,51 @@ def page_topics(pages: DataFrame) -> DataFrame:
     return pages.withColumn("tokens", topic_tokens(F.col("title"), F.col("h1"), U.slug_words("url"), *keywords)).withColumn("path", U.path("url"))
 
 
+def _steps() -> Column:
+    return F.split(F.regexp_replace("path", "^/+|/+$", ""), "/")
+
+
+def _beginnings(df: DataFrame, name: str) -> DataFrame:
+    """(site, name, depth, beginning, outgoing): a row for each beginning of a page's path."""
+    rows = df.select("site", F.col("key").alias(name), F.col("outgoing"), _steps().alias("steps"))
+    rows = rows.select("site", name, "outgoing", "steps", F.explode(F.sequence(F.lit(1), F.size("steps"))).alias("depth"))
+    return rows.select("site", name, "depth", F.array_join(F.slice("steps", F.lit(1), F.col("depth")), "/").alias("beginning"), "outgoing")
+
+
+def in_need(metrics: DataFrame) -> DataFrame:
+    """Pages that should get links: orphans first, then weak ones; (site, key, incoming, need)."""
+    return metrics.where("orphan or weak").select("site", "key", "incoming", F.when(F.col("orphan"), 0).otherwise(1).alias("need"))
+
+
 def suggest_donors(targets: DataFrame, pages: DataFrame, edge: DataFrame, n: int = 3) -> DataFrame:
-    """The best pages to link from, for each target: (site, target, donor, score, overlap, rank).
+    """The best pages to link from, for each target: (site, target, donor, score, overlap, reason, rank).
 
-    ``targets``: (site, key); ``pages``: (site, key, path, tokens, outgoing, status_code). Candidates come from an
-    inverted index over the targets' tokens and first path segments, never from all pairs of pages; a pair's overlap is
-    counted in the same grouping.
+    ``targets``: (site, key); ``pages``: (site, key, path, tokens, outgoing, status_code). Pages that share a token come from
+    an inverted index over the targets' tokens. Of pages that share a beginning of the path alone, only those with the most
+    outgoing links can be among the best: for each beginning as many of them as places, and as many again as links that a
+    target has already. So a section never meets itself pair by pair.
     """
     t = pages.join(targets.select("site", "key"), ["site", "key"], "left_semi")
     d = pages.where("status_code >= 200 and status_code < 300")
-    first = lambda: F.concat(F.lit("/"), F.get(F.split(F.regexp_replace("path", "^/+|/+$", ""), "/"), F.lit(0)))
-    side = lambda df, c: df.select("site", F.col("key").alias(c), F.explode(F.concat("tokens", F.array(first()))).alias("token"))
-    pairs = side(t, "target").join(side(d, "donor"), ["site", "token"]).where("target <> donor")
-    counted = pairs.groupBy("site", "target", "donor").agg(F.count_if(~F.col("token").startswith("/")).alias("overlap"))
-    counted = counted.join(edge.select("site", F.col("src_key").alias("donor"), F.col("dst_key").alias("target")), ["site", "target", "donor"], "left_anti")
-    about = lambda c: pages.select("site", F.col("key").alias(c), F.size("tokens").alias(f"n_{c}"), F.split(F.regexp_replace("path", "^/+|/+$", ""), "/").alias(f"p_{c}"), F.col("outgoing").alias(f"o_{c}"))
-    full = counted.join(about("target"), ["site", "target"]).join(about("donor"), ["site", "donor"])
+    linked = edge.select("site", F.col("src_key").alias("donor"), F.col("dst_key").alias("target"))
+    most = linked.join(t.select("site", F.col("key").alias("target")), ["site", "target"], "left_semi").groupBy("site", "target").agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0] or 0
+    side = lambda df, c: df.select("site", F.col("key").alias(c), F.explode("tokens").alias("token"))
+    alike = side(t, "target").join(side(d, "donor"), ["site", "token"]).groupBy("site", "target", "donor").agg(F.count(F.lit(1)).alias("overlap"))
+    w = Window.partitionBy("site", "depth", "beginning").orderBy(F.desc(F.least("outgoing", F.lit(20))), "donor")
+    best = _beginnings(d, "donor").withColumn("r", F.row_number().over(w)).where(F.col("r") <= n + 1 + most).select("site", "depth", "beginning", "donor")
+    beside = _beginnings(t, "target").select("site", "depth", "beginning", "target").join(best, ["site", "depth", "beginning"]).select("site", "target", "donor").distinct()
+    pairs = beside.join(alike, ["site", "target", "donor"], "full").na.fill(0, ["overlap"]).where("target <> donor").join(linked, ["site", "target", "donor"], "left_anti")
+    about = lambda c: pages.select("site", F.col("key").alias(c), F.col("tokens").alias(f"t_{c}"), _steps().alias(f"p_{c}"), F.col("outgoing").alias(f"o_{c}"))
+    full = pairs.join(about("target"), ["site", "target"]).join(about("donor"), ["site", "donor"])
     same = F.transform(F.sequence(F.lit(1), F.least(F.size("p_target"), F.size("p_donor"))), lambda k: F.slice("p_target", F.lit(1), k) == F.slice("p_donor", F.lit(1), k))
     prefix = F.size(F.filter(same, lambda x: x))
-    similar = F.col("overlap") / F.greatest(F.lit(1), F.col("n_target") + F.col("n_donor") - F.col("overlap"))
+    similar = F.col("overlap") / F.greatest(F.lit(1), F.size("t_target") + F.size("t_donor") - F.col("overlap"))
     score = similar * 100 + prefix * 8 + F.least(F.col("o_donor"), F.lit(20)) * 0.15
-    w = Window.partitionBy("site", "target").orderBy(F.desc("score"), "donor")
-    ranked = full.withColumn("score", score).where((F.col("overlap") > 0) | (prefix > 0)).withColumn("rank", F.row_number().over(w).cast("long"))
-    return ranked.where(F.col("rank") <= n).select("site", "target", "donor", F.round("score", 1).alias("score"), "overlap", "rank")
+    w = Window.partitionBy("site", "target").orderBy(F.desc(F.round("score", 9)), "donor")
+    ranked = full.withColumn("score", score).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= n)
+    shared = F.slice(F.array_sort(F.array_intersect("t_target", "t_donor")), 1, 4)
+    reason = F.when(F.col("overlap") > 0, F.concat(F.lit(COMMON_TOPICS), F.array_join(shared, ", "))).otherwise(F.lit(SAME_BRANCH))
+    return ranked.select("site", "target", "donor", F.round("score", 1).alias("score"), "overlap", reason.alias("reason"), "rank")
 
 
 def anchor_ideas(h1: Column, title: Column, slug: Column) -> Column:

@@ -78,11 +78,10 @@ def l10_topic_tokens(spark, sf_dir):
 
 def l11_donor_suggestions(spark, sf_dir):
     pages, links, homes = tables(spark, sf_dir)
-    edge = L.edges(links)
-    deg = L.degrees(edge, pages)
-    about = _topics(spark, sf_dir).join(deg.select("site", "key", "outgoing"), ["site", "key"])
-    weak = deg.join(homes, ["site", "key"], "left_anti").where("incoming = 0")
-    return L.suggest_donors(weak, about, edge)
+    met = L.page_metrics(pages, links, homes)
+    about = _topics(spark, sf_dir).join(met.select("site", "key", "outgoing"), ["site", "key"])
+    found = L.suggest_donors(L.in_need(met), about, L.edges(links))
+    return found.join(L.in_need(met).select("site", F.col("key").alias("target"), "need"), ["site", "target"])
 
 
 def l12_anchor_ideas(spark, sf_dir):
@@ -148,7 +147,15 @@ ORACLE_SQL = {
       ty AS (SELECT site, dst_key, src_key, CASE WHEN min(link_type) = max(link_type) THEN min(link_type) ELSE 'mixed' END AS link_type FROM ln WHERE src_key <> dst_key GROUP BY 1, 2, 3)
       SELECT * FROM (SELECT ty.site, ty.dst_key, ty.src_key, row_number() OVER (PARTITION BY ty.site, ty.dst_key ORDER BY depth NULLS LAST, ty.src_key) AS rank, anchors, link_type, depth FROM ty JOIN ag USING (site, dst_key, src_key) LEFT JOIN dep ON dep.key = ty.src_key) z WHERE rank <= 5""",
     "l09_self_links": f"WITH ln AS ({_L}) SELECT site, src_key AS key, string_agg(DISTINCT anchor, '|') AS anchors, string_agg(DISTINCT link_type, ',') AS types FROM ln WHERE src_key = dst_key GROUP BY 1, 2",
-    "l10_topic_tokens": f"SELECT page_id, unnest(({_TOK})[1:60]) AS token FROM ({_R}) r",
+    "l10_topic_tokens": f"SELECT page_id, unnest({_TOK}) AS token FROM ({_R}) r",
+    "l11_donor_suggestions": _BASE + f""", ab AS (SELECT pg.site, pg.key, pg.status_code, deg.outgoing, {_TOK} AS tok, string_split(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '^/+|/+$', '', 'g'), '/') AS st FROM pg JOIN deg USING (site, key)),
+      nd AS (SELECT site, key, CASE WHEN orphan THEN 0 ELSE 1 END AS need FROM met WHERE orphan OR weak),
+      pr AS (SELECT t.site, t.key AS target, d.key AS donor, need, len(list_intersect(t.tok, d.tok)) AS overlap, list_sort(list_intersect(t.tok, d.tok))[1:4] AS shared, len(t.tok) + len(d.tok) AS sizes, d.outgoing AS o,
+        len(list_filter(range(1, least(len(t.st), len(d.st)) + 1), lambda k: t.st[1:k] = d.st[1:k])) AS prefix
+        FROM ab t JOIN nd ON nd.site = t.site AND nd.key = t.key JOIN ab d ON d.site = t.site AND d.key <> t.key AND d.status_code BETWEEN 200 AND 299),
+      sc AS (SELECT *, overlap / greatest(1.0, sizes - overlap) * 100 + prefix * 8 + least(o, 20) * 0.15 AS score FROM pr WHERE (overlap > 0 OR prefix > 0) AND NOT EXISTS (SELECT 1 FROM ed WHERE ed.src_key = donor AND ed.dst_key = target))
+      SELECT site, target, donor, round(score, 1) AS score, overlap, CASE WHEN overlap > 0 THEN 'общие темы: ' || array_to_string(shared, ', ') ELSE 'близкая ветка структуры сайта' END AS reason, rank, need
+      FROM (SELECT *, row_number() OVER (PARTITION BY site, target ORDER BY round(score, 9) DESC, donor) AS rank FROM sc) q WHERE rank <= 3""",
     "l12_anchor_ideas": f"""SELECT page_id, array_to_string(list_transform(list_filter([t1, CASE WHEN lower(t2) <> lower(t1) THEN t2 ELSE '' END, CASE WHEN lower(t3) NOT IN (lower(t1), lower(t2)) THEN t3 ELSE '' END], lambda x: x <> ''), lambda x: x[1:110]), '|') AS anchors
       FROM (SELECT page_id, {_CUT('h1')} AS t1, {_CUT('title')} AS t2, {_CUT(_SLUG)} AS t3 FROM ({_P}) p) q""",
     "l13_hubs": _BASE + ", top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY incoming DESC, outgoing DESC, key) AS rank FROM met) t WHERE rank <= 5) SELECT ed.* FROM ed JOIN top a ON a.key = ed.src_key JOIN top b ON b.key = ed.dst_key",
