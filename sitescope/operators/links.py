@@ -12,6 +12,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitescope.functions import html as H
 from sitescope.functions import urls as U
 from sitescope.sources.tables import settled
 
@@ -86,6 +87,13 @@ def page_metrics(pages: DataFrame, links: DataFrame, homes: DataFrame) -> DataFr
     )
 
 
+def html_graph(pages: DataFrame, patterns: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pages, links) of the link graph, from fetched pages with html: pages keyed and each once, links within sites."""
+    parsed = H.parse(pages)
+    keyed = distinct_pages(parsed.select(U.host("url", port=False).alias("site"), U.page_key("url").alias("key"), "page_id", "url", "status_code", "content_type", "title", "h1"))
+    return keyed, outgoing(parsed, patterns)
+
+
 def link_status(edge: DataFrame, status: DataFrame) -> DataFrame:
     """Each edge with its target's status (0 if unknown) and whether it is broken or redirects."""
     joined = edge.join(status, ["site", "dst_key"], "left").na.fill(0, ["status_code"])

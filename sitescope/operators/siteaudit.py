@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitescope.functions import html as H
 from sitescope.functions import urls as U
 
 #: Points that an issue of each severity costs.
@@ -97,6 +98,15 @@ def audit_pages(pages: DataFrame) -> DataFrame:
     return scored.withColumn("issues", F.when(F.col("failed"), fetch).otherwise(F.concat("core", content_issues(F.col("content_score"))))).drop("core")
 
 
+def audit_html(pages: DataFrame) -> DataFrame:
+    """Fetched pages (a snapshot with html) with their features, issues and scores: one pass over the HTML."""
+    parsed = H.parse(pages)
+    own = U.host("url", port=False)
+    inside = F.filter(F.array_distinct(F.transform("links", lambda x: x["target"])), lambda t: U.host(t, port=False) == own)
+    features = parsed.withColumn("internal_links", F.size(inside)).withColumn("missing_alt", F.size(F.filter("images", lambda i: i["alt"] == "")))
+    return audit_pages(features.withColumn("images", F.size("images")))
+
+
 def duplicates(pages: DataFrame, field: str, code: str) -> DataFrame:
     """Pages whose cleaned lower-case text another page of the site has, too; (site, url, code, n). Empty texts don't count.
 

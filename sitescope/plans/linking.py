@@ -130,6 +130,7 @@ _BASE = f"""WITH RECURSIVE pg AS ({_R}), ln AS ({_L}), ed AS (SELECT DISTINCT si
   met AS (SELECT deg.site, deg.key, incoming, outgoing, depth, rn > 1 AND incoming = 0 AS orphan, rn > 1 AND incoming = 1 AS weak, outgoing = 0 AS no_outgoing, rn > 1 AND depth IS NULL AS unreachable, coalesce(depth >= 4, false) AS deep FROM deg LEFT JOIN dep ON dep.key = deg.key),
   sta AS (SELECT ed.site, src_key, dst_key, CAST(coalesce(status_code, 0) AS BIGINT) AS status_code, CASE WHEN status_code IS NULL OR status_code >= 400 THEN 'broken' WHEN status_code >= 300 THEN 'redirect' ELSE 'ok' END AS kind FROM ed LEFT JOIN pg ON pg.key = ed.dst_key) """
 _KEY = lambda u: f"regexp_extract({u}, '^([a-z]+)://', 1) || '://' || regexp_replace(lower(regexp_extract({u}, '^[a-z]+://([^/?#]*)', 1)), '^www[.]', '') || regexp_replace(regexp_extract({u}, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', '')"
+_PAGE_KEY = lambda u: f"({_KEY(u)} || coalesce('?' || nullif(regexp_extract({u}, '[?&](page=[0-9]+)', 1), ''), ''))"
 _UN = lambda x: f"replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
 _P = X.sql(X.PAGES)
 _TOK = """list_distinct(list_filter(regexp_extract_all(replace(lower(concat_ws(' ', title, h1, regexp_replace(list_extract(string_split(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '^/+|/+$', '', 'g'), '/'), -1), '[-_]+', ' ', 'g'))), 'ё', 'е'), '[a-zа-я0-9]{3,}'),
@@ -137,6 +138,9 @@ _TOK = """list_distinct(list_filter(regexp_extract_all(replace(lower(concat_ws('
 _SLUG = "regexp_replace(list_extract(string_split(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '^/+|/+$', '', 'g'), '/'), -1), '[-_]+', ' ', 'g')"
 _CUT = lambda x: f"trim(regexp_split_to_array(trim(regexp_replace({x}, '\\s+', ' ', 'g')), '\\s+[|—–-]\\s+')[1])"
 ORACLE_SQL = {
+    "l01_outgoing_links": f"""SELECT src_key, dst_key, anchor, 'menu' AS link_type, min(pos) AS pos FROM (SELECT {_PAGE_KEY('url')} AS src_key, {_KEY("regexp_extract(url, '^[a-z]+://[^/?#]*') || href")} AS dst_key, anchor[1:180] AS anchor, pos
+      FROM pages JOIN (WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')) AS a, generate_subscripts(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>'), 1) - 1 AS pos FROM pages)
+        SELECT page_id, pos, {_UN("regexp_extract(a, 'href=\"([^\"]*)\"', 1)")} AS href, trim(regexp_replace({_UN("regexp_extract(a, '>([^<]*)<', 1)")}, '\\s+', ' ', 'g')) AS anchor FROM l) a USING (page_id)) q GROUP BY 1, 2, 3""",
     "l02_distinct_pages": f"SELECT site, key, min(page_id) AS page_id FROM (SELECT *, regexp_replace(title, '[0-9]', '', 'g') AS key FROM ({_P}) p WHERE contains(content_type, 'html')) q GROUP BY 1, 2",
     "l03_edges": _BASE + "SELECT * FROM ed",
     "l04_degrees": _BASE + "SELECT site, key, incoming, outgoing FROM deg",
