@@ -112,6 +112,11 @@ _BODY = "regexp_replace(regexp_replace(html, '(?s)^.*?<body>', ''), '(?s)<(?:scr
 _DROPPED = f"regexp_replace({_BODY}, '(?s)<nav>.*?</nav>|<footer>.*?</footer>|<footer>.*$', ' ', 'g')"
 _D = X.sql(X.PAGES)
 ORACLE_SQL = {
+    "h18_keywords": f"""WITH w AS (SELECT page_id, regexp_extract_all(lower(({_CLEAN(_UN('regexp_replace(' + _DROPPED + ", '<[^>]*>', ' ', 'g')"))})[1:12000]), '[a-zа-яё0-9]{{3,}}') AS w FROM pages),
+      c AS (SELECT page_id, word, count(*) AS n, min(k) AS k FROM (SELECT page_id, unnest(w) AS word, unnest(range(len(w))) AS k FROM w) u GROUP BY 1, 2),
+      t AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n DESC, k) AS r FROM c),
+      f AS (SELECT page_id, word, row_number() OVER (PARTITION BY page_id ORDER BY r) - 1 AS pos FROM t WHERE r <= 80 AND word NOT IN ({", ".join(f"'{x}'" for x in sorted(H.STOPWORDS))}) AND NOT regexp_matches(word, '^[0-9]+$'))
+      SELECT page_id, pos, word AS keyword FROM f WHERE pos < 35""",
     "h02_heads": f"SELECT page_id, {_TITLE} AS title, '' AS description, '' AS robots, '' AS canonical, {_H1} AS h1, CAST(len(regexp_extract_all(html, '<h1>')) AS BIGINT) AS n_h1 FROM pages",
     "h03_headings": "SELECT page_id, CAST(len(regexp_extract_all(html, '<h1>')) AS BIGINT) AS h1_count, CAST(len(regexp_extract_all(html, '<h2>')) AS BIGINT) AS h2_count, CAST(len(regexp_extract_all(html, '<h3>')) AS BIGINT) AS h3_count FROM pages",
     "h04_visible_words": f"SELECT page_id, CAST({_WORDS(_UN(f'regexp_replace({_BODY}, ' + chr(39) + '<[^>]*>' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')'))} AS BIGINT) AS word_count FROM pages",

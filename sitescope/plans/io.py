@@ -91,6 +91,8 @@ _PG = "regexp_replace(url, '^[a-z]+://[^/?#]*', '')"
 ORACLE_SQL = {
     "s01_snapshot": "SELECT page_id, split_part(regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www[.]', ''), ':', 1) AS site, url AS final_url, 200 AS status_code, 'text/html' AS content_type, false AS failed FROM pages",
     "s02_sitemap": "SELECT url, CASE WHEN page_id % 2 = 0 THEN '0.5' ELSE '' END AS priority, '' AS changefreq FROM pages",
+    "s03_sitemap_index": """WITH RECURSIVE f AS (SELECT page_id // 8 AS parent, page_id AS child FROM pages WHERE page_id > 0), r AS (SELECT CAST(0 AS BIGINT) AS id UNION SELECT child FROM r JOIN f ON parent = id)
+      SELECT 's' || id AS sitemap_url FROM r WHERE id NOT IN (SELECT parent FROM f)""",
     "s04_robots_sitemaps": "SELECT page_id, unnest(['https://a.example/' || page_id || '.xml', 'https://b.example/x.xml']) AS sitemap_url FROM pages",
     "s05_url_list": "SELECT page_id, url FROM pages",
     "s06_url_column": "SELECT url AS found FROM pages",

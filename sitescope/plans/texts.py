@@ -182,11 +182,34 @@ _EDGE = "-–—_./\\''\"«»()[]{}"
 _NORMED = lambda x: f"trim(replace(lower({x}), 'ё', 'е'), '{_EDGE}')"
 _CLEAN = lambda x: f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
 _SENT = f"""sent AS (SELECT doc_id, pos - 1 AS pos, {_CLEAN('s')} AS sentence, len(regexp_extract_all(s, '{_W}')) AS n_words FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?…]+(?:[.!?…]+|$)')) AS s, generate_subscripts(regexp_extract_all(text, '[^.!?…]+(?:[.!?…]+|$)'), 1) AS pos FROM ({_DOC}) d) x WHERE len(regexp_extract_all(s, '{_W}')) > 0)"""
-_CNT = lambda pat, x="low": f"len(regexp_extract_all({x}, '{pat}'))"
-_B = lambda m: f"(?:^|[^\\p{{L}}\\p{{N}}_]){m}(?:$|[^\\p{{L}}\\p{{N}}_])"
 _SEV = "CASE WHEN n >= 3 AND severity = 'low' THEN 'medium' WHEN n >= 3 AND severity = 'medium' THEN 'high' ELSE severity END"
-_MARK = " UNION ALL ".join(f"SELECT doc_id, '{t}:{m}' AS title, '{t}' AS t, '{sv}' AS severity, len(list_filter(range(1, len(w) - {len(m.split()) - 2}), lambda i: array_to_string(w[i:i + {len(m.split()) - 1}], ' ') = '{m}')) AS n FROM wl" for m, t, sv in MARKERS)
 _OPEN = f"""op AS (SELECT doc_id, array_to_string(list_transform(regexp_extract_all(sentence, '{_W}')[1:2], lambda x: {_NORMED('x')}), ' ') AS opener, {_NORMED(f"regexp_extract_all(sentence, '{_W}')[1]")} AS first FROM sent)"""
+# pieces of a text: words, sentence ends, and single other characters; so words have offsets and sentences
+_TOK = f"""pc AS (SELECT doc_id, unnest(p) AS piece, unnest(range(len(p))) AS k FROM (SELECT doc_id, regexp_extract_all(text, '{_W}|[.!?…]+|(?s:.)') AS p FROM ({_DOC}) d) x),
+  pl AS (SELECT *, sum(length(piece)) OVER w AS stop, sum(CAST(regexp_matches(piece, '^[.!?…]+$') AS INT)) OVER w AS sentence, regexp_matches(piece, '^[A-Za-zА-Яа-яЁё0-9]') AS isw FROM pc WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+  tk AS (SELECT doc_id, {_NORMED('piece')} AS norm, CAST(stop - length(piece) AS INT) AS start, CAST(stop AS INT) AS stop, CAST(sentence AS INT) AS sentence, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INT) AS idx FROM pl WHERE isw),
+  t3 AS (SELECT *, lead(norm) OVER w AS n2, lead(norm, 2) OVER w AS n3, lead(sentence) OVER w AS s2, lead(sentence, 2) OVER w AS s3, lead(stop) OVER w AS e2, lead(stop, 2) OVER w AS e3 FROM tk WINDOW w AS (PARTITION BY doc_id ORDER BY idx))"""
+# longer phrases claim their words first
+_HITS = f"""WITH {_TOK}, a3 AS (SELECT doc_id, 3 AS requirement, idx AS first, idx + 2 AS last, start, e3 AS stop, sentence FROM t3 WHERE norm = 'on' AND n2 = 'the' AND n3 = 'of' AND s3 = sentence),
+  c3 AS (SELECT doc_id, unnest(range(first, last + 1)) AS idx FROM a3),
+  a2 AS (SELECT doc_id, 0 AS requirement, idx AS first, idx + 1 AS last, start, e2 AS stop, sentence FROM t3 WHERE norm = 'of' AND n2 = 'the' AND s2 = sentence AND NOT EXISTS (SELECT 1 FROM c3 WHERE c3.doc_id = t3.doc_id AND c3.idx IN (t3.idx, t3.idx + 1))),
+  c2 AS (SELECT * FROM c3 UNION ALL SELECT doc_id, unnest(range(first, last + 1)) FROM a2),
+  a1 AS (SELECT doc_id, CASE norm WHEN 'the' THEN 1 ELSE 2 END AS requirement, idx AS first, idx AS last, start, stop, sentence FROM tk WHERE norm IN ('the', 'and') AND NOT EXISTS (SELECT 1 FROM c2 WHERE c2.doc_id = tk.doc_id AND c2.idx = tk.idx)),
+  hit AS (SELECT * FROM a3 UNION ALL SELECT * FROM a2 UNION ALL SELECT * FROM a1) """
+_STATUS = f"""SELECT d.doc_id, b.requirement, b.phrase, coalesce(f.n, 0) AS n, CASE WHEN coalesce(f.n, 0) < lo THEN 'missing' WHEN coalesce(f.n, 0) > hi THEN 'excess' ELSE 'ok' END AS status, CAST(CASE WHEN coalesce(f.n, 0) < lo THEN lo - coalesce(f.n, 0) WHEN f.n > hi THEN f.n - hi ELSE 0 END AS BIGINT) AS delta
+  FROM ({_DOC}) d CROSS JOIN (VALUES {", ".join(f"({k}, '{p}', {k % 3}, {k % 3 + 2})" for k, p in enumerate(PHRASES))}) b(requirement, phrase, lo, hi) LEFT JOIN (SELECT doc_id, requirement, count(*) AS n FROM hit GROUP BY 1, 2) f ON f.doc_id = d.doc_id AND f.requirement = b.requirement"""
+_GAPS = """SELECT doc_id, pb AS "left", requirement AS "right", CAST(greatest(0, first - lb - 1) AS BIGINT) AS gap FROM (SELECT *, lag(last) OVER w AS lb, lag(sentence) OVER w AS sb, lag(requirement) OVER w AS pb FROM hit WINDOW w AS (PARTITION BY doc_id ORDER BY first, last)) g WHERE sentence = sb AND first - lb - 1 < 2"""
+_COVER = f"""SELECT d.doc_id, b.requirement, b.phrase, coalesce(f.n, 0) AS n, coalesce(f.n, 0) > 0 AS found FROM ({_DOC}) d CROSS JOIN (VALUES {", ".join(f"({k}, '{p}')" for k, p in enumerate(LSI))}) b(requirement, phrase)
+  LEFT JOIN (SELECT doc_id, 0 AS requirement, count(*) AS n FROM t3 WHERE norm = 'with' GROUP BY 1 UNION ALL SELECT doc_id, 1, count(*) FROM t3 WHERE norm = 'are' AND n2 = 'the' AND s2 = sentence GROUP BY 1) f ON f.doc_id = d.doc_id AND f.requirement = b.requirement"""
+# word borders by a doubled character between words, as each border is then met from one side
+_LOW = f"low AS (SELECT doc_id, ' ' || regexp_replace({_NORMED('text')}, '([^\\p{{L}}\\p{{M}}\\p{{N}}_])', '\\1\\1', 'g') || ' ' AS low FROM ({_DOC}) d)"
+_TIMES = lambda m: f"len(regexp_extract_all(low, '[^\\p{{L}}\\p{{M}}\\p{{N}}_]{m.replace(' ', '  ')}[^\\p{{L}}\\p{{M}}\\p{{N}}_]'))"
+_MARKS = " UNION ALL ".join(f"SELECT doc_id, '{t}:{m}' AS title, '{t}' AS t, '{v}' AS severity, {_TIMES(m)} AS n FROM low" for m, t, v in MARKERS)
+_F14 = f"SELECT doc_id, 'marker' AS kind, {_SEV} AS severity, title, n FROM ({_MARKS}) m WHERE n > 0 AND (t NOT IN ({', '.join(repr(c) for c in T.COMMON)}) OR n >= 2)"
+_F18 = " UNION ALL ".join(f"SELECT doc_id, 'repetition' AS kind, 'medium' AS severity, 'connector:{w}' AS title, {_TIMES(w)} AS n FROM low WHERE {_TIMES(w)} >= 3" for w in CONNECTORS)
+_NEAR = f"""cw AS (SELECT DISTINCT doc_id, pos, w AS stem FROM (SELECT doc_id, pos, unnest(list_transform(regexp_extract_all(sentence, '{_W}'), lambda x: {_NORMED('x')})) AS w FROM sent) q WHERE length(w) > 2 AND w NOT IN ({", ".join(f"'{x}'" for x in STOP)}) AND NOT regexp_matches(w, '^[0-9]+$')),
+  st AS (SELECT s.doc_id, s.pos, coalesce(list(stem) FILTER (WHERE stem IS NOT NULL), []) AS stems FROM sent s LEFT JOIN cw ON cw.doc_id = s.doc_id AND cw.pos = s.pos GROUP BY 1, 2),
+  nb AS (SELECT doc_id, pos, len(stems) AS a, len(after) AS b, len(list_intersect(stems, after)) AS same FROM (SELECT *, lead(stems) OVER (PARTITION BY doc_id ORDER BY pos) AS after FROM st) z WHERE after IS NOT NULL)"""
 _TASK = X.sql(X.TASK_TEXTS)
 _HOLDS = lambda words, x: "(" + " OR ".join(f"contains({x}, '{w}')" for w in words) + ")"
 _WORDS_CASE = lambda table, x, other: "CASE " + " ".join(f"WHEN {_HOLDS(w, x)} THEN '{n}'" for n, w in table) + (f" ELSE '{other}'" if other else "") + " END"
@@ -206,6 +229,30 @@ _LINES = f"""WITH l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS r
 ORACLE_SQL = {
     "t01_blank_lines": f"SELECT doc_id, sha256(array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), chr(10))) AS sha FROM ({_DOC}) d",
     "t02_normal_words": f"SELECT {_NORMED('w')} AS norm, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '\\s+')) AS w FROM ({_DOC}) d) x GROUP BY 1",
+    "t03_stems": f"SELECT DISTINCT w AS word, {_NORMED('w')} AS stem FROM (SELECT unnest(regexp_extract_all(text, '{_W}')) AS w FROM ({_DOC}) d) x",
+    "t04_tokens": f"WITH {_TOK} SELECT doc_id, count(*) AS tokens, CAST(max(stop) AS BIGINT) AS last_end, CAST(max(sentence) AS BIGINT) AS sentences FROM tk GROUP BY 1",
+    "t05_phrase_matches": f"WITH {_TOK} SELECT doc_id, count(*) AS n FROM t3 WHERE norm = 'of' AND n2 = 'the' AND s2 = sentence GROUP BY 1",
+    "t06_independent_matches": _HITS + "SELECT doc_id, requirement, count(*) AS n, min(first) AS first FROM hit GROUP BY 1, 2",
+    "t07_keyword_status": _HITS + _STATUS,
+    "t08_spacing": _HITS + _GAPS,
+    "t09_coverage": f"WITH {_TOK} {_COVER}",
+    "t10_readiness": _HITS + f""", stt AS ({_STATUS}), gp AS (SELECT doc_id, count(*) AS spacing FROM ({_GAPS}) g GROUP BY 1), cv AS (SELECT doc_id, count(*) FILTER (WHERE NOT found) AS missing_lsi FROM ({_COVER}) c GROUP BY 1),
+      vo AS (SELECT doc_id, len(regexp_extract_all(text, '{_W}')) < 255 AS short FROM ({_DOC}) d),
+      al AS (SELECT s.doc_id, CAST(sum(CASE WHEN status = 'missing' THEN delta ELSE 0 END) AS BIGINT) AS missing, CAST(sum(CASE WHEN status = 'excess' THEN delta ELSE 0 END) AS BIGINT) AS excess, coalesce(any_value(spacing), 0) AS spacing, any_value(missing_lsi) AS missing_lsi, any_value(short) AS short
+        FROM stt s LEFT JOIN gp ON gp.doc_id = s.doc_id JOIN cv ON cv.doc_id = s.doc_id JOIN vo ON vo.doc_id = s.doc_id GROUP BY 1),
+      iss AS (SELECT *, list_filter([CASE WHEN missing > 0 THEN 'missing' END, CASE WHEN excess > 0 THEN 'excess' END, CASE WHEN spacing > 0 THEN 'spacing' END, CASE WHEN missing_lsi > 0 THEN 'lsi' END, CASE WHEN short THEN 'short' END], lambda x: x IS NOT NULL) AS i FROM al)
+      SELECT doc_id, missing, excess, spacing, missing_lsi, array_to_string(i, ',') AS issues, len(i) = 0 AS ready FROM iss""",
+    "t14_markers": f"WITH {_LOW} {_F14}",
+    "t16_similar_neighbours": f"WITH {_SENT}, {_NEAR}, sc AS (SELECT doc_id, pos, CASE WHEN a < 3 OR b < 3 THEN 0.0 ELSE greatest(same / CAST(a + b - same AS DOUBLE), 0.86 * same / least(a, b)) END AS score FROM nb) SELECT doc_id, pos, round(score, 4) AS score FROM sc WHERE round(score, 4) >= 0.56 AND score >= 0.56",
+    "t18_connectors": f"WITH {_LOW} {_F18}",
+    "t20_verb_forms": f"SELECT doc_id, 'syntax' AS kind, CASE WHEN n < 6 THEN 'medium' ELSE 'high' END AS severity, 'verb_forms' AS title, n FROM (SELECT doc_id, len(regexp_extract_all(text, '[a-z]{{4,}}ing\\b')) + len(regexp_extract_all(text, '[a-z]{{4,}}ed\\b')) AS n FROM ({_DOC}) d) q WHERE n >= 3",
+    "t24_style_result": f"""WITH {_SENT}, {_LOW}, {_OPEN}, p AS (SELECT doc_id, count(*) AS n, stddev_pop(n_words) AS sd, count(*) FILTER (WHERE n_words >= 30) AS l FROM sent GROUP BY 1),
+      fi AS (SELECT doc_id, severity, title, n FROM ({_F14}) a UNION ALL SELECT doc_id, severity, title, n FROM ({_F18}) b UNION ALL SELECT doc_id, 'medium', 'opener:' || opener, count(*) FROM op GROUP BY doc_id, opener, first HAVING count(*) >= 3 OR (count(*) >= 2 AND first IN ('the', 'la'))
+        UNION ALL SELECT doc_id, 'medium', 'even_rhythm', 1 FROM p WHERE n >= 5 AND sd < 4 UNION ALL SELECT doc_id, 'medium', 'long_sentences', l FROM p WHERE l > 0),
+      un AS (SELECT DISTINCT * FROM fi), ag AS (SELECT doc_id, sum(CASE severity WHEN 'high' THEN 11 WHEN 'medium' THEN 7 ELSE 3 END) AS cost, count(*) FILTER (WHERE severity = 'high') AS high, count(*) FILTER (WHERE severity = 'medium') AS medium, count(*) FILTER (WHERE severity = 'low') AS low,
+        array_to_string(list_transform(list_sort(list({{'r': CASE severity WHEN 'high' THEN 0 ELSE 1 END, 't': title}}) FILTER (WHERE severity <> 'low'))[1:8], lambda x: x.t), '|') AS rewrite_first FROM un GROUP BY 1)
+      SELECT d.doc_id, CAST(greatest(0, 100 - coalesce(cost, 0)) AS BIGINT) AS score, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low, coalesce(rewrite_first, '') AS rewrite_first FROM ({_DOC}) d LEFT JOIN ag ON ag.doc_id = d.doc_id""",
+    "t25_protected": _HITS + 'SELECT doc_id, requirement, CAST(start AS INT) AS start, CAST(stop AS INT) AS "end", true AS exact FROM hit',
     "t10_volume": f"SELECT doc_id, n AS n_words, c AS n_chars, 300 - n AS word_delta, 2000 - c AS char_delta, n < 255 AS too_short FROM (SELECT doc_id, len(regexp_extract_all(text, '{_W}')) AS n, length({_CLEAN('text')}) AS c FROM ({_DOC}) d) x",
     "t11_snippets": f"SELECT doc_id, '…' || {_CLEAN('substr(text, 71, greatest(0, least(length(text), 150) - 70))')} || CASE WHEN least(length(text), 150) < length(text) THEN '…' ELSE '' END AS snippet FROM ({_DOC}) d",
     "t12_briefs": """SELECT item_id AS brief_id, 'https://e.example/p' || item_id % 9 AS url, 300 + item_id % 5 * 100 AS words, CASE WHEN item_id % 3 <> 0 THEN 2000 + item_id % 4 * 500 END AS chars, 2 + CAST(item_id % 2 = 0 AS INT) AS n_keys,
