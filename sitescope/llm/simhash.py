@@ -109,7 +109,7 @@ class Ranges:
         self.digests = np.zeros(len(marks), np.uint64)
         for k in np.flatnonzero(np.r_[False, self.ids[1:] == self.ids[:-1]]):
             same = int((self.ids == self.ids[k]).sum())
-            nth = k - int(np.searchsorted(self.ids, self.ids[k]))
+            nth = int(k) - int(np.searchsorted(self.ids, self.ids[k]))
             self.digests[k] = np.uint64(nth * ((1 << 64) // same))
         self.unnamed = np.array([k * ((1 << 64) // max(unnamed, 1)) for k in range(1, unnamed)], np.uint64)
 

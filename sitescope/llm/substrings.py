@@ -33,6 +33,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sitescope.llm import common
 
@@ -222,7 +223,9 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame
     answers = replies.select("chunk", "bucket", "at", "least", "branch", zero.alias("window"), zero.alias("digest"), zero.alias("doc")).unionByName(
         repeated.select("chunk", F.lit(-1).alias("bucket"), none.alias("at"), none.alias("least"), none.alias("branch"), *same, "doc")
     )
-    schema = f"row {dealt.schema['row'].dataType.simpleString()}, unnamed boolean, text string, n_words long, n_removed long, kept string, kept_sha256 string"
+    schema = StructType().add("row", dealt.schema["row"].dataType)
+    for name, kind in (("unnamed", "boolean"), ("text", "string"), ("n_words", "long"), ("n_removed", "long"), ("kept", "string"), ("kept_sha256", "string")):
+        schema = schema.add(name, kind)
     out = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema)
     whole = [(F.col("text") if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns]
     return out.select(F.struct(*whole).alias("row"), F.col("row").getField("doc_id").alias("doc_id"), "n_words", "n_removed", "kept", "kept_sha256")

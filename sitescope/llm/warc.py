@@ -47,7 +47,7 @@ def mark_revisits(pages: DataFrame, key: str = "page_id") -> DataFrame:
     large = base.where(F.col("payload_bytes") >= MIN_REVISIT)
     firsts = large.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("payload_digest", "first_id")
     joined = common.join_spread(base, firsts, "payload_digest")
-    return joined.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(F.col("page_id") != F.col("first_id"), F.col("first_id")).alias("refers_to"))
+    return joined.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to"))
 
 
 def record(page_id, url: str | None, payload: bytes, size: int, digest: str, refers_to) -> bytes:
