@@ -6,8 +6,10 @@ import tempfile
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -194,6 +196,43 @@ class Spans:
         return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Compressed, byte plane by byte plane: upper bytes that hardly differ take no room."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes()) if len(values) else b""
+
+
+def unpack(data: bytes, kind) -> np.ndarray:
+    if not data:
+        return np.zeros(0, kind)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
+
+
+def added_up(sent: DataFrame, width: int) -> DataFrame:
+    """(block, counts): blocks of ``width`` packed counts (block, part, counts) added up, first within each part, so that
+    no group holds the blocks of all tasks."""
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(width, np.int64)
+        for x in rows["counts"]:
+            total += unpack(x, np.int64)
+        return pd.DataFrame({"block": [rows["block"].iloc[0]], "counts": [pack(total)]})
+
+    return sent.groupBy("block", "part").applyInPandas(add, "block int, counts binary").groupBy("block").applyInPandas(add, "block int, counts binary")
+
+
+def count_blocks(total: np.ndarray, width: int, part: int) -> Iterator[pa.RecordBatch]:
+    """The blocks of a table of counts that are not empty, as added_up() takes them."""
+    blocks = total.reshape(-1, width)
+    there = np.flatnonzero(blocks.any(axis=1))
+    for lo in range(0, len(there), 64):
+        own = there[lo : lo + 64]
+        columns = [pa.array(own, pa.int32()), pa.array(np.full(len(own), part), pa.int32()), pa.array([pack(blocks[b]) for b in own], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["block", "part", "counts"])
+
+
 def as_bytes(texts) -> list[bytes]:
     """UTF-8 of each text; null counts as empty."""
     return [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]

@@ -21,7 +21,6 @@ are 64-bit hashes.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,27 +75,11 @@ def shingle_ranks(docs: DataFrame, k: int, bits: int = ORDER_BITS, fan: int = 25
         for _, texts in common.slices(batches):
             value, _ = distinct_sets(*shingles(texts, k))
             total += np.bincount((value >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-        blocks = total.reshape(-1, width)
-        there = np.flatnonzero(blocks.any(axis=1))
-        group = TaskContext.get().partitionId() % fan
-        for lo in range(0, len(there), 64):
-            own = there[lo : lo + 64]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(own.astype(np.int32)), pa.array(np.full(len(own), group, np.int32)), pa.array([blocks[b].astype("<i8").tobytes() for b in own], pa.binary())],
-                ["block", "part", "counts"],
-            )
-
-    def add(block: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(width, np.int64)
-        for x in block["counts"]:
-            total += np.frombuffer(x, "<i8")
-        return pd.DataFrame({"block": [block["block"].iloc[0]], "counts": [total.tobytes()]})
-
-    sent = docs.select("text").mapInArrow(count, "block int, part int, counts binary")
-    added = sent.groupBy("block", "part").applyInPandas(add, "block int, counts binary").groupBy("block").applyInPandas(add, "block int, counts binary")
+        yield from common.count_blocks(total, width, TaskContext.get().partitionId() % fan)
+
     ranks = np.zeros(1 << bits, np.uint8)
-    for block, found in added.collect():  # 2**bits numbers in all
-        ranks[block * width : (block + 1) * width] = np.floor(2 * np.log2(np.maximum(np.frombuffer(found, "<i8"), 1))).astype(np.uint8)
+    for block, found in common.added_up(docs.select("text").mapInArrow(count, "block int, part int, counts binary"), width).collect():  # 2**bits numbers in all
+        ranks[block * width : (block + 1) * width] = np.floor(2 * np.log2(np.maximum(common.unpack(found, np.int64), 1))).astype(np.uint8)
     return ranks
 
 

@@ -16,6 +16,10 @@ are what travels, about one for five windows:
 Labels and windows are verified by a second digest, computed at the source coordinates from the words' bytes by another,
 independent hash: only spans that agree in both (128 bits) count as equal.
 
+A node that very many paths of the corpus pass, such as one at the border of boilerplate, would gather a label for each
+document. Such hot nodes are known beforehand, by a fixed-size table of counts of the nodes' classes; their paths are all
+expanded into windows, which combine before the shuffle, and no label of theirs is sent.
+
 The chunks' texts are shuffled once; the steps reuse that exchange. Documents are dealt to chunks by id and text, so many
 rows of one id (or none) spread.
 
@@ -31,6 +35,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -41,12 +46,17 @@ WINDOW = 13
 K = 5
 #: Nodes that one bucket holds on average at most.
 BUCKET_NODES = 1_000_000
+#: Paths of the corpus through a class of nodes that make it hot, and the number of classes (a power of two).
+HOT_PATHS = 1_000_000
+CLASS_BITS = 21
+#: Windows are joined in so many parts each.
+SALTS = 8
 
 
 class Paths:
     """The paths of a chunk's documents."""
 
-    def __init__(self, texts: list[bytes], ids: np.ndarray, known: np.ndarray, window: int, k: int):
+    def __init__(self, texts: list[bytes], ids: np.ndarray, known: np.ndarray, window: int, k: int, hot: np.ndarray | None = None):
         self.window = window
         self.hashes, self.owner = common.word_hashes(texts)
         self.sums = common.Spans(self.hashes)
@@ -73,12 +83,15 @@ class Paths:
                 self.label = self.sums.of(self.first, self.last + window)
                 self.check = self.digests.of(self.first, self.last + window)
                 self.doc = ids[self.owner[self.first]]
-        order = np.lexsort((self.doc, self.check, self.label, self.node))
+        #: Paths at hot nodes: always looked at window by window.
+        self.hot = hot[class_of(common.mix(self.node))] if hot is not None and len(hot) else np.zeros(len(self.node), bool)
+        cold = np.flatnonzero(~self.hot)
+        order = cold[np.lexsort((self.doc[cold], self.check[cold], self.label[cold], self.node[cold]))]
         node, label, check = self.node[order], self.label[order], self.check[order]
         head = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (label[1:] != label[:-1]) | (check[1:] != check[:-1])]) if len(order) else empty
         #: Distinct (node, label, digest) with the least document; ``entry`` leads from paths to them.
         self.nodes, self.labels, self.checks, self.least = node[head], label[head], check[head], self.doc[order][head]
-        self.entry = np.zeros(len(order), np.int64)
+        self.entry = np.zeros(len(self.node), np.int64)
         self.entry[order] = np.cumsum(np.r_[0, np.diff(np.searchsorted(head, np.arange(len(order)), side="right"))]) if len(order) else empty
 
     def answered(self, replies: pd.DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,8 +104,10 @@ class Paths:
             own = order[begin[b] : begin[b + 1]][np.frombuffer(at, np.int32)]
             least[own] = np.frombuffer(low, np.int64)
             branch[own] = np.frombuffer(forks, np.uint8) > 0
-        gone = self.doc > least[self.entry]
-        return gone, ~gone & branch[self.entry]
+        if not len(least):
+            return np.zeros(len(self.doc), bool), self.hot
+        gone = (self.doc > least[self.entry]) & ~self.hot
+        return gone, (~gone & branch[self.entry]) | self.hot
 
     def windows(self, paths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(first word, hash, digest, document) of every window of the paths."""
@@ -102,6 +117,37 @@ class Paths:
         return start, self.sums.of(start, start + self.window), self.digests.of(start, start + self.window), np.repeat(self.doc[paths], n)
 
 
+def class_of(nodes: np.ndarray) -> np.ndarray:
+    return (nodes >> np.uint64(64 - CLASS_BITS)).astype(np.int64)
+
+
+def hot_classes(docs: DataFrame, window: int, k: int, least: int, fan: int = 256) -> np.ndarray:
+    """Which classes of nodes more than ``least`` paths pass; empty if none. ``docs``: id, unnamed, text.
+
+    Minimizers are small hashes, so classes are of the mixed hash. Tasks send their counts in blocks, which are added up in
+    two steps; only blocks with a hot class come to the driver, as bits.
+    """
+    width = 1 << 12
+
+    def count(batches):
+        total = np.zeros(1 << CLASS_BITS, np.int64)
+        for batch, texts in common.slices(batches):
+            ids, unnamed = batch.column("id").to_numpy(), batch.column("unnamed").to_numpy(zero_copy_only=False).astype(bool)
+            total += np.bincount(class_of(common.mix(Paths(texts, ids, ~unnamed, window, k).node)), minlength=len(total))
+        yield from common.count_blocks(total, width, TaskContext.get().partitionId() % fan)
+
+    @F.pandas_udf("binary")
+    def bits(counts: pd.Series) -> pd.Series:
+        over = (common.unpack(x, np.int64) > least for x in counts)
+        return pd.Series([np.packbits(x).tobytes() if x.any() else None for x in over], dtype=object)
+
+    added = common.added_up(docs.mapInArrow(count, "block int, part int, counts binary"), width)
+    hot = np.zeros(1 << CLASS_BITS, bool)
+    for block, found in added.select("block", bits("counts").alias("bits")).where("bits is not null").collect():
+        hot[block * width : (block + 1) * width] = np.unpackbits(np.frombuffer(found, np.uint8))
+    return hot if hot.any() else np.zeros(0, bool)
+
+
 def bucket_of(nodes: np.ndarray, buckets: int) -> np.ndarray:
     return (common.mix(nodes) % np.uint64(buckets)).astype(np.int64)
 
@@ -135,7 +181,7 @@ def settle_nodes(bucket: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["chunk", "bucket", "at", "least", "branch"])
 
 
-def drop_repeats(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
+def drop_repeats(docs: DataFrame, window: int = WINDOW, k: int = K, hot_paths: int = HOT_PATHS) -> DataFrame:
     """(row, doc_id, n_words, n_removed, kept, kept_sha256): ``row`` is the document as it came, ``kept`` the words left,
     joined by one space, where any was removed (else null), and the digest that of the kept words in either case."""
     total = docs.agg(F.sum(F.octet_length(common.field("text")))).first()[0] or 0
@@ -146,11 +192,14 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame
     ident, text = common.field("doc_id").cast("long"), common.field("text")
     rest = [common.field(c).alias(c) for c in docs.columns if c != "text"]
     dealt = docs.select(F.struct(*rest).alias("row"), F.coalesce(ident, F.lit(0)).alias("id"), ident.isNull().alias("unnamed"), text.alias("text"))
+    # fewer bytes than so many paths have no hot node
+    hot = hot_classes(dealt.select("id", "unnamed", "text"), window, k, hot_paths) if total > 2 * hot_paths else np.zeros(0, bool)
+    shared = docs.sparkSession.sparkContext.broadcast(hot)  # 2**CLASS_BITS bytes at most
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("id", "unnamed", "text"), F.lit(chunks)).cast("int")).repartition(n, "chunk")
 
     def paths(docs: pa.Table) -> Paths:
         ids, unnamed = (docs.column(c).to_numpy() for c in ("id", "unnamed"))
-        return Paths(common.utf8(docs.column("text")), ids, ~unnamed.astype(bool), window, k)
+        return Paths(common.utf8(docs.column("text")), ids, ~unnamed.astype(bool), window, k, shared.value)
 
     def table(schema: str, columns: list) -> pa.Table:
         kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
@@ -169,7 +218,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame
     WINDOWS = "window long, digest long, doc long, chunk int"
 
     def expand(key: tuple, docs: pa.Table, replies: pa.Table) -> pa.Table:
-        if not docs.num_rows or not replies.num_rows:
+        if not docs.num_rows or not (replies.num_rows or len(shared.value)):
             return table(WINDOWS, [[]] * 4)
         own = paths(docs)
         _, look = own.answered(replies.to_pandas(), buckets)
@@ -217,7 +266,9 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame
     expanded = dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(expand, WINDOWS)
     same = ["window", "digest"]
     firsts = expanded.groupBy(*same).agg(F.min("doc").alias("first"), F.max("doc").alias("other")).where("first < other").select(*same, "first")
-    repeated = expanded.join(firsts, same).where("doc > first").select("chunk", *same, "doc").distinct()
+    # a window that very many documents hold is joined in parts
+    salted = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    repeated = expanded.withColumn("salt", F.pmod("chunk", F.lit(SALTS))).join(salted, [*same, "salt"]).where("doc > first").select("chunk", *same, "doc").distinct()
     # no nulls among the longs: pandas would turn them into floats
     none, zero = F.lit(b""), F.lit(0).cast("long")
     answers = replies.select("chunk", "bucket", "at", "least", "branch", zero.alias("window"), zero.alias("digest"), zero.alias("doc")).unionByName(

@@ -122,8 +122,9 @@ def test_packing_special_token():
         assert packing.encode(text) == full.encode(text, add_special_tokens=False).ids + [1]
 
 
-def test_substrings(docs, nothing):
-    got = {(r["doc_id"], r["kept_sha256"]): r for r in substrings.drop_repeats(docs).collect()}
+@pytest.mark.parametrize("hot_paths", [substrings.HOT_PATHS, 2, 12])
+def test_substrings(docs, nothing, hot_paths):
+    got = {(r["doc_id"], r["kept_sha256"]): r for r in substrings.drop_repeats(docs, hot_paths=hot_paths).collect()}
     source = [(r["doc_id"], r["text"]) for r in docs.collect()]
     first = {}
     for i, t in source:
