@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitescope.sources.tables import small
+
 #: RFC 3986, appendix B. parse_url() is stricter: it gives null for spaces and bad escapes.
 PARTS = r"(?s)^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?"
 
@@ -145,14 +147,12 @@ def excludes(url, pattern) -> Column:
 def drop_excluded(urls: DataFrame, patterns: DataFrame, url: str = "url") -> DataFrame:
     """URLs that no pattern of their site (or a pattern without a site) hits.
 
-    Patterns are a site's settings, a few rows each: they are gathered per site and joined by it, so that a URL meets
-    only its own site's patterns.
+    A URL meets only its own site's patterns, by a join on the site; patterns without a site are tried on every URL.
     """
-    own = patterns.where("site is not null").groupBy("site").agg(F.collect_set("pattern").alias("__own"))
-    common = patterns.where("site is null").agg(F.collect_set("pattern").alias("__common"))
-    both = urls.join(own, "site", "left").join(F.broadcast(common))
-    every = F.concat(F.coalesce("__own", F.array().cast("array<string>")), F.col("__common"))
-    return both.where(~F.exists(every, lambda p: excludes(F.col(url), p))).select(*urls.columns)
+    own = patterns.where("site is not null").select(F.col("site").alias("__site"), F.col("pattern").alias("__pattern"))
+    common = patterns.where("site is null").select(F.col("pattern").alias("__pattern"))
+    hit = excludes(F.col(url), F.col("__pattern"))
+    return urls.join(own, (F.col("site") == F.col("__site")) & hit, "left_anti").join(small(common), hit, "left_anti")
 
 
 def segments(url) -> Column:

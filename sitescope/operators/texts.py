@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitescope.functions.words import WORD, normal, normal_word
+from sitescope.sources.tables import small
 
 # The editorial rules' default word lists.
 CONNECTORS = ("также", "при этом", "кроме того", "поэтому", "таким образом")
@@ -63,7 +64,7 @@ def words(text) -> Column:
 def keyword_status(hits: DataFrame, docs: DataFrame, briefs: DataFrame) -> DataFrame:
     """Each document's requirements: found, missing, enough or in excess. ``briefs``: requirement, phrase, min, max."""
     found = hits.groupBy("doc_id", "requirement").agg(F.count(F.lit(1)).alias("n"))
-    every = docs.select("doc_id").join(F.broadcast(briefs)).join(found, ["doc_id", "requirement"], "left").na.fill(0, ["n"])
+    every = docs.select("doc_id").join(small(briefs)).join(found, ["doc_id", "requirement"], "left").na.fill(0, ["n"])
     c = F.col
     status = F.when(c("n") < c("min"), "missing").when(c("n") > c("max"), "excess").otherwise("ok")
     delta = F.when(c("n") < c("min"), c("min") - c("n")).when(c("n") > c("max"), c("n") - c("max")).otherwise(0)
@@ -81,7 +82,7 @@ def spacing(hits: DataFrame, least: int = 2) -> DataFrame:
 def coverage(hits: DataFrame, docs: DataFrame, phrases: DataFrame) -> DataFrame:
     """How often each wanted phrase occurs in each document."""
     found = hits.groupBy("doc_id", "requirement").agg(F.count(F.lit(1)).alias("n"))
-    return docs.select("doc_id").join(F.broadcast(phrases)).join(found, ["doc_id", "requirement"], "left").na.fill(0, ["n"]).withColumn("found", F.col("n") > 0)
+    return docs.select("doc_id").join(small(phrases)).join(found, ["doc_id", "requirement"], "left").na.fill(0, ["n"]).withColumn("found", F.col("n") > 0)
 
 
 def volume(docs: DataFrame, want_words: int, want_chars: int) -> DataFrame:
@@ -142,7 +143,7 @@ def _finding(kind: str, severity: Column | str, title, count) -> list[Column]:
 def marker_hits(docs: DataFrame, rules: DataFrame) -> DataFrame:
     """Findings from a rule table (marker, title, severity): small, so every document meets every rule."""
     n = F.expr("regexp_count(low, concat('(?iU)\\\\b', marker, '\\\\b'))")
-    hit = docs.select("doc_id", normal("text").alias("low")).join(F.broadcast(rules)).withColumn("n", n).where((F.col("n") > 0) & (~F.col("title").isin(*COMMON) | (F.col("n") >= 2)))
+    hit = docs.select("doc_id", normal("text").alias("low")).join(small(rules)).withColumn("n", n).where((F.col("n") > 0) & (~F.col("title").isin(*COMMON) | (F.col("n") >= 2)))
     up = F.when((F.col("n") >= 3) & (F.col("severity") == "low"), "medium").when((F.col("n") >= 3) & (F.col("severity") == "medium"), "high").otherwise(F.col("severity"))
     return hit.select(*_finding("marker", up, F.concat("title", F.lit(":"), "marker"), F.col("n")))
 

@@ -8,12 +8,13 @@ from sitescope.functions import html as H
 from sitescope.functions import urls as U
 from sitescope.operators import links as L
 from sitescope.plans import fixture as X
+from sitescope.sources.tables import settled
 
 
 def tables(spark, sf_dir):
-    """(pages, links, homes) of the derived graph."""
-    pages = X.derive(spark, sf_dir, X.RANKED, "pages")
-    links = X.derive(spark, sf_dir, X.LINKS, "pages", "nation")
+    """(pages, links, homes) of the derived graph, written once, as every query joins them several times."""
+    pages = settled(X.derive(spark, sf_dir, X.RANKED, "pages"))
+    links = settled(X.derive(spark, sf_dir, X.LINKS, "pages", "nation"))
     return pages, links, pages.where("rn = 1").select("site", "key")
 
 

@@ -85,11 +85,11 @@ def read_url_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def url_column(rows: DataFrame) -> str | None:
-    """The column that holds addresses: by its name, else by the share of its values that look like one."""
+    """The column that holds addresses: by its name, else by the share of its values that look like one, over all rows."""
     for wanted in (lambda c: c.lower() in URL_HEADERS, lambda c: "url" in c.lower()):
         if hit := next((c for c in rows.columns if wanted(c)), None):
             return hit
-    long = rows.limit(200).unpivot([], rows.columns, "name", "value").where("trim(value) <> ''")
+    long = rows.unpivot([], rows.columns, "name", "value").where("trim(value) <> ''")
     share = long.groupBy("name").agg(F.count_if(U.looks_like_url("value")).alias("n"), F.count(F.lit(1)).alias("all")).where("n >= 2 and n >= 0.6 * all")
     best = share.orderBy(F.desc(F.col("n") / F.col("all")), "name").first()
     return best["name"] if best else None

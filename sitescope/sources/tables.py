@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: An input of fewer bytes a core than this may be one task's work; dealing it out costs less than leaving cores idle.
 SMALL = 4 << 20
@@ -36,6 +37,11 @@ def removed(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """The rows, to be broadcast if they are few; beyond that Spark chooses how to join them."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A small input dealt over all cores, for work that costs much a row; larger inputs have splits enough and stay."""
     cores = df.sparkSession.sparkContext.defaultParallelism
