@@ -117,27 +117,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _hash_words(buf: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of each word of a buffer of bytes."""
+def _hash_words(buf: np.ndarray, tables: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(start, hashes by each table) of each word of a buffer of bytes."""
     word = ~_SPACE[buf]
     edge = np.flatnonzero(np.diff(word.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
     start, end = edge[::2], edge[1::2]
     if not len(start):
-        return start, np.zeros(0, np.uint64)
+        return start, [np.zeros(0, np.uint64) for _ in tables]
     at = np.flatnonzero(word)
     length = end - start
     first = np.concatenate(([0], np.cumsum(length)[:-1]))
     pos = np.arange(len(at)) - np.repeat(first, length)
-    slot = pos % _SLOTS
-    value = table[slot * 256 + buf[at]]
+    place = (pos % _SLOTS) * 256 + buf[at]
+    factor = None
     if length.max() > _SLOTS:
         far = pos // _SLOTS
-        value *= (np.uint64(2) * far.astype(np.uint64) * np.uint64(0x5851F42D4C957F2D) + np.uint64(1))
-    return start, mix(np.add.reduceat(value, first) + length.astype(np.uint64))
+        factor = np.uint64(2) * far.astype(np.uint64) * np.uint64(0x5851F42D4C957F2D) + np.uint64(1)
+    out = []
+    for table in tables:
+        value = table[place]
+        if factor is not None:
+            value *= factor
+        out.append(mix(np.add.reduceat(value, first) + length.astype(np.uint64)))
+    return start, out
 
 
-def word_hashes(texts: list[bytes], slice_bytes: int = 2_000_000, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of every word of every text, and the index of its text; ``which``: one of two independent hashes.
+def word_hashes(texts: list[bytes], slice_bytes: int = 400_000, tables: int = 1) -> tuple[np.ndarray, ...]:
+    """64-bit hash of every word of every text, and the index of its text; with two ``tables`` a second, independent hash.
 
     Works on slices that end at white space, so memory stays bounded for very long texts.
     """
@@ -157,14 +163,15 @@ def word_hashes(texts: list[bytes], slice_bytes: int = 2_000_000, which: int = 0
             end = end + int(gap[0]) if len(gap) else len(whole)
         else:
             end = len(whole)
-        s, h = _hash_words(np.frombuffer(whole, np.uint8, end - at, at), _TABLES[which])
+        s, h = _hash_words(np.frombuffer(whole, np.uint8, end - at, at), _TABLES[:tables])
         starts.append(s + at)
         hashes.append(h)
         at = end
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * (tables - 1)
     owner = np.searchsorted(offsets, np.concatenate(starts), side="right") - 1
-    return np.concatenate(hashes), owner
+    first, *more = (np.concatenate(h) for h in zip(*hashes))
+    return first, owner, *more
 
 
 def grams(hashes: np.ndarray, owner: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -9,8 +9,9 @@ are what travels, about one for five windows:
 2. A bucket of nodes tells the chunks, for labels seen elsewhere, the least document of all that holds the label, and
    whether the node branches (several labels, several documents). Where it does not branch, the path is settled whole:
    all its windows start in a smaller document exactly if its label does.
-3. Only the first holders of labels at branching nodes expand their paths into windows, which are joined by hash:
-   whoever also holds such a window has either a settled path or expands it, too.
+3. Only the first holders of labels at branching nodes expand their paths into windows: whoever also holds such a
+   window has either a settled path or expands it, too. A chunk sends each window once, with its least document there,
+   and is told which of them start in a smaller document elsewhere; the others it judges by itself.
 4. The chunks put the answers to their source coordinates, mark the words covered and drop them.
 
 Labels and windows are verified by a second digest, computed at the source coordinates from the words' bytes by another,
@@ -36,7 +37,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -49,8 +50,19 @@ BUCKET_NODES = 1_000_000
 #: Paths of the corpus through a class of nodes that make it hot, and the number of classes (a power of two).
 HOT_PATHS = 1_000_000
 CLASS_BITS = 21
-#: Windows are joined in so many parts each.
-SALTS = 8
+
+
+def minimizers(sums: common.Spans, owner: np.ndarray, known: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(least run, its place) of the window at each word, and which words start a window of a named document."""
+    n = len(owner) - window + 1
+    start = np.arange(len(owner) - k + 1)
+    runs = sums.of(start, start + k)
+    best, place = runs[:n].copy(), np.zeros(n, np.int8)
+    for j in range(1, window - k + 1):
+        less = runs[j : j + n] < best
+        np.copyto(best, runs[j : j + n], where=less)
+        place[less] = j
+    return best, place, np.flatnonzero((owner[:n] == owner[window - 1 :]) & known[owner[:n]])
 
 
 class Paths:
@@ -58,22 +70,14 @@ class Paths:
 
     def __init__(self, texts: list[bytes], ids: np.ndarray, known: np.ndarray, window: int, k: int, hot: np.ndarray | None = None):
         self.window = window
-        self.hashes, self.owner = common.word_hashes(texts)
-        self.sums = common.Spans(self.hashes)
-        self.digests = common.Spans(common.word_hashes(texts, which=1)[0])
+        self.hashes, self.owner, digests = common.word_hashes(texts, tables=2)
+        self.sums, self.digests = common.Spans(self.hashes), common.Spans(digests)
         n = len(self.hashes) - window + 1
         empty = np.zeros(0, np.int64)
         self.first = self.last = self.doc = empty
         self.node = self.label = self.check = np.zeros(0, np.uint64)
         if n > 0:
-            start = np.arange(len(self.hashes) - k + 1)
-            runs = self.sums.of(start, start + k)
-            best, place = runs[:n].copy(), np.zeros(n, np.int8)
-            for j in range(1, window - k + 1):
-                less = runs[j : j + n] < best
-                best[less] = runs[j : j + n][less]
-                place[less] = j
-            whole = np.flatnonzero((self.owner[:n] == self.owner[window - 1 :]) & known[self.owner[:n]])
+            best, place, whole = minimizers(self.sums, self.owner, known, window, k)
             if len(whole):
                 at = whole + place[whole]
                 new = np.r_[True, (at[1:] != at[:-1]) | (whole[1:] != whole[:-1] + 1)]
@@ -132,8 +136,14 @@ def hot_classes(docs: DataFrame, window: int, k: int, least: int, fan: int = 256
     def count(batches):
         total = np.zeros(1 << CLASS_BITS, np.int64)
         for batch, texts in common.slices(batches):
-            ids, unnamed = batch.column("id").to_numpy(), batch.column("unnamed").to_numpy(zero_copy_only=False).astype(bool)
-            total += np.bincount(class_of(common.mix(Paths(texts, ids, ~unnamed, window, k).node)), minlength=len(total))
+            unnamed = batch.column("unnamed").to_numpy(zero_copy_only=False).astype(bool)
+            hashes, owner = common.word_hashes(texts)
+            if len(hashes) < window:
+                continue
+            best, place, whole = minimizers(common.Spans(hashes), owner, ~unnamed, window, k)
+            at = whole + place[whole]
+            first = whole[np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (whole[1:] != whole[:-1] + 1)])] if len(whole) else whole
+            total += np.bincount(class_of(common.mix(best[first])), minlength=len(total))
         yield from common.count_blocks(total, width, TaskContext.get().partitionId() % fan)
 
     @F.pandas_udf("binary")
@@ -148,6 +158,11 @@ def hot_classes(docs: DataFrame, window: int, k: int, least: int, fan: int = 256
     return hot if hot.any() else np.zeros(0, bool)
 
 
+def new_windows(value: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    """Which of sorted windows differ from the one before."""
+    return np.r_[True, (value[1:] != value[:-1]) | (digest[1:] != digest[:-1])] if len(value) else np.zeros(0, bool)
+
+
 def bucket_of(nodes: np.ndarray, buckets: int) -> np.ndarray:
     return (common.mix(nodes) % np.uint64(buckets)).astype(np.int64)
 
@@ -223,7 +238,9 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, k: int = K, hot_paths: i
         own = paths(docs)
         _, look = own.answered(replies.to_pandas(), buckets)
         _, value, digest, doc = own.windows(np.flatnonzero(look))
-        return table(WINDOWS, [value.view(np.int64), digest.view(np.int64), doc, np.full(len(doc), key[0].as_py(), np.int32)])
+        order = np.lexsort((doc, digest, value))
+        first = order[new_windows(value[order], digest[order])]
+        return table(WINDOWS, [value[first].view(np.int64), digest[first].view(np.int64), doc[first], np.full(len(first), key[0].as_py(), np.int32)])
 
     def finish(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
         texts = common.utf8(docs.column("text"))
@@ -235,13 +252,17 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, k: int = K, hot_paths: i
             gone, look = own.answered(answers[is_reply], buckets)
             np.add.at(cover, own.first[gone], 1)
             np.add.at(cover, own.last[gone] + window, -1)
-            repeated = answers[~is_reply]
             chosen = np.flatnonzero(look)
-            if len(repeated) and len(chosen):
+            if len(chosen):
                 start, value, digest, doc = own.windows(chosen)
-                pair = lambda v, g, d: common.mix(v ^ common.mix(d.view(np.uint64))) + g
-                there = pair(*(repeated[c].to_numpy().view(np.uint64) for c in ("window", "digest", "doc")))
-                hit = start[np.isin(pair(value, digest, doc), there)]
+                order = np.lexsort((doc, digest, value))
+                head = new_windows(value[order], digest[order])
+                group = np.cumsum(head) - 1
+                first = order[head]
+                pair = lambda v, g: common.mix(v) + g
+                there = pair(*(answers[c][~is_reply].to_numpy().view(np.uint64) for c in ("window", "digest")))
+                elsewhere = np.isin(pair(value[first], digest[first]), there)
+                hit = start[order[elsewhere[group] | (doc[order] > doc[first][group])]]
                 np.add.at(cover, hit, 1)
                 np.add.at(cover, hit + window, -1)
         covered = np.cumsum(cover[:-1]) > 0
@@ -265,14 +286,11 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, k: int = K, hot_paths: i
     replies = nodes.groupBy("bucket").applyInPandas(settle_nodes, REPLIES)
     expanded = dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(expand, WINDOWS)
     same = ["window", "digest"]
-    firsts = expanded.groupBy(*same).agg(F.min("doc").alias("first"), F.max("doc").alias("other")).where("first < other").select(*same, "first")
-    # a window that very many documents hold is joined in parts
-    salted = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    repeated = expanded.withColumn("salt", F.pmod("chunk", F.lit(SALTS))).join(salted, [*same, "salt"]).where("doc > first").select("chunk", *same, "doc").distinct()
+    repeated = expanded.withColumn("first", F.min("doc").over(Window.partitionBy(*same))).where("doc > first").select("chunk", *same)
     # no nulls among the longs: pandas would turn them into floats
     none, zero = F.lit(b""), F.lit(0).cast("long")
-    answers = replies.select("chunk", "bucket", "at", "least", "branch", zero.alias("window"), zero.alias("digest"), zero.alias("doc")).unionByName(
-        repeated.select("chunk", F.lit(-1).alias("bucket"), none.alias("at"), none.alias("least"), none.alias("branch"), *same, "doc")
+    answers = replies.select("chunk", "bucket", "at", "least", "branch", zero.alias("window"), zero.alias("digest")).unionByName(
+        repeated.select("chunk", F.lit(-1).alias("bucket"), none.alias("at"), none.alias("least"), none.alias("branch"), *same)
     )
     schema = StructType().add("row", dealt.schema["row"].dataType)
     for name, kind in (("unnamed", "boolean"), ("text", "string"), ("n_words", "long"), ("n_removed", "long"), ("kept", "string"), ("kept_sha256", "string")):
