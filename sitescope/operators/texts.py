@@ -27,7 +27,7 @@ EMOJI = "[\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}]"
 PARTICIPLE = r"(?iU)\b[А-Яа-яЁё-]{4,}(?:(?:ющ|ащ|ящ|вш)(?:ий|ая|ее|ие|его|ему|им|ими|их)|(?:ем|им)(?:ый|ая|ое|ые|ого|ому|ым|ыми|ых))\b"
 GERUND = r"(?iU)\b[А-Яа-яЁё-]{4,}(?:вши|вшись|ившись|ывшись|учи|ючи)\b"
 COST = {"high": 11, "medium": 7, "low": 3}
-#: Task texts: roles, categories (the first that fits), and checks, by the words that stand for them.
+#: Fixed values of task texts: roles, categories (the first that fits), and checks, by the words that stand for them.
 ROLES = (
     ("Разработчик", ("разработчик", "front-end", "back-end", "frontend", "backend")),
     ("Контент-менеджер", ("контент-менеджер", "контент менеджер")),
