@@ -255,3 +255,16 @@ def test_simhash_order_over_many_parts(spark):
     want = collections.Counter((i, hashlib.sha256(simhash.edited(t, order[(k + 1) % 300][1]).encode()).hexdigest()) for k, (i, t) in enumerate(order))
     assert collections.Counter((r["doc_id"], r["edited_sha256"]) for r in simhash.compare_edited(docs).collect()) == want
     assert simhash.in_order(docs).where("not halo").select("part").distinct().count() >= 4
+
+
+def test_url_rules_beyond_broadcast(spark, monkeypatch):
+    """Many rules are joined by token instead of broadcast, with equal verdicts; empty tables and repeated pages."""
+    from sitescope.llm import url_filters
+
+    urls = ["http://www.example.com/en/1", "http://x.net/es/", "http://a.org/casino/", None, "", "http://x.net/es/", "http://m.a.net/login"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = url_filters.rule_table(spark)
+    few = sorted(map(str, url_filters.judge(pages, rules).collect()))
+    monkeypatch.setattr(url_filters, "MAX_RULES", 0)
+    assert sorted(map(str, url_filters.judge(pages, rules).collect())) == few and len(few) == 7
+    assert url_filters.judge(pages.limit(0), rules).count() == 0
