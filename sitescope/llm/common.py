@@ -26,6 +26,9 @@ BATCH_BYTES = 4_000_000
 #: Bytes of text that a chunk of documents holds on average.
 CHUNK_BYTES = 4_000_000
 
+#: Settings of registered queries: what an Arrow batch holds at most.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": "8388608b"}
+
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -36,6 +39,10 @@ _TABLES = np.random.default_rng(20240229).integers(0, 1 << 64, size=(2, _SLOTS *
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for a registered query. Queries bound Arrow's batches in their session, so that a worker and its executor
+    never hold many long texts at once; operators called by themselves leave the session's settings alone."""
+    for key, value in ARROW.items():
+        spark.conf.set(key, value)
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
