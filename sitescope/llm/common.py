@@ -269,6 +269,33 @@ def join_spread(left: DataFrame, right: DataFrame, on: str, share: int = 1000, s
     return both.drop("__salt")
 
 
+def in_order(df: DataFrame, *order: Column) -> DataFrame:
+    """The rows with ``at``, their place in this order over all rows from 0 on, and ``part``, their partition of the sort.
+
+    The sort is range-partitioned and written once; a partition's first place follows from the counts of those before it,
+    one number for each partition.
+    """
+    placed = df.repartitionByRange(parts(df), *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    placed = cut(placed.withColumn("part", F.shiftright("at", 33).cast("int")).withColumn("at", F.col("at").bitwiseAND((1 << 33) - 1)))
+    counts = sorted((r[0], r[1]) for r in placed.groupBy("part").count().collect())
+    before, rows = 0, []
+    for part, n in counts:
+        rows.append((part, before))
+        before += n
+    first = df.sparkSession.createDataFrame(rows, "part int, __before long")
+    return placed.join(F.broadcast(first), "part").withColumn("at", F.col("at") + F.col("__before")).drop("__before")
+
+
+#: The table of the checksum CRC-32 by its polynomial, in SQL, for crc_sql().
+CRC_SQL = """crc_table AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS crc)"""
+
+
+def crc_sql(text: str) -> str:
+    """The unsigned checksum of a text's UTF-8 bytes; a query has ``crc_table`` beside its rows."""
+    octets = f"list_transform(range(strlen({text})), lambda k: CAST('0x' || substr(hex(encode({text})), 2 * k + 1, 2) AS BIGINT))"
+    return f"xor(list_reduce({octets}, lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
     """(node, component): the least node reachable, for every node of the edges.
 
