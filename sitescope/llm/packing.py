@@ -7,6 +7,9 @@ pattern's count is split or moved as lengths are placed; so whole groups of equa
 on the number of lengths, not of documents. Patterns are joined back to documents by rank: the documents of one length,
 in the order of their partition and place in it, fill that length's slots one after the other.
 
+A long text is encoded part by part, cut where no piece of the tokenizer reaches across; so memory follows a part and the
+text's ids, and any run of white space has a way.
+
 Null and empty texts hold the end id alone. Repeated rows are packed like any other, and so are rows with null ids. Ids
 need not be unique: a rank belongs to a row. Long texts are cut into as many pieces as they need. An empty table gives no
 rows.
@@ -16,7 +19,9 @@ from __future__ import annotations
 
 import base64
 import bisect
+import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,6 +35,12 @@ from sitescope.llm import common
 SEQUENCE = 2048
 END_ID = 1
 SPECIAL = "<|endoftext|>"
+#: Characters of a part of a long text, so that memory follows the part.
+PART = 1_000_000
+#: White space of this length makes the rank-file encoder's regular expression run out of stack; such parts take the other way.
+BLANKS = 50_000
+_GAP = re.compile(r"(?<=\S) (?=\S)")
+_BLANKS = re.compile(r"\s{%d}" % BLANKS)
 _LOADED: dict[str, tuple] = {}
 
 
@@ -47,13 +58,33 @@ def _encoders(name: str):
     return _LOADED[name]
 
 
-def encode(text: str, name: str = "byte_bpe_50k") -> list[int]:
+def parts_of(text: str, size: int = PART) -> Iterator[str]:
+    """A long text in parts that encode by themselves as they do within it: cut where one space stands between other characters."""
+    at = 0
+    while len(text) - at > size:
+        gap = _GAP.search(text, at + size)
+        if gap is None:
+            break
+        yield text[at : gap.start()]
+        at = gap.start()
+    yield text[at:]
+
+
+def encoded(text: str, name: str = "byte_bpe_50k") -> np.ndarray:
+    """The text's ids and the end id."""
     fast, full = _encoders(name)
-    if not text:
-        return [END_ID]
-    if SPECIAL in text or "\x00" in text:
-        return full.encode(text, add_special_tokens=False).ids + [END_ID]
-    return fast.encode_ordinary(text) + [END_ID]
+    out = []
+    for part in parts_of(text):
+        if SPECIAL in part or "\x00" in part or len(part) > BLANKS and _BLANKS.search(part):
+            ids = full.encode(part, add_special_tokens=False).ids
+        else:
+            ids = fast.encode_ordinary(part)
+        out.append(np.array(ids, "<u4"))
+    return np.concatenate([*out, np.array([END_ID], "<u4")])
+
+
+def encode(text: str | None, name: str = "byte_bpe_50k") -> list[int]:
+    return encoded(text or "", name).tolist()
 
 
 PIECE = {"start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64()}
@@ -70,7 +101,7 @@ def cut_pieces(docs: DataFrame, size: int = SEQUENCE) -> DataFrame:
         for batch, texts in common.slices(batches):
             owner, rows = [], []
             for k, text in enumerate(texts):
-                ids = np.array(encode(text.decode("utf-8", "surrogatepass")), "<u4")
+                ids = encoded(text.decode("utf-8", "surrogatepass"))
                 for at in range(0, len(ids), size):
                     own = ids[at : at + size]
                     owner.append(k)

@@ -90,6 +90,28 @@ def test_secrets(spark, nothing):
     assert secrets.find_secrets(nothing).count() == 0
 
 
+def test_secrets_report_no_letter_twice(spark, tmp_path):
+    rnd = random.Random(6)
+    plain = " ".join("".join(rnd.choice(["th", "er", "on", "an", "re"]) for _ in range(rnd.randint(1, 12))) for _ in range(4000))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    mixed = ["key /v1_x/" + "".join(rnd.choice(letters) for _ in range(40)) + "+Qz end" for _ in range(5)]
+    mixed += ["".join(rnd.choice(letters) for _ in range(30)) + "_" + "".join(rnd.choice(letters) for _ in range(24)) + "/" + "".join(rnd.choice(letters) for _ in range(30))]
+    rows = list(enumerate([plain, *mixed]))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in secrets.op1_secrets(spark, str(tmp_path)).collect():
+        spans = [tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x.startswith("random")]
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:])) and r["n_random"] == len(spans)
+        if 1 <= r["doc_id"] <= 5:
+            (start, end), text = spans[0], rows[r["doc_id"]][1]
+            assert len(spans) == 1 and start <= 10 and end >= 50 and text[start:end].strip("/") in text
+    words = ["".join(rnd.choice("aZ9-_+/=") for _ in range(60)) for _ in range(300)]
+    for w in map(str.encode, words):
+        runs = secrets.disjoint_runs(w)
+        assert all(a[1] <= b[0] for a, b in zip(runs, runs[1:])) and all(secrets.encoding(w[s:e]) for s, e in runs)
+        longest = max((r.end() - r.start() for one in secrets.ONE_ENCODING for r in one.finditer(w)), default=0)
+        assert longest == max((e - s for s, e in runs), default=0)
+
+
 def test_packing(spark, docs, nothing):
     got = packing.pack(docs).toPandas()
     assert got["length"].max() <= 2048
@@ -122,6 +144,30 @@ def test_packing_special_token():
         assert packing.encode(text) == full.encode(text, add_special_tokens=False).ids + [1]
 
 
+def test_packing_of_very_long_texts(spark):
+    """Against the library on the whole text: 2 million spaces, 20 MB of prose, and parts cut small."""
+    _, full = packing._encoders("byte_bpe_50k")
+    want = lambda t: np.array(full.encode(t, add_special_tokens=False).ids + [1], "<u4")
+    rnd = random.Random(4)
+    sample = "".join(rnd.choice(["a", "B9", " ", "  ", "\n", "é", "don't", " '", "漢", "-", "\u00a0", "<|endoftext|>"]) for _ in range(4000))
+    for size in (1, 7, 100):
+        assert np.concatenate([want(x)[:-1] for x in packing.parts_of(sample, size)]).tolist() == want(sample)[:-1].tolist()
+    blanks, prose = " " * 2_000_000, " ".join(rnd.choice(["word", "others", "é", "x1"]) for _ in range(4_000_000))
+    for text in (blanks, "a" + "\n \t" * 400_000 + "b", prose, "x" * 1_500_000):
+        assert (packing.encoded(text) == want(text)).all()
+    frame = spark.createDataFrame([(1, blanks), (2, prose), (3, "short")], "doc_id long, text string")
+    got = packing.pack(frame).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in got} == {1: len(want(blanks)), 2: len(want(prose)), 3: len(want("short"))}
+
+
+def test_packing_checksums_are_the_library_s(spark, docs):
+    _, full = packing._encoders("byte_bpe_50k")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in packing.pack(docs.where("doc_id is not null and doc_id <> 5000")).collect():
+        own = np.array(full.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids + [1], "<u4")
+        assert r["ids_crc32"] == zlib.crc32(own[r["start"] : r["start"] + r["length"]].tobytes())
+
+
 @pytest.mark.parametrize("hot_paths", [substrings.HOT_PATHS, 2, 12])
 def test_substrings(docs, nothing, hot_paths):
     got = {(r["doc_id"], r["kept_sha256"]): r for r in substrings.drop_repeats(docs, hot_paths=hot_paths).collect()}
