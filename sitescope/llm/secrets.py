@@ -8,7 +8,8 @@ the word is ordinary text: a character chain learned from the whole corpus gives
 p-value (P(ratio >= t) <= 1/t under text), so length counts by itself; again a step-up rule sets the threshold
 (FALSE_DISCOVERY). Words that the first rule leaves and the second rejects are reported.
 
-Null or empty texts give no spans, an empty table no rows. Rows are judged one by one, so repeated rows give repeated
+Null or empty texts give no spans, an empty table no rows. Words with equal evidence are reported or left together. Random
+spans overlap neither each other nor a base span. Rows are judged one by one, so repeated rows give repeated
 results and null ids are like any other. Texts are taken in slices of bounded bytes; memory follows the longest text.
 """
 
@@ -86,7 +87,7 @@ def encoding(word: bytes) -> tuple[str, np.ndarray, int] | None:
 
 def tries(word: bytes) -> list[tuple[int, int, tuple[str, np.ndarray, int]]]:
     """(start, end, encoding) of what is tested: the word, or, if no encoding holds it, its parts between inner "=", and of
-    parts that mix the two base64 alphabets the longest runs of each."""
+    parts that mix the two base64 alphabets the longest runs of each, apart from each other."""
     if enc := encoding(word):
         return [(0, len(word), enc)]
     out = []
@@ -96,11 +97,23 @@ def tries(word: bytes) -> list[tuple[int, int, tuple[str, np.ndarray, int]]]:
         if enc := encoding(m.group()):
             out.append((m.start(), m.end(), enc))
             continue
-        runs = sorted({r.span() for one in ONE_ENCODING for r in one.finditer(m.group())})
-        out += [(m.start() + s, m.start() + e, encoding(m.group()[s:e])) for s, e in runs]
+        out += [(m.start() + s, m.start() + e, encoding(m.group()[s:e])) for s, e in disjoint_runs(m.group())]
     return out
 
 
+def disjoint_runs(word: bytes) -> list[tuple[int, int]]:
+    """The runs of each base64 alphabet, the longest first (of equal ones the leftmost); where one meets a longer one only
+    what lies outside of that counts, if it is still long enough. So no letter is tested twice."""
+    kept: list[tuple[int, int]] = []
+    left = sorted({r.span() for one in ONE_ENCODING for r in one.finditer(word)}, key=lambda x: (x[0] - x[1], x[0]))
+    while left:
+        start, end = left.pop(0)
+        kept.append((start, end))
+        rest = (x for s, e in left for x in ((s, min(e, start)), (max(s, end), e)))
+        left = sorted({x for x in rest if x[1] - x[0] >= MIN_LENGTH and encoding(word[x[0] : x[1]])}, key=lambda x: (x[0] - x[1], x[0]))
+    return sorted(kept)
+
+
 def _upper_chi(x: float, k: int) -> float:
     z = ((x / k) ** (1 / 3) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k))
     return 0.5 * math.erfc(z / math.sqrt(2))
