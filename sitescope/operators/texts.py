@@ -61,47 +61,6 @@ def words(text) -> Column:
     return F.regexp_extract_all(F.col(text) if isinstance(text, str) else text, F.lit(f"({WORD})"), F.lit(1))
 
 
-def keyword_status(hits: DataFrame, docs: DataFrame, briefs: DataFrame) -> DataFrame:
-    """Each document's requirements: found, missing, enough or in excess. ``briefs``: requirement, phrase, min, max."""
-    found = hits.groupBy("doc_id", "requirement").agg(F.count(F.lit(1)).alias("n"))
-    every = docs.select("doc_id").join(small(briefs)).join(found, ["doc_id", "requirement"], "left").na.fill(0, ["n"])
-    c = F.col
-    status = F.when(c("n") < c("min"), "missing").when(c("n") > c("max"), "excess").otherwise("ok")
-    delta = F.when(c("n") < c("min"), c("min") - c("n")).when(c("n") > c("max"), c("n") - c("max")).otherwise(0)
-    return every.select("doc_id", "requirement", "phrase", c("n"), status.alias("status"), delta.cast("long").alias("delta"))
-
-
-def spacing(hits: DataFrame, least: int = 2) -> DataFrame:
-    """Neighbouring occurrences in one sentence with fewer than two other words between them."""
-    w = Window.partitionBy("doc_id").orderBy("first", "last")
-    both = hits.withColumn("before", F.lag("last").over(w)).withColumn("sentence_before", F.lag("sentence").over(w)).withColumn("phrase_before", F.lag("requirement").over(w))
-    gap = F.col("first") - F.col("before") - 1
-    return both.where((F.col("sentence") == F.col("sentence_before")) & (gap < least)).select("doc_id", F.col("phrase_before").alias("left"), F.col("requirement").alias("right"), F.greatest(F.lit(0), gap).cast("long").alias("gap"))
-
-
-def coverage(hits: DataFrame, docs: DataFrame, phrases: DataFrame) -> DataFrame:
-    """How often each wanted phrase occurs in each document."""
-    found = hits.groupBy("doc_id", "requirement").agg(F.count(F.lit(1)).alias("n"))
-    return docs.select("doc_id").join(small(phrases)).join(found, ["doc_id", "requirement"], "left").na.fill(0, ["n"]).withColumn("found", F.col("n") > 0)
-
-
-def volume(docs: DataFrame, want_words: int, want_chars: int) -> DataFrame:
-    chars = F.length(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")))
-    n = F.size(words("text"))
-    return docs.select("doc_id", n.cast("long").alias("n_words"), chars.cast("long").alias("n_chars"), (want_words - n).cast("long").alias("word_delta"), (want_chars - chars).cast("long").alias("char_delta"), (n < max(1, int(want_words * 0.85))).alias("too_short"))
-
-
-def readiness(status: DataFrame, gaps: DataFrame, lsi: DataFrame, volumes: DataFrame) -> DataFrame:
-    """Issues of each document, and whether it is ready."""
-    s = status.groupBy("doc_id").agg(F.sum(F.when(F.col("status") == "missing", F.col("delta")).otherwise(0)).alias("missing"), F.sum(F.when(F.col("status") == "excess", F.col("delta")).otherwise(0)).alias("excess"))
-    g = gaps.groupBy("doc_id").agg(F.count(F.lit(1)).alias("spacing"))
-    l = lsi.groupBy("doc_id").agg(F.count_if(~F.col("found")).alias("missing_lsi"))
-    every = s.join(g, "doc_id", "left").join(l, "doc_id", "left").join(volumes.select("doc_id", "too_short"), "doc_id").na.fill(0, ["spacing", "missing_lsi"])
-    c = F.col
-    issues = F.array_compact(F.array(F.when(c("missing") > 0, "missing"), F.when(c("excess") > 0, "excess"), F.when(c("spacing") > 0, "spacing"), F.when(c("missing_lsi") > 0, "lsi"), F.when(c("too_short"), "short")))
-    return every.select("doc_id", "missing", "excess", "spacing", "missing_lsi", F.array_join(issues, ",").alias("issues"), (F.size(issues) == 0).alias("ready"))
-
-
 def snippet(text: Column, start: Column, end: Column, radius: int = 70) -> Column:
     left = F.greatest(F.lit(0), start - radius)
     right = F.least(F.length(text), end + radius)

@@ -97,6 +97,26 @@ SELECT item_id AS brief_id, concat('**URL:** [https://e.example/p', CAST(item_id
 FROM {benchmark}
 """
 
+#: What briefs ask of texts: phrases from the item's first three words, which overlap, and two common ones.
+REQUIREMENTS = """
+SELECT item_id AS brief_id, CAST(k AS INT) AS requirement, CASE k WHEN 0 THEN w1 WHEN 1 THEN concat(w2, ' ', w3) WHEN 2 THEN concat(w1, ' ', w2, ' ', w3) WHEN 3 THEN 'the' ELSE 'Of the' END AS phrase,
+  CAST((item_id + k) % 3 AS INT) AS min, CAST((item_id + k) % 3 + 2 + item_id % 4 AS INT) AS max
+FROM (SELECT item_id, regexp_extract(text, '([A-Za-z]+)[^A-Za-z]+([A-Za-z]+)[^A-Za-z]+([A-Za-z]+)', 1) AS w1, regexp_extract(text, '([A-Za-z]+)[^A-Za-z]+([A-Za-z]+)[^A-Za-z]+([A-Za-z]+)', 2) AS w2,
+  regexp_extract(text, '([A-Za-z]+)[^A-Za-z]+([A-Za-z]+)[^A-Za-z]+([A-Za-z]+)', 3) AS w3 FROM {benchmark}) b CROSS JOIN (SELECT n_nationkey AS k FROM {nation} WHERE n_nationkey < 5) n
+"""
+
+#: Further phrases that a brief wants to see once.
+LSI = """
+SELECT item_id AS brief_id, CAST(k AS INT) AS requirement, CASE k WHEN 0 THEN regexp_extract(text, '([A-Za-z]+)[^A-Za-z]+([A-Za-z]+)', 2) WHEN 1 THEN 'with' ELSE regexp_extract(text, '([A-Za-z]+) ([A-Za-z]+)', 0) END AS phrase
+FROM {benchmark} CROSS JOIN (SELECT n_nationkey AS k FROM {nation} WHERE n_nationkey < 3) n
+"""
+
+#: A brief's figures; some have none for characters, some for neither.
+TARGETS = "SELECT item_id AS brief_id, CASE WHEN item_id % 7 <> 5 THEN 100 + item_id % 5 * 100 END AS words, CASE WHEN item_id % 3 <> 0 THEN 1000 + item_id % 4 * 500 END AS chars FROM {benchmark}"
+
+#: Documents and their briefs; the last number stands for no brief.
+BRIEFED = "SELECT doc_id, doc_id % (SELECT count(*) + 1 FROM {benchmark}) AS brief_id, text FROM {documents}"
+
 #: Task texts: which lines a text has, and what they say, follows its document's id.
 TASK_TEXTS = """
 SELECT doc_id, concat(

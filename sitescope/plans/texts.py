@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sitescope.functions import words as W
+from sitescope.operators import briefs as B
 from sitescope.operators import texts as T
 from sitescope.plans import fixture as X
+from sitescope.sources.tables import settled
 
-#: The requirements of the registered checks; phrases that occur in the given texts.
-PHRASES = ("of the", "the", "and", "on the of")
-LSI = ("with", "are the")
+#: The rules of the registered checks; phrases that occur in the given texts.
 MARKERS = (("of the", "cliche", "medium"), ("with", "abstract", "low"), ("and the", "template", "low"))
 CONNECTORS = ("for", "and the", "de la")
 STOP = ("the", "of", "and", "to", "in", "is", "de", "la")
@@ -20,12 +20,16 @@ def docs(s, d):
     return X.table(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def hits(s, d):
-    return W.phrase_hits(docs(s, d), list(PHRASES))
+def briefed(s, d):
+    return X.derive(s, d, X.BRIEFED, "documents", "benchmark")
+
 
+def requirements(s, d):
+    return X.derive(s, d, X.REQUIREMENTS, "benchmark", "nation")
 
-def briefs(s):
-    return s.createDataFrame([(k, p, k % 3, k % 3 + 2) for k, p in enumerate(PHRASES)], "requirement int, phrase string, min int, max int")
+
+def hits(s, d):
+    return B.independent(B.matches(briefed(s, d), requirements(s, d)))
 
 
 def sentences(s, d):
@@ -51,32 +55,42 @@ def t04_tokens(s, d):
 
 
 def t05_phrase_matches(s, d):
-    return W.phrase_hits(docs(s, d), list(PHRASES[:1]), independent=False).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return B.matches(briefed(s, d), requirements(s, d)).select("doc_id", "brief_id", "requirement", "first", "last", "exact", "start", "end", "sentence")
 
 
 def t06_independent_matches(s, d):
-    return hits(s, d).groupBy("doc_id", "requirement").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"))
+    return hits(s, d).select("doc_id", "brief_id", "requirement", "first", "last")
 
 
 def t07_keyword_status(s, d):
-    return T.keyword_status(hits(s, d), docs(s, d), briefs(s))
+    return B.keyword_status(briefed(s, d), requirements(s, d), hits(s, d)).drop("version")
 
 
 def t08_spacing(s, d):
-    return T.spacing(hits(s, d))
+    return B.spacing(hits(s, d)).drop("version")
+
+
+def _coverage(s, d):
+    wanted = X.derive(s, d, X.LSI, "benchmark", "nation")
+    return B.coverage(briefed(s, d), wanted, B.matches(briefed(s, d), wanted))
 
 
 def t09_coverage(s, d):
-    wanted = s.createDataFrame(list(enumerate(LSI)), "requirement int, phrase string")
-    return T.coverage(W.phrase_hits(docs(s, d), list(LSI), independent=False), docs(s, d), wanted)
+    return _coverage(s, d).drop("version")
+
+
+def _volume(s, d):
+    return B.volume(briefed(s, d), X.derive(s, d, X.TARGETS, "benchmark"))
 
 
 def t10_readiness(s, d):
-    return T.readiness(t07_keyword_status(s, d), t08_spacing(s, d), t09_coverage(s, d), T.volume(docs(s, d), 300, 2000))
+    claimed = settled(hits(s, d))
+    status = B.keyword_status(briefed(s, d), requirements(s, d), claimed)
+    return B.readiness(status, B.spacing(claimed), _coverage(s, d), _volume(s, d)).drop("version")
 
 
 def t10_volume(s, d):
-    return T.volume(docs(s, d), 300, 2000)
+    return _volume(s, d).drop("version")
 
 
 def t11_snippets(s, d):
@@ -143,7 +157,7 @@ def t24_style_result(s, d):
 
 
 def t25_protected(s, d):
-    return hits(s, d).select("doc_id", "requirement", "start", "end", "exact")
+    return hits(s, d).select("doc_id", "brief_id", "requirement", "start", "end", "exact")
 
 
 def _tasks(s, d):
@@ -189,18 +203,25 @@ _TOK = f"""pc AS (SELECT doc_id, unnest(p) AS piece, unnest(range(len(p))) AS k
   pl AS (SELECT *, sum(length(piece)) OVER w AS stop, sum(CAST(regexp_matches(piece, '^[.!?…]+$') AS INT)) OVER w AS sentence, regexp_matches(piece, '^[A-Za-zА-Яа-яЁё0-9]') AS isw FROM pc WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
   tk AS (SELECT doc_id, {_NORMED('piece')} AS norm, CAST(stop - length(piece) AS INT) AS start, CAST(stop AS INT) AS stop, CAST(sentence AS INT) AS sentence, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INT) AS idx FROM pl WHERE isw),
   t3 AS (SELECT *, lead(norm) OVER w AS n2, lead(norm, 2) OVER w AS n3, lead(sentence) OVER w AS s2, lead(sentence, 2) OVER w AS s3, lead(stop) OVER w AS e2, lead(stop, 2) OVER w AS e3 FROM tk WINDOW w AS (PARTITION BY doc_id ORDER BY idx))"""
-# longer phrases claim their words first
-_HITS = f"""WITH {_TOK}, a3 AS (SELECT doc_id, 3 AS requirement, idx AS first, idx + 2 AS last, start, e3 AS stop, sentence FROM t3 WHERE norm = 'on' AND n2 = 'the' AND n3 = 'of' AND s3 = sentence),
-  c3 AS (SELECT doc_id, unnest(range(first, last + 1)) AS idx FROM a3),
-  a2 AS (SELECT doc_id, 0 AS requirement, idx AS first, idx + 1 AS last, start, e2 AS stop, sentence FROM t3 WHERE norm = 'of' AND n2 = 'the' AND s2 = sentence AND NOT EXISTS (SELECT 1 FROM c3 WHERE c3.doc_id = t3.doc_id AND c3.idx IN (t3.idx, t3.idx + 1))),
-  c2 AS (SELECT * FROM c3 UNION ALL SELECT doc_id, unnest(range(first, last + 1)) FROM a2),
-  a1 AS (SELECT doc_id, CASE norm WHEN 'the' THEN 1 ELSE 2 END AS requirement, idx AS first, idx AS last, start, stop, sentence FROM tk WHERE norm IN ('the', 'and') AND NOT EXISTS (SELECT 1 FROM c2 WHERE c2.doc_id = tk.doc_id AND c2.idx = tk.idx)),
-  hit AS (SELECT * FROM a3 UNION ALL SELECT * FROM a2 UNION ALL SELECT * FROM a1) """
-_STATUS = f"""SELECT d.doc_id, b.requirement, b.phrase, coalesce(f.n, 0) AS n, CASE WHEN coalesce(f.n, 0) < lo THEN 'missing' WHEN coalesce(f.n, 0) > hi THEN 'excess' ELSE 'ok' END AS status, CAST(CASE WHEN coalesce(f.n, 0) < lo THEN lo - coalesce(f.n, 0) WHEN f.n > hi THEN f.n - hi ELSE 0 END AS BIGINT) AS delta
-  FROM ({_DOC}) d CROSS JOIN (VALUES {", ".join(f"({k}, '{p}', {k % 3}, {k % 3 + 2})" for k, p in enumerate(PHRASES))}) b(requirement, phrase, lo, hi) LEFT JOIN (SELECT doc_id, requirement, count(*) AS n FROM hit GROUP BY 1, 2) f ON f.doc_id = d.doc_id AND f.requirement = b.requirement"""
-_GAPS = """SELECT doc_id, pb AS "left", requirement AS "right", CAST(greatest(0, first - lb - 1) AS BIGINT) AS gap FROM (SELECT *, lag(last) OVER w AS lb, lag(sentence) OVER w AS sb, lag(requirement) OVER w AS pb FROM hit WINDOW w AS (PARTITION BY doc_id ORDER BY first, last)) g WHERE sentence = sb AND first - lb - 1 < 2"""
-_COVER = f"""SELECT d.doc_id, b.requirement, b.phrase, coalesce(f.n, 0) AS n, coalesce(f.n, 0) > 0 AS found FROM ({_DOC}) d CROSS JOIN (VALUES {", ".join(f"({k}, '{p}')" for k, p in enumerate(LSI))}) b(requirement, phrase)
-  LEFT JOIN (SELECT doc_id, 0 AS requirement, count(*) AS n FROM t3 WHERE norm = 'with' GROUP BY 1 UNION ALL SELECT doc_id, 1, count(*) FROM t3 WHERE norm = 'are' AND n2 = 'the' AND s2 = sentence GROUP BY 1) f ON f.doc_id = d.doc_id AND f.requirement = b.requirement"""
+# longer phrases claim their words first: a brief's phrases take turns by length and place in the brief
+_BRIEFED = X.sql(X.BRIEFED)
+_MATCHED = lambda asked: f"""pw AS (SELECT brief_id, requirement, len(p) AS size, unnest(p) AS asked, unnest(range(len(p))) AS o FROM (SELECT brief_id, requirement, list_transform(regexp_extract_all(phrase, '{_W}'), lambda x: {_NORMED('x')}) AS p FROM ({X.sql(asked)}) q) r),
+  ow AS (SELECT doc_id, brief_id FROM ({_BRIEFED}) b),
+  mt AS (SELECT tk.doc_id, ow.brief_id, requirement, size, CAST(idx - o AS INT) AS first, CAST(max(idx) AS INT) AS last, min(start) AS start, max(stop) AS stop, min(sentence) AS sentence FROM tk JOIN ow ON ow.doc_id = tk.doc_id JOIN pw ON pw.brief_id = ow.brief_id AND pw.asked = tk.norm
+    GROUP BY tk.doc_id, ow.brief_id, requirement, size, idx - o HAVING count(*) = size AND min(sentence) = max(sentence))"""
+_CLAIMED = "".join(
+    f""", n{k} AS (SELECT m.* FROM rk m WHERE turn = {k}{f" AND NOT EXISTS (SELECT 1 FROM c{k - 1} c WHERE c.doc_id = m.doc_id AND c.first <= m.last AND m.first <= c.last)" if k > 1 else ""}),
+  c{k} AS ({f"SELECT * FROM c{k - 1} UNION ALL " if k > 1 else ""}SELECT * FROM n{k})""" for k in range(1, 6)
+)
+_HITS = f"""WITH {_TOK}, {_MATCHED(X.REQUIREMENTS)},
+  tn AS (SELECT brief_id, requirement, row_number() OVER (PARTITION BY brief_id ORDER BY size DESC, requirement) AS turn FROM (SELECT DISTINCT brief_id, requirement, size FROM pw) t),
+  rk AS (SELECT mt.*, turn FROM mt JOIN tn USING (brief_id, requirement)){_CLAIMED}, hit AS (SELECT * FROM c5) """
+_COUNTED = lambda asked, found: f"SELECT o.doc_id, o.brief_id, q.*, coalesce(n, 0) AS n FROM ({_BRIEFED}) o JOIN (SELECT brief_id AS b, * EXCLUDE (brief_id) FROM ({X.sql(asked)}) y) q ON q.b = o.brief_id LEFT JOIN (SELECT doc_id AS i, requirement AS r, count(*) AS n FROM {found} GROUP BY 1, 2) f ON f.i = o.doc_id AND f.r = q.requirement"
+_STATUS = f"""SELECT doc_id, brief_id, requirement, phrase, n, CASE WHEN n < "min" THEN 'missing' WHEN n > "max" THEN 'excess' ELSE 'ok' END AS status, CAST(CASE WHEN n < "min" THEN "min" - n WHEN n > "max" THEN n - "max" ELSE 0 END AS BIGINT) AS delta FROM ({_COUNTED(X.REQUIREMENTS, 'hit')}) z"""
+_GAPS = """SELECT doc_id, brief_id, pb AS "left", requirement AS "right", CAST(greatest(0, first - lb - 1) AS BIGINT) AS gap FROM (SELECT *, lag(last) OVER w AS lb, lag(sentence) OVER w AS sb, lag(requirement) OVER w AS pb FROM hit WINDOW w AS (PARTITION BY doc_id ORDER BY first, last)) g WHERE sentence = sb AND first - lb - 1 < 2"""
+_COVER = f"WITH {_TOK}, {_MATCHED(X.LSI)} SELECT doc_id, brief_id, requirement, phrase, n, n > 0 AS found FROM ({_COUNTED(X.LSI, 'mt')}) z"
+_VOLUME = f"""SELECT doc_id, brief_id, n AS n_words, c AS n_chars, words - n AS word_delta, chars - c AS char_delta, coalesce(n < greatest(1, CAST(floor(words * 0.85) AS BIGINT)), false) AS too_short
+  FROM (SELECT doc_id, o.brief_id, len(regexp_extract_all(coalesce(text, ''), '{_W}')) AS n, length({_CLEAN("coalesce(text, '')")}) AS c, words, chars FROM ({_BRIEFED}) o LEFT JOIN ({X.sql(X.TARGETS)}) g ON g.brief_id = o.brief_id) v"""
 # word borders by a doubled character between words, as each border is then met from one side
 _LOW = f"low AS (SELECT doc_id, ' ' || regexp_replace({_NORMED('text')}, '([^\\p{{L}}\\p{{M}}\\p{{N}}_])', '\\1\\1', 'g') || ' ' AS low FROM ({_DOC}) d)"
 _TIMES = lambda m: f"len(regexp_extract_all(low, '[^\\p{{L}}\\p{{M}}\\p{{N}}_]{m.replace(' ', '  ')}[^\\p{{L}}\\p{{M}}\\p{{N}}_]'))"
@@ -231,17 +252,16 @@ ORACLE_SQL = {
     "t02_normal_words": f"SELECT {_NORMED('w')} AS norm, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '\\s+')) AS w FROM ({_DOC}) d) x GROUP BY 1",
     "t03_stems": f"SELECT DISTINCT w AS word, {_NORMED('w')} AS stem FROM (SELECT unnest(regexp_extract_all(text, '{_W}')) AS w FROM ({_DOC}) d) x",
     "t04_tokens": f"WITH {_TOK} SELECT doc_id, count(*) AS tokens, CAST(max(stop) AS BIGINT) AS last_end, CAST(max(sentence) AS BIGINT) AS sentences FROM tk GROUP BY 1",
-    "t05_phrase_matches": f"WITH {_TOK} SELECT doc_id, count(*) AS n FROM t3 WHERE norm = 'of' AND n2 = 'the' AND s2 = sentence GROUP BY 1",
-    "t06_independent_matches": _HITS + "SELECT doc_id, requirement, count(*) AS n, min(first) AS first FROM hit GROUP BY 1, 2",
+    "t05_phrase_matches": f'WITH {_TOK}, {_MATCHED(X.REQUIREMENTS)} SELECT doc_id, brief_id, requirement, first, last, true AS exact, CAST(start AS INT) AS start, CAST(stop AS INT) AS "end", CAST(sentence AS INT) AS sentence FROM mt',
+    "t06_independent_matches": _HITS + "SELECT doc_id, brief_id, requirement, first, last FROM hit",
     "t07_keyword_status": _HITS + _STATUS,
     "t08_spacing": _HITS + _GAPS,
-    "t09_coverage": f"WITH {_TOK} {_COVER}",
-    "t10_readiness": _HITS + f""", stt AS ({_STATUS}), gp AS (SELECT doc_id, count(*) AS spacing FROM ({_GAPS}) g GROUP BY 1), cv AS (SELECT doc_id, count(*) FILTER (WHERE NOT found) AS missing_lsi FROM ({_COVER}) c GROUP BY 1),
-      vo AS (SELECT doc_id, len(regexp_extract_all(text, '{_W}')) < 255 AS short FROM ({_DOC}) d),
-      al AS (SELECT s.doc_id, CAST(sum(CASE WHEN status = 'missing' THEN delta ELSE 0 END) AS BIGINT) AS missing, CAST(sum(CASE WHEN status = 'excess' THEN delta ELSE 0 END) AS BIGINT) AS excess, coalesce(any_value(spacing), 0) AS spacing, any_value(missing_lsi) AS missing_lsi, any_value(short) AS short
-        FROM stt s LEFT JOIN gp ON gp.doc_id = s.doc_id JOIN cv ON cv.doc_id = s.doc_id JOIN vo ON vo.doc_id = s.doc_id GROUP BY 1),
-      iss AS (SELECT *, list_filter([CASE WHEN missing > 0 THEN 'missing' END, CASE WHEN excess > 0 THEN 'excess' END, CASE WHEN spacing > 0 THEN 'spacing' END, CASE WHEN missing_lsi > 0 THEN 'lsi' END, CASE WHEN short THEN 'short' END], lambda x: x IS NOT NULL) AS i FROM al)
-      SELECT doc_id, missing, excess, spacing, missing_lsi, array_to_string(i, ',') AS issues, len(i) = 0 AS ready FROM iss""",
+    "t09_coverage": _COVER,
+    "t10_readiness": _HITS + f""", al AS (SELECT doc_id, brief_id, CASE status WHEN 'missing' THEN delta ELSE 0 END AS missing, CASE status WHEN 'excess' THEN delta ELSE 0 END AS excess, 0 AS spacing, 0 AS missing_lsi, 0 AS short FROM ({_STATUS}) s
+        UNION ALL SELECT doc_id, brief_id, 0, 0, 1, 0, 0 FROM ({_GAPS}) g UNION ALL SELECT doc_id, brief_id, 0, 0, 0, CAST(NOT found AS INT), 0 FROM ({_COVER}) c UNION ALL SELECT doc_id, brief_id, 0, 0, 0, 0, CAST(too_short AS INT) FROM ({_VOLUME}) v),
+      su AS (SELECT doc_id, brief_id, CAST(sum(missing) AS BIGINT) AS missing, CAST(sum(excess) AS BIGINT) AS excess, CAST(sum(spacing) AS BIGINT) AS spacing, CAST(sum(missing_lsi) AS BIGINT) AS missing_lsi, sum(short) AS short FROM al GROUP BY 1, 2),
+      iss AS (SELECT *, list_filter([CASE WHEN missing > 0 THEN 'missing' END, CASE WHEN excess > 0 THEN 'excess' END, CASE WHEN spacing > 0 THEN 'spacing' END, CASE WHEN missing_lsi > 0 THEN 'lsi' END, CASE WHEN short > 0 THEN 'short' END], lambda x: x IS NOT NULL) AS i FROM su)
+      SELECT doc_id, brief_id, missing, excess, spacing, missing_lsi, array_to_string(i, ',') AS issues, len(i) = 0 AS ready FROM iss""",
     "t14_markers": f"WITH {_LOW} {_F14}",
     "t16_similar_neighbours": f"WITH {_SENT}, {_NEAR}, sc AS (SELECT doc_id, pos, CASE WHEN a < 3 OR b < 3 THEN 0.0 ELSE greatest(same / CAST(a + b - same AS DOUBLE), 0.86 * same / least(a, b)) END AS score FROM nb) SELECT doc_id, pos, round(score, 4) AS score FROM sc WHERE round(score, 4) >= 0.56 AND score >= 0.56",
     "t18_connectors": f"WITH {_LOW} {_F18}",
@@ -252,8 +272,8 @@ ORACLE_SQL = {
       un AS (SELECT DISTINCT * FROM fi), ag AS (SELECT doc_id, sum(CASE severity WHEN 'high' THEN 11 WHEN 'medium' THEN 7 ELSE 3 END) AS cost, count(*) FILTER (WHERE severity = 'high') AS high, count(*) FILTER (WHERE severity = 'medium') AS medium, count(*) FILTER (WHERE severity = 'low') AS low,
         array_to_string(list_transform(list_sort(list({{'r': CASE severity WHEN 'high' THEN 0 ELSE 1 END, 't': title}}) FILTER (WHERE severity <> 'low'))[1:8], lambda x: x.t), '|') AS rewrite_first FROM un GROUP BY 1)
       SELECT d.doc_id, CAST(greatest(0, 100 - coalesce(cost, 0)) AS BIGINT) AS score, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low, coalesce(rewrite_first, '') AS rewrite_first FROM ({_DOC}) d LEFT JOIN ag ON ag.doc_id = d.doc_id""",
-    "t25_protected": _HITS + 'SELECT doc_id, requirement, CAST(start AS INT) AS start, CAST(stop AS INT) AS "end", true AS exact FROM hit',
-    "t10_volume": f"SELECT doc_id, n AS n_words, c AS n_chars, 300 - n AS word_delta, 2000 - c AS char_delta, n < 255 AS too_short FROM (SELECT doc_id, len(regexp_extract_all(text, '{_W}')) AS n, length({_CLEAN('text')}) AS c FROM ({_DOC}) d) x",
+    "t25_protected": _HITS + 'SELECT doc_id, brief_id, requirement, CAST(start AS INT) AS start, CAST(stop AS INT) AS "end", true AS exact FROM hit',
+    "t10_volume": _VOLUME,
     "t11_snippets": f"SELECT doc_id, '…' || {_CLEAN('substr(text, 71, greatest(0, least(length(text), 150) - 70))')} || CASE WHEN least(length(text), 150) < length(text) THEN '…' ELSE '' END AS snippet FROM ({_DOC}) d",
     "t12_briefs": """SELECT item_id AS brief_id, 'https://e.example/p' || item_id % 9 AS url, 300 + item_id % 5 * 100 AS words, CASE WHEN item_id % 3 <> 0 THEN 2000 + item_id % 4 * 500 END AS chars, 2 + CAST(item_id % 2 = 0 AS INT) AS n_keys,
       'key ' || regexp_extract(text, '[A-Za-z]+') AS first_key, 'second key' AS last_key, 2 + item_id % 6 AS last_max, CASE WHEN item_id % 4 = 0 THEN 'alpha,beta' ELSE 'gamma ' || item_id % 10 END AS lsi, 'main ' || item_id % 11 AS main_keyword,
