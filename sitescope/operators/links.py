@@ -7,14 +7,12 @@ before the shuffle, and lists are ranked and cut before they are gathered.
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitescope.functions import html as H
 from sitescope.functions import urls as U
-from sitescope.sources.tables import settled
+from sitescope.sources.tables import bucketed, dropped, settled, small
 
 
 def outgoing(parsed: DataFrame, patterns: DataFrame | None = None, url: str = "url") -> DataFrame:
@@ -58,21 +56,63 @@ def degrees(edge: DataFrame, pages: DataFrame) -> DataFrame:
     return known.join(inn, ["site", "key"], "left").join(out, ["site", "key"], "left").na.fill(0, ["incoming", "outgoing"])
 
 
+def _reached_by_one(inner: DataFrame, homes: DataFrame) -> DataFrame:
+    """(site, key, root, offset): for pages with a single link to them, the page that a walk back along such links ends at,
+    and its length. Pages that only a circle leads to are left out.
+
+    Each round follows FOLLOWED links found so far one after the other, so a walk takes rounds in the logarithm of its length.
+    """
+    single = inner.groupBy("site", "dst_key").agg(F.count(F.lit(1)).alias("n"), F.min("src_key").alias("root")).where("n = 1")
+    single = single.select("site", F.col("dst_key").alias("key"), "root", F.lit(1).cast("long").alias("offset")).join(homes.select("site", "key"), ["site", "key"], "left_anti")
+    now, open_before = settled(single), None
+    while True:
+        step = now.select("site", F.col("key").alias("root"), F.col("root").alias("next"), F.col("offset").alias("more"))
+        moved = now
+        for _ in range(FOLLOWED):
+            far = (F.col("offset") + F.coalesce("more", F.lit(0))).alias("offset")
+            moved = moved.join(step, ["site", "root"], "left").select("site", "key", F.coalesce("next", "root").alias("root"), far, F.col("next").isNotNull().alias("open"))
+        moved = settled(moved)
+        left = moved.where("open").count()
+        old, now = now, moved.drop("open")
+        dropped(old)
+        if not left or left == open_before:
+            return now if not left else now.join(moved.where("open"), ["site", "key"], "left_anti")
+        open_before = left
+
+
+#: Links that one round of a walk back follows: walks grow by this factor and one.
+FOLLOWED = 7
+
+
 def depths(edge: DataFrame, pages: DataFrame, homes: DataFrame) -> DataFrame:
-    """(site, key, depth): clicks from the home page, for pages that can be reached. One join a level, all sites at once,
-    until a level finds no new page."""
-    inner = settled(edge.join(pages.select("site", F.col("key").alias("dst_key")), ["site", "dst_key"], "left_semi").select("site", "src_key", "dst_key"))
-    seen = settled(homes.join(pages.select("site", "key"), ["site", "key"], "left_semi").select("site", "key", F.lit(0).alias("depth")))
-    frontier = seen
-    for level in count(1):
-        step = frontier.select("site", F.col("key").alias("src_key")).join(inner, ["site", "src_key"]).select("site", F.col("dst_key").alias("key")).distinct()
-        frontier = settled(step.join(seen, ["site", "key"], "left_anti").withColumn("depth", F.lit(level)))
+    """(site, key, depth): clicks from the home page, for pages that can be reached; all sites at once.
+
+    A page with a single link to it is one click below that link's page. So walks along such pages shrink to one weighted
+    link, and only pages with several links to them are searched level by level: the shrunken links lie in a table bucketed
+    by their source, so that a level shuffles nothing but the pages whose distance has just improved.
+    """
+    known = pages.select("site", "key").distinct()
+    inner = edge.join(known.select("site", F.col("key").alias("dst_key")), ["site", "dst_key"], "left_semi").select("site", "src_key", "dst_key").where("src_key <> dst_key")
+    inner = settled(inner.join(known.select("site", F.col("key").alias("src_key")), ["site", "src_key"], "left_semi").distinct())
+    start = settled(homes.join(known, ["site", "key"], "left_semi").select("site", "key", F.lit(0).cast("long").alias("depth")).distinct())
+    walks = _reached_by_one(inner, start)
+    walk = walks.select("site", F.col("key").alias("src_key"), "root", "offset")
+    several = inner.join(walks.select("site", F.col("key").alias("dst_key")), ["site", "dst_key"], "left_anti").join(walk, ["site", "src_key"], "left")
+    several = several.select("site", F.coalesce("root", "src_key").alias("src_key"), "dst_key", (F.coalesce("offset", F.lit(0)) + 1).alias("clicks")).where("src_key <> dst_key")
+    table = bucketed(several.groupBy("site", "src_key", "dst_key").agg(F.min("clicks").alias("clicks")), "site", "src_key")
+    found = frontier = start
+    while True:
+        step = frontier.select("site", F.col("key").alias("src_key"), "depth").join(table, ["site", "src_key"])
+        step = step.groupBy("site", F.col("dst_key").alias("key")).agg(F.min(F.col("depth") + F.col("clicks")).alias("depth"))
+        before = found.select("site", "key", F.col("depth").alias("before"))
+        frontier = settled(step.join(before, ["site", "key"], "left").where("before is null or depth < before").select("site", "key", "depth"))
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
-        if level % 16 == 0:
-            seen = settled(seen)
-    return seen
+        found, old = settled(found.unionByName(frontier).groupBy("site", "key").agg(F.min("depth").alias("depth"))), found
+        dropped(old)
+    ends = found.select("site", F.col("key").alias("root"), F.col("depth").alias("above"))
+    below = walks.join(ends, ["site", "root"]).select("site", "key", (F.col("above") + F.col("offset")).alias("depth"))
+    return found.unionByName(below).select("site", "key", F.col("depth").cast("int").alias("depth"))
 
 
 def page_metrics(pages: DataFrame, links: DataFrame, homes: DataFrame) -> DataFrame:
@@ -137,44 +177,95 @@ def _steps() -> Column:
     return F.split(F.regexp_replace("path", "^/+|/+$", ""), "/")
 
 
-def _beginnings(df: DataFrame, name: str) -> DataFrame:
-    """(site, name, depth, beginning, outgoing): a row for each beginning of a page's path."""
-    rows = df.select("site", F.col("key").alias(name), F.col("outgoing"), _steps().alias("steps"))
-    rows = rows.select("site", name, "outgoing", "steps", F.explode(F.sequence(F.lit(1), F.size("steps"))).alias("depth"))
-    return rows.select("site", name, "depth", F.array_join(F.slice("steps", F.lit(1), F.col("depth")), "/").alias("beginning"), "outgoing")
-
-
 def in_need(metrics: DataFrame) -> DataFrame:
     """Pages that should get links: orphans first, then weak ones; (site, key, incoming, need)."""
     return metrics.where("orphan or weak").select("site", "key", "incoming", F.when(F.col("orphan"), 0).otherwise(1).alias("need"))
 
 
-def suggest_donors(targets: DataFrame, pages: DataFrame, edge: DataFrame, n: int = 3) -> DataFrame:
+#: A token that more donors of a site hold is frequent there: it pairs groups of pages, never pages.
+FREQUENT = 200
+
+
+def _path_lists(d: DataFrame, group: list[str], most: int) -> DataFrame:
+    """(site, group..., depth, beginning, donor, r): under each beginning of the path (depth 0: any path) the donors of each
+    group with the most outgoing links, up to ``most`` places."""
+    steps = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.array_join(F.slice("steps", F.lit(1), F.col("depth")), "/"))
+    rows = d.withColumn("depth", F.explode(F.sequence(F.lit(0), F.size("steps")))).withColumn("beginning", steps)
+    w = Window.partitionBy("site", *group, "depth", "beginning").orderBy(F.desc(F.least("outgoing", F.lit(20))), "donor")
+    return rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select("site", *group, "depth", "beginning", "donor", "r")
+
+
+def _listed(t: DataFrame, lists: DataFrame, group: list[str], least_depth: int) -> DataFrame:
+    """(site, target, donor): the lists that a target's beginnings open, as far down as the target's own links may stand in
+    the way. Targets are told apart by powers of two of these, so one with many links lengthens no other's lists."""
+    steps = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.array_join(F.slice("steps", F.lit(1), F.col("depth")), "/"))
+    asked = t.withColumn("depth", F.explode(F.sequence(F.lit(least_depth), F.size("steps")))).withColumn("beginning", steps)
+    widths = sorted(r[0] for r in t.select("width").distinct().collect())  # powers of two: some twenty at most
+    wide = F.filter(F.array(*map(F.lit, widths)).cast("array<int>"), lambda x: x >= F.col("r"))
+    return asked.join(lists.withColumn("width", F.explode(wide)), ["site", *group, "depth", "beginning", "width"]).select("site", "target", "donor")
+
+
+def _classes(t: DataFrame, d: DataFrame) -> DataFrame:
+    """(site, mine, n_mine, hot, size): for targets of one class (frequent tokens, number of tokens), the classes of donors
+    that may hold one of the best.
+
+    All donors of a class share as many frequent tokens with all targets of another. Classes stand by what this alone is
+    worth; once enough donors stand before it, a class is dropped if neither path nor links could lift it to them.
+    """
+    split = lambda c: F.split(c, " ")
+    theirs = d.groupBy("site", "hot", "size").agg(F.count(F.lit(1)).alias("n"))
+    mine = t.groupBy("site", F.col("hot").alias("mine"), F.col("size").alias("n_mine")).agg(F.max("width").alias("width"), F.max(F.size("steps")).alias("steps"))
+    pairs = mine.withColumn("token", F.explode(split("mine"))).join(theirs.withColumn("token", F.explode(split("hot"))), ["site", "token"])
+    pairs = pairs.groupBy("site", "mine", "n_mine", "width", "steps", "hot", "size", "n").agg(F.count(F.lit(1)).alias("overlap"))
+    pairs = pairs.withColumn("worth", 100 * F.col("overlap") / (F.col("n_mine") + F.col("size") - F.col("overlap")))
+    own = Window.partitionBy("site", "mine", "n_mine")
+    upto = own.orderBy(F.desc("worth"), "hot", "size").rowsBetween(Window.unboundedPreceding, 0)
+    enough = F.max(F.when(F.col("upto") >= F.col("width"), F.col("worth"))).over(own)
+    ranked = pairs.withColumn("upto", F.sum("n").over(upto)).withColumn("enough", enough)
+    return ranked.where(F.col("enough").isNull() | (F.col("worth") + 8 * F.col("steps") + 3.001 >= F.col("enough"))).select("site", "mine", "n_mine", "hot", "size")
+
+
+def suggest_donors(targets: DataFrame, pages: DataFrame, edge: DataFrame, n: int = 3, frequent: int = FREQUENT) -> DataFrame:
     """The best pages to link from, for each target: (site, target, donor, score, overlap, reason, rank).
 
-    ``targets``: (site, key); ``pages``: (site, key, path, tokens, outgoing, status_code). Pages that share a token come from
-    an inverted index over the targets' tokens. Of pages that share a beginning of the path alone, only those with the most
-    outgoing links can be among the best: for each beginning as many of them as places, and as many again as links that a
-    target has already. So a section never meets itself pair by pair.
+    ``targets``: (site, key); ``pages``: (site, key, path, tokens, outgoing, status_code). A top-k join in three parts, whose
+    candidates hold all of the best: pages that share a rare token come from an inverted index of these; of pages that
+    share frequent tokens alone, and of those that share but a beginning of the path, the first of short lists by outgoing
+    links, one for each class of pages and beginning. Scores are exact, over whole token sets. No site and no token pairs all its pages.
     """
-    t = pages.join(targets.select("site", "key"), ["site", "key"], "left_semi")
-    d = pages.where("status_code >= 200 and status_code < 300")
     linked = edge.select("site", F.col("src_key").alias("donor"), F.col("dst_key").alias("target"))
-    most = linked.join(t.select("site", F.col("key").alias("target")), ["site", "target"], "left_semi").groupBy("site", "target").agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0] or 0
-    side = lambda df, c: df.select("site", F.col("key").alias(c), F.explode("tokens").alias("token"))
-    alike = side(t, "target").join(side(d, "donor"), ["site", "token"]).groupBy("site", "target", "donor").agg(F.count(F.lit(1)).alias("overlap"))
-    w = Window.partitionBy("site", "depth", "beginning").orderBy(F.desc(F.least("outgoing", F.lit(20))), "donor")
-    best = _beginnings(d, "donor").withColumn("r", F.row_number().over(w)).where(F.col("r") <= n + 1 + most).select("site", "depth", "beginning", "donor")
-    beside = _beginnings(t, "target").select("site", "depth", "beginning", "target").join(best, ["site", "depth", "beginning"]).select("site", "target", "donor").distinct()
-    pairs = beside.join(alike, ["site", "target", "donor"], "full").na.fill(0, ["overlap"]).where("target <> donor").join(linked, ["site", "target", "donor"], "left_anti")
-    about = lambda c: pages.select("site", F.col("key").alias(c), F.col("tokens").alias(f"t_{c}"), _steps().alias(f"p_{c}"), F.col("outgoing").alias(f"o_{c}"))
+    chosen = targets.select("site", "key").distinct()
+    own_links = linked.groupBy("site", F.col("target").alias("key")).agg(F.count(F.lit(1)).alias("k"))
+    # places that a list must reach down to: the best, the target itself, and donors that link already
+    width = F.pow(F.lit(2), F.ceil(F.log2(n + 1 + F.coalesce("k", F.lit(0))))).cast("int").alias("width")
+    base = pages.select("site", "key", _steps().alias("steps"), "tokens", F.size("tokens").alias("size"), "outgoing", "status_code")
+    wanted = chosen.join(own_links, ["site", "key"], "left").select("site", "key", width)
+    donor = F.col("status_code").between(200, 299)
+    words = base.select("site", "key", donor.alias("donor"), F.explode("tokens").alias("token"))
+    often = small(words.where("donor").groupBy("site", "token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > frequent).select("site", "token", F.lit(True).alias("often")))
+    words = settled(words.join(often, ["site", "token"], "left"))
+    hot = words.where("often").groupBy("site", "key").agg(F.array_join(F.array_sort(F.collect_list("token")), " ").alias("hot"))
+    base = settled(base.join(hot, ["site", "key"], "left"))
+    rare = words.where("often is null")
+    t = base.join(wanted, ["site", "key"]).withColumnRenamed("key", "target")
+    d = base.where(donor).withColumnRenamed("key", "donor")
+    index = rare.join(chosen, ["site", "key"], "left_semi").select("site", F.col("key").alias("target"), "token").join(rare.where("donor").select("site", F.col("key").alias("donor"), "token"), ["site", "token"])
+    most = t.agg(F.max("width")).first()[0] or 0
+    beside = _listed(t.select("site", "target", "steps", "width"), _path_lists(d.select("site", "donor", "steps", "outgoing"), [], most), [], 1)
+    hot_d, hot_t = d.where("hot is not null"), t.where("hot is not null")
+    kept = _classes(hot_t, hot_d)
+    classed = hot_t.select("site", "target", "steps", "width", F.col("hot").alias("mine"), F.col("size").alias("n_mine")).join(kept, ["site", "mine", "n_mine"])
+    alike = _listed(classed, _path_lists(hot_d, ["hot", "size"], most), ["hot", "size"], 0)
+    pairs = index.select("site", "target", "donor").union(beside).union(alike).where("target <> donor").distinct().join(linked, ["site", "target", "donor"], "left_anti")
+    about = lambda c: base.select("site", F.col("key").alias(c), F.col("tokens").alias(f"t_{c}"), F.col("steps").alias(f"p_{c}"), F.col("outgoing").alias(f"o_{c}"))
     full = pairs.join(about("target"), ["site", "target"]).join(about("donor"), ["site", "donor"])
     same = F.transform(F.sequence(F.lit(1), F.least(F.size("p_target"), F.size("p_donor"))), lambda k: F.slice("p_target", F.lit(1), k) == F.slice("p_donor", F.lit(1), k))
     prefix = F.size(F.filter(same, lambda x: x))
+    full = full.withColumn("overlap", F.size(F.array_intersect("t_target", "t_donor")).cast("long"))
     similar = F.col("overlap") / F.greatest(F.lit(1), F.size("t_target") + F.size("t_donor") - F.col("overlap"))
     score = similar * 100 + prefix * 8 + F.least(F.col("o_donor"), F.lit(20)) * 0.15
     w = Window.partitionBy("site", "target").orderBy(F.desc(F.round("score", 9)), "donor")
-    ranked = full.withColumn("score", score).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= n)
+    ranked = full.where((F.col("overlap") > 0) | (prefix > 0)).withColumn("score", score).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= n)
     shared = F.slice(F.array_sort(F.array_intersect("t_target", "t_donor")), 1, 4)
     reason = F.when(F.col("overlap") > 0, F.concat(F.lit(COMMON_TOPICS), F.array_join(shared, ", "))).otherwise(F.lit(SAME_BRANCH))
     return ranked.select("site", "target", "donor", F.round("score", 1).alias("score"), "overlap", reason.alias("reason"), "rank")

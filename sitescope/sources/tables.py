@@ -31,6 +31,21 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a settled table that nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        removed(df.sparkSession, path)
+
+
+def bucketed(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows as a table in the shared folder, bucketed by the keys: joins on these shuffle the other side alone."""
+    spark = df.sparkSession
+    name = f"table_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, *keys).write.bucketBy(n, *keys).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Delete a folder of intermediate files."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -3,6 +3,7 @@
 import collections
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sitescope.functions import html as H
@@ -39,15 +40,17 @@ def test_link_graph_of_odd_pages(spark):
     assert all(r["orphan"] or r["key"] == "a" for r in L.page_metrics(pages, links.limit(0), homes).where("key is not null").collect())
 
 
-def test_donors_against_all_pairs(spark):
-    rnd = random.Random(3)
-    words = [f"w{k}" for k in range(60)]
+@pytest.mark.parametrize(("frequent", "vocabulary"), [(200, 60), (5, 60), (1, 12), (0, 6)])
+def test_donors_against_all_pairs(spark, frequent, vocabulary):
+    """From an index of rare tokens alone to lists of classes alone."""
+    rnd = random.Random(3 + frequent)
+    words = [f"w{k}" for k in range(vocabulary)]
     rows = [("s", f"k{k:03}", "/" + "/".join(rnd.choice("abc") for _ in range(rnd.randint(1, 3))), rnd.sample(words, rnd.randint(0, 3)), rnd.randint(0, 30), rnd.choice([200, 200, 404])) for k in range(120)]
     pages = spark.createDataFrame(rows, "site string, key string, path string, tokens array<string>, outgoing int, status_code int")
     edge = [("s", f"k{a:03}", f"k{b:03}") for a, b in {(rnd.randrange(120), rnd.randrange(120)) for _ in range(150)}]
     targets = [r[1] for r in rows[:40]]
     got = collections.defaultdict(list)
-    for r in L.suggest_donors(spark.createDataFrame([("s", t) for t in targets], "site string, key string"), pages, spark.createDataFrame(edge, "site string, src_key string, dst_key string")).collect():
+    for r in L.suggest_donors(spark.createDataFrame([("s", t) for t in targets], "site string, key string"), pages, spark.createDataFrame(edge, "site string, src_key string, dst_key string"), frequent=frequent).collect():
         got[r["target"]].append((r["rank"], r["donor"], r["overlap"], r["reason"]))
     linked = {(b, a) for _, a, b in edge}
     for _, t, path, tokens, _, _ in rows[:40]:
@@ -68,6 +71,48 @@ def test_donors_against_all_pairs(spark):
         assert sorted(got[t]) == want
 
 
+def jobs(spark, run):
+    """How many jobs Spark starts for something."""
+    group = f"g{random.random()}"
+    spark.sparkContext.setJobGroup(group, "")
+    run()
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def chain(spark, n, more=()):
+    pages = spark.range(n).select(F.lit("s").alias("site"), F.col("id").cast("string").alias("key"))
+    edge = spark.range(n - 1).select(F.lit("s").alias("site"), F.col("id").cast("string").alias("src_key"), (F.col("id") + 1).cast("string").alias("dst_key"))
+    if more:
+        edge = edge.union(spark.createDataFrame([("s", str(a), str(b)) for a, b in more], edge.schema))
+    return pages, edge, pages.where("key = '0'")
+
+
+def test_depth_of_ten_thousand_pages_in_a_row(spark):
+    pages, edge, homes = chain(spark, 10_000)
+    found = {}
+    used = jobs(spark, lambda: found.update({r["key"]: r["depth"] for r in L.depths(edge, pages, homes).collect()}))
+    assert found == {str(k): k for k in range(10_000)}
+    assert used < 40, used
+
+
+def test_depths_against_a_search(spark):
+    rnd = random.Random(8)
+    for _ in range(3):
+        n = 60
+        links = {(rnd.randrange(n), rnd.randrange(n)) for _ in range(75)} | {(k, k + 1) for k in range(20, 35)} | {(50, 51), (51, 50), (0, 20)}
+        pages = spark.createDataFrame([(s, str(k)) for s in "ab" for k in range(n)], "site string, key string")
+        edge = spark.createDataFrame([(s, str(a), str(b)) for s in "ab" for a, b in links] + [("a", "0", "unknown"), ("b", "x", "3")], "site string, src_key string, dst_key string")
+        homes = spark.createDataFrame([("a", "0"), ("b", "7")], "site string, key string")
+        want = {}
+        for site, home in (("a", 0), ("b", 7)):
+            depth, level = {home: 0}, [home]
+            while level:
+                level = sorted({b for a in level for x, b in links if x == a and b not in depth})
+                depth.update(dict.fromkeys(level, max(depth.values()) + 1))
+            want |= {(site, str(k)): v for k, v in depth.items()}
+        assert {(r["site"], r["key"]): r["depth"] for r in L.depths(edge, pages, homes).collect()} == want
+
+
 def test_exclusions_by_site(spark):
     urls = spark.createDataFrame([("a", "https://a/x/1"), ("a", "https://a/y"), ("b", "https://b/x/1"), (None, None)], "site string, url string")
     rules = spark.createDataFrame([("a", "*/x/*"), (None, "nothing"), ("a", None), ("a", "")], "site string, pattern string")
