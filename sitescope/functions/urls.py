@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitescope.sources.tables import small
+from sitescope.functions import grams as G
+from sitescope.sources.tables import settled, small
 
 #: RFC 3986, appendix B. parse_url() is stricter: it gives null for spaces and bad escapes.
 PARTS = r"(?s)^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?"
@@ -144,15 +145,36 @@ def excludes(url, pattern) -> Column:
     return (p != "") & F.when(is_glob, by_glob).when(p.startswith("?"), by_query).otherwise(target.contains(p) | low.contains(p))
 
 
+def literal_parts(pattern) -> Column:
+    """What every address that the pattern hits must contain: the pieces of a glob between its signs, else the pattern."""
+    p = F.lower(F.trim(c(pattern)))
+    is_glob = p.contains("*") | (p.contains("?") & ~p.startswith("?"))
+    pieces = F.when(is_glob, F.split(F.regexp_replace(p, r"\[[^\]]*\]|\[", "*"), "[*?]+")).otherwise(F.array(F.regexp_replace(p, "^[?]", "")))
+    return F.filter(pieces, lambda x: x != "")
+
+
 def drop_excluded(urls: DataFrame, patterns: DataFrame, url: str = "url") -> DataFrame:
     """URLs that no pattern of their site (or a pattern without a site) hits.
 
-    A URL meets only its own site's patterns, by a join on the site; patterns without a site are tried on every URL.
+    A pattern is filed under the run of four characters, out of its literal pieces, that the fewest addresses hold (shorter
+    pieces under themselves). Addresses, each once, fetch the patterns of such runs that they hold, and only these are tried. Patterns
+    without a literal piece are tried on every address of their site.
     """
-    own = patterns.where("site is not null").select(F.col("site").alias("__site"), F.col("pattern").alias("__pattern"))
-    common = patterns.where("site is null").select(F.col("pattern").alias("__pattern"))
-    hit = excludes(F.col(url), F.col("__pattern"))
-    return urls.join(own, (F.col("site") == F.col("__site")) & hit, "left_anti").join(small(common), hit, "left_anti")
+    rules = patterns.select(F.col("site").alias("of"), F.trim("pattern").alias("pattern")).where("pattern <> ''").distinct()
+    offered = rules.select("of", "pattern", F.explode(F.flatten(F.transform(literal_parts("pattern"), lambda x: G.runs_of(x)))).alias("run"))
+    own = urls.select("site", F.col(url).alias("address")).where("address is not null").distinct()
+    low = F.lower(c("address"))
+    lengths = sorted(r[0] for r in offered.select(F.length("run")).distinct().collect())  # RUN rows at most
+    runs = F.array_distinct(F.flatten(F.array(*(G.runs_of(low, k) for k in lengths)))) if lengths else F.array().cast("array<string>")
+    held = own.select("site", "address", F.explode(runs).alias("run"))
+    counts = held.join(small(offered.select("run").distinct()), "run").groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    filed = small(settled(G.rarest(offered, counts, "of", "pattern")))
+    hit = excludes(F.col("address"), F.col("pattern"))
+    fetched = held.join(filed.where("of is not null").withColumnRenamed("of", "site"), ["site", "run"]).unionByName(held.join(filed.where("of is null").drop("of"), "run"))
+    anywhere = rules.where(F.size(literal_parts("pattern")) == 0)
+    broad = own.join(small(anywhere), F.col("of").isNull() | (F.col("of") == F.col("site"))).select("site", "address", "pattern")
+    gone = fetched.select("site", "address", "pattern").unionByName(broad).where(hit).select(F.col("site").alias("__site"), F.col("address").alias("__address")).distinct()
+    return urls.join(gone, F.col("site").eqNullSafe(F.col("__site")) & (F.col(url) == F.col("__address")), "left_anti")
 
 
 def segments(url) -> Column:
@@ -210,8 +232,8 @@ def matches_lists(url, include: list[str], exclude: list[str]) -> Column:
     return F.forall(every(include), lambda x: low.contains(x)) & ~F.exists(every(exclude), lambda x: low.contains(x))
 
 
-def technical_signals(url, content_type) -> Column:
-    """Signs that a URL is not an ordinary page, each once."""
+def technical_signals(url, content_type, ordinary=None) -> Column:
+    """Signs that a URL is not an ordinary page, each once; ``ordinary``: whether the parsed HTML looks like a page."""
     low = F.lower(path(url))
     name = F.element_at(F.split(low, "/"), -1)
     keys = F.transform(F.split(query(url), "&"), lambda x: F.lower(F.element_at(F.split(x, "=", 2), 1)))
@@ -224,6 +246,7 @@ def technical_signals(url, content_type) -> Column:
         F.when(name.rlike(SERVICE_NAME), "service_name"),
         F.when(php, "service_php"),
         F.when((kind != "") & ~F.lower(kind).contains("html"), "not_html"),
+        F.when(~c(ordinary), "not_a_page") if ordinary is not None else F.lit(None).cast("string"),
     )
     return F.array_compact(found)
 

@@ -81,7 +81,7 @@ def _reached_by_one(inner: DataFrame, homes: DataFrame) -> DataFrame:
 
 
 #: Links that one round of a walk back follows: walks grow by this factor and one.
-FOLLOWED = 7
+FOLLOWED = 9
 
 
 def depths(edge: DataFrame, pages: DataFrame, homes: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitescope.functions import grams as G
 from sitescope.functions.words import WORD, normal, normal_word
-from sitescope.sources.tables import small
+from sitescope.sources.tables import settled, small
 
 # The editorial rules' default word lists.
 CONNECTORS = ("также", "при этом", "кроме того", "поэтому", "таким образом")
@@ -50,6 +51,7 @@ ACTIONS = (
     "добав созда подготов размест замен исправ провер настро убер удал сдел перенес обнов доработ встав загруз опублик простав переимен сверст реализ напис "
     "сгенер перелинк оптимиз скоррект вывести подключ убед"
 ).split()
+TITLES = ("тз ", "тз№", "тз №", "техническое задание")
 COMMON_ROLE, COMMON_CATEGORY = "Общее", "Общее"
 RELATIVE_URL = r"(?<![\w:/.-])(/[a-zA-Z0-9а-яА-ЯёЁ_%+~.-]+(?:/[a-zA-Z0-9а-яА-ЯёЁ_%+~.-]+)*/?)(?=[\s\]),.;:!?]|$)"
 DEADLINE = (
@@ -192,27 +194,25 @@ def style_result(docs: DataFrame, findings: DataFrame) -> DataFrame:
     return out.select("doc_id", F.greatest(F.lit(0), 100 - F.col("cost")).cast("long").alias("score"), *COST, first.alias("rewrite_first"))
 
 
-def runs_of(docs: DataFrame, lengths: DataFrame) -> DataFrame:
-    """(doc_id, n): every run of characters of these lengths in the lower-cased texts, so that containment is an equi-join."""
-    sizes = sorted(r["k"] for r in lengths.collect())  # at most as many rows as the longest name has characters
-    doc_id = docs.schema["doc_id"].dataType.simpleString()
+def names_in(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """(doc_id, name): the longest of the names that a text contains, in any case; of equally long ones the last by letters.
 
-    def run(batches):
-        for batch in batches:
-            ids, runs = [], []
-            for i, text in zip(batch["doc_id"], batch["low"]):
-                for k in sizes:
-                    for lo in range(0, len(text) - k + 1, 100_000):
-                        own = {text[at : at + k] for at in range(lo, min(lo + 100_000, len(text) - k + 1))}
-                        ids += [i] * len(own)
-                        runs += own
-                        if len(ids) > 100_000:
-                            yield pd.DataFrame({"doc_id": ids, "n": runs}, dtype=object)
-                            ids, runs = [], []
-            if ids:
-                yield pd.DataFrame({"doc_id": ids, "n": runs}, dtype=object)
-
-    return docs.select("doc_id", F.lower("text").alias("low")).where("low is not null and doc_id is not null").mapInPandas(run, f"doc_id {doc_id}, n string")
+    Every name is filed under the run of its letters that the fewest texts hold. Texts send the places of such runs, with as
+    many characters around as the longest name has; the name itself is compared there. So what is shuffled grows with the
+    hits of rare runs, not with the texts.
+    """
+    known = names.select(F.lower("name").alias("low"), "name").where("low <> ''").distinct()
+    offered = known.select("low", F.explode(G.runs_of(F.col("low"))).alias("run"))
+    texts = docs.where("doc_id is not null").select("doc_id", F.lower("text").alias("low"))
+    seen = G.places(texts, "doc_id", "low", G.carried(offered))
+    counts = seen.join(small(offered.select("run").distinct()), "run").groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    filed = settled(G.rarest(offered, counts, "low"))
+    longest = known.agg(F.max(F.length("low"))).first()[0] or 0
+    found = G.places(texts, "doc_id", "low", G.carried(filed), longest).join(small(filed), "run")
+    offset = F.instr("low", F.col("run")) - 1
+    there = F.concat(F.right("before", offset), F.substr("after", F.lit(1), F.length("low") - offset)) == F.col("low")
+    held = found.where(there).select("doc_id", "low").distinct().join(small(known), "low")
+    return held.groupBy("doc_id").agg(F.max_by("name", F.struct(F.length("name"), "name")).alias("name"))
 
 
 def _holds(low: Column, words) -> Column:
@@ -244,9 +244,7 @@ def task_facts(docs: DataFrame, projects: DataFrame) -> DataFrame:
     said = [tidy_line(F.regexp_extract(t, DEADLINE, k)) for k in (1, 2, 0)]
     due = F.coalesce(*(F.when(x != "", x) for x in said))
     named = F.substring(tidy_line(F.regexp_extract(t, r"(?iU)(?:проект|сайт|клиент)\s*[:—-]\s*([^\n.;]+)", 1)), 1, 80)
-    known = projects.select(F.lower("name").alias("n"), "name").where("n <> ''").distinct()
-    names = runs_of(docs, known.select(F.length("n").alias("k")).distinct()).join(known, "n")
-    project = names.groupBy("doc_id").agg(F.max_by("name", F.struct(F.length("name"), "name")).alias("found"))
+    project = names_in(docs, projects).withColumnRenamed("name", "found")
     rows = docs.select("doc_id", F.when(priority != "", priority).alias("priority"), due.alias("deadline"), urls.alias("u"), relative.alias("r"), task_category(t).alias("category"), F.when(named != "", named).alias("named"))
     open_points = F.array(
         F.when(F.col("priority").isNull(), "priority"), F.when(F.col("deadline").isNull(), "deadline"),
@@ -261,6 +259,7 @@ def task_facts(docs: DataFrame, projects: DataFrame) -> DataFrame:
 def task_lines(docs: DataFrame) -> DataFrame:
     """The lines of a task's text with what they are: (doc_id, pos, section, role, task, kind, category, line).
 
+    The first line that names the paper is its title; it is no note, wherever it stands again.
     Headings of goals, results and roles set the section and the role of the lines below; a numbered line, or one with a
     colon at its end among tasks, opens a task, to which problem, solution, subtasks and notes belong until the next heading.
     Sections and roles are carried forward by windows over each document's lines.
@@ -292,6 +291,10 @@ def task_lines(docs: DataFrame) -> DataFrame:
         .when(c("opens") == 1, "task").when(~c("inside"), "note").when(low.startswith("проблема:"), "problem").when(low.startswith("решение:"), "solution")
         .when(low.startswith("пример:"), "note").when(action, "subtask").otherwise("note")
     )
+    whole = upto.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    title = F.first(F.when(F.exists(F.array(*map(F.lit, TITLES)), lambda t: F.startswith(low, t)), c("line")), ignorenulls=True).over(whole)
+    lines = lines.withColumn("title", title)
+    kind = F.when((kind == "note") & ~c("inside") & (c("line") == c("title")), "title").otherwise(kind)
     number = F.sum("opens").over(upto)
     lines = lines.withColumn("kind", kind).withColumn("task", F.when(c("inside") & c("kind").isin("task", "problem", "solution", "subtask", "note"), number))
     after = F.trim(F.regexp_replace("line", "^[^:]*:", ""))

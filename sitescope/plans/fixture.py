@@ -57,10 +57,10 @@ SELECT concat('https://cdn.example.com/i', CAST(n AS VARCHAR(20)), e) AS src, CA
 FROM (SELECT DISTINCT page_id % 40 AS n FROM {pages}) a CROSS JOIN (SELECT '.jpg' AS e UNION ALL SELECT '.webp' AS e) b
 """
 
-#: Pages of a site numbered in order of id; the first is its home page.
+#: Pages of a site numbered in order of id; the first is its home page. There are more sites the more pages there are.
 RANKED = """
 SELECT page_id, url, site, status_code, title, h1, row_number() OVER (PARTITION BY site ORDER BY page_id) AS rn, concat(site, '#', CAST(row_number() OVER (PARTITION BY site ORDER BY page_id) AS VARCHAR(20))) AS key
-FROM (SELECT page_id, url, concat('s', CAST(page_id % 7 AS VARCHAR(20))) AS site, CASE WHEN page_id % 17 = 0 THEN 404 WHEN page_id % 23 = 0 THEN 301 ELSE 200 END AS status_code,
+FROM (SELECT page_id, url, concat('s', CAST(page_id % (SELECT 7 + CAST(floor(count(*) / 250.0) AS BIGINT) FROM {pages}) AS VARCHAR(20))) AS site, CASE WHEN page_id % 17 = 0 THEN 404 WHEN page_id % 23 = 0 THEN 301 ELSE 200 END AS status_code,
   regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h1 FROM {pages}) t
 """
 
@@ -126,7 +126,7 @@ SELECT doc_id, concat(
   '1. Добавить ссылки на /catalog/p', CAST(doc_id % 9 AS VARCHAR(20)), ' • \n  проблема: slow ', CAST(doc_id % 5 AS VARCHAR(20)), '\n',
   CASE WHEN doc_id % 2 = 0 THEN 'решение: cache it\nисправить canonical\nпример: as before\n' ELSE 'plain words\n\n' END,
   CASE WHEN doc_id % 6 = 0 THEN 'План.PDF\n' ELSE '' END,
-  '2) ', CASE doc_id % 4 WHEN 0 THEN 'P1 ' WHEN 1 THEN 'p3, ' ELSE '' END, 'fix menu for Project ', CAST(doc_id % 40 + 1 AS VARCHAR(20)),
+  '2) ', CASE doc_id % 4 WHEN 0 THEN 'P1 ' WHEN 1 THEN 'p3, ' ELSE '' END, 'fix menu for Project ', CAST(doc_id * 7919 % (SELECT count(*) FROM {customer}) + 1 AS VARCHAR(20)),
   CASE doc_id % 4 WHEN 0 THEN ', срок: 20.04.2024' WHEN 1 THEN ' до 3.05' WHEN 2 THEN ' завтра' ELSE '' END, '\n',
   CASE WHEN doc_id % 7 < 3 THEN concat('see https://e.example/', CAST(doc_id % 3 AS VARCHAR(20)), ', https://e.example/b\n') ELSE '' END,
   'Настройка sitemap:\nпроверить alt\n',

@@ -161,7 +161,7 @@ def t25_protected(s, d):
 
 
 def _tasks(s, d):
-    return X.derive(s, d, X.TASK_TEXTS, "documents")
+    return X.derive(s, d, X.TASK_TEXTS, "documents", "customer")
 
 
 def t26_task_facts(s, d):
@@ -244,9 +244,9 @@ _LINES = f"""WITH l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS r
     FROM (SELECT *, heading IS NULL AND NOT reference AND section IN ('context', 'tasks') AS free FROM l4) x WINDOW b AS (PARTITION BY doc_id, part ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
   l6 AS (SELECT *, CASE WHEN inside AND kind IN ('task', 'problem', 'solution', 'subtask', 'note') THEN CAST(number AS BIGINT) END AS task, {_WORDS_CASE(T.CATEGORIES, 'low', T.COMMON_CATEGORY)} AS category,
     CASE WHEN kind IN ('problem', 'solution') OR heading = 'expected' THEN trim(regexp_replace(line, '^[^:]*:', '')) WHEN kind = 'task' THEN rtrim(line, ':') ELSE line END AS shown FROM (
-    SELECT *, CASE WHEN heading IS NOT NULL THEN 'heading' WHEN reference THEN 'reference' WHEN section = 'goals' THEN 'goal' WHEN section = 'expected' THEN 'result' WHEN opens = 1 THEN 'task' WHEN NOT inside THEN 'note'
+    SELECT * REPLACE (CASE WHEN kind = 'note' AND NOT inside AND line = title THEN 'title' ELSE kind END AS kind) FROM (SELECT *, min_by(line, pos) FILTER (WHERE regexp_matches(low, '^(тз( |№)|техническое задание)')) OVER (PARTITION BY doc_id) AS title, CASE WHEN heading IS NOT NULL THEN 'heading' WHEN reference THEN 'reference' WHEN section = 'goals' THEN 'goal' WHEN section = 'expected' THEN 'result' WHEN opens = 1 THEN 'task' WHEN NOT inside THEN 'note'
       WHEN starts_with(low, 'проблема:') THEN 'problem' WHEN starts_with(low, 'решение:') THEN 'solution' WHEN starts_with(low, 'пример:') THEN 'note' WHEN {' OR '.join(f"starts_with(low, '{a}')" for a in T.ACTIONS)} THEN 'subtask' ELSE 'note' END AS kind
-    FROM (SELECT *, max(opens) OVER (PARTITION BY doc_id, part ORDER BY pos) = 1 AS inside, sum(opens) OVER (PARTITION BY doc_id ORDER BY pos) AS number FROM l5) y) z) """
+    FROM (SELECT *, max(opens) OVER (PARTITION BY doc_id, part ORDER BY pos) = 1 AS inside, sum(opens) OVER (PARTITION BY doc_id ORDER BY pos) AS number FROM l5) y) k) z) """
 ORACLE_SQL = {
     "t01_blank_lines": f"SELECT doc_id, sha256(array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), chr(10))) AS sha FROM ({_DOC}) d",
     "t02_normal_words": f"SELECT {_NORMED('w')} AS norm, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '\\s+')) AS w FROM ({_DOC}) d) x GROUP BY 1",

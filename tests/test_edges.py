@@ -158,3 +158,38 @@ def test_state_over_batches(spark, tmp_path):
         got = {(r["project_id"], r["state_key"]): r["id"] for r in state.current(spark, f"{tmp_path}/state").collect()}
         assert got == {k: e[2] for k, e in latest.items()}
     assert max(len(list(p.iterdir())) for p in (tmp_path / "state").glob("part=*")) <= 2
+
+
+def test_many_exclusions_of_one_large_site(spark):
+    """Against every pattern tried on every address; addresses fetch patterns by rare runs alone."""
+    rnd = random.Random(2)
+    pieces = ["news", "blog", "a", "cat-1", "shoes", "x.html", "Page", "utm_source=a", "q=1", "[ab]"]
+    urls = [(rnd.choice(["big", "big", "big", "small", None]), "https://e.com/" + "/".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 4))) + rnd.choice(["", "?utm_source=a", "?q=1#z"])) for _ in range(300)] + [("big", None)]
+    rules = [("big", f"/part-{k}/") for k in range(10_000)] + [("big", "*/news/*"), ("small", "?utm"), (None, "blog*1"), ("big", "*[ab]*x.html"), ("small", "*"), (None, "a?x"), ("big", "q"), ("small", "??"), ("big", "cat-[0-9]"), (None, "["), ("big", " /SHOES/ ")]
+    frame, table = spark.createDataFrame(urls, "site string, url string"), spark.createDataFrame(rules, "site string, pattern string")
+    few = table.where("pattern not like '/part-%'")
+    every = frame.join(few.select(F.col("site").alias("of"), "pattern"), (F.col("of").isNull() | (F.col("of") == F.col("site"))) & U.excludes(F.col("url"), F.col("pattern")), "left_anti")
+    got = U.drop_excluded(frame, table)
+    assert collections.Counter(map(tuple, got.collect())) == collections.Counter(map(tuple, every.collect()))
+    assert 0 < every.count() < 300 and "NestedLoop" not in U.drop_excluded(frame, table.where("pattern <> '*' and pattern <> '??'"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_names_through_their_rarest_runs(spark):
+    rnd = random.Random(5)
+    names = ["Proj", "Project", "Project 1", "Project 12", "ёлка", "Ёлка и сосна", "a", "", None, "x y", "PROJECT 1"] + [f"Name{k}" for k in range(200)]
+    texts = [(k, " ".join(rnd.choice(["the", "project", "12", "1", "ЁЛКА", "и", "сосна", "name17", "Name199x", "x", "y"]) for _ in range(rnd.choice([0, 3, 9])))) for k in range(120)]
+    texts += [(900, None), (None, "project 12"), (901, "a" * 5000 + "project 12"), (901, "ёлка и сосна")]
+    docs, table = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(n,) for n in names], "name string")
+    want = {}
+    for i, t in texts:
+        for n in names:
+            if i is not None and n and n.lower() in (t or "").lower():
+                want[i] = max(want.get(i, n), n, key=lambda x: (len(x), x))
+    assert {r["doc_id"]: r["name"] for r in T.names_in(docs, table).collect()} == want
+    assert T.names_in(docs, table.limit(0)).count() == 0 and T.names_in(docs.limit(0), table).count() == 0
+
+
+def test_the_title_of_a_task_paper(spark):
+    docs = spark.createDataFrame([(1, "Some note\nТЗ № 5 for the site\nТЗ № 5 for the site\nТЗ № 6\nЗадачи для разработчика\n1. fix it"), (2, "a note"), (3, "Задачи для разработчика\n1. fix\nТЗ about it")], "doc_id long, text string")
+    kinds = {i: [r["kind"] for r in T.task_lines(docs).where(F.col("doc_id") == i).orderBy("pos").collect()] for i in (1, 2, 3)}
+    assert kinds == {1: ["note", "title", "title", "note", "heading", "task"], 2: ["note"], 3: ["heading", "task", "note"]}
