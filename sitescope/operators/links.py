@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sitescope.functions import html as H
 from sitescope.functions import urls as U
-from sitescope.sources.tables import bucketed, dropped, settled, small
+from sitescope.sources.tables import bucketed, dropped, settled, settled_counting, small
 
 
 def outgoing(parsed: DataFrame, patterns: DataFrame | None = None, url: str = "url") -> DataFrame:
@@ -71,8 +71,7 @@ def _reached_by_one(inner: DataFrame, homes: DataFrame) -> DataFrame:
         for _ in range(FOLLOWED):
             far = (F.col("offset") + F.coalesce("more", F.lit(0))).alias("offset")
             moved = moved.join(step, ["site", "root"], "left").select("site", "key", F.coalesce("next", "root").alias("root"), far, F.col("next").isNotNull().alias("open"))
-        moved = settled(moved)
-        left = moved.where("open").count()
+        moved, left = settled_counting(moved, "open")
         old, now = now, moved.drop("open")
         dropped(old)
         if not left or left == open_before:
@@ -105,10 +104,14 @@ def depths(edge: DataFrame, pages: DataFrame, homes: DataFrame) -> DataFrame:
         step = frontier.select("site", F.col("key").alias("src_key"), "depth").join(table, ["site", "src_key"])
         step = step.groupBy("site", F.col("dst_key").alias("key")).agg(F.min(F.col("depth") + F.col("clicks")).alias("depth"))
         before = found.select("site", "key", F.col("depth").alias("before"))
-        frontier = settled(step.join(before, ["site", "key"], "left").where("before is null or depth < before").select("site", "key", "depth"))
-        if frontier.isEmpty():
+        better, n = settled_counting(step.join(before, ["site", "key"], "left").where("before is null or depth < before").select("site", "key", "depth"))
+        if not n:
             break
-        found, old = settled(found.unionByName(frontier).groupBy("site", "key").agg(F.min("depth").alias("depth"))), found
+        now = settled(found.unionByName(better).groupBy("site", "key").agg(F.min("depth").alias("depth")))
+        for old in {id(x): x for x in (found, frontier)}.values():
+            dropped(old)
+        found, frontier = now, better
+    for old in (inner, table, better, *([] if frontier is found else [frontier])):
         dropped(old)
     ends = found.select("site", F.col("key").alias("root"), F.col("depth").alias("above"))
     below = walks.join(ends, ["site", "root"]).select("site", "key", (F.col("above") + F.col("offset")).alias("depth"))

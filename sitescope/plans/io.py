@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from sitescope.plans import audit, indexing, workspace
 from sitescope.plans import fixture as X
 from sitescope.sources import io as S
-from sitescope.sources.tables import shared_dir
+from sitescope.sources.tables import temporary
 from sitescope.streaming import state
 
 
 def _folder(s, name):
-    return f"{shared_dir(s)}/{name}-{uuid.uuid4().hex}"
+    return f"{temporary(s, name)}/rows"
 
 
 def s01_snapshot(s, d):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: An input of fewer bytes a core than this may be one task's work; dealing it out costs less than leaving cores idle.
@@ -24,16 +24,34 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def temporary(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared one; what is still there goes when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return path
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """The rows written to the shared folder and read back: cuts the lineage, and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    """The rows written to the shared folder and read back: cuts the lineage, and survives lost executors. Later steps read
+    the files lazily, so they stay until dropped() or the application's end."""
+    path = f"{temporary(df.sparkSession, 'table')}/rows"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled_counting(df: DataFrame, condition: str = "true") -> tuple[DataFrame, int]:
+    """The settled rows, and for how many of them the condition holds, counted as they are written."""
+    seen = Observation()
+    out = settled(df.observe(seen, F.count_if(F.expr(condition)).alias("n")))
+    return out, seen.get["n"]
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a settled table that nothing reads any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    for path in {f.rsplit("/rows/", 1)[0] for f in df.inputFiles()}:
         removed(df.sparkSession, path)
 
 
@@ -42,7 +60,7 @@ def bucketed(df: DataFrame, *keys: str) -> DataFrame:
     spark = df.sparkSession
     name = f"table_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(n, *keys).write.bucketBy(n, *keys).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    df.repartition(n, *keys).write.bucketBy(n, *keys).option("path", f"{temporary(spark, 'table')}/rows").saveAsTable(name)
     return spark.table(name)
 
 

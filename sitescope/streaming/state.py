@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitescope.operators.workspace import upsert_latest
-from sitescope.sources.tables import removed, settled
+from sitescope.sources.tables import dropped, removed, settled
 
-COLUMNS = ("project_id", "state_key", "id", "title", "value", "created_at")
+SCHEMA = "project_id long, state_key string, id long, title string, value double, created_at timestamp"
+COLUMNS = tuple(c.split()[0] for c in SCHEMA.split(", "))
 
 
 def latest_of(events: DataFrame) -> DataFrame:
@@ -31,11 +32,14 @@ def start(events: DataFrame, folder: str, checkpoint: str, trigger: dict | None
     state of its own, and no late event is dropped.
     A part's versions are folders part=P/version=B of the batch that wrote them. A batch that runs again reads the versions
     before its own and writes the same ones again, so nothing counts twice. Of each part the last ``keep`` versions stay.
+
+    Spark's keyed state would keep each key's latest event in a state store besides the table, for ever, as keys never end;
+    and as a stream's output in update mode it would still have to be merged into the table. So the table is the state.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = settled(latest_of(batch).withColumn("part", _part()))
+        fresh = own = settled(latest_of(batch).withColumn("part", _part()))
         touched = [r[0] for r in fresh.select("part").distinct().collect()]  # at most PARTS rows
         versions = {p: [v for v in _versions(spark, folder, p) if v < batch_id] for p in touched}
         old = [f"{folder}/part={p}/version={v[-1]}" for p, v in versions.items() if v]
@@ -46,6 +50,7 @@ def start(events: DataFrame, folder: str, checkpoint: str, trigger: dict | None
         for p, v in versions.items():
             for gone in v[: -(keep - 1) or None]:
                 removed(spark, f"{folder}/part={p}/version={gone}")
+        dropped(own)
 
     return events.withColumn("created_at", F.col("created_at").cast("timestamp")).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
@@ -58,6 +63,6 @@ def _versions(spark: SparkSession, folder: str, part: int) -> list[int]:
 
 
 def current(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest version of each part of the state."""
-    found = {p: _versions(spark, folder, p) for p in range(PARTS)}
-    return spark.read.parquet(*(f"{folder}/part={p}/version={v[-1]}" for p, v in found.items() if v)).select(*COLUMNS)
+    """The newest version of each part of the state; no rows before the first event."""
+    newest = [f"{folder}/part={p}/version={v[-1]}" for p in range(PARTS) if (v := _versions(spark, folder, p))]
+    return spark.read.parquet(*newest).select(*COLUMNS) if newest else spark.createDataFrame([], SCHEMA)

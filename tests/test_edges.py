@@ -160,6 +160,35 @@ def test_state_over_batches(spark, tmp_path):
     assert max(len(list(p.iterdir())) for p in (tmp_path / "state").glob("part=*")) <= 2
 
 
+def left_over(spark):
+    from pathlib import Path
+
+    return {p.name for p in Path(tables.shared_dir(spark)).glob("table-*")}
+
+
+def test_state_of_a_stream_without_events(spark, tmp_path):
+    """No rows and no error; a stream leaves no folder behind, however many batches it has."""
+    schema = "project_id long, state_key string, id long, title string, value double, created_at string"
+    (tmp_path / "in").mkdir()
+    stream = lambda: state.start(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), f"{tmp_path}/state", f"{tmp_path}/mark").awaitTermination()
+    before = left_over(spark)
+    stream()
+    assert state.current(spark, f"{tmp_path}/state").collect() == [] and state.current(spark, f"{tmp_path}/state").columns == list(state.COLUMNS)
+    spark.createDataFrame([], schema).write.mode("append").parquet(f"{tmp_path}/in")
+    for k in range(3):
+        spark.createDataFrame([(1, "a", k, "t", 1.0, f"2024-01-0{k + 1}")], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream()
+    assert [r["id"] for r in state.current(spark, f"{tmp_path}/state").collect()] == [2]
+    assert left_over(spark) == before
+
+
+def test_click_depth_leaves_its_result_alone(spark):
+    pages, edge, homes = chain(spark, 30, more=[(3, 20), (9, 20), (25, 1)])
+    before = left_over(spark)
+    assert L.depths(edge, pages, homes).count() == 30
+    assert len(left_over(spark) - before) <= 2  # what the result reads
+
+
 def test_many_exclusions_of_one_large_site(spark):
     """Against every pattern tried on every address; addresses fetch patterns by rare runs alone."""
     rnd = random.Random(2)
