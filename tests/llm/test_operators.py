@@ -418,7 +418,7 @@ def test_suffix_tree_scores(docs, hot):
             ones = total - sum(own.values())
             gain = ones * math.log((ones + 2) / (total + 2))
             for word, c in own.items():
-                parent = math.exp(round(-4 * math.log(predict(context[1:], word))) / -4)
+                parent = math.exp(round(-suffix_tree.STEP * math.log(predict(context[1:], word))) / -suffix_tree.STEP)
                 gain += c * math.log((c + (ones + 2) * parent) / (total + 2) / parent)
             if (hot and total >= hot) or (own and gain > 3 * len(own)):
                 fresh.add(context)
@@ -429,6 +429,17 @@ def test_suffix_tree_scores(docs, hot):
     assert got == want
 
 
+def test_suffix_tree_tells_many_successors_apart(spark):
+    """One context with 15,000 successors of equal counts: equal probabilities, which add up to less than 1."""
+    n = 15_000
+    texts = [" ".join(f"a b w{k}x" for k in range(lo, lo + 500)) for lo in range(0, n, 500)] * 2 + ["a b w7x"] + [f"a b w{k}x" for k in range(0, n, 3)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = suffix_tree.score_documents(frame, F.col("doc_id") > 60).where("held_out").collect()
+    ends = {f"a b w{k}x" for k in range(499, n, 500)}  # these words end a text of training
+    score = {texts[r["doc_id"]]: round(r["score"], 9) for r in got}
+    assert len(score) == n // 3 and len({s for t, s in score.items() if t not in ends}) == 1 and len({s for t, s in score.items() if t in ends}) == 1
+
+
 def test_suffix_tree_learns_an_order(spark):
     rnd = random.Random(6)
     texts = [" ".join(f"a{k % 5}" for k in range(rnd.randrange(5), 60)) for _ in range(60)]
