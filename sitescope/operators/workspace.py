@@ -130,15 +130,6 @@ def activity(log: DataFrame, tasks: DataFrame, audits: DataFrame, n: int) -> Dat
     return rows.orderBy(F.desc("at"), "kind", F.desc("id")).limit(n)
 
 
-def search(q: str, parts: dict[str, tuple[DataFrame, str, int]], total: int = 30) -> DataFrame:
-    """Rows of several tables that hold the text, so many of each: name -> (table with id, column, limit)."""
-    out = None
-    for k, (name, (df, column, limit)) in enumerate(parts.items()):
-        hit = df.where(F.lower(column).contains(q.lower())).select(F.lit(k).alias("o"), F.lit(name).alias("kind"), F.col("id").cast("long").alias("id"), F.col(column).alias("text")).orderBy("id").limit(limit)
-        out = hit if out is None else out.unionByName(hit)
-    return out.orderBy("o", "id").limit(total).drop("o")
-
-
 def health(audits: DataFrame, links: DataFrame, tasks: DataFrame) -> DataFrame:
     """Counts of what is critical and what may improve, in a fixed order of codes, and open task items."""
     a = latest(audits).select("project_id", F.expr("stack(2, 1, 'seo_critical', critical, 2, 'seo_warnings', warnings) as (pos, code, n)"))

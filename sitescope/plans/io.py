@@ -31,11 +31,29 @@ def s02_sitemap(s, d):
     return S.read_sitemap(s, out).select("url", "priority", "changefreq")
 
 
+#: Sitemap files over the pages: a leaf holds pages by residue, some pages stand in a second leaf with another priority, leaves
+#: and index files stand in index files by eights, and every eleventh leaf in none.
+LEAVES = "SELECT page_id, url, CAST((page_id + k.second) % (SELECT 1 + CAST(floor(count(*) / 25.0) AS BIGINT) FROM {pages}) AS BIGINT) AS leaf, CASE WHEN k.second = 0 THEN '0.5' ELSE '0.9' END AS priority FROM {pages} CROSS JOIN (SELECT n_nationkey AS second FROM {nation} WHERE n_nationkey < 2) k WHERE k.second = 0 OR page_id % 5 = 0"
+NODES = "SELECT DISTINCT CAST(floor(leaf / 8.0) AS BIGINT) AS parent, 1 AS leaves, leaf AS child FROM (LEAVES) l WHERE leaf % 11 <> 5".replace("LEAVES", LEAVES)
+INNER = "SELECT DISTINCT CAST(floor(parent / 8.0) AS BIGINT) AS parent, 0 AS leaves, parent AS child FROM (NODES) n WHERE parent > 0".replace("NODES", NODES)
+
+
 def s03_sitemap_index(s, d):
-    p = X.table(s, d, "pages").select("page_id")
-    name = lambda c: F.concat(F.lit("s"), c.cast("string"))
-    files = p.where("page_id > 0").select(name((F.col("page_id") / 8).cast("long")).alias("sitemap_url"), name(F.col("page_id")).alias("child"))
-    return S.expand_index(files, p.where("page_id = 0").select(F.lit("s0").alias("sitemap_url")))
+    """Files written to disk, some packed, then read from the root index to the entries of the leaves."""
+    out = _folder(s, "sitemap")
+    entry = F.concat(F.lit("<url><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc><priority>"), "priority", F.lit("</priority></url>"))
+    leaves = X.derive(s, d, LEAVES, "pages", "nation").groupBy(F.concat(F.lit("leaf"), "leaf").alias("k"), (F.col("leaf") % 3 == 0).alias("packed"))
+    leaves = leaves.agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(entry), ""), F.lit("</urlset>")).alias("value"))
+    links = X.derive(s, d, NODES, "pages", "nation").union(X.derive(s, d, INNER, "pages", "nation"))
+    more = links.where("leaves = 0").select(F.explode(F.array(F.floor(F.col("parent") / 8), F.floor(F.col("parent") / 64))).alias("child"))  # index files above those that hold leaves
+    links = links.union(more.where("child > 0").select(F.floor(F.col("child") / 8), F.lit(0), "child")).distinct()
+    loc = F.concat(F.lit("<sitemap><loc>"), F.when(F.col("leaves") == 1, "leaf").otherwise("index"), "child", F.lit("</loc></sitemap>"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("leaves", "child", loc.alias("x")))), lambda e: e["x"]), "")
+    indexes = links.groupBy(F.concat(F.lit("index"), "parent").alias("k")).agg(F.concat(F.lit("<sitemapindex>"), listed, F.lit("</sitemapindex>")).alias("value"))
+    for part, codec in ((leaves.where("packed").drop("packed"), "gzip"), (leaves.where("not packed").drop("packed"), "none"), (indexes, "none")):
+        part.write.mode("append").partitionBy("k").option("compression", codec).text(out)
+    found = S.read_sitemap_tree(s, out, ["index0"], lambda file: F.regexp_extract(file, "/k=([^/]+)/", 1))
+    return found.select("url", "sitemap_url", "priority")
 
 
 def s04_robots_sitemaps(s, d):
@@ -89,8 +107,7 @@ _PG = "regexp_replace(url, '^[a-z]+://[^/?#]*', '')"
 ORACLE_SQL = {
     "s01_snapshot": "SELECT page_id, split_part(regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www[.]', ''), ':', 1) AS site, url AS final_url, 200 AS status_code, 'text/html' AS content_type, false AS failed FROM pages",
     "s02_sitemap": "SELECT url, CASE WHEN page_id % 2 = 0 THEN '0.5' ELSE '' END AS priority, '' AS changefreq FROM pages",
-    "s03_sitemap_index": """WITH RECURSIVE f AS (SELECT page_id // 8 AS parent, page_id AS child FROM pages WHERE page_id > 0), r AS (SELECT CAST(0 AS BIGINT) AS id UNION SELECT child FROM r JOIN f ON parent = id)
-      SELECT 's' || id AS sitemap_url FROM r WHERE id NOT IN (SELECT parent FROM f)""",
+    "s03_sitemap_index": f"SELECT url, 'leaf' || arg_min(leaf, leaf) AS sitemap_url, arg_min(priority, leaf) AS priority FROM ({X.sql(LEAVES)}) l WHERE leaf % 11 <> 5 GROUP BY url",
     "s04_robots_sitemaps": "SELECT page_id, unnest(['https://a.example/' || page_id || '.xml', 'https://b.example/x.xml']) AS sitemap_url FROM pages",
     "s05_url_list": "SELECT page_id, url FROM pages",
     "s06_url_column": "SELECT url AS found FROM pages",

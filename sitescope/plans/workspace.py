@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
+from sitescope.operators import search as I
 from sitescope.operators import siteaudit as A
 from sitescope.operators import workspace as W
 from sitescope.plans import audit as P
 from sitescope.plans import fixture as X
+from sitescope.sources.tables import temporary
 
 TODAY = "2024-03-20"
 LINK_AUDITS = "SELECT o_orderkey AS id, o_custkey AS project_id, o_orderkey % 4 AS orphans, o_orderkey % 3 AS broken, o_orderkey % 17 AS weak, o_orderdate AS created_at FROM {orders}"
@@ -109,12 +113,37 @@ def w15_memory_slice(s, d):
 
 
 def w16_activity(s, d):
-    empty = events(s, d).where("false")
-    return W.activity(empty, tasks(s, d), audits(s, d), 50).select("kind", "id")
+    return W.activity(events(s, d), tasks(s, d), audits(s, d), 50).select("kind", "id")
+
+
+def w16_activity_without_log(s, d):
+    return W.activity(events(s, d).where("false"), tasks(s, d), audits(s, d), 50).select("kind", "id")
+
+
+#: What a search finds, with its limit and whether the last ids come first.
+SEARCHED = {"project": (10, False), "task": (15, False), "chat": (10, False), "audit": (5, True), "indexing": (5, True)}
+RECORDS = """
+SELECT 'project' AS kind, project_id AS id, name AS title, concat(name, chr(10), domain) AS text FROM (PROJECTS) p
+UNION ALL SELECT 'task', id, title, concat(title, chr(10), source_name) FROM (TASKS) t
+UNION ALL SELECT 'chat', conv_id, substring(text, 1, 60), text FROM (SELECT conv_id, min_by(text, turn) AS text FROM {conversations} GROUP BY conv_id) c
+UNION ALL SELECT 'audit', id, concat('audit of ', CAST(project_id AS VARCHAR(20))), concat('score ', CAST(score AS VARCHAR(20)), ' critical ', CAST(critical AS VARCHAR(20))) FROM (AUDITS) a
+UNION ALL SELECT 'indexing', o_orderkey, concat('check of ', CAST(o_custkey AS VARCHAR(20))), concat('list', CAST(o_orderkey % 500 AS VARCHAR(20)), '.CSV ', o_orderstatus) FROM {orders}
+""".replace("PROJECTS", X.PROJECTS).replace("TASKS", X.TASKS).replace("AUDITS", X.AUDITS)
+
+
+def _searched(s, d, *queries):
+    folder = f"{temporary(s, 'search')}/index"
+    I.write_index(X.derive(s, d, RECORDS, "customer", "orders", "conversations"), folder)
+    every = [I.search(s, folder, q, SEARCHED).select(F.lit(q).alias("q"), "*") for q in queries]
+    return reduce(lambda a, b: a.unionByName(b), every)
+
+
+#: Searches with all kinds, with several, with one or two letters, with cases that only verification tells, and with none.
+QUERIES_SAID = ("ect 1", "1", "e 5", "List12", "ore 44 crit", "file1", "zzz", "the ")
 
 
 def w17_search(s, d):
-    return W.search("1", {"project": (projects(s, d).withColumnRenamed("project_id", "id"), "name", 10), "task": (tasks(s, d), "title", 15), "event": (events(s, d), "title", 5)})
+    return _searched(s, d, *QUERIES_SAID)
 
 
 def w18_health(s, d):
@@ -126,7 +155,7 @@ def w19_routing(s, d):
     return X.table(s, d, "conversations").select("conv_id", "turn", role.alias("target_role"), intent.alias("intent"))
 
 
-_ALL = (w01_latest, w02_overview, w03_history, w04_split_issues, w05_priority_pages, w06_attention, w07_priority_filter, w08_deadlines, w09_progress, w10_work_plan, w11_task_list, w12_new_tasks, w13_latest_state, w14_event_history, w15_memory_slice, w16_activity, w17_search, w18_health, w19_routing)
+_ALL = (w01_latest, w02_overview, w03_history, w04_split_issues, w05_priority_pages, w06_attention, w07_priority_filter, w08_deadlines, w09_progress, w10_work_plan, w11_task_list, w12_new_tasks, w13_latest_state, w14_event_history, w15_memory_slice, w16_activity, w16_activity_without_log, w17_search, w18_health, w19_routing)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _A, _T, _E, _PR, _LA = X.sql(X.AUDITS), X.sql(X.TASKS), X.sql(X.EVENTS), X.sql(X.PROJECTS), X.sql(LINK_AUDITS)
@@ -160,8 +189,9 @@ ORACLE_SQL = {
     "w13_latest_state": f"SELECT project_id, state_key, id, value FROM (SELECT *, row_number() OVER (PARTITION BY project_id, state_key ORDER BY created_at DESC, id DESC) AS r FROM ({_E}) e) z WHERE r = 1",
     "w14_event_history": f"SELECT project_id, rank, id FROM (SELECT project_id, id, row_number() OVER (PARTITION BY project_id ORDER BY id DESC) AS rank FROM ({_E}) e) z WHERE rank <= 5",
     "w15_memory_slice": f"SELECT project_id, id, kind, title, row_number() OVER (PARTITION BY project_id ORDER BY id) AS pos FROM (SELECT project_id, id, kind, title[1:3] AS title, row_number() OVER (PARTITION BY project_id, kind ORDER BY id DESC) AS r FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY id DESC) AS n FROM ({_E}) e) a WHERE n <= 24) b) c WHERE r <= 8",
-    "w16_activity": f"SELECT kind, id FROM (SELECT 'task' AS kind, id, updated_at AS ts_at FROM ({_T}) t UNION ALL SELECT 'audit', id, created_at FROM ({_A}) a) z ORDER BY ts_at DESC, kind, id DESC LIMIT 50",
-    "w17_search": f"(SELECT 'project' AS kind, project_id AS id, name AS text FROM ({_PR}) p WHERE contains(lower(name), '1') ORDER BY 2 LIMIT 10) UNION ALL (SELECT 'task', id, title FROM ({_T}) t WHERE contains(lower(title), '1') ORDER BY 2 LIMIT 15) UNION ALL (SELECT 'event', id, title FROM ({_E}) e WHERE contains(lower(title), '1') ORDER BY 2 LIMIT 5)",
+    "w16_activity_without_log": f"SELECT kind, id FROM (SELECT 'task' AS kind, id, updated_at AS ts_at FROM ({_T}) t UNION ALL SELECT 'audit', id, created_at FROM ({_A}) a) z ORDER BY ts_at DESC, kind, id DESC LIMIT 50",
+    "w16_activity": f"SELECT kind, id FROM ({_E}) e ORDER BY created_at DESC, kind, id DESC LIMIT 50",
+    "w17_search": f"WITH rec AS ({X.sql(RECORDS)}) " + "SELECT q, kind, id, title FROM (" + " UNION ALL ".join(f"(SELECT '{q}' AS q, * FROM (" + " UNION ALL ".join(f"(SELECT kind, id, title, {k} AS o, row_number() OVER (ORDER BY id {'DESC' if last else ''}) AS r FROM rec WHERE kind = '{kind}' AND contains(lower(text), '{q.strip().lower()}') ORDER BY r LIMIT {n})" for k, (kind, (n, last)) in enumerate(SEARCHED.items())) + ") x ORDER BY o, r LIMIT 30)" for q in QUERIES_SAID) + ") y",
     "w18_health": f"""SELECT project_id, CAST(pos AS BIGINT) AS pos, code, CAST(n AS BIGINT) AS n, CASE WHEN code IN ('seo_critical', 'orphans', 'broken') THEN 'critical' ELSE 'improve' END AS level FROM (
       SELECT project_id, unnest([1, 2]) AS pos, unnest(['seo_critical', 'seo_warnings']) AS code, unnest([critical, warnings]) AS n FROM {_LATEST(_A)} a UNION ALL SELECT project_id, unnest([3, 4, 5]), unnest(['orphans', 'broken', 'weak']), unnest([orphans, broken, weak]) FROM {_LATEST(_LA)} l
       UNION ALL SELECT project_id, 6, 'open_items', CAST(sum(greatest(0, n_items + n_qa - least(n_done, n_items))) AS BIGINT) FROM ({_T}) t WHERE status <> 'done' GROUP BY 1) z WHERE n > 0""",

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitescope.functions import urls as U
+from sitescope.sources.tables import settled, settled_counting
 
 #: Header names of URL columns.
 URL_HEADERS = ("url", "urls", "адрес", "страница", "page", "link", "address")
@@ -31,35 +32,64 @@ def with_defaults(pages: DataFrame) -> DataFrame:
     return out.withColumn("failed", failed)
 
 
+ENTRY = "loc string, priority string, changefreq string, lastmod string"
+
+
+def _tagged(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
+    """The elements of a tag in stored files (also packed ones), with their file and their place in it."""
+    rows = spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+    return rows.select("*", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("pos"))
+
+
 def read_sitemap(spark: SparkSession, path: str) -> DataFrame:
     """Entries of sitemap files: page addresses only, each once, the first kept; missing fields are empty."""
-    schema = "loc string, priority string, changefreq string, lastmod string"
-    rows = spark.read.format("xml").option("rowTag", "url").schema(schema).load(path).select("*", F.col("_metadata.file_path").alias("sitemap_url"), F.monotonically_increasing_id().alias("pos"))
-    return sitemap_entries(rows)
+    return sitemap_entries(_tagged(spark, path, "url", ENTRY).withColumnRenamed("file", "sitemap_url"), F.col("sitemap_url"))
 
 
-def sitemap_entries(rows: DataFrame) -> DataFrame:
-    own = rows.select(F.trim("loc").alias("url"), "sitemap_url", *(F.coalesce(F.trim(c), F.lit("")).alias(c) for c in ("priority", "changefreq", "lastmod")), "pos").where(U.is_page("url"))
-    first = own.groupBy("url").agg(F.min_by(F.struct("sitemap_url", "priority", "changefreq", "lastmod"), F.struct("sitemap_url", "pos")).alias("e"))
+def sitemap_entries(rows: DataFrame, order: Column) -> DataFrame:
+    """(url, sitemap_url, priority, changefreq, lastmod); of an address's entries the first by ``order`` of its file, then place."""
+    own = rows.select(F.trim("loc").alias("url"), "sitemap_url", *(F.coalesce(F.trim(c), F.lit("")).alias(c) for c in ("priority", "changefreq", "lastmod")), F.struct(order.alias("file"), "pos").alias("at")).where(U.is_page("url"))
+    first = own.groupBy("url").agg(F.min_by(F.struct("sitemap_url", "priority", "changefreq", "lastmod"), "at").alias("e"))
     return first.select("url", "e.*")
 
 
-def expand_index(files: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
-    """Leaf sitemaps reachable from the roots through index files, each once. ``files``: sitemap_url, child (null: a leaf).
-    All levels are read, unless a caller stops at a ``depth``."""
-    from sitescope.sources.tables import settled
+def read_sitemap_tree(spark: SparkSession, path: str, roots: list[str], name) -> DataFrame:
+    """Entries of all sitemaps that the roots lead to through index files, each address once.
 
-    seen = frontier = settled(roots.select("sitemap_url").distinct())
+    ``path``: stored files, plain or packed; ``name``: the column of a file's address, given the column of its path. Files
+    are read level by level as a crawler would: an address's first entry is that of the file which comes first by level, then
+    by the places of the index entries that lead there.
+    """
+    links = _tagged(spark, path, "sitemap", "loc string").select(name(F.col("file")).alias("sitemap_url"), F.trim("loc").alias("child"), "pos")
+    order = Window.partitionBy("sitemap_url").orderBy("pos")  # entries of one index file: 50,000 at most by the format
+    links = links.where("child <> ''").withColumn("place", F.row_number().over(order)).groupBy("sitemap_url", "child").agg(F.min("place").alias("place"))
+    first = spark.createDataFrame([(r, [k]) for k, r in enumerate(roots)], "sitemap_url string, way array<int>")
+    reached = sitemap_ways(settled(links), first)
+    entries = _tagged(spark, path, "url", ENTRY).withColumn("sitemap_url", name(F.col("file")))
+    return sitemap_entries(entries.join(reached, "sitemap_url"), F.struct(F.size("way"), "way"))
+
+
+def sitemap_ways(links: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
+    """(sitemap_url, way): the files that the roots lead to, each once, with the places of the entries that lead there first.
+    ``links``: sitemap_url, child, place. All levels are read, unless a caller stops at a ``depth``."""
+    seen = frontier = settled(roots)
     for level in count(1) if depth is None else range(1, depth + 1):
-        step = frontier.join(files.where("child is not null"), "sitemap_url").select(F.col("child").alias("sitemap_url")).distinct()
-        frontier = settled(step.join(seen, "sitemap_url", "left_anti"))
-        if frontier.isEmpty():
+        step = frontier.join(links, "sitemap_url").select(F.col("child").alias("sitemap_url"), F.concat("way", F.array(F.col("place").cast("int"))).alias("way"))
+        step = step.groupBy("sitemap_url").agg(F.min("way").alias("way"))
+        frontier, n = settled_counting(step.join(seen, "sitemap_url", "left_anti"))
+        if not n:
             break
         seen = seen.unionByName(frontier)
         if level % 16 == 0:
             seen = settled(seen)
-    indexes = files.where("child is not null").select("sitemap_url").distinct()
-    return seen.join(indexes, "sitemap_url", "left_anti")
+    return seen
+
+
+def expand_index(files: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
+    """Leaf sitemaps reachable from the roots through index files, each once. ``files``: sitemap_url, child (null: a leaf)."""
+    links = files.where("child is not null").select("sitemap_url", "child", F.lit(1).alias("place")).distinct()
+    reached = sitemap_ways(links, roots.select("sitemap_url", F.array(F.lit(0)).alias("way")).distinct(), depth)
+    return reached.join(links.select("sitemap_url").distinct(), "sitemap_url", "left_anti").select("sitemap_url")
 
 
 def robots_sitemaps(robots: DataFrame, text: str = "text") -> DataFrame:
