@@ -6,11 +6,12 @@ import re
 from collections import Counter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitescope.functions import grams as G
-from sitescope.functions.words import WORD, normal, normal_word
+from sitescope.functions.words import WORD, normal, normal_word, stem
 from sitescope.sources.tables import settled, small
 
 # The editorial rules' default word lists.
@@ -27,6 +28,8 @@ COMMON = ("abstract", "linking", "passive")
 EMOJI = "[\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}]"
 PARTICIPLE = r"(?iU)\b[А-Яа-яЁё-]{4,}(?:(?:ющ|ащ|ящ|вш)(?:ий|ая|ее|ие|его|ему|им|ими|их)|(?:ем|им)(?:ый|ая|ое|ые|ого|ому|ым|ыми|ых))\b"
 GERUND = r"(?iU)\b[А-Яа-яЁё-]{4,}(?:вши|вшись|ившись|ывшись|учи|ючи)\b"
+#: A sentence with its end; line breaks do not end it.
+SENTENCE = r"[^.!?…]+(?:[.!?…]+|$)"
 COST = {"high": 11, "medium": 7, "low": 3}
 #: Fixed values of task texts: roles, categories (the first that fits), and checks, by the words that stand for them.
 ROLES = (
@@ -90,7 +93,7 @@ def parse_briefs(briefs: DataFrame, text: str = "text") -> DataFrame:
 
 def sentences(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row a sentence with words: (doc_id, pos, sentence, n_words)."""
-    raw = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?s)([^.!?…]+(?:[.!?…]+|$))"), F.lit(1))
+    raw = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({SENTENCE})"), F.lit(1))
     rows = docs.select("doc_id", F.posexplode(raw).alias("pos", "s")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.trim(F.regexp_replace("s", r"(?U)\s+", " ")).alias("sentence"))
     return rows.withColumn("n_words", F.size(words("sentence")).cast("long")).where("n_words > 0")
 
@@ -116,17 +119,49 @@ def repeated_openers(sents: DataFrame, generic=GENERIC_OPENERS) -> DataFrame:
     return often.select(*_finding("repetition", "medium", F.concat(F.lit("opener:"), "opener"), F.col("n")))
 
 
-def neighbour_similarity(sents: DataFrame, stems: DataFrame, stop: tuple[str, ...] = (), least: float = 0.56) -> DataFrame:
-    """Neighbouring sentences that say much the same: by shared stems of their content words."""
-    w = sents.select("doc_id", "pos", F.explode(F.array_distinct(F.transform(words("sentence"), lambda x: normal(x)))).alias("word"))
-    w = w.where((F.length("word") > 2) & ~F.col("word").isin(*stop or ("",)) & ~F.col("word").rlike("^[0-9]+$")).join(stems, "word").where(F.length("stem") >= 3)
-    sets = w.groupBy("doc_id", "pos").agg(F.collect_set("stem").alias("stems"))
-    own = sents.select("doc_id", "pos").join(sets, ["doc_id", "pos"], "left").withColumn("stems", F.coalesce("stems", F.array().cast("array<string>")))
-    both = own.withColumn("after", F.lead("stems").over(Window.partitionBy("doc_id").orderBy("pos"))).where("after is not null")
-    same = F.size(F.array_intersect("stems", "after"))
-    a, b = F.size("stems"), F.size("after")
-    score = F.when((a < 3) | (b < 3), 0.0).otherwise(F.greatest(same / (a + b - same), 0.86 * same / F.least(a, b)))
-    return both.select("doc_id", "pos", F.round(score, 4).alias("score")).where(F.col("score") >= least)
+def alike(a: set[str], b: set[str]) -> float:
+    """How much two sentences say the same: by shared stems, of both or of the shorter one; short ones say too little."""
+    if min(len(a), len(b)) < 3:
+        return 0.0
+    same = len(a & b)
+    return max(same / len(a | b), 0.86 * same / min(len(a), len(b)))
+
+
+def neighbour_similarity(docs: DataFrame, stop: tuple[str, ...] = (), least: float = 0.56, text: str = "text") -> DataFrame:
+    """(doc_id, pos, score): sentences whose next one says much the same. Within the row: words are stemmed once a worker."""
+    stopped, stems = frozenset(stop), {}
+
+    def content(sentence: str) -> set[str]:
+        out = set()
+        for w in map(normal_word, re.findall(WORD, sentence)):
+            if len(w) > 2 and w not in stopped and not re.fullmatch("[0-9]+", w):
+                if w not in stems:
+                    if len(stems) > 500_000:
+                        stems.clear()
+                    stems[w] = stem(w)
+                if len(stems[w]) >= 3:
+                    out.add(stems[w])
+        return out
+
+    def run(batches):
+        for batch in batches:
+            owner, pos, score = [], [], []
+            for k, t in enumerate(batch.column(text)):
+                before = None
+                for at, s in enumerate(re.findall(SENTENCE, t.as_py() or "")):
+                    if not re.search(WORD, s):
+                        continue
+                    own = content(s)
+                    if before is not None and (value := alike(before[1], own)) >= least - 0.0001:
+                        owner.append(k)
+                        pos.append(before[0])
+                        score.append(value)
+                    before = at, own
+            kept = batch.column("doc_id").take(pa.array(owner, pa.int32()))
+            yield pa.RecordBatch.from_arrays([kept, pa.array(pos, pa.int64()), pa.array(score, pa.float64())], ["doc_id", "pos", "score"])
+
+    found = docs.select("doc_id", text).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, pos long, score double")
+    return found.select("doc_id", "pos", F.round("score", 4).alias("score")).where(F.col("score") >= least)
 
 
 def rhythm(sents: DataFrame) -> DataFrame:

@@ -140,6 +140,14 @@ TARGETS = "SELECT item_id AS brief_id, CASE WHEN item_id % 7 <> 5 THEN 100 + ite
 #: Documents and their briefs; the last number stands for no brief.
 BRIEFED = "SELECT doc_id, doc_id % (SELECT count(*) + 1 FROM {benchmark}) AS brief_id, text FROM {documents}"
 
+#: Documents with two sentences of Russian word forms at the end: a root and two endings follow the document's id.
+RUSSIAN = """
+SELECT doc_id, concat(coalesce(text, ''), '. ', r, e1, ' большой ', r, e2, ' стоит рядом 12. ', r, e2, ' Большая ', r, e1, ' СТОЯТ рядом.') AS text FROM (SELECT doc_id, text,
+  split_part('насос вод ёлк строительств красн работ читал помога сто бежа длинн новост нежност умнейш быстр принес дел камен', ' ', CAST(1 + doc_id % 18 AS INT)) AS r,
+  split_part('а ами ая ев ее ей ейше ем ение ет ешь ёт и ив ивши ившись ие ий ила ими ит ить ия ла ли лся ми на нный нно о ов ого ой ом ост ость оть ою ся т те ть ться у уют ущий ую ы ый ым ыми ых ь ью ю ют ющая юся я ям ями ях яя вши вшись в ем емый', ' ', CAST(1 + (doc_id * 7) % 69 AS INT)) AS e1,
+  split_part('ы ого ами ющийся ованная евшими остью нн нный ейший ь', ' ', CAST(1 + (doc_id * 3) % 11 AS INT)) AS e2 FROM {documents}) d
+"""
+
 #: Task texts: which lines a text has, and what they say, follows its document's id.
 TASK_TEXTS = """
 SELECT doc_id, concat(

@@ -46,8 +46,12 @@ def t02_normal_words(s, d):
     return w.select(W.normal("word").alias("norm")).groupBy("norm").agg(F.count(F.lit(1)).alias("n"))
 
 
+def russian(s, d):
+    return X.derive(s, d, X.RUSSIAN, "documents")
+
+
 def t03_stems(s, d):
-    return W.stems(docs(s, d).select(F.explode(T.words("text")).alias("word")))
+    return W.stems(russian(s, d).select(F.explode(T.words("text")).alias("word")))
 
 
 def t04_tokens(s, d):
@@ -115,9 +119,7 @@ def t15_openers(s, d):
 
 
 def t16_similar_neighbours(s, d):
-    sents = sentences(s, d)
-    vocabulary = sents.select(F.explode(T.words("sentence")).alias("w")).select(W.normal("w").alias("word")).distinct()
-    return T.neighbour_similarity(sents, W.stems(vocabulary), STOP)
+    return T.neighbour_similarity(russian(s, d), STOP)
 
 
 def t17_rhythm(s, d):
@@ -228,7 +230,25 @@ _TIMES = lambda m: f"len(regexp_extract_all(low, '[^\\p{{L}}\\p{{M}}\\p{{N}}_]{m
 _MARKS = " UNION ALL ".join(f"SELECT doc_id, '{t}:{m}' AS title, '{t}' AS t, '{v}' AS severity, {_TIMES(m)} AS n FROM low" for m, t, v in MARKERS)
 _F14 = f"SELECT doc_id, 'marker' AS kind, {_SEV} AS severity, title, n FROM ({_MARKS}) m WHERE n > 0 AND (t NOT IN ({', '.join(repr(c) for c in T.COMMON)}) OR n >= 2)"
 _F18 = " UNION ALL ".join(f"SELECT doc_id, 'repetition' AS kind, 'medium' AS severity, 'connector:{w}' AS title, {_TIMES(w)} AS n FROM low WHERE {_TIMES(w)} >= 3" for w in CONNECTORS)
-_NEAR = f"""cw AS (SELECT DISTINCT doc_id, pos, w AS stem FROM (SELECT doc_id, pos, unnest(list_transform(regexp_extract_all(sentence, '{_W}'), lambda x: {_NORMED('x')})) AS w FROM sent) q WHERE length(w) > 2 AND w NOT IN ({", ".join(f"'{x}'" for x in STOP)}) AND NOT regexp_matches(w, '^[0-9]+$')),
+
+
+def _ending_off(x, after_a, free):
+    """The text without the longest ending of a group that it bears; some count only after certain letters."""
+    every = {e: True for e in after_a.split()} | {e: False for e in free.split()}
+    rest = lambda e: f"left({x}, length({x}) - {len(e)})"
+    cases = "".join(f" WHEN ends_with({x}, '{e}') THEN " + (f"CASE WHEN regexp_matches({rest(e)}, '[ая]$') THEN {rest(e)} ELSE {x} END" if bound else rest(e)) for e, bound in sorted(every.items(), key=lambda i: -len(i[0])))
+    return f"CASE{cases} ELSE {x} END"
+
+
+#: The stemmer in SQL, step by step, over the distinct words (w) of a table: stem of each.
+_STEMMED = lambda source: f"""sw AS (SELECT DISTINCT w, {_NORMED('w')} AS n FROM {source}), s1 AS (SELECT w, n, regexp_extract(n, '^[^{W.VOWELS}]*[{W.VOWELS}]') AS head FROM sw),
+  s2 AS (SELECT *, substr(n, length(head) + 1) AS r, length(n) > 3 AND regexp_matches(n, '[а-я]') AND head <> '' AND length(n) > length(head) AS fit FROM s1), s3 AS (SELECT *, {_ending_off('r', *W.PERFECTIVE_GERUND)} AS g, {_ending_off('r', *W.REFLEXIVE)} AS f FROM s2),
+  s4 AS (SELECT *, {_ending_off('f', *W.ADJECTIVE)} AS aj, {_ending_off('f', *W.VERB)} AS vb, {_ending_off('f', *W.NOUN)} AS nn FROM s3), s5 AS (SELECT *, {_ending_off('aj', *W.PARTICIPLE)} AS pt FROM s4),
+  s6 AS (SELECT *, CASE WHEN g <> r THEN g WHEN aj <> f THEN pt WHEN vb <> f THEN vb ELSE nn END AS i FROM s5), s7 AS (SELECT *, regexp_replace(regexp_replace(i, 'и$', ''), 'ость?$', '') AS j FROM s6),
+  s8 AS (SELECT *, head || regexp_replace(regexp_replace(regexp_replace(j, 'ейше$', ''), 'нн$', 'н'), 'ь$', '') AS short FROM s7), stm AS (SELECT w, CASE WHEN fit AND length(short) >= 3 THEN short ELSE n END AS stem FROM s8)"""
+_SENT_RU = _SENT.replace(f"FROM ({_DOC}) d)", f"FROM ({X.sql(X.RUSSIAN)}) d)")
+_NEAR = f"""vw AS (SELECT {_NORMED('w')} AS w FROM (SELECT unnest(regexp_extract_all(sentence, '{_W}')) AS w FROM sent) q), {_STEMMED('vw')},
+  cw AS (SELECT DISTINCT doc_id, pos, stem FROM (SELECT doc_id, pos, unnest(list_transform(regexp_extract_all(sentence, '{_W}'), lambda x: {_NORMED('x')})) AS w FROM sent) q JOIN stm USING (w) WHERE length(w) > 2 AND w NOT IN ({", ".join(f"'{x}'" for x in STOP)}) AND NOT regexp_matches(w, '^[0-9]+$') AND length(stem) >= 3),
   st AS (SELECT s.doc_id, s.pos, coalesce(list(stem) FILTER (WHERE stem IS NOT NULL), []) AS stems FROM sent s LEFT JOIN cw ON cw.doc_id = s.doc_id AND cw.pos = s.pos GROUP BY 1, 2),
   nb AS (SELECT doc_id, pos, len(stems) AS a, len(after) AS b, len(list_intersect(stems, after)) AS same FROM (SELECT *, lead(stems) OVER (PARTITION BY doc_id ORDER BY pos) AS after FROM st) z WHERE after IS NOT NULL)"""
 _TASK = X.sql(X.TASK_TEXTS)
@@ -250,7 +270,7 @@ _LINES = f"""WITH l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS r
 ORACLE_SQL = {
     "t01_blank_lines": f"SELECT doc_id, sha256(array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), chr(10))) AS sha FROM ({_DOC}) d",
     "t02_normal_words": f"SELECT {_NORMED('w')} AS norm, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '\\s+')) AS w FROM ({_DOC}) d) x GROUP BY 1",
-    "t03_stems": f"SELECT DISTINCT w AS word, {_NORMED('w')} AS stem FROM (SELECT unnest(regexp_extract_all(text, '{_W}')) AS w FROM ({_DOC}) d) x",
+    "t03_stems": f"WITH rw AS (SELECT unnest(regexp_extract_all(text, '{_W}')) AS w FROM ({X.sql(X.RUSSIAN)}) d), {_STEMMED('rw')} SELECT w AS word, stem FROM stm",
     "t04_tokens": f"WITH {_TOK} SELECT doc_id, count(*) AS tokens, CAST(max(stop) AS BIGINT) AS last_end, CAST(max(sentence) AS BIGINT) AS sentences FROM tk GROUP BY 1",
     "t05_phrase_matches": f'WITH {_TOK}, {_MATCHED(X.REQUIREMENTS)} SELECT doc_id, brief_id, requirement, first, last, true AS exact, CAST(start AS INT) AS start, CAST(stop AS INT) AS "end", CAST(sentence AS INT) AS sentence FROM mt',
     "t06_independent_matches": _HITS + "SELECT doc_id, brief_id, requirement, first, last FROM hit",
@@ -263,7 +283,7 @@ ORACLE_SQL = {
       iss AS (SELECT *, list_filter([CASE WHEN missing > 0 THEN 'missing' END, CASE WHEN excess > 0 THEN 'excess' END, CASE WHEN spacing > 0 THEN 'spacing' END, CASE WHEN missing_lsi > 0 THEN 'lsi' END, CASE WHEN short > 0 THEN 'short' END], lambda x: x IS NOT NULL) AS i FROM su)
       SELECT doc_id, brief_id, missing, excess, spacing, missing_lsi, array_to_string(i, ',') AS issues, len(i) = 0 AS ready FROM iss""",
     "t14_markers": f"WITH {_LOW} {_F14}",
-    "t16_similar_neighbours": f"WITH {_SENT}, {_NEAR}, sc AS (SELECT doc_id, pos, CASE WHEN a < 3 OR b < 3 THEN 0.0 ELSE greatest(same / CAST(a + b - same AS DOUBLE), 0.86 * same / least(a, b)) END AS score FROM nb) SELECT doc_id, pos, round(score, 4) AS score FROM sc WHERE round(score, 4) >= 0.56 AND score >= 0.56",
+    "t16_similar_neighbours": f"WITH {_SENT_RU}, {_NEAR}, sc AS (SELECT doc_id, pos, CASE WHEN a < 3 OR b < 3 THEN 0.0 ELSE greatest(same / CAST(a + b - same AS DOUBLE), 0.86 * same / least(a, b)) END AS score FROM nb) SELECT doc_id, pos, round(score, 4) AS score FROM sc WHERE round(score, 4) >= 0.56 AND score >= 0.56",
     "t18_connectors": f"WITH {_LOW} {_F18}",
     "t20_verb_forms": f"SELECT doc_id, 'syntax' AS kind, CASE WHEN n < 6 THEN 'medium' ELSE 'high' END AS severity, 'verb_forms' AS title, n FROM (SELECT doc_id, len(regexp_extract_all(text, '[a-z]{{4,}}ing\\b')) + len(regexp_extract_all(text, '[a-z]{{4,}}ed\\b')) AS n FROM ({_DOC}) d) q WHERE n >= 3",
     "t24_style_result": f"""WITH {_SENT}, {_LOW}, {_OPEN}, p AS (SELECT doc_id, count(*) AS n, stddev_pop(n_words) AS sd, count(*) FILTER (WHERE n_words >= 30) AS l FROM sent GROUP BY 1),
