@@ -6,11 +6,12 @@ share almost whole; runs of three words vote on the rest, which unrelated texts
 fingerprints. Empty and null texts have the fingerprint of no votes (all zero bits).
 
 Search: two fingerprints are near if they differ in at most RADIUS bits of the head and WHOLE_RADIUS bits in all. The
-head's bits are cut into BLOCKS blocks. Near heads agree in at least BLOCKS - RADIUS whole blocks, so each choice of that
-many blocks is a table (the bits permuted so that these lead), and fingerprints meet where a table's leading bits are
-equal. Only distinct fingerprints meet. Within a place a spanning forest of the near ones is returned, never all pairs. A
-place of more than CROWDED is divided by the bits that its table leaves out: of RADIUS + 1 pieces of these one at least
-must be equal, too.
+head's bits are cut into blocks, more of them the more fingerprints there are. Near heads agree in at least RADIUS fewer
+whole blocks, so each choice of that many blocks is a table (the bits permuted so that these lead), and fingerprints meet
+where a table's leading bits are equal; leading bits grow with the fingerprints' number, so places stay small. Only distinct
+fingerprints meet. Within a place a spanning forest of the near ones is returned, never all pairs. A place of more than
+CROWDED is divided by the bits that its table leaves out: of RADIUS + 1 pieces of these one at least must be equal, too;
+what is still crowded is divided again by the bits left then.
 
 Order of documents for the edited texts: descending doc_id, ties by the text's SHA-256, null ids last; after the last
 comes the first. A table of one document is followed by itself, an empty table gives no rows. Repeated rows follow each
@@ -20,6 +21,7 @@ other. Very long texts are whole within one worker, at about 300 bytes a word.
 from __future__ import annotations
 
 import hashlib
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -37,9 +39,11 @@ HEAD = PARTS[0][1]
 #: Bits that near fingerprints may differ in: of the head, and in all. The README states the measured recall.
 RADIUS = 7
 WHOLE_RADIUS = 40
-BLOCKS = 9
-#: A meeting place with more fingerprints than this is divided.
+#: A meeting place with more fingerprints than this is divided, and what is still crowded again, so often.
 CROWDED = 1_000
+DIVISIONS = 3
+#: What a row of a table costs, in comparisons of fingerprints.
+ROW = 100
 #: Votes are added up in bytes, so many terms at a time.
 _STEP = 255
 _TEXT_BITS = 16
@@ -269,15 +273,35 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
-def table_masks(radius: int = RADIUS, blocks: int = BLOCKS) -> list[tuple[int, list[int]]]:
-    """For each table the mask of its leading bits, and the masks of the pieces of what it leaves out."""
-    cuts = np.array_split(np.arange(HEAD), blocks)
-    out = []
-    for chosen in combinations(range(blocks), blocks - radius):
-        lead = sum(1 << int(x) for c in chosen for x in cuts[c])
-        rest = np.concatenate([cuts[c] for c in range(blocks) if c not in chosen])
-        out.append((_signed(lead), [_signed(sum(1 << int(x) for x in piece)) for piece in np.array_split(rest, radius + 1)]))
-    return out
+def _mask(bits) -> int:
+    return sum(1 << int(x) for x in bits)
+
+
+@cache
+def table_bits(blocks: int, radius: int = RADIUS) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
+    """For each table its leading bits, and the bits that it leaves out. Blocks take every so many bits, so that prints which
+    share a stretch of the head still part."""
+    cuts = [range(k, HEAD, blocks) for k in range(blocks)]
+    bits_of = lambda chosen: tuple(int(x) for c in chosen for x in cuts[c])
+    return [(bits_of(chosen), bits_of(c for c in range(blocks) if c not in chosen)) for chosen in combinations(range(blocks), blocks - radius)]
+
+
+def blocks_for(n: int, radius: int = RADIUS) -> int:
+    """Into how many blocks the head is cut for n fingerprints: more blocks make more tables, but with more leading bits
+    and so smaller places. A row of a table costs about as much as ROW comparisons."""
+    cost = lambda b: len(table_bits(b)) * (ROW + n / 2 ** len(table_bits(b)[0][0]))
+    return min(range(radius + 2, radius + 7), key=cost)
+
+
+@cache
+def divisions(blocks: int, path: int, level: int, radius: int = RADIUS) -> tuple[int, tuple[int, ...]]:
+    """(mask of the bits that must be equal, bits left) of a path: its table, then at each division the piece that is equal."""
+    if level == 0:
+        lead, rest = table_bits(blocks)[path]
+        return _mask(lead), rest
+    used, rest = divisions(blocks, path // (radius + 1), level - 1)
+    piece = rest[path % (radius + 1) :: radius + 1]
+    return used | _mask(piece), tuple(x for x in rest if x not in piece)
 
 
 def meet(filed: DataFrame, keys: list[str], crowded: int | None) -> DataFrame:
@@ -286,7 +310,7 @@ def meet(filed: DataFrame, keys: list[str], crowded: int | None) -> DataFrame:
     Places are runs of sorted rows, so a worker holds one place, or as many small ones as fill a batch.
     """
     words = ["head", "tail1", "tail2"]
-    schema = ", ".join(["again boolean", "which int", *(f"{x}{w} long" for x in "ab" for w in words)])
+    schema = ", ".join(["again boolean", "path int", *(f"{x}{w} long" for x in "ab" for w in words)])
 
     def made(again: bool, which, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         columns = [pa.array(np.full(len(a), again)), pa.array(np.full(len(a), 0, np.int32) + which, pa.int32())]
@@ -335,20 +359,41 @@ def meet(filed: DataFrame, keys: list[str], crowded: int | None) -> DataFrame:
     return filed.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def close_prints(prints: DataFrame) -> DataFrame:
+def divided(crowd: DataFrame, blocks: int, level: int) -> DataFrame:
+    """(path, lead, head, tail1, tail2): the prints of crowded places, once for each piece of the bits left there."""
+    words = ["head", "tail1", "tail2"]
+
+    def run(batches):
+        for batch in batches:
+            path = batch.column("path").to_numpy()
+            head = batch.column("head").to_numpy().view(np.uint64)
+            known, which = np.unique(path, return_inverse=True)
+            for piece in range(RADIUS + 1):
+                below = known * (RADIUS + 1) + piece
+                used = np.array([divisions(blocks, int(x), level)[0] for x in below], np.uint64)
+                columns = [pa.array(below[which].astype(np.int32)), pa.array((head & used[which]).view(np.int64)), *(batch.column(c) for c in words)]
+                yield pa.RecordBatch.from_arrays(columns, ["path", "lead", *words])
+
+    return crowd.select("path", *words).mapInArrow(run, "path int, lead long, head long, tail1 long, tail2 long")
+
+
+def close_prints(prints: DataFrame, blocks: int | None = None) -> DataFrame:
     """(a, b): links between the ids of distinct fingerprints (head, tail1, tail2) that connect every two near ones,
     through others if need be."""
-    masks = table_masks()
     words = ["head", "tail1", "tail2"]
-    leads = F.array(*(F.lit(lead).cast("long") for lead, _ in masks))
-    filed = prints.select(F.posexplode(leads).alias("which", "mask"), *words).select("which", F.col("head").bitwiseAND(F.col("mask")).alias("lead"), *words)
-    met = common.cut(meet(filed, ["which", "lead"], CROWDED))
-    pieces = F.get(F.array(*(F.array(*(F.lit(m).cast("long") for m in rest)) for _, rest in masks)), F.col("which"))
-    lead = F.get(leads, F.col("which"))
-    crowd = met.where("again").select("which", F.col("ahead").alias("head"), F.col("atail1").alias("tail1"), F.col("atail2").alias("tail2"))
-    crowd = crowd.select("which", F.col("head").bitwiseAND(lead).alias("lead"), F.posexplode(pieces).alias("piece", "mask"), *words)
-    crowd = crowd.select("which", "lead", "piece", F.col("head").bitwiseAND(F.col("mask")).alias("rest"), *words)
-    links = met.where("not again").unionByName(meet(crowd, ["which", "lead", "piece", "rest"], None))
+    blocks = blocks or blocks_for(prints.count())
+    leads = F.array(*(F.lit(_signed(_mask(lead))).cast("long") for lead, _ in table_bits(blocks)))
+    filed = prints.select(F.posexplode(leads).alias("path", "mask"), *words).select("path", F.col("head").bitwiseAND(F.col("mask")).alias("lead"), *words)
+    links = None
+    for level in range(DIVISIONS + 1):
+        met = meet(filed, ["path", "lead"], CROWDED if level < DIVISIONS else None)
+        met = common.cut(met) if level < DIVISIONS else met
+        found = met.where("not again")
+        links = found if links is None else links.unionByName(found)
+        crowd = met.where("again").select("path", F.col("ahead").alias("head"), F.col("atail1").alias("tail1"), F.col("atail2").alias("tail2"))
+        if level == DIVISIONS or crowd.isEmpty():
+            break
+        filed = divided(crowd, blocks, level + 1)
     return links.select(*(F.xxhash64(*(x + w for w in words)).alias(x) for x in "ab")).distinct()
 
 

@@ -261,8 +261,73 @@ def test_simhash(spark, docs, nothing):
     assert simhash.compare_edited(nothing).count() == 0
 
 
-@pytest.mark.parametrize("crowded", [1000, 3])
-def test_close_prints(spark, crowded, monkeypatch):
+def test_simhash_likeness(spark, docs):
+    """near_edited and near_next of every document against the bits of fingerprints made one by one."""
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.where("doc_id is not null and doc_id <> 5000").collect()]
+    rows.sort(key=lambda r: -r[0])
+    got = {r["doc_id"]: r for r in simhash.compare_edited(docs.where("doc_id is not null and doc_id <> 5000")).collect()}
+    value = lambda t: int(simhash.fingerprints([t.encode()])[0].tobytes().hex(), 16)
+    for (i, text), (_, following) in zip(rows, rows[1:] + rows[:1]):
+        cut = len(text) // 2
+        changed = text[: len(text) - cut] + following[:cut]
+        like = lambda a, b: 1 - (value(a) ^ value(b)).bit_count() / simhash.BITS
+        assert got[i]["near_edited"] == pytest.approx(like(text, changed)) and got[i]["near_next"] == pytest.approx(like(text, following))
+        assert got[i]["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest()
+
+
+def test_simhash_finds_near_copies(spark):
+    """Of pairs with a five-word similarity of 0.8 or more nearly all are near, of unlike ones none."""
+    rnd = random.Random(12)
+    vocabulary = ["".join(rnd.choice(["th", "er", "on", "an", "re", "ti"]) for _ in range(rnd.randint(1, 4))) for _ in range(3000)]
+    pairs = []
+    for _ in range(400):
+        a = [rnd.choice(vocabulary) for _ in range(rnd.choice([60, 150, 400]))]
+        b = list(a)
+        for _ in range(rnd.randint(1, len(a) // 60 + 1)):
+            b[rnd.randrange(len(b))] = rnd.choice(vocabulary)
+        shingles = [{tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (a, b)]
+        if len(shingles[0] & shingles[1]) >= 0.8 * len(shingles[0] | shingles[1]):
+            pairs.append((" ".join(a).encode(), " ".join(b).encode()))
+    assert len(pairs) >= 300
+    left, right = (simhash.fingerprints([p[k] for p in pairs]).view(">u8").astype(np.uint64) for k in (0, 1))
+    assert simhash.near(left, right).mean() >= 0.95
+    assert simhash.near(left, np.roll(right, 1, axis=0)).mean() == 0
+
+
+def test_blocks_grow_with_the_prints():
+    assert [simhash.blocks_for(n) for n in (0, 10**5)] == [9, 9]
+    sizes = [n / 2 ** len(simhash.table_bits(simhash.blocks_for(n))[0][0]) for n in (10**7, 10**8, 10**9, 10**10)]
+    assert max(sizes) < 2000
+    for blocks in (9, 10, 11):
+        for lead, rest in simhash.table_bits(blocks):
+            assert sorted(lead + rest) == list(range(64))
+
+
+def test_many_alike_prints_are_divided(spark, monkeypatch):
+    """20,000 prints that share 30 bits of the head: no place of thousands is compared pair by pair."""
+    rng = np.random.default_rng(3)
+    n = 20_000
+    own = rng.integers(0, 1 << 64, (n, 3), dtype=np.uint64)
+    own[:, 0] &= np.uint64((1 << 34) - 1)
+    for k in range(0, 600, 2):  # pairs that are near
+        own[k + 1] = own[k]
+        for bit in rng.integers(0, 34, 5):
+            own[k + 1, 0] ^= np.uint64(1 << int(bit))
+    frame = spark.createDataFrame([tuple(map(int, x)) for x in own.view(np.int64)], "head long, tail1 long, tail2 long")
+    seen = []
+    met = simhash.meet
+    monkeypatch.setattr(simhash, "meet", lambda filed, keys, crowded: (seen.append((crowded, filed)), met(filed, keys, crowded))[1])
+    found = simhash.close_prints(frame)
+    assert found.count() >= 300
+    last = seen[-1][1]
+    assert last.groupBy("path", "lead").count().agg(F.max("count")).first()[0] <= simhash.CROWDED
+    node = [r[0] for r in frame.select(F.xxhash64("head", "tail1", "tail2")).collect()]
+    label = dict(map(tuple, common.components(found).collect()))
+    assert all(label[node[k]] == label[node[k + 1]] for k in range(0, 600, 2))
+
+
+@pytest.mark.parametrize(("crowded", "blocks"), [(1000, None), (3, None), (3, 11)])
+def test_close_prints(spark, crowded, blocks, monkeypatch):
     monkeypatch.setattr(simhash, "CROWDED", crowded)
     rnd = random.Random(4)
     prints = [[rnd.getrandbits(64) for _ in range(3)] for _ in range(40)]
@@ -276,7 +341,7 @@ def test_close_prints(spark, crowded, monkeypatch):
     own = np.unique(np.array(prints, np.uint64), axis=0)
     frame = spark.createDataFrame([tuple(map(int, x)) for x in own.view(np.int64)], "head long, tail1 long, tail2 long")
     node = {tuple(r[:3]): r[3] for r in frame.select("*", F.xxhash64("head", "tail1", "tail2")).collect()}
-    label = dict(map(tuple, common.components(simhash.close_prints(frame)).collect()))
+    label = dict(map(tuple, common.components(simhash.close_prints(frame, blocks)).collect()))
     want = list(range(len(own)))
     for a in range(len(own)):
         for b in np.flatnonzero(simhash.near(own[:a], own[a])):
@@ -429,6 +494,14 @@ def test_suffix_tree_scores(docs, hot):
     assert got == want
 
 
+def test_runs_are_packed_without_loss():
+    rnd = np.random.default_rng(2)
+    for sizes in ([0, 3, 0, 1, 5, 0], [0, 0], [], [1], [4, 4]):
+        sizes = np.array(sizes, np.int64)
+        values = np.concatenate([np.zeros(0, np.uint64), *(np.sort(rnd.integers(0, 1 << 40, n).astype(np.uint64)) for n in sizes)])
+        assert (suffix_tree.unpack_runs(suffix_tree.pack_runs(values, sizes), sizes) == values).all()
+
+
 def test_suffix_tree_tells_many_successors_apart(spark):
     """One context with 15,000 successors of equal counts: equal probabilities, which add up to less than 1."""
     n = 15_000
