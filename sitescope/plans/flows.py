@@ -55,7 +55,7 @@ QUERIES = {f.__name__: f for f in _ALL}
 _HREFS = """list_distinct(regexp_extract_all(html, '<a href="(/[^"]*)"', 1))"""
 _FEATURES = f"""SELECT p.page_id, url, split_part(regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www[.]', ''), ':', 1) AS site, 200 AS status_code, 'text/html' AS content_type, '' AS fetch_error, '' AS robots, '' AS canonical,
   title, '' AS description, h1, CAST(n_h1 AS INT) AS h1_count, CAST(h2_count AS INT) AS h2_count, CAST(h3_count AS INT) AS h3_count, 0 AS paragraphs, CAST(word_count AS INT) AS word_count, CAST(len({_HREFS}) AS INT) AS internal_links, 0 AS images, 0 AS missing_alt, has_faq, has_cta
-  FROM pages p JOIN ({html.ORACLE_SQL["h02_heads"]}) a USING (page_id) JOIN ({html.ORACLE_SQL["h03_headings"]}) b USING (page_id) JOIN ({html.ORACLE_SQL["h04_visible_words"]}) c USING (page_id) JOIN ({html.ORACLE_SQL["h07_faq"]}) d USING (page_id) JOIN ({html.ORACLE_SQL["h08_cta"]}) e USING (page_id)"""
+  FROM pages p JOIN ({html.ORACLE_SQL["h02_heads"]}) a USING (page_id) JOIN ({html.ORACLE_SQL["h03_headings"]}) b USING (page_id) JOIN ({html.ORACLE_SQL["h04_visible_words"]}) c USING (page_id) JOIN (SELECT page_id, contains(lower(html), 'faq') AS has_faq, contains(html, '<form') AS has_cta FROM pages) d USING (page_id)"""
 _BASE = audit._BASE.replace(X.sql(X.PAGES), _FEATURES)
 _GRAPH = f"""WITH RECURSIVE kp AS (SELECT site, key, min(page_id) AS page_id FROM (SELECT page_id, split_part(regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www[.]', ''), ':', 1) AS site, {linking._PAGE_KEY('url')} AS key FROM pages) q GROUP BY 1, 2),
   ed AS (SELECT DISTINCT regexp_replace(split_part(src_key, '/', 3), '^www[.]', '') AS site, src_key, dst_key FROM ({linking.ORACLE_SQL["l01_outgoing_links"]}) l WHERE src_key <> dst_key),
