@@ -356,7 +356,8 @@ def meet(filed: DataFrame, keys: list[str], crowded: int | None) -> DataFrame:
             yield from places(held_key, held)
 
     n = common.parts(filed)
-    return filed.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    # in order of the prints, so that the same one leads a cluster wherever it meets, and tables repeat each other's links
+    return filed.repartition(n, *keys).sortWithinPartitions(*keys, *words).mapInArrow(run, schema)
 
 
 def divided(crowd: DataFrame, blocks: int, level: int) -> DataFrame:

@@ -219,14 +219,19 @@ CONTRACT = {
     "op8": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
     "op9": "doc_id bigint, n_shingles bigint, component_id bigint",
     "op10": "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint",
+    "op11": "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean",
+    "op12": "doc_id bigint, n_features bigint, weight bigint, score bigint, rank bigint",
+    "op13": "doc_id bigint, held_out boolean, score double, predicted int",
 }
 
 
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("contract")
-    spark.createDataFrame([(k, prose(k % 5, 70)) for k in range(12)] + [(12, None), (13, "")], "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
-    spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+    rows = [(k, t, "en", "s" if k % 2 else None, len(t or "")) for k, t in enumerate([prose(k % 5, 70) for k in range(12)] + [None, ""])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, prose(3, 40))], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     spark.createDataFrame([(1, "http://a.com/x", "<p>" + "z" * 200), (2, None, None), (3, "http://b.net/es/", "<p>" + "z" * 200)], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
     return str(folder)
 
