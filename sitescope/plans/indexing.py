@@ -8,6 +8,7 @@ from sitescope.operators import indexing as N
 from sitescope.operators import links as L
 from sitescope.plans import fixture as X
 from sitescope.plans import linking
+from sitescope.sources.tables import settled
 
 #: Features of the graph's pages.
 FEATURES = """
@@ -20,7 +21,7 @@ SITEMAP = "SELECT site, key, CASE WHEN rn % 2 = 0 THEN '0.5' ELSE '' END AS prio
 
 def _parts(s, d):
     pages, links, homes = linking.tables(s, d)
-    metrics = L.page_metrics(pages, links, homes)
+    metrics = settled(L.page_metrics(pages, links, homes))
     return pages, links, homes, metrics, L.edges(links)
 
 

@@ -79,7 +79,7 @@ def l10_topic_tokens(spark, sf_dir):
 
 def l11_donor_suggestions(spark, sf_dir):
     pages, links, homes = tables(spark, sf_dir)
-    met = L.page_metrics(pages, links, homes)
+    met = settled(L.page_metrics(pages, links, homes))
     about = _topics(spark, sf_dir).join(met.select("site", "key", "outgoing"), ["site", "key"])
     found = L.suggest_donors(L.in_need(met), about, L.edges(links))
     return found.join(L.in_need(met).select("site", F.col("key").alias("target"), "need"), ["site", "target"])
