@@ -39,9 +39,10 @@ HEAD = PARTS[0][1]
 #: Bits that near fingerprints may differ in: of the head, and in all. The README states the measured recall.
 RADIUS = 7
 WHOLE_RADIUS = 40
-#: A meeting place with more fingerprints than this is divided, and what is still crowded again, so often.
+#: A meeting place with more fingerprints than this is divided, and what is still crowded again, so often. Each division finds
+#: the links of a cluster of copies several times over, so one is enough while blocks grow with the prints.
 CROWDED = 1_000
-DIVISIONS = 3
+DIVISIONS = 1
 #: What a row of a table costs, in comparisons of fingerprints.
 ROW = 100
 #: Votes are added up in bytes, so many terms at a time.
@@ -356,8 +357,7 @@ def meet(filed: DataFrame, keys: list[str], crowded: int | None) -> DataFrame:
             yield from places(held_key, held)
 
     n = common.parts(filed)
-    # in order of the prints, so that the same one leads a cluster wherever it meets, and tables repeat each other's links
-    return filed.repartition(n, *keys).sortWithinPartitions(*keys, *words).mapInArrow(run, schema)
+    return filed.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def divided(crowd: DataFrame, blocks: int, level: int) -> DataFrame:
