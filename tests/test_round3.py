@@ -33,3 +33,15 @@ def test_sites_grow_with_the_pages(spark, many, name):
     assert sorted(map(str, rows)) == sorted(map(str, want)) and "count(*) / 250" not in registry.ORACLE_SQL[name]
     if "site" in columns:
         assert {r[columns.index("site")] for r in rows} == {f"s{k}" for k in range(7)}
+
+
+def test_activity_reads_tasks_and_audits(spark):
+    """The newest of both kinds; the log has a query of its own."""
+    n = 2 * spark.read.parquet(f"{DATA}/orders.parquet").count()
+    con = duckdb.connect()
+    for table in ("orders", "events"):
+        con.sql(f"create view {table} as select * from '{DATA}/{table}.parquet'")
+    whole = registry.ORACLE_SQL["w16_activity"].rsplit("LIMIT", 1)[0]
+    assert len(con.sql(whole).fetchall()) == n
+    for name in ("w16_activity", "w16_activity_from_log"):
+        assert [tuple(r) for r in registry.QUERIES[name](spark, DATA).collect()] == con.sql(registry.ORACLE_SQL[name]).fetchall()
