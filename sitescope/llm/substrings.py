@@ -50,6 +50,8 @@ BUCKET_NODES = 1_000_000
 #: Paths of the corpus through a class of nodes that make it hot, and the number of classes (a power of two).
 HOT_PATHS = 1_000_000
 CLASS_BITS = 21
+#: Bytes of text whose words a chunk looks at together (one text at least).
+SLICE_BYTES = 400_000
 
 
 def minimizers(sums: common.Spans, owner: np.ndarray, known: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,28 +67,39 @@ def minimizers(sums: common.Spans, owner: np.ndarray, known: np.ndarray, window:
     return best, place, np.flatnonzero((owner[:n] == owner[window - 1 :]) & known[owner[:n]])
 
 
+def _cut(texts: list[bytes]) -> list[int]:
+    """Where slices of about SLICE_BYTES begin, and the end."""
+    ends = np.cumsum([len(t) for t in texts])
+    return [*np.flatnonzero(np.diff((ends - 1) // SLICE_BYTES, prepend=-1)).tolist(), len(texts)] if len(texts) else [0]
+
+
 class Paths:
-    """The paths of a chunk's documents."""
+    """The paths of a chunk's documents. Words are looked at slice by slice: a chunk keeps of each word but its two hashes."""
 
     def __init__(self, texts: list[bytes], ids: np.ndarray, known: np.ndarray, window: int, k: int, hot: np.ndarray | None = None):
         self.window = window
-        self.hashes, self.owner, digests = common.word_hashes(texts, tables=2)
-        self.sums, self.digests = common.Spans(self.hashes), common.Spans(digests)
-        n = len(self.hashes) - window + 1
+        self.n_words = np.zeros(len(texts), np.int64)
+        #: Where each slice's words begin, and these words' hashes by both tables.
+        self.begin, self.hashes = [0], []
         empty = np.zeros(0, np.int64)
-        self.first = self.last = self.doc = empty
-        self.node = self.label = self.check = np.zeros(0, np.uint64)
-        if n > 0:
-            best, place, whole = minimizers(self.sums, self.owner, known, window, k)
-            if len(whole):
-                at = whole + place[whole]
-                new = np.r_[True, (at[1:] != at[:-1]) | (whole[1:] != whole[:-1] + 1)]
-                begin = np.flatnonzero(new)
-                self.first, self.last = whole[begin], whole[np.r_[begin[1:] - 1, len(whole) - 1]]
-                self.node = best[self.first]
-                self.label = self.sums.of(self.first, self.last + window)
-                self.check = self.digests.of(self.first, self.last + window)
-                self.doc = ids[self.owner[self.first]]
+        found = [(empty, empty, *[np.zeros(0, np.uint64)] * 3, empty)]
+        cuts = _cut(texts)
+        for lo, hi in zip(cuts, cuts[1:]):
+            hashes, owner, digests = common.word_hashes(texts[lo:hi], tables=2)
+            self.n_words[lo:hi] = np.bincount(owner, minlength=hi - lo)
+            if len(hashes) >= window:
+                sums = common.Spans(hashes)
+                best, place, whole = minimizers(sums, owner, known[lo:hi], window, k)
+                if len(whole):
+                    at = whole + place[whole]
+                    begin = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (whole[1:] != whole[:-1] + 1)])
+                    first, last = whole[begin], whole[np.r_[begin[1:] - 1, len(whole) - 1]]
+                    label, check = sums.of(first, last + window), common.Spans(digests).of(first, last + window)
+                    found.append((self.begin[-1] + first, self.begin[-1] + last, best[first], label, check, ids[lo:hi][owner[first]]))
+            self.hashes.append((hashes, digests))
+            self.begin.append(self.begin[-1] + len(hashes))
+        self.first, self.last, self.node, self.label, self.check, self.doc = (np.concatenate(x) for x in zip(*found))
+        del found
         #: Paths at hot nodes: always looked at window by window.
         self.hot = hot[class_of(common.mix(self.node))] if hot is not None and len(hot) else np.zeros(len(self.node), bool)
         cold = np.flatnonzero(~self.hot)
@@ -115,10 +128,18 @@ class Paths:
 
     def windows(self, paths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(first word, hash, digest, document) of every window of the paths."""
-        first, last = self.first[paths], self.last[paths]
-        n = last - first + 1
-        start = np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
-        return start, self.sums.of(start, start + self.window), self.digests.of(start, start + self.window), np.repeat(self.doc[paths], n)
+        empty = np.zeros(0, np.uint64)
+        found = [(np.zeros(0, np.int64), empty, empty)]
+        cuts = np.searchsorted(self.first[paths], self.begin)
+        for lo, hi, begin, (hashes, digests) in zip(cuts, cuts[1:], self.begin, self.hashes):
+            if lo < hi:
+                first, last = self.first[paths[lo:hi]] - begin, self.last[paths[lo:hi]] - begin
+                n = last - first + 1
+                start = np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                end = start + self.window
+                found.append((start + begin, common.Spans(hashes).of(start, end), common.Spans(digests).of(start, end)))
+        start, value, digest = (np.concatenate(x) for x in zip(*found))
+        return start, value, digest, np.repeat(self.doc[paths], self.last[paths] - self.first[paths] + 1)
 
 
 def class_of(nodes: np.ndarray) -> np.ndarray:
@@ -146,14 +167,12 @@ def hot_classes(docs: DataFrame, window: int, k: int, least: int, fan: int = 256
             total += np.bincount(class_of(common.mix(best[first])), minlength=len(total))
         yield from common.count_blocks(total, width, TaskContext.get().partitionId() % fan)
 
-    @F.pandas_udf("binary")
-    def bits(counts: pd.Series) -> pd.Series:
-        over = (common.unpack(x, np.int64) > least for x in counts)
-        return pd.Series([np.packbits(x).tobytes() if x.any() else None for x in over], dtype=object)
+    def bits(total: np.ndarray) -> bytes | None:
+        return np.packbits(total > least).tobytes() if (total > least).any() else None
 
-    added = common.added_up(docs.mapInArrow(count, "block int, part int, counts binary"), width)
+    added = common.added_up(docs.mapInArrow(count, "block int, part int, counts binary"), width, bits)
     hot = np.zeros(1 << CLASS_BITS, bool)
-    for block, found in added.select("block", bits("counts").alias("bits")).where("bits is not null").collect():
+    for block, found in added.where("counts is not null").collect():
         hot[block * width : (block + 1) * width] = np.unpackbits(np.frombuffer(found, np.uint8))
     return hot if hot.any() else np.zeros(0, bool)
 
@@ -245,7 +264,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, k: int = K, hot_paths: i
     def finish(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
         texts = common.utf8(docs.column("text"))
         own = paths(docs)
-        cover = np.zeros(len(own.hashes) + 1, np.int64)
+        cover = np.zeros(own.begin[-1] + 1, np.int32)
         if answers.num_rows:
             answers = answers.to_pandas()
             is_reply = answers["bucket"] >= 0
@@ -265,10 +284,11 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, k: int = K, hot_paths: i
                 hit = start[order[elsewhere[group] | (doc[order] > doc[first][group])]]
                 np.add.at(cover, hit, 1)
                 np.add.at(cover, hit + window, -1)
-        covered = np.cumsum(cover[:-1]) > 0
-        n_words = np.bincount(own.owner, minlength=len(texts))
-        n_removed = np.bincount(own.owner[covered], minlength=len(texts))
+        covered = np.cumsum(cover[:-1], dtype=np.int32) > 0
+        n_words = own.n_words
         first = np.cumsum(n_words) - n_words
+        upto = np.r_[0, np.cumsum(covered)]
+        n_removed = upto[first + n_words] - upto[first]
         kept, digests = [], []
         for i, text in enumerate(texts):
             words = text.split()
