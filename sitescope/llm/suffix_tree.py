@@ -14,8 +14,10 @@ stands before it; the suffix may be of any length up to DEPTH, or empty.
 The tree is never gathered in one place. Chunks of documents send, level by level, the contexts and successors they
 hold; buckets of contexts add the counts up and send back to each chunk the statistics of what it asked for. A run of
 words occurs twice only if its beginning and its end do, so only such runs are asked for. Of contexts with HOT or more
-occurrences the successors are dealt over several buckets: these contexts are kept without the test and lean on the parent
-with a fixed weight (HOT_WEIGHT), so a bucket need not know the others and a chunk asks only for the parts it holds. A chunk's words are hashed once and travel as numbers in one compressed
+occurrences the successors are dealt over several buckets, and a chunk asks only for the parts it holds. Each part counts
+its successors by their count and their parent's step; from these tallies, added up, such a context gets the same test and
+weight as any other, so results do not depend on where dealing begins. (Callers may give these contexts a fixed weight
+instead, HOT_WEIGHT, without the test; the registered query does not.) A chunk's words are hashed once and travel as numbers in one compressed
 row, shuffled once; all levels reuse that exchange, and each level's answers are shuffled once.
 
 Null and empty texts hold the end token alone. Documents with a null id count as training documents. Repeated rows and
@@ -30,6 +32,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,8 +57,11 @@ NUMBER_BITS = 40
 _END = np.uint64(0x5DEECE66D1234567)
 _PART = np.uint64(0x9E3779B97F4A7C15)
 
-REQUEST = "bucket int, chunk long, keys binary, sizes binary, rest binary, next binary, count binary, parent binary"
+REQUEST = "bucket int, chunk long, keys binary, sizes binary, rest binary, next binary, count binary, parent binary, whole binary"
 REPLY = "chunk long, level int, bucket int, kept binary, stored binary, counts binary"
+#: The bucket of replies about whole contexts whose successors are dealt; their tallies travel under negative chunks.
+WHOLE = -1
+TALLY = "key long, level int, total long, chunks binary, tally binary, times binary"
 
 
 def _runs(sorted_values: np.ndarray) -> np.ndarray:
@@ -111,7 +117,7 @@ def _by_frequency(times: np.ndarray) -> np.ndarray:
 class Tokens:
     """A chunk's tokens, and what its levels have been told."""
 
-    def __init__(self, chunk: dict, buckets: int, base: float, hot_size: int):
+    def __init__(self, chunk: dict, buckets: int, base: float, hot_size: int, weighted: bool = False):
         self.words = unpack_sorted(chunk["words"])
         self.word = _by_frequency(unpack(chunk["times"], np.int64)).astype(np.int32)[unpack(chunk["tokens"], np.uint32)]
         self.n = np.array(chunk["sizes"], np.int64)
@@ -120,13 +126,13 @@ class Tokens:
         self.place = np.arange(len(self.word), dtype=np.int32) - np.repeat((np.cumsum(self.n) - self.n).astype(np.int32), self.n)
         self.train = ~np.array(chunk["held_out"], bool)[self.owner]
         self.sums = common.Spans(self.words[self.word])
-        self.buckets, self.base, self.hot_size = buckets, base, hot_size
+        self.buckets, self.base, self.hot_size, self.weighted = buckets, base, hot_size, weighted
         self.gram = self.word
 
     # -- level 0: words ------------------------------------------------------------------------------------------------
     def word_requests(self, chunk: int) -> list:
         count = np.bincount(self.word, weights=self.train, minlength=len(self.words)).astype(np.int64)
-        return [(b, chunk, pack_sorted(self.words[own]), b"", b"", b"", pack(count[own]), b"") for b, own in _by_bucket(bucket_of(self.words, self.buckets))]
+        return [(b, chunk, pack_sorted(self.words[own]), b"", b"", b"", pack(count[own]), b"", b"") for b, own in _by_bucket(bucket_of(self.words, self.buckets))]
 
     def told_words(self, replies: dict) -> None:
         seen = np.zeros(len(self.words), np.int64)
@@ -163,11 +169,13 @@ class Tokens:
             n, part_of = int(there.sum()), np.int64(0)
         first = np.zeros(n, np.int64)
         first[unit[::-1]] = np.arange(len(at))[::-1]
-        key = common.mix(self.sums.of(at[first] - depth, at[first]) + np.asarray(part_of).astype(np.uint64) * _PART)
+        whole = self.sums.of(at[first] - depth, at[first])
+        key = common.mix(whole + np.asarray(part_of).astype(np.uint64) * _PART)
         order = np.argsort(key, kind="stable")
         rank = np.empty(n, np.int64)
         rank[order] = np.arange(n)
         self.unit, self.keys, self.hot_unit = rank[unit], key[order], self.hot[first][order]
+        self.whole, self.unit_total = whole[order], self.total[first][order]
         # successors whose run without the context's first word repeats, too
         self.asked = np.flatnonzero(self.count[at] >= 2)
         pair = self.unit[self.asked] * len(self.words) + self.place_of[self.word[at[self.asked]]]
@@ -183,14 +191,15 @@ class Tokens:
             raise OverflowError(f"a word's number takes more than {NUMBER_BITS} bits")
         parent = np.clip(np.rint(-STEP * np.log(self.p[self.pair_at])), 0, 255).astype(np.uint8)
         ends = np.cumsum(self.sizes)
-        # occurrences here with other successors: with the pairs' counts, all chunks' make up the total. Hot parts: -1
+        # occurrences here with other successors: with the pairs' counts, all chunks' make up the total. Hot parts: the
+        # whole context's total, negative
         inside = np.bincount(self.pair_unit, weights=self.pair_count, minlength=len(self.keys))
         rest = (np.bincount(self.unit, weights=self.train[self.at], minlength=len(self.keys)) - inside).astype(np.int64)
-        rest[self.hot_unit] = -1
+        rest[self.hot_unit] = -self.unit_total[self.hot_unit]
         rows = []
         for b, own in _by_bucket(bucket_of(self.keys, self.buckets)):
             pairs = slice(int(ends[own.start] - self.sizes[own.start]), int(ends[own.stop - 1]))
-            rows.append((b, chunk, pack_sorted(self.keys[own]), pack(self.sizes[own]), pack(rest[own]), pack_runs(succ[pairs], self.sizes[own]), pack(self.pair_count[pairs]), pack(parent[pairs])))
+            rows.append((b, chunk, pack_sorted(self.keys[own]), pack(self.sizes[own]), pack(rest[own]), pack_runs(succ[pairs], self.sizes[own]), pack(self.pair_count[pairs]), pack(parent[pairs]), pack(self.whole[own][self.hot_unit[own]])))
         return rows
 
     def told_contexts(self, replies: dict) -> None:
@@ -203,13 +212,16 @@ class Tokens:
             kept[own] = unpack(k, np.uint8) > 0
             stored[np.flatnonzero(kept[own]) + own.start] = unpack(s, np.int64)
             count[int(ends[own.start] - self.sizes[own.start]) : int(ends[own.stop - 1])] = unpack(c, np.int64)
+        for k, s, _ in replies.get(WHOLE, ()):
+            own = self.hot_unit & (self.whole == unpack(k, np.uint64)[0])
+            kept[own], stored[own] = True, unpack(s, np.int64)[0]
         now = np.zeros(len(self.count), np.int64)
         now[self.at[self.asked]] = count[self.pair_of]
         gram = np.zeros(len(self.count), np.int32)
         gram[self.at[self.asked]] = self.pair_of
         use = np.flatnonzero(kept[self.unit])
         at, total = self.at[use], self.total[use]
-        self.p[at] = smoothed(now[at], total, stored[self.unit[use]], self.p[at], self.hot[use])
+        self.p[at] = smoothed(now[at], total, stored[self.unit[use]], self.p[at], self.hot[use] & self.weighted)
         self.count, self.gram = now, gram
 
 
@@ -232,7 +244,7 @@ def add_words(bucket: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in REPLY.split(", ")])
 
 
-def add_contexts(level: int):
+def add_contexts(level: int, weighted: bool = False):
     def add(bucket: pd.DataFrame) -> pd.DataFrame:
         """Counts and test of a bucket's contexts, to each chunk in its own order."""
         keys = [unpack_sorted(x) for x in bucket["keys"]]
@@ -246,32 +258,65 @@ def add_contexts(level: int):
         rest = joined("rest", np.int64)
         hot = np.zeros(len(known), bool)
         hot[where[rest < 0]] = True
-        total = (np.bincount(own, weights=each, minlength=len(known)) + np.bincount(where, weights=rest, minlength=len(known))).astype(np.int64)
+        total = (np.bincount(own, weights=each, minlength=len(known)) + np.bincount(where, weights=np.maximum(rest, 0), minlength=len(known))).astype(np.int64)
         pair = (own.astype(np.uint64) << np.uint64(NUMBER_BITS)) | np.concatenate([unpack_runs(x, n) for x, n in zip(bucket["next"], sizes)])
         order = np.argsort(pair)
         head = _runs(pair[order])
         count = np.add.reduceat(each[order], head) if len(head) else np.zeros(0, np.int64)
         count[count < 2] = 0
         of = own[order][head]
-        parent = np.exp(joined("parent", np.uint8)[order][head] / -STEP)
+        step = joined("parent", np.uint8)[order][head]
+        parent = np.exp(step / -STEP)
         several = count > 0
         stored = np.bincount(of, weights=count, minlength=len(known)).astype(np.int64)
         kinds = np.bincount(of, weights=several, minlength=len(known))
-        kept = hot | diverges(of, count, parent, np.where(hot, stored, total), stored, kinds)
+        kept = diverges(of, count, parent, np.where(hot, stored, total), stored, kinds)
+        kept = hot | kept if weighted else ~hot & kept
         back = np.empty(len(order), np.int64)
         back[order] = np.repeat(count, np.diff(np.r_[head, len(order)]))
         rows = []
         key_cut, pair_cut = np.split(where, np.cumsum(n_keys)[:-1]), np.split(back, np.cumsum(n_pairs)[:-1])
         for c, b, k, x in zip(bucket["chunk"], bucket["bucket"], key_cut, pair_cut):
             rows.append((c, level, b, pack(kept[k].astype(np.uint8)), pack(stored[k][kept[k]]), pack(x)))
+        if hot.any() and not weighted:
+            asking = np.repeat(bucket["chunk"].to_numpy(), n_keys)
+            whole, size = np.zeros(len(known), np.uint64), np.zeros(len(known), np.int64)
+            whole[where[rest < 0]], size[where[rest < 0]] = joined("whole", np.uint64), -rest[rest < 0]
+            for u in np.flatnonzero(hot):
+                own = several & (of == u)
+                tally, times = np.unique(count[own] << 8 | step[own], return_counts=True)
+                about = [whole[u : u + 1].view(np.int64), size[u : u + 1], np.unique(asking[where == u])]
+                rows.append((-1 - int(whole[u] >> np.uint64(2)), level, WHOLE, pack(np.concatenate(about)), pack(tally), pack(times)))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in REPLY.split(", ")])
 
     return add
 
 
-def diverges(of: np.ndarray, count: np.ndarray, parent: np.ndarray, total: np.ndarray, stored: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-    """Whether contexts differ enough from their parents: ``of``, ``count`` and ``parent`` per successor, the rest per context."""
-    gain = np.where(count > 0, count * np.log(smoothed(count, total[of], stored[of], parent) / parent), 0)
+def tallies(batches):
+    """The tallies among replies, as rows of TALLY."""
+    for batch in batches:
+        rows = batch.filter(pa.compute.less(batch.column("chunk"), 0)).to_pylist()
+        about = [unpack(r["kept"], np.int64) for r in rows]
+        columns = [[int(a[0]) for a in about], [r["level"] for r in rows], [int(a[1]) for a in about], [pack(a[2:]) for a in about], [r["stored"] for r in rows], [r["counts"] for r in rows]]
+        yield from _frame(list(zip(*columns)), TALLY).to_batches()
+
+
+def settle_whole(parts: pd.DataFrame) -> pd.DataFrame:
+    """Count and test of one context whose successors were dealt, to each chunk that asked for any part, if it is kept."""
+    tally, where = np.unique(np.concatenate([unpack(x, np.int64) for x in parts["tally"]]), return_inverse=True)
+    times = np.bincount(where, weights=np.concatenate([unpack(x, np.int64) for x in parts["times"]]), minlength=len(tally)).astype(np.int64)
+    count, parent = tally >> 8, np.exp((tally & 255) / -STEP)
+    total, stored, kinds = (np.array([x]) for x in (int(parts["total"].iloc[0]), int((count * times).sum()), int(times.sum())))
+    kept = diverges(np.zeros(len(count), np.int64), count, parent, total, stored, kinds, times)[0]
+    key, level = pack(parts["key"].to_numpy()[:1]), parts["level"].iloc[0]
+    chunks = np.unique(np.concatenate([unpack(x, np.int64) for x in parts["chunks"]])) if kept else []
+    return pd.DataFrame([(c, level, WHOLE, key, pack(stored), b"") for c in chunks], columns=[c.split()[0] for c in REPLY.split(", ")])
+
+
+def diverges(of: np.ndarray, count: np.ndarray, parent: np.ndarray, total: np.ndarray, stored: np.ndarray, kinds: np.ndarray, times=1) -> np.ndarray:
+    """Whether contexts differ enough from their parents: ``of``, ``count`` and ``parent`` per successor (``times``: how
+    many are alike), the rest per context."""
+    gain = times * np.where(count > 0, count * np.log(smoothed(count, total[of], stored[of], parent) / parent), 0)
     ones = np.maximum(total - stored, 0)
     alone = ones * np.log((ones + PRIOR) / (np.maximum(total, stored) + PRIOR))
     return (kinds > 0) & (np.bincount(of, weights=gain, minlength=len(total)) + alone > GAIN * kinds)
@@ -339,8 +384,12 @@ def in_chunks(docs: DataFrame) -> DataFrame:
     return docs.select("id", "unnamed", "held_out", "text").mapInArrow(run, CHUNK)
 
 
-def score_documents(docs: DataFrame, held_out, depth: int = DEPTH, hot: int = HOT) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); ``held_out``: a boolean column."""
+def score_documents(docs: DataFrame, held_out, depth: int = DEPTH, hot: int | None = None, deal: int = HOT) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); ``held_out``: a boolean column. ``deal``:
+    occurrences from which a context's successors are dealt, which changes no result; ``hot``: those from which contexts
+    are to have a fixed weight, if any."""
+    weighted = hot is not None
+    deal = hot if weighted else deal
     total = docs.agg(F.sum(F.octet_length(common.field("text")))).first()[0] or 0
     n = common.parts(docs)
     buckets = int(max(2 * n, -(-total // (8 * BUCKET_ENTRIES))))
@@ -352,11 +401,14 @@ def score_documents(docs: DataFrame, held_out, depth: int = DEPTH, hot: int = HO
 
     def told(docs: pa.Table, replies: pa.Table | None, levels: int) -> tuple[Tokens, dict]:
         chunk = docs.to_pylist()[0]
-        tokens = Tokens(chunk, buckets, base, hot)
+        tokens = Tokens(chunk, buckets, base, deal, weighted)
         if replies is not None:
             by: dict = {level: {} for level in range(levels + 1)}
             for level, bucket, *row in zip(*(replies.column(c).to_pylist() for c in ("level", "bucket", "kept", "stored", "counts"))):
-                by[level][bucket] = row
+                if bucket == WHOLE:
+                    by[level].setdefault(WHOLE, []).append(row)
+                else:
+                    by[level][bucket] = row
             tokens.told_words(by[0])
             for level in range(1, levels + 1):
                 tokens.contexts(level)
@@ -368,6 +420,8 @@ def score_documents(docs: DataFrame, held_out, depth: int = DEPTH, hot: int = HO
 
     def ask_contexts(level: int):
         def ask(key: tuple, docs: pa.Table, replies: pa.Table) -> pa.Table:
+            if not docs.num_rows:  # tallies
+                return _frame([], REQUEST)
             tokens, _ = told(docs, replies, level - 1)
             tokens.contexts(level)
             return _frame(tokens.context_requests(key[0].as_py()), REQUEST)
@@ -375,6 +429,8 @@ def score_documents(docs: DataFrame, held_out, depth: int = DEPTH, hot: int = HO
         return ask
 
     def score(key: tuple, docs: pa.Table, replies: pa.Table) -> pa.Table:
+        if not docs.num_rows:  # tallies
+            return pa.table({c.split()[0]: pa.array([], {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}[c.split()[1]]) for c in SCORES.split(", ")})
         tokens, chunk = told(docs, replies, depth)
         m = len(chunk["id"])
         summed = lambda x: np.bincount(tokens.owner, weights=x, minlength=m)
@@ -388,7 +444,10 @@ def score_documents(docs: DataFrame, held_out, depth: int = DEPTH, hot: int = HO
     replies = dealt.groupBy("chunk").applyInArrow(ask_words, REQUEST).groupBy("bucket").applyInPandas(add_words, REPLY).repartition(n, "chunk")
     for level in range(1, depth + 1):
         asked = dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(ask_contexts(level), REQUEST)
-        replies = replies.union(asked.groupBy("bucket").applyInPandas(add_contexts(level), REPLY).repartition(n, "chunk"))
+        told_now = asked.groupBy("bucket").applyInPandas(add_contexts(level, weighted), REPLY).repartition(n, "chunk")
+        replies = replies.union(told_now)
+        if n_train >= deal and not weighted:  # fewer tokens have no such context
+            replies = replies.union(told_now.mapInArrow(tallies, TALLY).groupBy("key").applyInPandas(settle_whole, REPLY).repartition(n, "chunk"))
     out = dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(score, SCORES)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
 

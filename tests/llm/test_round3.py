@@ -1,13 +1,12 @@
 """Whole jobs within bounds: all labels, all sizes, memory."""
 
-import collections
 import random
 import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from sitescope.llm import quality, substrings
+from sitescope.llm import quality, substrings, suffix_tree
 
 
 def made(n, seed=3):
@@ -71,3 +70,14 @@ def test_quality_threshold_of_tables(spark):
         assert quality._held_out_threshold(scored, known) == quality.threshold(scores)
     half = spark.range(-300, 300).union(spark.range(1 << 62, (1 << 62) + 300)).toDF("doc_id").select("doc_id", F.expr(quality.FIT_HALF).alias("fit")).collect()
     assert all(r["fit"] == quality._fit_half(r["doc_id"]) for r in half)
+
+
+def test_suffix_tree_is_the_same_wherever_dealing_begins(spark):
+    """Contexts whose successors are dealt over buckets get the test and the weight of all others."""
+    rnd = random.Random(8)
+    texts = [" ".join(rnd.choice(["the", "of", "a"]) + " " + rnd.choice([f"w{rnd.randrange(60)}", f"v{rnd.randrange(9)}"]) for _ in range(120)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4, "doc_id")
+    few, many = (
+        {r["doc_id"]: r["score"] for r in suffix_tree.score_documents(docs, F.col("doc_id") % 5 == 0, deal=deal).collect()} for deal in (suffix_tree.HOT, 40)
+    )
+    assert len(few) == 60 and all(abs(few[k] - many[k]) < 1e-6 for k in few)
