@@ -4,6 +4,7 @@ import random
 import tracemalloc
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sitescope.llm import quality, substrings, suffix_tree
@@ -72,6 +73,43 @@ def test_quality_threshold_of_tables(spark):
     assert all(r["fit"] == quality._fit_half(r["doc_id"]) for r in half)
 
 
+@pytest.fixture
+def no_broadcast(spark):
+    """Spark broadcasts nothing by itself."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    yield
+    spark.conf.set(key, before)
+
+
+def test_quality_leaves_texts_where_they_are(spark, monkeypatch, no_broadcast):
+    """Whatever Spark may broadcast by itself, the labels go to the texts."""
+    docs = spark.createDataFrame(list(enumerate(made(80))), "doc_id long, text string")
+    labels = spark.range(100_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    plans, count = [], quality.count_features
+    monkeypatch.setattr(quality, "count_features", lambda own: (plans.append(own._jdf.queryExecution().executedPlan().toString()), count(own))[1])
+    quality.fit(docs, labels)
+    assert len(plans) == 2 and "BroadcastHashJoin" in plans[1] and "SortMergeJoin" not in plans[1]
+
+
+def test_quality_target_is_of_the_ids_labelled_good(spark, no_broadcast):
+    """Neighbouring, far, negative, repeated and missing ids, by masks that are broadcast and by a join of masks."""
+    rnd = random.Random(9)
+    ids = [*range(-130, 200), *(rnd.randrange(-(1 << 63), 1 << 63) for _ in range(300)), -(1 << 63), (1 << 63) - 1]
+    rows = [(k, f"{k} {n}") for n, k in enumerate([*ids, *ids[::7], None, None])]
+    marks = [(k, rnd.choice([0, 1, 1, None])) for k in [*rnd.sample(ids, 500), *rnd.sample(ids, 200), 5000, None]]
+    lowest = {}
+    for k, q in marks:
+        if k is not None and q is not None:
+            lowest[k] = min(q, lowest.get(k, 1))
+    want = sorted(t for k, t in rows if lowest.get(k) == 1 and quality._fit_half(k))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = quality.labelled(spark.createDataFrame(marks, "doc_id long, quality int"))
+    assert len(want) > 100
+    assert all(sorted(r["text"] for r in quality.trusted_texts(docs, known, most).collect()) == want for most in (quality.MASKS, 0))
+
+
 def test_suffix_tree_is_the_same_wherever_dealing_begins(spark):
     """Contexts whose successors are dealt over buckets get the test and the weight of all others."""
     rnd = random.Random(8)
