@@ -165,14 +165,16 @@ class Join:
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """(a, b) of the set pairs that link, by their whole sets."""
-        pairs = common.cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
-        if pairs.isEmpty():
+        pairs, n = common.cut_counting(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+        if not n:
             return pairs
-        wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
         holders = self.rows.where("n > 0").join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("d"))
-        named = holders.select(F.col("d.doc_id").alias("doc_id")).where("doc_id is not null").distinct()
+        # each wanted set has a row, so these are the wanted ones
+        holders, unnamed = common.cut_counting(holders.select("set_id", "d.doc_id"), "doc_id is null")
+        named = holders.select("doc_id").where("doc_id is not null").distinct()
         texts = _within(self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), named)
-        if not holders.where("d.doc_id is null").isEmpty():
+        if unnamed:
             texts = texts.union(self.docs.where("doc_id is null").select(F.lit(None).cast("long"), "text"))
         k = self.k
 
@@ -184,19 +186,20 @@ class Join:
                 items = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(value.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(set_ids(value, n)), items], ["set_id", "items"])
 
-        items = texts.select("text").mapInArrow(full, "set_id long, items array<long>").join(wanted, "set_id", "left_semi")
+        items = texts.select("text").mapInArrow(full, "set_id long, items array<long>").join(holders, "set_id", "left_semi")
         items = common.cut(items.dropDuplicates(["set_id"]))
         side = lambda c: items.select(F.col("set_id").alias(c), F.col("items").alias(f"i{c}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         common_n = F.size(F.array_intersect("ia", "ib"))
         return both.where(self.den * common_n >= self.num * (F.size("ia") + F.size("ib") - common_n)).select("a", "b")
 
-    def expand(self, group_pairs: DataFrame) -> DataFrame:
-        member = lambda c: self.sets.select(F.col("group_id").alias(c), F.col("set_id").alias(f"m{c}"))
-        return group_pairs.join(member("a"), "a").join(member("b"), "b").select(F.col("ma").alias("a"), F.col("mb").alias("b"))
+    def expand(self, group_pairs: DataFrame, sets: DataFrame, *more: str) -> DataFrame:
+        """(a, b) of the groups' member sets; of each also the columns ``more``, such as label_a and label_b."""
+        member = lambda c: sets.select(F.col("group_id").alias(c), F.col("set_id").alias(f"m{c}"), *(F.col(x).alias(f"{x}_{c}") for x in more))
+        return group_pairs.join(member("a"), "a").join(member("b"), "b").select(F.col("ma").alias("a"), F.col("mb").alias("b"), *(f"{x}_{c}" for c in "ab" for x in more))
 
-    def links(self) -> DataFrame:
-        """(a, b): links between sets that connect all that link, directly or through others."""
+    def labelled(self) -> DataFrame:
+        """The sets with a label each, equal for all that link, directly or through others."""
         small = self.places.where(F.col("met") <= FEW)
         large = self.places.where(F.col("met") > FEW)
         centres = large.groupBy("shingle").agg(F.min(F.struct("pos", "group_id", "n")).alias("c")).select("shingle", "c.*")
@@ -205,36 +208,37 @@ class Join:
         tried = common.cut(self.near(pairs.union(star)))
         crowd = self.sets.groupBy("group_id").agg(F.count(F.lit(1)).alias("sets"), F.min("set_id").alias("b")).where("sets > 1")
         inner = self.sets.join(crowd, "group_id").select(F.col("set_id").alias("a"), "b").where("a <> b")
-        found = common.cut(self.verify(self.expand(tried).union(inner)))
-        label = common.components(found)
-        left = self.unconnected(large, label, tried)
-        if left.isEmpty():
-            return found
-        return found.union(self.verify(left))
-
-    def unconnected(self, large: DataFrame, label: DataFrame, tried: DataFrame) -> DataFrame:
-        """Set pairs of crowded places and groups that the first round neither tried nor connected."""
-        labelled = self.sets.join(label, self.sets["set_id"] == label["node"], "left").select("set_id", "group_id", F.coalesce("component", "set_id").alias("label"))
-        labelled = common.cut(labelled)
+        label = common.components(self.verify(self.expand(tried, self.sets).union(inner)))
+        first = common.cut(self.sets.join(label, self.sets["set_id"] == label["node"], "left").select("set_id", "group_id", "doc_id", F.coalesce("component", "set_id").alias("label")))
+        left, n = self.unconnected(large, first, tried)
+        if not n:
+            return first
+        # links of the second round lead from component to component
+        bridges = self.verify(left).join(left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "label_a", "label_b"), ["a", "b"])
+        joined = common.components(bridges, "label_a", "label_b")
+        return first.join(joined, first["label"] == joined["node"], "left").select("set_id", "group_id", "doc_id", F.coalesce("component", "label").alias("label"))
+
+    def unconnected(self, large: DataFrame, labelled: DataFrame, tried: DataFrame) -> tuple[DataFrame, int]:
+        """(a, b, label_a, label_b) of set pairs of crowded places and groups that the first round neither tried nor connected,
+        and their number."""
         # a group whose sets are all in one component stands for them
         mixed = labelled.groupBy("group_id").agg(F.min("label").alias("label"), F.max("label").alias("top"))
         marked = large.join(mixed, "group_id").withColumn("label", F.when(F.col("label") == F.col("top"), F.col("label"))).drop("top")
         open_places = marked.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count_if(F.col("label").isNull()).alias("unsure")).where("lo < hi or unsure > 0").select("shingle")
         marked = common.cut(marked.join(open_places, "shingle", "left_semi"))
         pairs = self.pairs_of(marked, marked, "shingle").where("a < b and (label_a is null or label_b is null or label_a <> label_b)").select("a", "b", "na", "nb")
-        outer = self.expand(self.near(pairs).join(tried, ["a", "b"], "left_anti"))
+        outer = self.expand(self.near(pairs).join(tried, ["a", "b"], "left_anti"), labelled, "label")
         several = mixed.where("label < top").select("group_id")
         own = labelled.join(several, "group_id", "left_semi")
-        inner = own.select("group_id", F.col("set_id").alias("a"), F.col("label").alias("la")).join(own.select("group_id", F.col("set_id").alias("b"), F.col("label").alias("lb")), "group_id").where("a < b and la <> lb").select("a", "b")
-        of = lambda c: labelled.select(F.col("set_id").alias(c), F.col("label").alias(f"l{c}"))
-        return common.cut(outer.union(inner).join(of("a"), "a").join(of("b"), "b").where("la <> lb").select("a", "b"))
+        side = lambda c: own.select("group_id", F.col("set_id").alias(c), F.col("label").alias(f"label_{c}"))
+        inner = side("a").join(side("b"), "group_id").where("a < b").select("a", "b", "label_a", "label_b")
+        return common.cut_counting(outer.union(inner).where("label_a <> label_b"))
 
 
 def classified(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(doc_id, key, n, label, component_id), one row per document; ``label`` tells components apart, also unnamed ones."""
     join = Join(docs, k, num, den)
-    label = common.components(join.links())
-    named = join.sets.join(label, F.col("set_id") == F.col("node"), "left").select("set_id", "doc_id", F.coalesce("component", "set_id").alias("label"))
+    named = join.labelled()
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of = named.select("set_id", "label").join(least, "label").select("set_id", "label", "component_id")
     rows = join.rows.select("doc_id", "key", "n", F.when(F.col("n") > 0, F.col("set_id")).alias("set_id"))

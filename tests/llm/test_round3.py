@@ -2,12 +2,13 @@
 
 import random
 import tracemalloc
+import uuid
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sitescope.llm import quality, substrings, suffix_tree
+from sitescope.llm import common, jaccard, quality, substrings, suffix_tree
 
 
 def made(n, seed=3):
@@ -119,3 +120,38 @@ def test_suffix_tree_is_the_same_wherever_dealing_begins(spark):
         {r["doc_id"]: r["score"] for r in suffix_tree.score_documents(docs, F.col("doc_id") % 5 == 0, deal=deal).collect()} for deal in (suffix_tree.HOT, 40)
     )
     assert len(few) == 60 and all(abs(few[k] - many[k]) < 1e-6 for k in few)
+
+
+def stages_run(spark, work):
+    """What the work returns, and how many stages it ran."""
+    sc, group = spark.sparkContext, uuid.uuid4().hex
+    sc.setJobGroup(group, "counted")
+    try:
+        out = work()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    stages = [tracker.getStageInfo(s) for s in {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}]
+    return out, sum(s is not None and s.numCompletedTasks > 0 for s in stages)
+
+
+@pytest.mark.parametrize("edges, most", [([(0, k) for k in range(1, 40)], 12), ([(9 - k, 10 - k) for k in range(10)] + [(20, 22), (21, 22)], 55), ([], 12)])
+def test_components_take_few_stages(spark, edges, most):
+    """Each stage has a task for each partition, however small the graph; stars are done at once."""
+    frame = spark.createDataFrame(edges, "a long, b long")
+    found, stages = stages_run(spark, lambda: dict(map(tuple, common.components(frame).collect())))
+    assert found == {k: 0 if k < 20 or len(edges) == 39 else 20 for e in edges for k in e}
+    assert stages <= most
+
+
+def test_similar_documents_take_few_stages(spark, monkeypatch):
+    """Three sets that link, but meet only where smaller sets without a link are the centres: the second round finds them."""
+    monkeypatch.setattr(jaccard, "FEW", 2)
+    rows = [(k, " ".join([f"own{k}", *(f"c{i}" for i in range(20))])) for k in range(3)]
+    rows += [(100 + 3 * i + j, " ".join([f"c{i}", *(f"e{x}" for x in range(4 + 2 * j))])) for i in range(20) for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rounds, verify = [], jaccard.Join.verify
+    monkeypatch.setattr(jaccard.Join, "verify", lambda self, pairs: (rounds.append(1), verify(self, pairs))[1])
+    found, stages = stages_run(spark, lambda: {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(docs, 1).collect()})
+    assert found == {k: k if k > 2 else 0 for k, _ in rows} and len(rounds) == 2
+    assert stages <= 105
